@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = [9]
+_MODULES = [3, 6, 8, 9, 10]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
