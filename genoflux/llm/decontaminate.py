@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -78,7 +79,7 @@ class Block:
                         yield doc, a - low, b - low, x
 
 
-def occurrences(docs: DataFrame, items: DataFrame) -> dict[int, int]:
+def occurrences(docs: DataFrame, items: list[list[str]]) -> dict[int, int]:
     """How often each shingle of the items occurs in all documents. Only the items' own shingles are counted and returned."""
     sc = docs.sparkSession.sparkContext
     tokens: dict[int, set[int]] = defaultdict(set)
@@ -107,7 +108,7 @@ def occurrences(docs: DataFrame, items: DataFrame) -> dict[int, int]:
     return {t % (1 << 64): n for batch in counted.toArrow().to_batches() for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
 
 
-def _blocks(items: DataFrame, width: int, docs: DataFrame, most: int):
+def _blocks(items: DataFrame, width: int, most: int):
     """Items in blocks of at most `most` windows, in order of id. The driver holds one block of item texts at a time."""
     held, size = [], 0
     rows = items.select(F.col("item_id").alias("item_id"), F.col("text").cast("string").alias("text")).orderBy(F.col("item_id").cast("string"))
@@ -135,9 +136,12 @@ def contaminated_words(docs: DataFrame, items: DataFrame, width: int = 10, block
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     df = df.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<long>)").alias("runs"), F.expr("cast(array() as array<string>)").alias("item_ids"))
     schema = "doc_id long, text string, n_words long, runs array<long>, item_ids array<string>"
-    for held in list(_blocks(items, width, docs, block)) or [[]]:
-        held = sc.broadcast(Block(held, width, occurrences(docs, [w for _, w in held]) if held else {}))
-        df = df.mapInArrow(_search(held), schema)
+    n_blocks = 0
+    for held in chain(_blocks(items, width, block), [[]]):
+        if held or not n_blocks:  # without items the one empty block still counts words
+            index = sc.broadcast(Block(held, width, occurrences(docs, [w for _, w in held]) if held else {}))
+            df = df.mapInArrow(_search(index), schema)
+            n_blocks += 1
     pairs = F.expr("transform(sequence(1, cast(size(runs) / 2 as int), 1), i -> struct(runs[2 * i - 2] as first, runs[2 * i - 1] as end))")
     hits = F.when(F.size("runs") > 0, pairs).otherwise(F.expr("cast(array() as array<struct<first: long, end: long>>)"))
     return df.select("doc_id", "text", "n_words", hits.alias("hits"), F.array_sort("item_ids").alias("item_ids")).withColumn("n_hit", F.expr("aggregate(hits, cast(0 as long), (n, x) -> n + x.end - x.first)"))
