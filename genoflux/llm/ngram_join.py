@@ -15,6 +15,10 @@ Two linked sets always share a signature: take the one whose prefix ends first;
 other's prefix too. The classes decide speed only, never results, so they may come from hashed counts: frequency counts
 cover all tokens of all documents, and are kept as two bit tables of fixed size which every task reads.
 
+Two sets that meet under a combination have no rare token in common, or they would meet under that one as well; so a posting
+carries `most`, the tokens its set can have in common with a partner under that signature, and pairs that this bound (and the
+length bound) rules out are not made.
+
 Verification is exact on the hashed sets. Copies are not expanded to all pairs: under each signature every set is first
 compared with the most central one (fewest rare tokens); after components of these links are known, only pairs under one
 signature that are still in different components are compared. No candidate is dropped at any step.
@@ -175,22 +179,24 @@ def _test(table: np.ndarray, group: np.ndarray, key: np.ndarray, size: int) -> n
     return (table[group * size + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
 
-def signatures(tokens: np.ndarray, kind: np.ndarray, t: Fraction) -> tuple[np.ndarray, int]:
-    """Signatures of a set of sorted tokens with their classes, and how many tokens are not frequent."""
+def signatures(tokens: np.ndarray, kind: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set of sorted tokens with their classes, and for each how many of the tokens a partner under it can
+    have: for a single token all but those of class 0, for a combination the frequent ones."""
     n = len(tokens)
     miss, wide = math.floor(n * (1 - t)), math.floor(n * (2 - 2 * t))
     alone, rare = int((kind == 0).sum()), tokens[kind == 1]
     r = alone + len(rare)
     if r > miss:
-        return rare[: max(0, miss + 1 - alone)], r
+        rare = rare[: max(0, miss + 1 - alone)]
+        return rare, np.full(len(rare), n - alone, np.int32)
     frequent = tokens[kind == 2][: wide - 2 * r + 2]
     with np.errstate(over="ignore"):
         pairs = mix(frequent[:-1] * np.uint64(0xBF58476D1CE4E5B9) + frequent[1:] + _SET)
-    return np.concatenate([rare, pairs]), r
+    return np.concatenate([rare, pairs]), np.repeat(np.array([n - alone, n - r], np.int32), [len(rare), len(pairs)])
 
 
 def postings(docs: DataFrame, k: int, t: Fraction, n_ranges: int, sizes: tuple[int, int], tables) -> DataFrame:
-    """sig, node, n, r: the signatures of every set; of copies in one batch, one."""
+    """sig, node, n, most: the signatures of every set; of copies in one batch, one."""
     shared_size, frequent_size = sizes
 
     def run(batches):
@@ -198,7 +204,7 @@ def postings(docs: DataFrame, k: int, t: Fraction, n_ranges: int, sizes: tuple[i
 
         shared, frequent = tables.value
         for batch in batches:
-            sigs, who, size, r_of, seen = [], [], [], [], set()
+            sigs, who, size, most, seen = [], [], [], [], set()
             for _, tokens in token_sets(batch.column(0), k):
                 if not len(tokens) or (s := int(set_hash(tokens))) in seen:
                     continue
@@ -206,17 +212,17 @@ def postings(docs: DataFrame, k: int, t: Fraction, n_ranges: int, sizes: tuple[i
                 group, key = _place(tokens, n_ranges)
                 kind = _test(shared, group, key, shared_size).astype(np.int8)
                 kind += kind * _test(frequent, group, key, frequent_size)
-                sig, r = signatures(tokens, kind, t)
+                sig, shareable = signatures(tokens, kind, t)
                 if len(sig):
                     sigs.append(sig)
                     who.append(s)
                     size.append(len(tokens))
-                    r_of.append(r)
+                    most.append(shareable)
             if sigs:
                 reps = [len(x) for x in sigs]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(who, np.uint64).view(np.int64), reps)), pa.array(np.repeat(np.array(size, np.int32), reps)), pa.array(np.repeat(np.array(r_of, np.int32), reps))], ["sig", "node", "n", "r"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(who, np.uint64).view(np.int64), reps)), pa.array(np.repeat(np.array(size, np.int32), reps)), pa.array(np.concatenate(most))], ["sig", "node", "n", "most"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "sig long, node long, n int, r int")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "sig long, node long, n int, most int")
 
 
 def _sets_of(docs: DataFrame, k: int, wanted: DataFrame, scratch: Scratch) -> DataFrame:
@@ -284,9 +290,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     return held.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def _fits(n, m, t: Fraction):
-    """Sets of n and m tokens can reach the threshold."""
-    return (n * t.denominator >= m * t.numerator) & (m * t.denominator >= n * t.numerator)
+def _fits(n: str, m: str, most_n: str, most_m: str, t: Fraction):
+    """Sets of n and m tokens of which so many can be in common can reach the threshold."""
+    n, m, most = F.col(n).cast("long"), F.col(m).cast("long"), F.least(most_n, most_m).cast("long")
+    return most * (t.numerator + t.denominator) >= (n + m) * t.numerator
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: float | str = "0.8") -> DataFrame:
@@ -309,14 +316,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: float | str = "0.
         return rows.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
 
     sent = postings(docs, k, t, n_ranges, sizes, tables)
-    central = F.struct(F.col("r").alias("r"), F.col("node").alias("node"), F.col("n").alias("n"))
-    lead = sent.groupBy("sig").agg(F.min(central).alias("lead"), F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("sig", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"))
-    shared = scratch.write(sent.join(lead, "sig").select("sig", "node", "n", "lead", "lead_n").distinct())
+    central = F.struct((F.col("n") - F.col("most")).alias("rare"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("most").alias("most"))
+    lead = sent.groupBy("sig").agg(F.min(central).alias("lead"), F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("sig", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.most").alias("lead_most"))
+    shared = scratch.write(sent.join(lead, "sig").select("sig", "node", "n", "most", "lead", "lead_n", "lead_most").distinct())
 
     def as_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
         return df.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
 
-    near = shared.where((F.col("node") != F.col("lead")) & _fits(F.col("n"), F.col("lead_n"), t))
+    near = shared.where((F.col("node") != F.col("lead")) & _fits("n", "lead_n", "most", "lead_most", t))
     pairs = scratch.write(as_pairs(near, "node", "lead"))
     wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("doc_id", "node").where("doc_id is not null")
     sets = _sets_of(docs, k, scratch.write(wanted), scratch)
@@ -327,11 +334,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: float | str = "0.
         return df.join(root.select(F.col("node").alias(by), "root"), by, "left").withColumn("root", F.coalesce("root", by))
 
     # what stars have not settled: pairs under one signature that are still in different components
-    left = rooted(shared.select("sig", "node", "n"))
+    left = rooted(shared.select("sig", "node", "n", "most"))
     mixed = left.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("sig")
     left = scratch.write(left.join(mixed, "sig", "left_semi"))
-    other = left.select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    cross = left.join(other, "sig").where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & _fits(F.col("n"), F.col("n2"), t))
+    other = left.select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("most").alias("most2"), F.col("root").alias("root2"))
+    cross = left.join(other, "sig").where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & _fits("n", "n2", "most", "most2", t))
     rest = scratch.write(as_pairs(cross, "node", "node2").join(pairs, ["u", "v"], "left_anti"))
     more = scratch.write(_linked(rest, sets, t))
     if not more.isEmpty():
