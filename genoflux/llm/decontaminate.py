@@ -125,17 +125,17 @@ def _blocks(items: DataFrame, width: int, most: int):
         yield held
 
 
-def contaminated_words(docs: DataFrame, items: DataFrame, width: int = 10, block: int = BLOCK) -> DataFrame:
-    """One row for each row of `docs` (doc_id, text): doc_id, n_words, hits (array of [first word, end word) runs of hit words),
+def contaminated_words(docs: DataFrame, items: DataFrame, width: int = 10, block: int = BLOCK, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row for each row of `docs` (text and the columns to carry): those, text, n_words, hits (array of [first word, end word) runs of hit words),
     item_ids (array of string, sorted), n_hit.
 
     items: item_id, text. A null or empty text on either side has no words; items without words or id fit nothing; repeated
     items count once under their id; an empty item table hits nothing. Other columns are ignored.
     """
     sc = docs.sparkSession.sparkContext
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    df = df.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<long>)").alias("runs"), F.expr("cast(array() as array<string>)").alias("item_ids"))
-    schema = "doc_id long, text string, n_words long, runs array<long>, item_ids array<string>"
+    kept = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
+    df = docs.select(*kept, F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<long>)").alias("runs"), F.expr("cast(array() as array<string>)").alias("item_ids"))
+    schema = df.schema
     n_blocks = 0
     for held in chain(_blocks(items, width, block), [[]]):
         if held or not n_blocks:  # without items the one empty block still counts words
@@ -144,7 +144,7 @@ def contaminated_words(docs: DataFrame, items: DataFrame, width: int = 10, block
             n_blocks += 1
     pairs = F.expr("transform(sequence(1, cast(size(runs) / 2 as int), 1), i -> struct(runs[2 * i - 2] as first, runs[2 * i - 1] as end))")
     hits = F.when(F.size("runs") > 0, pairs).otherwise(F.expr("cast(array() as array<struct<first: long, end: long>>)"))
-    return df.select("doc_id", "text", "n_words", hits.alias("hits"), F.array_sort("item_ids").alias("item_ids")).withColumn("n_hit", F.expr("aggregate(hits, cast(0 as long), (n, x) -> n + x.end - x.first)"))
+    return df.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(carry)), "text", "n_words", hits.alias("hits"), F.array_sort("item_ids").alias("item_ids")).withColumn("n_hit", F.expr("aggregate(hits, cast(0 as long), (n, x) -> n + x.end - x.first)"))
 
 
 def _search(held):
@@ -153,9 +153,10 @@ def _search(held):
 
         block = held.value
         for b in batches:
-            runs, items = b.column(3).to_pylist(), b.column(4).to_pylist()
+            *kept, text, _, runs, items = b.columns
+            runs, items = runs.to_pylist(), items.to_pylist()
             n_words = np.zeros(len(b), np.int64)
-            for i, j, w in word_chunks(b.column(1), ALNUM_WORDS):
+            for i, j, w in word_chunks(text, ALNUM_WORDS):
                 n_words[i:j] = np.diff(w.first)
                 found = defaultdict(list)
                 for doc, a, e, x in block.find(w):
@@ -170,13 +171,14 @@ def _search(held):
                         else:
                             out += [a, e]
                     runs[row] = out
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_words), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "runs", "item_ids"])
+            yield pa.RecordBatch.from_arrays([*kept, text, pa.array(n_words), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], b.schema.names)
 
     return run
 
 
 def contamination_digest(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: `contaminated_words` in figures, a row for each row."""
-    df = contaminated_words(docs, items, width)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    df = contaminated_words(rows, items, width)
     digest = F.sha2(F.concat_ws(",", "item_ids"), 256)
     return df.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
