@@ -1,4 +1,805 @@
-"""All registered queries of the genomics operators, with their SQL."""
+"""All registered queries of the genomics operators, with their SQL. Names begin with the operators' ids."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import expressions as X
+from ..operators import estimators as E
+from ..operators import models as M
+from ..operators import pairs as P
+from ..operators import prevalence as V
+from ..operators import sites as S
+from ..operators import stats as K
+from ..sources import tables as T
+from .fixture import SEED, Fixture, base_no
+from .sql import sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(oracle: str | None = None):
+    """Registers a function of a Fixture under its name."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(Fixture(spark, sf_dir))
+
+        run.__doc__ = f.__doc__
+        QUERIES[f.__name__] = run
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["e11_binned_curve"](spark, sf_dir)
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+BLACKLIST = ["EUROPE"]
+_IDS = ["species", "sample_1", "sample_2"]
+
+
+def _checkpointed(fx: Fixture):
+    """df.checkpoint() in the shared folder; sets one of this machine where the session has none."""
+    import tempfile
+
+    sc = fx.spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(fx.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="genoflux-"))
+    return lambda df: df.checkpoint()
+
+
+def _written(fx: Fixture, df: DataFrame, write) -> str:
+    """Writes into a new folder of the shared place; returns its path."""
+    import tempfile
+    import uuid
+
+    base = fx.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='genoflux-')}"
+    path = f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    write(df.write, path)
+    return path
+
+
+# --- 2.1 sources and sinks -----------------------------------------------------------------------------------------
+
+
+@query(sql("SELECT species, contig, location, CASE WHEN h = 0 THEN 'even' ELSE 'odd' END AS half, n FROM (SELECT species, contig, location, sample_id % 2 AS h, count(*) AS n FROM calls GROUP BY ALL) t", "calls"))
+def s1_s2_unpivot_and_decode(fx):
+    """Wide site table with binary text columns -> long."""
+    c = fx.calls()
+    wide = c.groupBy(F.encode("species", "UTF-8").alias("species"), "contig", "location").agg(F.count_if(F.col("sample_id") % 2 == 0).alias("even"), F.count_if(F.col("sample_id") % 2 == 1).alias("odd"))
+    return T.unpivoted(T.decoded(wide), ["species", "contig", "location"], "half", "n").where("n > 0")
+
+
+@query(sql("SELECT species, contig, location, ref_base, major, alt FROM alleles WHERE site_class <> 'multi'", "alleles"))
+def s3_s12_biallelic_cache(fx):
+    """Biallelic sites written by species, read back; species that are done are not made again."""
+    a = fx.alleles().where("site_class != 'multi'").select(*S.SITE, "ref_base", "major", "alt")
+    path = _written(fx, a.where("species < 'B'"), lambda w, p: w.partitionBy("species").parquet(p))
+    done = fx.spark.read.schema(a.schema).parquet(path)
+    rest = T.unfinished(a, done)
+    return done.select(*a.columns).unionByName(rest)
+
+
+_CORE = "core_diff, core_len, core_len_4d, core_len_1d, core_diff_4d, core_diff_1d"
+
+
+def _csv_pairs(fx):
+    """Close and clonal pair files of the fixture: pairs with and without a recombined site."""
+    s = fx.summary().withColumnsRenamed({"species": "species_name"}).withColumns({c: F.col(c).cast("string") for c in ("sample_1", "sample_2")})
+    from ..sources import schemas
+
+    names = lambda schema: [x.strip().split(" ")[0] for x in schema.split(",")]
+    recombined = F.col("recomb_len_1d") + F.col("recomb_len_4d") > 0
+    close, clonal = s.where(recombined).select(*names(schemas.CLOSE)), s.where(~recombined).select(*names(schemas.CLONAL))
+    write = lambda w, p: w.option("header", True).csv(p)
+    return T.read_pairs(fx.spark, _written(fx, close, write), schemas.CLOSE), T.read_pairs(fx.spark, _written(fx, clonal, write), schemas.CLONAL)
+
+
+@query(sql("""SELECT species AS species_name, CAST(sample_1 AS VARCHAR) AS sample_1, CAST(sample_2 AS VARCHAR) AS sample_2, core_len, core_diff, clonal_len_1d, clonal_diff_1d, clonal_len_4d, clonal_diff_4d,
+    CASE WHEN recomb_len_1d + recomb_len_4d > 0 THEN recomb_len_4d END AS recomb_len_4d, CASE WHEN recomb_len_1d + recomb_len_4d > 0 THEN 'close' ELSE 'clonal' END AS pair_class
+    FROM summary WHERE species <> 'EUROPE'""", "summary"))
+def s5_u2_p1_all_pairs(fx):
+    """Close and clonal CSV files, concatenated with nulls, without the blacklist."""
+    close, clonal = _csv_pairs(fx)
+    return T.all_pairs(close, clonal, BLACKLIST).select("species_name", "sample_1", "sample_2", "core_len", "core_diff", "clonal_len_1d", "clonal_diff_1d", "clonal_len_4d", "clonal_diff_4d", "recomb_len_4d", "pair_class")
+
+
+@query(sql("""SELECT CAST(clonal_mut_n AS DOUBLE) AS kn, CAST(clonal_n AS DOUBLE) AS ln, CAST(clonal_mut_m AS DOUBLE) AS km, CAST(clonal_m AS DOUBLE) AS lm, CAST(clonal_diff_4d AS DOUBLE) AS ks, CAST(clonal_len_4d AS DOUBLE) AS ls FROM summary WHERE species <> 'EUROPE'""", "summary"))
+def s7_p5_rate_table(fx):
+    """Close and clonal pairs with standard columns as doubles, ids dropped."""
+    close, clonal = _csv_pairs(fx)
+    both = T.all_pairs(close, clonal, BLACKLIST)
+    return both.select(*(F.col(a).cast("double").alias(b) for a, b in (("clonal_mut_n", "kn"), ("clonal_n", "ln"), ("clonal_mut_m", "km"), ("clonal_m", "lm"), ("clonal_diff_4d", "ks"), ("clonal_len_4d", "ls"))))
+
+
+@query(sql("SELECT species AS species_name, CAST(sample_1 AS VARCHAR) AS sample_1, CAST(sample_2 AS VARCHAR) AS sample_2, core_len, core_diff, core_n, core_m, core_nn, core_mut_n, core_mut_m, core_mut_nn FROM summary WHERE species <> 'EUROPE'", "summary"))
+def s6_typical_pairs(fx):
+    from ..sources import schemas
+
+    s = fx.summary().withColumnRenamed("species", "species_name").withColumns({c: F.col(c).cast("string") for c in ("sample_1", "sample_2")})
+    t = s.select(*[x.strip().split(" ")[0] for x in schemas.TYPICAL.split(",")])
+    read = T.read_pairs(fx.spark, _written(fx, t, lambda w, p: w.option("header", True).csv(p)), schemas.TYPICAL)
+    return T.listed(read, BLACKLIST).select("species_name", "sample_1", "sample_2", "core_len", "core_diff", "core_n", "core_m", "core_nn", "core_mut_n", "core_mut_m", "core_mut_nn")
+
+
+@query(sql("SELECT CAST(sample_1 AS VARCHAR) AS sample_1, CAST(sample_2 AS VARCHAR) AS sample_2, start_pos AS core_start, end_pos AS core_end FROM transfers", "transfers"))
+def s4_transfers(fx):
+    from ..sources import schemas
+
+    t = fx.transfers().select(F.col("species").alias("species_name"), F.col("sample_1").cast("string"), F.col("sample_2").cast("string"), F.lit("no").alias("between_clade"), F.col("start_pos").alias("core_start"), F.col("end_pos").alias("core_end"), F.lit(None).cast("string").alias("ref_contig"), F.lit(None).cast("long").alias("ref_start"), F.lit(None).cast("long").alias("ref_end"), F.lit(0.5).alias("clonal_fraction"), F.lit(0.1).alias("clonal_divergence"))
+    path = _written(fx, t, lambda w, p: w.option("header", True).csv(p))
+    return fx.spark.read.schema(schemas.TRANSFERS).option("header", True).csv(path).select("sample_1", "sample_2", "core_start", "core_end")
+
+
+@query(sql("SELECT CAST(sample_id AS VARCHAR) AS sample_id, clade FROM clades", "clades"))
+def s8_clades(fx):
+    """Headerless TSV."""
+    c = fx.clades().select(F.col("sample_id").cast("string"), "clade")
+    return T.read_clades(fx.spark, _written(fx, c, lambda w, p: w.option("sep", "\t").csv(p)))
+
+
+@query(sql("SELECT DISTINCT p_brand AS contig, count(*) AS n, CASE WHEN p_brand < 'Brand#3' THEN '+' ELSE '-' END AS strand FROM part GROUP BY p_brand"))
+def s10_genes(fx):
+    """Gene TSV, gzipped, with fixed names."""
+    p = fx.table("part").groupBy(F.col("p_brand").alias("contig")).agg(F.count("*").alias("n"))
+    g = p.select(F.concat(F.lit("g"), "contig").alias("gene_id"), "contig", F.lit(1).alias("start"), F.col("n").alias("end"), F.when(F.col("contig") < "Brand#3", "+").otherwise("-").alias("strand"), F.lit("CDS").alias("type"), F.lit("").alias("info"))
+    read = T.read_genes(fx.spark, _written(fx, g, lambda w, p: w.option("sep", "\t").option("compression", "gzip").csv(p)))
+    return read.select("contig", F.col("end").alias("n"), "strand")
+
+
+@query(sql("SELECT sample_a, sample_b, round(frac, 6) AS frac FROM similarity WHERE species = 'ASIA'", "similarity"))
+def s9_similarity_matrix(fx):
+    """Headerless matrix of one species -> labelled pairs."""
+    s = fx.similarity().where("species = 'ASIA'")
+    index = s.select(F.col("sample_a").alias("sample_id")).distinct().withColumn("position", (F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("sample_id")) - 1))
+    full = index.select(F.col("sample_id").alias("sample_a"), F.col("position").alias("i")).crossJoin(index.select(F.col("sample_id").alias("sample_b"), F.col("position").alias("j"))).join(s, ["sample_a", "sample_b"], "left")
+    rows = full.groupBy("i").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("j", F.coalesce(F.col("frac").cast("string"), F.lit("")).alias("v")))), lambda x: x["v"]), ",").alias("value"))
+    path = _written(fx, rows.orderBy("i").coalesce(1).select("value"), lambda w, p: w.text(p))
+    return T.read_matrix(fx.spark, path, index).where("frac is not null").select("sample_a", "sample_b", r6(F.col("frac")).alias("frac"))
+
+
+@query(sql("SELECT species, sample_1, sample_2 FROM pairs", "pairs"))
+def s11_named_pairs(fx):
+    """Sample positions -> sample ids."""
+    from pyspark.sql import Window
+
+    index = fx.samples().withColumn("position", F.row_number().over(Window.partitionBy("species").orderBy("sample_id")) - 1)
+    a, b = (index.select("species", F.col("sample_id").alias(s), F.col("position").alias(p)) for s, p in (("sample_1", "i"), ("sample_2", "j")))
+    return T.named_pairs(fx.pairs().join(a, ["species", "sample_1"]).join(b, ["species", "sample_2"]).select("species", "i", "j"), index)
+
+
+@query("SELECT DISTINCT r_name AS species FROM region")
+def s13_species(fx):
+    """Species from the names of their files."""
+    path = _written(fx, fx.table("region").select("r_name", F.col("r_name").alias("species")), lambda w, p: w.partitionBy("species").csv(p))
+    return fx.spark.read.option("header", False).csv(path).select("species").distinct()
+
+
+# --- 2.2 filters -----------------------------------------------------------------------------------------------------
+
+
+@query(sql("SELECT species, sample_1, sample_2, core_len FROM summary WHERE species <> 'ASIA' AND recomb_len_1d + recomb_len_4d = 0 AND core_diff_4d <> 0 AND sample_1 IN (SELECT sample_id FROM clades WHERE clade = 'major')", "summary", "clades"))
+def p2_p3_p4_p8_p10_filters(fx):
+    """Outlier species, clonal pairs, zero denominators, first sample in the major clade."""
+    s = fx.summary().where("species != 'ASIA'").where("recomb_len_1d + recomb_len_4d = 0").where("core_diff_4d != 0")
+    return s.join(fx.clades().where("clade = 'major'").select(F.col("sample_id").alias("sample_1")), "sample_1", "left_semi").select(*_IDS, "core_len")
+
+
+@query(sql("SELECT species, sample_1, sample_2, round(CASE WHEN recomb_len_4d > 0 THEN recomb_diff_4d / recomb_len_4d END, 6) AS rate FROM summary WHERE recomb_len_4d > 0 AND recomb_diff_4d > 0", "summary"))
+def p9_p11_p12_safe_division(fx):
+    s = fx.summary().withColumn("rate", X.ratio("recomb_diff_4d", "recomb_len_4d"))
+    return s.where(X.finite_positive("rate")).select(*_IDS, r6(F.col("rate")).alias("rate"))
+
+
+# --- 2.3 sites -------------------------------------------------------------------------------------------------------
+
+
+@query(sql("SELECT species, contig, location, sample_id, CASE WHEN c.q IS NULL THEN NULL WHEN allele <> ref_base THEN allele ELSE ref_base END AS allele FROM calls, (SELECT 1 AS q) c WHERE true", "calls"))
+def a1_masked_alleles(fx):
+    c = fx.calls()
+    return c.select(*S.SITE, "sample_id", S.masked_allele(F.col("ref_base"), F.col("allele"), F.col("allele") != F.col("ref_base"), F.lit(True)).alias("allele"))
+
+
+@query(sql("SELECT species, contig, location, ref_base, n_alleles, site_class, major, alt FROM alleles", "alleles"))
+def a2_a3_a4_a5_site_alleles(fx):
+    return fx.alleles()
+
+
+@query(sql("SELECT species, contig, location, sample_id, CAST(genotype AS TINYINT) AS genotype FROM genotypes", "genotypes"))
+def a6_genotypes(fx):
+    return fx.genotypes()
+
+
+@query(sql("SELECT species, contig, location FROM alleles WHERE site_class = 'multi'", "alleles"))
+def a7_multi_sites(fx):
+    return S.recovered_multi_sites(fx.calls(), fx.alleles().where("site_class != 'multi'"))
+
+
+@query(sql("SELECT c.species, c.contig, c.location, sample_id FROM calls c JOIN alleles a ON (c.species, c.contig, c.location) = (a.species, a.contig, a.location) WHERE site_class <> 'multi'", "calls", "alleles"))
+def a8_masked_coverage(fx):
+    c = fx.calls()
+    return S.masked_coverage(c.select(*S.SITE, "sample_id"), S.recovered_multi_sites(c, fx.alleles().where("site_class != 'multi'")))
+
+
+@query(sql("SELECT * FROM sites", "sites"))
+def a9_a13_core_positions(fx):
+    return fx.sites()
+
+
+@query(sql("""SELECT r_name AS species, s.contig, s.location, coalesce(CASE WHEN site_class <> 'multi' THEN major END, substr('ACGT', CAST(s.location % 4 + 1 AS INT), 1)) AS base, true AS agrees
+    FROM sites s CROSS JOIN region LEFT JOIN alleles a ON a.species = r_name AND a.contig = s.contig AND a.location = s.location""", "sites", "alleles"))
+def a10_polarized_reference(fx):
+    bases = fx.sites().crossJoin(F.broadcast(fx.table("region").select(F.col("r_name").alias("species")))).select("species", "contig", "location", base_no(F.col("location")).alias("base"))
+    return S.polarized(bases, fx.alleles())
+
+
+@query()
+def a11_codon_annotation(fx):
+    """Each contig read as one gene; bases from locations by rank. Tested by hand-made genes."""
+    s = fx.sites()
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("contig").orderBy("location")).cast("long")
+    bases = s.select("contig", rank.alias("location"), base_no(F.col("location") * 7 + 3).alias("base"))
+    g = bases.groupBy("contig").agg(F.max("location").alias("end")).select(F.concat(F.lit("g"), "contig").alias("gene_id"), "contig", F.lit(1).cast("long").alias("start"), "end", F.when(F.col("contig") < "Brand#3", "+").otherwise("-").alias("strand"))
+    return S.annotated_genes(g, bases).select("contig", "location", "site_type", "s", "n", "m", "nn")
+
+
+@query(sql("SELECT contig, location, s, n, m, nn FROM opps", "opps"))
+def a12_opportunities(fx):
+    return S.opportunities(fx.mutations())
+
+
+@query(sql("SELECT * FROM snvtypes", "snvtypes"))
+def a14_j8_snv_types(fx):
+    return S.snv_types(fx.alleles(), fx.mutations())
+
+
+# --- 2.4 joins and pair selection --------------------------------------------------------------------------------------
+
+
+@query(sql("SELECT species, sample_1, sample_2, count(*) AS covered, count(*) FILTER (differ) AS differing FROM psites GROUP BY ALL", "psites"))
+def j1_j2_pair_differences(fx):
+    return fx.pair_sites().groupBy(*_IDS).agg(F.count("*").alias("covered"), F.count_if("differ").alias("differing"))
+
+
+@query(sql("SELECT species, sample_1, sample_2, core_pos FROM annotated WHERE inside", "annotated"))
+def j3_core_segments(fx):
+    x = fx.pair_sites().join(F.broadcast(fx.sites()), ["contig", "location"])
+    return P.in_segments(x, fx.transfers()).where("inside").select(*_IDS, "core_pos")
+
+
+@query(sql("""SELECT DISTINCT p.species, p.sample_1, p.sample_2, p.contig, p.location FROM psites p JOIN sites USING (contig, location)
+    JOIN (SELECT t.species, t.sample_1, t.sample_2, a.contig, a.location AS lo, a.location + 300 AS hi FROM transfers t JOIN sites a ON a.core_pos = t.start_pos) x
+    ON x.species = p.species AND x.sample_1 = p.sample_1 AND x.sample_2 = p.sample_2 AND x.contig = p.contig AND p.location BETWEEN x.lo AND x.hi""", "psites", "sites", "transfers"))
+def j4_g9_reference_segments(fx):
+    """Segments on (contig, location), closed on both sides."""
+    seg = fx.transfers().join(F.broadcast(fx.sites().select(F.col("core_pos").alias("start_pos"), "contig", F.col("location").alias("ref_start"))), "start_pos").withColumn("ref_end", F.col("ref_start") + 300)
+    return P.in_reference_segments(fx.pair_sites(), seg).where("inside").select(*_IDS, "contig", "location")
+
+
+@query(sql("SELECT species, sample_1, sample_2 FROM pairs EXCEPT SELECT species, sample_1, sample_2 FROM transfers", "pairs", "transfers"))
+def j5_u4_clonal_pairs(fx):
+    flipped = fx.transfers().select("species", F.col("sample_2").alias("sample_1"), F.col("sample_1").alias("sample_2"))
+    return P.clonal_pairs(fx.pairs(), flipped)
+
+
+@query(sql("SELECT p.species, p.sample_1, p.sample_2, round(avg(end_pos - start_pos), 6) AS mean_len FROM pairs p LEFT JOIN transfers t ON p.species = t.species AND p.sample_1 = t.sample_1 AND p.sample_2 = t.sample_2 GROUP BY ALL", "pairs", "transfers"))
+def j6_segment_means(fx):
+    m = fx.transfers().groupBy(*_IDS).agg(F.avg(F.col("end_pos") - F.col("start_pos")).alias("m"))
+    return fx.pairs().join(m, _IDS, "left").select(*_IDS, r6(F.col("m")).alias("mean_len"))
+
+
+@query(sql("SELECT t.species, t.sample_1, t.sample_2, s.core_len, count(*) AS n FROM summary s RIGHT JOIN transfers t ON s.species = t.species AND s.sample_1 = t.sample_1 AND s.sample_2 = t.sample_2 GROUP BY ALL", "summary", "transfers"))
+def j7_right_join(fx):
+    n = fx.transfers().groupBy(*_IDS).agg(F.count("*").alias("n"))
+    return fx.summary().select(*_IDS, "core_len").join(n, _IDS, "right")
+
+
+@query(sql("SELECT p.species, p.sample_1, p.sample_2, round(frac, 6) AS frac FROM pairs p JOIN similarity s ON s.species = p.species AND s.sample_a = p.sample_1 AND s.sample_b = p.sample_2", "pairs", "similarity"))
+def j10_pair_similarity(fx):
+    return P.with_similarity(fx.pairs(), fx.similarity()).withColumn("frac", r6(F.col("frac")))
+
+
+@query(sql("SELECT species, bool_or(frac <= 0.05) AS any_recombined FROM similarity GROUP BY species", "similarity"))
+def j11_any_recombined(fx):
+    return P.any_recombined(fx.similarity(), 0.05)
+
+
+_RANKED = "SELECT species, sample_a AS sample_1, sample_b AS sample_2, row_number() OVER (PARTITION BY species ORDER BY md5(concat_ws('|', '42', species, sample_a, sample_b)), sample_a, sample_b) AS rank FROM similarity WHERE sample_a < sample_b {} QUALIFY rank <= {}"
+
+
+@query(sql(_RANKED.format("", 3), "similarity"))
+def j12_random_pairs(fx):
+    return P.sampled_pairs(fx.similarity(), 3, SEED)
+
+
+@query(sql(_RANKED.format("AND frac <= 0.2", 20), "similarity"))
+def j13_recombined_pairs(fx):
+    return P.sampled_pairs(fx.similarity(), 20, SEED, 0.2)
+
+
+@query()
+def j14_deduplicated_pairs(fx):
+    """Greedy; tested against a loop."""
+    return P.deduplicated_pairs(fx.pairs(), fx.similarity(), 0.2, _checkpointed(fx))
+
+
+def _grown(fx):
+    first = fx.pairs().groupBy("species").agg(F.min("sample_1").alias("sample_id"))
+    return P.unrelated_samples(fx.samples(), fx.similarity(), first, 0.5, _checkpointed(fx))
+
+
+@query()
+def j15_unrelated_samples(fx):
+    """Greedy; tested against a loop."""
+    return _grown(fx)
+
+
+@query(sql("SELECT species, sample_a, sample_b, round(frac, 6) AS frac FROM similarity WHERE sample_a IN (SELECT sample_id FROM clades WHERE clade = 'minor') AND sample_b IN (SELECT sample_id FROM clades WHERE clade = 'minor')", "similarity", "clades"))
+def j16_submatrix(fx):
+    c = fx.clades().where("clade = 'minor'")
+    s = fx.similarity().join(c.select(F.col("sample_id").alias("sample_a")), "sample_a", "left_semi").join(c.select(F.col("sample_id").alias("sample_b")), "sample_b", "left_semi")
+    return s.select("species", "sample_a", "sample_b", r6(F.col("frac")).alias("frac"))
+
+
+# --- 2.5 pair summaries -------------------------------------------------------------------------------------------------
+
+
+@query(sql("SELECT * FROM summary", "summary"))
+def g1_to_g8_pair_summary(fx):
+    """Plain path: one row a pair and site."""
+    return fx.summary()
+
+
+@query(sql("SELECT * FROM summary", "summary"))
+def x1_x2_block_summary(fx):
+    """64-site masks."""
+    return fx.block_summary()
+
+
+@query(sql("SELECT species, count(*) AS n_pairs, count(DISTINCT sample_1) AS n_first, round(median(core_diff), 6) AS median_diff, round(sum(clonal_m) / sum(clonal_n), 6) AS m_by_n FROM summary GROUP BY species HAVING count(*) >= 2", "summary"))
+def g10_g11_g12_g14_species_counts(fx):
+    g = fx.block_summary().groupBy("species").agg(F.count("*").alias("n_pairs"), F.count_distinct("sample_1").alias("n_first"), r6(F.median("core_diff")).alias("median_diff"), r6(F.sum("clonal_m") / F.sum("clonal_n")).alias("m_by_n"))
+    return g.where("n_pairs >= 2")
+
+
+@query(sql("SELECT DISTINCT species, sample_1, sample_2 FROM transfers", "transfers"))
+def g15_u1_u3_transfer_pairs(fx):
+    t = fx.transfers().select(*_IDS)
+    return t.unionByName(t).dropDuplicates()
+
+
+# --- 2.6 estimators ------------------------------------------------------------------------------------------------------
+
+
+_NAIVE = ", ".join(f"round(CASE WHEN {p}_len_4d > 0 THEN {p}_diff_4d / {p}_len_4d END, 6) AS {p}_ds, round(CASE WHEN {p}_len_1d > 0 THEN {p}_diff_1d / {p}_len_1d END, 6) AS {p}_dn, round(CASE WHEN {p}_diff_4d > 0 AND {p}_len_4d > 0 AND {p}_len_1d > 0 THEN ({p}_diff_1d / {p}_len_1d) / ({p}_diff_4d / {p}_len_4d) END, 6) AS {p}_dnds" for p in ("core", "recomb", "clonal"))
+
+
+@query(sql(f"SELECT species, sample_1, sample_2, {_NAIVE} FROM summary", "summary"))
+def e1_naive_divergence(fx):
+    cols = [f"{p}_{x}" for p in ("core", "recomb", "clonal") for x in ("ds", "dn", "dnds")]
+    return E.naive(fx.block_summary()).select(*_IDS, *(r6(F.col(c)).alias(c) for c in cols))
+
+
+@query(sql("SELECT species, sample_1, sample_2, ks, ks_a, round(CASE WHEN ls > 0 THEN ks_a / (ls / 2) END, 6) AS d1, round(CASE WHEN ls > 0 THEN (ks - ks_a) / (ls / 2) END, 6) AS d2 FROM thin WHERE mut_class = 'all'", "thin"))
+def e2_poisson_thinning(fx):
+    key = (F.lit(SEED), "species", "sample_1", "sample_2")
+    d1, d2 = E.halves("clonal_diff_4d", "clonal_len_4d", *key)
+    return fx.block_summary().select(*_IDS, F.col("clonal_diff_4d").alias("ks"), X.thinned_half("clonal_diff_4d", *key).alias("ks_a"), r6(d1).alias("d1"), r6(d2).alias("d2"))
+
+
+_THIRD = "CAST(len(list_filter(range(1, clonal_diff_4d + 1), lambda i: ('0x' || substr(md5(concat_ws('|', '7', species, sample_1, sample_2, i)), 1, 8))::BIGINT < 1288490188)) AS BIGINT)"
+
+
+@query(sql(f"SELECT species, sample_1, sample_2, {_THIRD} AS ks_a, clonal_diff_4d - {_THIRD} AS ks_b FROM summary", "summary"))
+def e3_general_thinning(fx):
+    s = fx.block_summary().select(*_IDS, F.col("clonal_diff_4d").alias("ks"), F.col("clonal_len_4d").cast("double").alias("ls"))
+    return E.thin_counts(s, 0.3, F.lit(7), "species", "sample_1", "sample_2").select(*_IDS, "ks_a", "ks_b")
+
+
+def _thin(fx):
+    return E.thin_counts(E.by_class(fx.block_summary()), 0.5, F.lit(SEED), "species", "sample_1", "sample_2")
+
+
+def _binned(fx):
+    t = _thin(fx)
+    e = t.agg(E.log_edges("ds_a", 6).alias("e"))
+    return t.crossJoin(F.broadcast(e)).withColumn("bin", E.bin_of("ds_a", "e"))
+
+
+@query(sql("SELECT species, sample_1, sample_2, mut_class, kn, round(ln, 6) AS ln, ks_a, round(ds_a, 6) AS ds_a, round(CASE WHEN ln > 0 AND ds_b > 0 THEN (kn / ln) / ds_b END, 6) AS ratio FROM thin", "thin"))
+def e4_e5_e6_ratios_by_class(fx):
+    return _thin(fx).select(*_IDS, "mut_class", "kn", r6(F.col("ln")).alias("ln"), "ks_a", r6(F.col("ds_a")).alias("ds_a"), r6(X.ratio(X.ratio("kn", "ln"), "ds_b")).alias("ratio"))
+
+
+@query(sql("SELECT list_transform(e, lambda v: round(v, 6)) AS e FROM edges", "edges").replace("SELECT list_transform(e, lambda v: round(v, 6)) AS e FROM edges", "SELECT i AS edge, round(e[i + 1], 6) AS value FROM edges, (SELECT unnest(range(0, 7)) AS i)"))
+def e7_log_edges(fx):
+    e = _thin(fx).agg(E.log_edges("ds_a", 6).alias("e"))
+    return e.select(F.posexplode("e").alias("edge", "value")).select(F.col("edge").cast("long").alias("edge"), r6(F.col("value")).alias("value"))
+
+
+@query(sql("SELECT edge, round(value, 6) AS value FROM (SELECT unnest(range(0, 5)) AS edge, unnest(quantile_cont(ds_a, [0.0, 0.25, 0.5, 0.75, 1.0]) FILTER (ds_a > 0)) AS value FROM thin WHERE mut_class = 'all')", "thin"))
+def e8_quantile_edges(fx):
+    e = _thin(fx).where("mut_class = 'all'").agg(E.quantile_edges("ds_a", 4).alias("e"))
+    return e.select(F.posexplode("e").alias("edge", "value")).select(F.col("edge").cast("long").alias("edge"), r6(F.col("value")).alias("value"))
+
+
+@query(sql("SELECT species, count(*) AS n, CAST(CASE WHEN count(*) < 12 THEN 0 ELSE least(greatest(count(*) // 10, 3), 15) END AS BIGINT) AS n_bins FROM pairs GROUP BY species", "pairs"))
+def e9_bin_count(fx):
+    return fx.pairs().groupBy("species").agg(F.count("*").alias("n")).withColumn("n_bins", E.auto_bin_count("n", 10, 3, 15, 4))
+
+
+@query(sql("SELECT species, sample_1, sample_2, bin FROM binned WHERE mut_class = 'all'", "binned"))
+def e10_bin_of_pair(fx):
+    return _binned(fx).where("mut_class = 'all'").select(*_IDS, "bin")
+
+
+_CURVE = "mut_class, bin, kn, ks_a, ks_b, n_pairs, round(ln, 6) AS ln, round(ds_x, 6) AS ds_x, round(r_hat, 6) AS r_hat"
+
+
+def _rounded(c: DataFrame, *keys: str) -> DataFrame:
+    return c.select(*keys, "kn", "ks_a", "ks_b", "n_pairs", *(r6(F.col(x)).alias(x) for x in ("ln", "ds_x", "r_hat")))
+
+
+@query(sql(f"SELECT {_CURVE} FROM curve", "curve"))
+def e11_binned_curve(fx):
+    return _rounded(E.pooled_bins(_binned(fx), ["mut_class"]), "mut_class", "bin")
+
+
+@query(sql("SELECT mut_class, bin, CAST(sum(kn) AS BIGINT) AS kn, CAST(sum(ks_a) AS BIGINT) AS ks_a, CAST(sum(ks_b) AS BIGINT) AS ks_b, count(*) AS n_pairs, round(sum(ln), 6) AS ln, round(sum(ks_a) / sum(ls_a), 6) AS ds_x, round((sum(kn) / sum(ln)) / (sum(ks_b) / sum(ls_b)), 6) AS r_hat FROM binned WHERE bin IS NOT NULL AND ln > 0 AND ls_b > 0 AND ks_b > 0 GROUP BY mut_class, bin HAVING count(*) >= 2", "binned"))
+def e12_p13_strict_curve(fx):
+    return _rounded(E.pooled_bins(_binned(fx), ["mut_class"], 2, strict=True), "mut_class", "bin")
+
+
+@query(sql("SELECT species, mut_class, CAST(sum(kn) AS BIGINT) AS kn, CAST(sum(ks_a) AS BIGINT) AS ks_a, CAST(sum(ks_b) AS BIGINT) AS ks_b, count(*) AS n_pairs, round(sum(ln), 6) AS ln, round(sum(ks_a) / sum(ls_a), 6) AS ds_x, round(CASE WHEN sum(ln) > 0 AND sum(ks_b) > 0 THEN (sum(kn) / sum(ln)) / (sum(ks_b) / sum(ls_b)) END, 6) AS r_hat FROM thin WHERE ds_a > 0 GROUP BY ALL", "thin"))
+def e13_e14_species_means(fx):
+    return _rounded(E.species_means(_thin(fx), ["species", "mut_class"]), "species", "mut_class")
+
+
+def _species_curves(fx):
+    t = _thin(fx)
+    e = t.groupBy("species").agg(E.log_edges("ds_a", 6).alias("e"))
+    b = t.join(e, "species").withColumn("bin", E.bin_of("ds_a", "e"))
+    return E.enough_bins(E.pooled_bins(b, ["species", "mut_class"]))
+
+
+@query(sql("""SELECT species, mut_class, bin, CAST(sum(kn) AS BIGINT) AS kn, CAST(sum(ks_a) AS BIGINT) AS ks_a, CAST(sum(ks_b) AS BIGINT) AS ks_b, count(*) AS n_pairs, round(sum(ln), 6) AS ln, round(sum(ks_a) / sum(ls_a), 6) AS ds_x,
+    round(CASE WHEN sum(ln) > 0 AND sum(ks_b) > 0 THEN (sum(kn) / sum(ln)) / (sum(ks_b) / sum(ls_b)) END, 6) AS r_hat
+    FROM (SELECT t.*, CASE WHEN ds_a >= e[1] AND ds_a <= e[-1] THEN CAST(greatest(len(list_filter(e, lambda v: v < ds_a)) - 1, 0) AS BIGINT) END AS bin FROM thin t JOIN (
+        SELECT species, list_append(list_transform(range(0, 6), lambda i: lo * pow(hi / lo, i / 6)), hi) AS e FROM (SELECT species, min(ds_a) FILTER (ds_a > 0) AS lo, max(ds_a) FILTER (ds_a > 0) AS hi FROM thin GROUP BY species)) USING (species))
+    WHERE bin IS NOT NULL GROUP BY species, mut_class, bin QUALIFY max(count(*)) OVER (PARTITION BY species) > 0 AND count(*) OVER (PARTITION BY species, mut_class) >= 3""", "thin"))
+def e15_e16_species_curves(fx):
+    return _rounded(_species_curves(fx), "species", "mut_class", "bin")
+
+
+@query(sql("SELECT species, sample_1, sample_2, round(1 - (clonal_len_1d + clonal_len_4d) / (core_len_1d + core_len_4d), 6) AS fr FROM summary WHERE core_len_1d + core_len_4d > 0", "summary"))
+def e17_recombined_fraction(fx):
+    s = fx.block_summary().where("core_len_1d + core_len_4d > 0")
+    return s.select(*_IDS, r6(1 - (F.col("clonal_len_1d") + F.col("clonal_len_4d")) / (F.col("core_len_1d") + F.col("core_len_4d"))).alias("fr"))
+
+
+# --- 2.7 rates, bootstrap, fits ---------------------------------------------------------------------------------------------
+
+
+@query(sql("SELECT species, round(CASE WHEN sum(core_diff_4d) > 0 AND min(core_len_4d) > 0 THEN ln(sum(core_diff_4d) / sum(core_len_4d)) END, 6) AS rate, round(CASE WHEN sum(core_diff_4d) > 0 AND min(core_len_4d) > 0 THEN 1 / sqrt(sum(core_diff_4d)) END, 6) AS se FROM summary GROUP BY species", "summary"))
+def r1_r4_species_rates(fx):
+    rate, se = E.poisson_rate("core_diff_4d", "core_len_4d")
+    return fx.block_summary().groupBy("species").agg(r6(rate).alias("rate"), r6(se).alias("se"))
+
+
+def _rates_sql(part: str) -> str:
+    lo, step = 1e-2, math.log(100) / 9
+    edges = "[" + ", ".join(repr(lo * math.exp(i * step)) for i in range(10)) + "]"
+    rate = lambda k, n: f"round(CASE WHEN sum({k}) > 0 AND min({n}) > 0 THEN ln(sum({k}) / sum({n})) * 0.4342944819032518 END, 6)"
+    se = lambda k, n: f"round(CASE WHEN sum({k}) > 0 AND min({n}) > 0 THEN 1 / sqrt(sum({k})) * 0.4342944819032518 END, 6)"
+    cols = ", ".join(f"{f(k, n)} AS {name}_{tail}" for name, k, n in (("syn", f"{part}_diff_4d", f"{part}_len_4d"), ("non", f"{part}_mut_n", f"({part}_n / 3)"), ("mis", f"{part}_mut_m", f"({part}_m / 3)")) for f, tail in ((rate, "rate"), (se, "se")))
+    return f"SELECT bin, count(*) AS n_pairs, {cols} FROM (SELECT *, {part}_diff_4d / {part}_len_4d AS x, {edges} AS e, CAST(len(list_filter({edges}, lambda v: v < {part}_diff_4d / {part}_len_4d)) - 1 AS BIGINT) AS bin FROM summary WHERE {part}_len_4d > 0) WHERE bin >= 0 AND bin < 9 AND x < e[bin + 2] GROUP BY bin HAVING count(*) >= 2"
+
+
+def _rates(fx, part):
+    s = fx.block_summary().where(f"{part}_len_4d > 0")
+    counts = {"syn": (f"{part}_diff_4d", f"{part}_len_4d"), "non": (f"{part}_mut_n", F.col(f"{part}_n") / 3), "mis": (f"{part}_mut_m", F.col(f"{part}_m") / 3)}
+    out = E.binned_rates(s, F.col(f"{part}_diff_4d") / F.col(f"{part}_len_4d"), counts, (1e-2, 1.0, 10))
+    return out.select("bin", "n_pairs", *(r6(F.col(f"{n}_{t}")).alias(f"{n}_{t}") for n in counts for t in ("rate", "se")))
+
+
+@query(sql(_rates_sql("clonal"), "summary"))
+def r2_clonal_rates(fx):
+    return _rates(fx, "clonal")
+
+
+@query(sql(_rates_sql("recomb"), "summary"))
+def r3_recombined_rates(fx):
+    return _rates(fx, "recomb")
+
+
+@query(sql("""SELECT round(avg(d), 6) AS mean_ratio, count(d) AS n FROM (SELECT ln((sum(core_mut_n) / sum(core_n / 3)) / (sum(core_mut_m) / sum(core_m / 3))) AS d FROM summary GROUP BY species HAVING sum(core_mut_n) > 0 AND sum(core_mut_m) > 0)""", "summary"))
+def r5_g13_nonsense_by_missense(fx):
+    g = fx.block_summary().groupBy("species").agg(*(F.sum(c).alias(c) for c in ("core_mut_n", "core_n", "core_mut_m", "core_m"))).where("core_mut_n > 0 and core_mut_m > 0")
+    d = F.log((F.col("core_mut_n") / (F.col("core_n") / 3)) / (F.col("core_mut_m") / (F.col("core_m") / 3)))
+    return g.agg(r6(F.avg(d)).alias("mean_ratio"), F.count(d).alias("n"))
+
+
+@query(sql("SELECT species, round(pow(10, x), 6) AS value, round(pow(10, x) - pow(10, x - 2 * e), 6) AS below, round(pow(10, x + 2 * e) - pow(10, x), 6) AS above FROM (SELECT species, log10(sum(core_diff_4d) / sum(core_len_4d)) AS x, 0.4342944819032518 / sqrt(sum(core_diff_4d)) AS e FROM summary GROUP BY species HAVING sum(core_diff_4d) > 0)", "summary"))
+def r6_linear_errors(fx):
+    g = fx.block_summary().groupBy("species").agg(F.sum("core_diff_4d").alias("k"), F.sum("core_len_4d").alias("n")).where("k > 0")
+    g = g.withColumn("e", X.linear_errors(F.log10(F.col("k") / F.col("n")), math.log10(math.e) / F.sqrt("k")))
+    return g.select("species", *(r6(F.col(f"e.{c}")).alias(c) for c in ("value", "below", "above")))
+
+
+REPS = 20
+
+
+def _bootstrap(fx, rethin: bool):
+    """R of each species and class over resampled pairs, re-thinned in each replicate or not."""
+    s = fx.block_summary()
+    draws = E.resampled(s, "species", ["sample_1", "sample_2"], REPS, 123)
+    c = E.by_class(draws.withColumn("sample_1", F.concat_ws("-", "sample_1", "sample_2")).withColumn("sample_2", F.col("draw").cast("string")) if rethin else draws)
+    key = (F.lit(SEED), "rep", "species", "sample_2") if rethin else (F.lit(SEED), "species", "sample_1", "sample_2")
+    t = E.thin_counts(c, 0.5, *key)
+    return E.pooled_bins(t.where("ds_a > 0").withColumn("bin", F.lit(0).cast("long")), ["species", "mut_class", "rep"])
+
+
+_DRAWS = """draws AS (SELECT species, rep, draw, (('0x' || substr(md5(concat_ws('|', '123', species, rep, draw)), 1, 8))::BIGINT * n) >> 32 AS row_id FROM (SELECT species, count(*) AS n FROM summary GROUP BY species), range(0, 20) r(rep), range(0, 2000) d(draw) WHERE draw < n),
+ num AS (SELECT *, row_number() OVER (PARTITION BY species ORDER BY sample_1, sample_2) - 1 AS row_id FROM summary)"""
+
+
+@query(sql("SELECT 1", "thin").replace("SELECT 1", "SELECT * FROM final") if False else sql("", "thin")[:-1] + f", {_DRAWS}, " + """b AS (SELECT d.rep, t.* FROM draws d JOIN num n ON n.species = d.species AND n.row_id = d.row_id JOIN thin t ON t.species = n.species AND t.sample_1 = n.sample_1 AND t.sample_2 = n.sample_2 WHERE ds_a > 0),
+ r AS (SELECT species, mut_class, rep, CASE WHEN sum(ln) > 0 AND sum(ks_b) > 0 THEN (sum(kn) / sum(ln)) / (sum(ks_b) / sum(ls_b)) END AS r_hat FROM b GROUP BY ALL)
+ SELECT species, mut_class, round(quantile_cont(r_hat, 0.5), 6) AS r_med, round(quantile_cont(r_hat, 0.025), 6) AS r_lo, round(quantile_cont(r_hat, 0.975), 6) AS r_hi FROM r GROUP BY ALL""")
+def b2_b3_bootstrap_intervals(fx):
+    """Pairs drawn anew, thinning kept."""
+    q = E.intervals(_bootstrap(fx, False), ["species", "mut_class"], "r_hat", log_scale=False)
+    return q.select("species", "mut_class", *(r6(F.col(c)).alias(c) for c in ("r_med", "r_lo", "r_hi")))
+
+
+@query()
+def b1_b4_j17_s15_rethinned_curves(fx):
+    """Pairs drawn and thinned anew; medians and intervals in log space beside the point estimate."""
+    q = E.intervals(_bootstrap(fx, True), ["species", "mut_class"], "r_hat", log_scale=True)
+    m = E.species_means(_thin(fx), ["species", "mut_class"]).select("species", "mut_class", "ds_x", "n_pairs")
+    return m.join(q, ["species", "mut_class"], "left").select("species", "mut_class", "n_pairs", *(r6(F.col(c)).alias(c) for c in ("ds_x", "r_med", "r_lo", "r_hi")))
+
+
+@query(sql("SELECT species, sample_1, sample_2, rep, CAST(len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402, 0.9999998885745217, 0.9999999899522336, 0.9999999991683892], lambda c: c <= ('0x' || substr(md5(concat_ws('|', '5', rep, species, sample_1, sample_2)), 1, 8))::BIGINT / 4294967296)) AS BIGINT) AS weight FROM pairs, range(0, 5) r(rep) WHERE weight > 0", "pairs").replace("r(rep) WHERE weight > 0", "r(rep)").replace("WITH ", "WITH ", 1))
+def b1_poisson_weights(fx):
+    """All (pair, replicate) weights, zeros included."""
+    p = fx.pairs()
+    w = E.poisson_weights(p, ["species", "sample_1", "sample_2"], 5, 5)
+    full = p.select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("rep"))
+    return full.join(w.select(*_IDS, "rep", "weight"), [*_IDS, "rep"], "left").withColumn("rep", F.col("rep").cast("long")).withColumn("weight", F.coalesce("weight", F.lit(0)).cast("long"))
+
+
+def _fit_curve(fx):
+    return E.usable(E.pooled_bins(_binned(fx), ["mut_class"]).where("kn > 0 and ks_b > 0"))
+
+
+_GOOD = "good AS (SELECT * FROM curve WHERE kn > 0 AND ks_b > 0 AND ds_x > 0 AND r_hat > 0)"
+_DECAY = "(CASE WHEN abs({0}) < 1e-12 THEN 1 - ({0}) / 2 ELSE (1 - exp(-({0}))) / ({0}) END)"
+FD = 0.6
+
+
+def _grid_sql(lo: float, hi: float, n: int, name: str) -> str:
+    return f"(SELECT exp({math.log(lo)!r} + i * {((math.log(hi) - math.log(lo)) / (n - 1))!r}) AS {name} FROM range(0, {n}) g(i))"
+
+
+@query(sql("", "curve")[:-1] + f""", {_GOOD}, l AS (SELECT mut_class, p, sum(w * r * r) / sum(w) AS loss FROM (SELECT mut_class, p, 1 / (1 / kn + 1 / ks_b) AS w, ln(r_hat) - ln(0.4 + 0.6 * {_DECAY.format("p * ds_x / 2")}) AS r FROM good, {_grid_sql(1e-1, 1e4, 41, "p")}) GROUP BY ALL)
+ SELECT mut_class, round(min(loss), 6) AS best, round(max(loss), 6) AS worst, count(*) AS n_grid FROM l GROUP BY mut_class""")
+def f1_f7_j18_purifying_loss(fx):
+    """Loss of the purifying curve over its grid for each class."""
+    c = _fit_curve(fx)
+    losses = M.loss_table(c, M.grid(fx.spark, 1e-1, 1e4, 41), ["mut_class"], ["param"], lambda ds: X.purifying_curve(ds, 1 - 0.4, F.col("param")))
+    return losses.groupBy("mut_class").agg(r6(F.min("loss")).alias("best"), r6(F.max("loss")).alias("worst"), F.count("*").alias("n_grid"))
+
+
+@query()
+def f1_purifying_fit(fx):
+    """Fitted s/mu by class. Tested on planted curves."""
+    return M.fit_one(_fit_curve(fx), ["mut_class"], lambda ds, p: X.purifying_curve(ds, FD, p), 1e-3, 1e7)
+
+
+@query()
+def f2_f11_bootstrap_fits(fx):
+    """Fits in each replicate, with their 95 % interval."""
+    t = _bootstrap_curve(fx)
+    fits = M.fit_one(t, ["mut_class", "rep"], lambda ds, p: X.purifying_curve(ds, FD, p), 1e-3, 1e7, n=31, zooms=1)
+    return E.intervals(fits, ["mut_class"], "param", log_scale=True)
+
+
+def _bootstrap_curve(fx, reps: int = 10):
+    s = fx.block_summary()
+    draws = E.resampled(s.withColumn("all", F.lit("all")), "all", ["species", "sample_1", "sample_2"], reps, 123)
+    t = E.thin_counts(E.by_class(draws), 0.5, F.lit(SEED), "rep", "species", "sample_1", "sample_2")
+    e = _thin(fx).agg(E.log_edges("ds_a", 6).alias("e"))
+    b = t.crossJoin(F.broadcast(e)).withColumn("bin", E.bin_of("ds_a", "e"))
+    return E.usable(E.pooled_bins(b, ["mut_class", "rep"]).where("kn > 0 and ks_b > 0"))
+
+
+@query()
+def f3_f4_three_class_fit(fx):
+    """alpha1 of the three-class model (fixed s1, s2), on all bins and in replicates."""
+    model = lambda ds, a: X.three_class_curve(ds, 0.3, a, 10.0, 1e5)
+    whole = M.fit_one(_fit_curve(fx), ["mut_class"], model, 1e-3, 0.7).withColumn("rep", F.lit(-1))
+    reps = M.fit_one(_bootstrap_curve(fx), ["mut_class", "rep"], model, 1e-3, 0.7, n=31, zooms=1)
+    return whole.unionByName(reps.select(*whole.columns))
+
+
+_THREE = f"(0.3 + (0.7 - a) * {_DECAY.format('10.0 * ds_x / 2')} + a * {_DECAY.format('s * ds_x / 2')})"
+
+
+@query(sql("", "curve")[:-1] + f""", {_GOOD}, l AS (SELECT s, a, sum(w * r * r) / sum(w) AS loss FROM (SELECT s, a, 1 / (1 / kn + 1 / ks_b) AS w, ln(r_hat) - ln({_THREE}) AS r FROM good, {_grid_sql(1e-2, 0.69, 20, "a")}, {_grid_sql(1e2, 1e6, 12, "s")} WHERE mut_class = 'all') GROUP BY ALL)
+ SELECT round(s, 3) AS s2, round(min(loss), 6) AS best, round(max(loss), 6) AS worst FROM l GROUP BY s""")
+def f5_loss_surface(fx):
+    """Loss over alpha2 and s2 of the three-class model."""
+    params = M.grid(fx.spark, 1e-2, 0.69, 20, "alpha2").crossJoin(M.grid(fx.spark, 1e2, 1e6, 12, "s2"))
+    losses = M.loss_table(_fit_curve(fx).where("mut_class = 'all'"), params, [], ["alpha2", "s2"], lambda ds: X.three_class_curve(ds, F.lit(0.3), F.lit(0.7) - F.col("alpha2"), 10.0, F.col("s2")))
+    out = M.surface(losses, ["s2"], "alpha2")
+    return out.select(F.round("s2", 3).alias("s2"), r6(F.col("best")).alias("best"), r6(F.col("worst")).alias("worst"))
+
+
+@query(sql("SELECT mut_class, round(least(greatest(1 - (sum(kn) / sum(ln)) / (sum(ks_b) / sum(ls_b)), 0.0), 0.999999), 6) AS fd FROM thin WHERE ds_a > 0 GROUP BY mut_class", "thin"))
+def f6_deleterious_share(fx):
+    return M.deleterious_share(_thin(fx).where("ds_a > 0"), ["mut_class"]).select("mut_class", r6(F.col("fd")).alias("fd"))
+
+
+@query(sql("SELECT mut_class, count(*) AS n_pairs, round(avg(ds_a), 6) AS mean_ds, round(CASE WHEN sum(ks_b) > 0 THEN least(greatest(1 - (sum(kn) / sum(ln)) / (sum(ks_b) / sum(ls_b)), 0.0), 0.999999) END, 6) AS alpha2 FROM thin WHERE ds_a > 0 AND ds_a < 0.15 GROUP BY mut_class", "thin"))
+def f8_early_share(fx):
+    return M.early_share(_thin(fx), ["mut_class"], 0.15).select("mut_class", "n_pairs", r6(F.col("mean_ds")).alias("mean_ds"), r6(F.col("alpha2")).alias("alpha2"))
+
+
+@query()
+def f9_f10_two_class_fit(fx):
+    """s1 given the early share; the share corrected once; s1 fitted again."""
+    t = _thin(fx).where("mut_class = 'all'")
+    early = M.early_share(t, ["mut_class"], 0.15)
+    c = _fit_curve(fx).join(early.select("mut_class", "alpha2", "mean_ds"), "mut_class")
+    model = lambda ds, p: X.two_class_curve(ds, FD, F.least(F.col("alpha2"), F.lit(FD)), p, 1e7)
+    first = M.fit_one(c, ["mut_class"], model, 1e-2, 1e6)
+    again = c.join(first.select("mut_class", F.col("param").alias("s1")), "mut_class").withColumn("alpha2", M.corrected_alpha2("alpha2", "s1", "mean_ds", FD))
+    second = M.fit_one(again, ["mut_class"], model, 1e-2, 1e6)
+    return first.select("mut_class", F.col("param").alias("s1_first")).join(second.select("mut_class", F.col("param").alias("s1"), "loss"), "mut_class")
+
+
+@query(sql("", "curve")[:-1] + f""", {_GOOD}, q AS (SELECT mut_class, 1 / (1 / kn + 1 / ks_b) AS w, ln(r_hat) - ln(0.4 + 0.6 * {_DECAY.format("10.0 * ds_x / 2")}) AS r FROM good)
+ SELECT mut_class, count(*) AS n, round(sum(w * r * r) / sum(w), 6) AS wmse, round(sqrt(avg(r * r)), 6) AS rmse_log, round(count(*) * ln(sum(r * r) / count(*)) + 2, 4) AS aic, round(count(*) * ln(sum(r * r) / count(*)) + ln(count(*)), 4) AS bic FROM q GROUP BY mut_class""")
+def f12_fit_quality(fx):
+    q = M.fit_quality(_fit_curve(fx), X.purifying_curve("ds_x", 1 - 0.4, 10.0), 1, ["mut_class"])
+    return q.select("mut_class", "n", r6(F.col("wmse")).alias("wmse"), r6(F.col("rmse_log")).alias("rmse_log"), F.round("aic", 4).alias("aic"), F.round("bic", 4).alias("bic"))
+
+
+@query()
+def f13_model_comparison(fx):
+    """One against two classes over replicates."""
+    c = _bootstrap_curve(fx)
+    one = M.fit_one(c, ["mut_class", "rep"], lambda ds, p: X.purifying_curve(ds, FD, p), 1e-2, 1e6, n=31, zooms=1)
+    two = M.fit_one(c, ["mut_class", "rep"], lambda ds, p: X.two_class_curve(ds, FD, F.lit(0.2), p, 1e7), 1e-2, 1e6, n=31, zooms=1)
+    return M.compared(one, two, ["mut_class"])
+
+
+# --- 2.8 prevalence ------------------------------------------------------------------------------------------------------------
+
+
+@query(sql("SELECT DISTINCT species, contig, location FROM psites WHERE differ", "psites"))
+def v1_clonal_snvs(fx):
+    return V.clonal_snvs(fx.pair_sites())
+
+
+_COUNTS = "c AS (SELECT species, contig, location, count(*) FILTER (genotype = 1) AS alt, count(*) AS covered FROM genotypes GROUP BY ALL HAVING alt > 0 AND alt < covered), f AS (SELECT species, contig, location, CASE WHEN 2 * alt > covered THEN covered - alt ELSE alt END AS alt_count, covered FROM c)"
+_LABEL = "CASE WHEN alt_count = 1 THEN 'singleton' WHEN alt_count > 0 AND 10 * alt_count <= covered THEN '(0,10%]' WHEN alt_count > 0 AND 2 * alt_count <= covered THEN '(10,50%]' END"
+
+
+@query(sql("", "genotypes")[:-1] + f", {_COUNTS} SELECT *, {_LABEL} AS label FROM f")
+def v2_v3_v4_p14_labelled_sites(fx):
+    return V.folded(V.site_counts(fx.genotypes(), fx.samples())).withColumn("label", V.label())
+
+
+def _spectrum(fx):
+    counts = V.folded(V.site_counts(fx.genotypes(), fx.samples())).withColumn("label", V.label())
+    sites = fx.sites().where("site_type in ('1D', '4D')")
+    both = counts.withColumn("set", F.lit("all")).unionByName(counts.join(V.clonal_snvs(fx.pair_sites()), V.SITE, "left_semi").withColumn("set", F.lit("clonal")))
+    x = both.join(F.broadcast(sites.select("contig", "location", "site_type")), ["contig", "location"])
+    totals = sites.groupBy("site_type").agg(F.count("*").alias("total")).crossJoin(x.select("species", "set").distinct())
+    return V.spectrum(x, totals, ["species", "set", "site_type"])
+
+
+@query(sql("", "genotypes", "sites", "psites")[:-1] + f""", {_COUNTS}, l AS (SELECT f.*, {_LABEL} AS label, site_type FROM f JOIN sites USING (contig, location) WHERE site_type <> 'other'),
+ z AS (SELECT DISTINCT species, contig, location FROM psites WHERE differ), b AS (SELECT *, 'all' AS set FROM l UNION ALL SELECT l.*, 'clonal' AS set FROM l SEMI JOIN z ON l.species = z.species AND l.contig = z.contig AND l.location = z.location),
+ t AS (SELECT site_type, count(*) AS total FROM sites WHERE site_type <> 'other' GROUP BY site_type),
+ d AS (SELECT DISTINCT species, set FROM b)
+ SELECT d.species, d.set, t.site_type, x.label, t.total, count(b.species) AS n, round(count(b.species) / t.total, 6) AS proportion FROM d CROSS JOIN t CROSS JOIN (SELECT unnest(['singleton', '(0,10%]', '(10,50%]']) AS label) x
+ LEFT JOIN b ON b.species = d.species AND b.set = d.set AND b.site_type = t.site_type AND b.label = x.label GROUP BY ALL""")
+def v5_v7_v8_j9_spectrum(fx):
+    return _spectrum(fx).select("species", "set", "site_type", "label", "total", "n", r6(F.col("proportion")).alias("proportion"))
+
+
+@query()
+def v6_poisson_errors(fx):
+    """Tested against cumulated pmf values."""
+    return V.poisson_interval(_spectrum(fx)).select("species", "set", "site_type", "label", "n", "k_lo", "k_hi", r6(F.col("err_lo")).alias("err_lo"), r6(F.col("err_hi")).alias("err_hi"))
+
+
+# --- 2.9 functions, 2.10 statistics ----------------------------------------------------------------------------------------------
+
+
+@query(sql(f"""SELECT species, sample_1, sample_2, round(1 / (1 + exp(-3 * (log10(ds) - log10(0.1)))), 6) AS logistic, round(ds * 0.7 + 0.2 * 0.3, 6) AS rec_ds, round((ds * 0.7 * 0.5 + 0.2 * 0.3 * 0.1) / (ds * 0.7 + 0.2 * 0.3), 6) AS rec_dnds, round(0.4 + 0.6 * {_DECAY.format("50 * ds / 2")}, 6) AS purify,
+    round(0.3 + 0.5 * {_DECAY.format("10 * ds / 2")} + 0.2 * {_DECAY.format("1000 * ds / 2")}, 6) AS three, round(0.4 + 0.4 * {_DECAY.format("10 * ds / 2")} + 0.2 * {_DECAY.format("1e6 * ds / 2")}, 6) AS two
+    FROM (SELECT species, sample_1, sample_2, core_diff_4d / core_len_4d AS ds FROM summary WHERE core_diff_4d > 0 AND core_len_4d > 0)""", "summary"))
+def c1_to_c5_model_curves(fx):
+    s = fx.block_summary().where("core_diff_4d > 0 and core_len_4d > 0").withColumn("ds", F.col("core_diff_4d") / F.col("core_len_4d"))
+    rec = X.recombination_model("ds", 0.3, 0.2, 0.5, 0.1)
+    return s.select(*_IDS, r6(X.logistic_accumulation("ds", 0.1, 3.0)).alias("logistic"), r6(rec["ds"]).alias("rec_ds"), r6(rec["dnds"]).alias("rec_dnds"), r6(X.purifying_curve("ds", 0.6, 50.0)).alias("purify"), r6(X.three_class_curve("ds", 0.3, 0.5, 10.0, 1000.0)).alias("three"), r6(X.two_class_curve("ds", 0.6, 0.2, 10.0, 1e6)).alias("two"))
+
+
+@query(sql("", "summary")[:-1] + f""" SELECT name, i AS step, round(1 - fd + fd * {_DECAY.format("s * ds / 2")}, 6) AS r FROM (SELECT species AS name, least(0.9, 1 - sum(core_diff_1d) / sum(core_len_1d)) AS fd, 100.0 AS s FROM summary GROUP BY species), (SELECT i, exp({math.log(1e-4)!r} + i * {(math.log(1e4) / 19)!r}) AS ds FROM range(0, 20) g(i))""")
+def c6_c7_curve_table(fx):
+    from pyspark.sql import Window
+
+    specs = fx.block_summary().groupBy(F.col("species").alias("name")).agg(F.least(F.lit(0.9), 1 - F.sum("core_diff_1d") / F.sum("core_len_1d")).alias("fd")).withColumn("s", F.lit(100.0)).withColumn("s_lo", F.lit(50.0)).withColumn("s_hi", F.lit(200.0))
+    c = M.curve_table(fx.spark, specs, 1e-4, 1.0, 20, lambda ds, fd, s: X.purifying_curve(ds, fd, s))
+    return c.withColumn("step", (F.row_number().over(Window.partitionBy("name").orderBy("ds")) - 1).cast("long")).select("name", "step", r6(F.col("r")).alias("r"))
+
+
+@query("SELECT DISTINCT p_type, p_brand, concat(replace(concat(p_type, '_', replace(p_brand, '#', '_')), '_', ' ')) AS kept, regexp_replace(replace(concat(p_type, '_', replace(p_brand, '#', '_')), '_', ' '), ' [0-9]+$', '') AS pretty FROM part")
+def c8_pretty_names(fx):
+    name = F.concat_ws("_", "p_type", F.regexp_replace("p_brand", "#", "_"))
+    return fx.table("part").select("p_type", "p_brand", X.pretty_species(name, True).alias("kept"), X.pretty_species(name).alias("pretty")).distinct()
+
+
+_RHO = "x AS (SELECT species, core_diff_4d / core_len_4d AS x, core_diff_1d / core_len_1d AS y FROM summary WHERE core_len_4d > 0 AND core_len_1d > 0)"
+
+
+@query(sql("", "summary")[:-1] + f", {_RHO} SELECT species, count(*) AS n, round(corr(x, y), 6) AS r FROM x GROUP BY species HAVING count(*) >= 3")
+def k1_pearson(fx):
+    return _xy(fx, "pearson").select("species", "n", r6(F.col("r")).alias("r"))
+
+
+@query(sql("", "summary")[:-1] + f", {_RHO}, k AS (SELECT species, rank() OVER (PARTITION BY species ORDER BY x) + (count(*) OVER (PARTITION BY species, x) - 1) / 2 AS a, rank() OVER (PARTITION BY species ORDER BY y) + (count(*) OVER (PARTITION BY species, y) - 1) / 2 AS b FROM x) SELECT species, count(*) AS n, round(corr(a, b), 6) AS r FROM k GROUP BY species HAVING count(*) >= 3")
+def k2_spearman(fx):
+    return _xy(fx, "spearman").select("species", "n", r6(F.col("r")).alias("r"))
+
+
+def _xy(fx, method):
+    s = fx.block_summary().where("core_len_4d > 0 and core_len_1d > 0").select("species", (F.col("core_diff_4d") / F.col("core_len_4d")).alias("x"), (F.col("core_diff_1d") / F.col("core_len_1d")).alias("y"))
+    return K.grouped_corr(s, ["species"], "x", "y", method).where("n >= 3")
+
+
+@query()
+def k3_c9_p_values(fx):
+    """Tested against known values of the t distribution."""
+    return _xy(fx, "pearson").select("species", "n", "p", X.significant("p").alias("significant"))
+
+
+@query()
+def k4_density(fx):
+    """Tested against a direct kernel sum."""
+    s = fx.block_summary().where("core_len_4d > 0 and core_len_1d > 0").select((F.col("core_diff_4d") / F.col("core_len_4d")).alias("x"), (F.col("core_diff_1d") / F.col("core_len_1d")).alias("y"))
+    return K.density(s, "x", "y", 32)
+
+
+@query(sql("SELECT species, count(*) AS n FROM pairs GROUP BY species ORDER BY n DESC, species LIMIT 3", "pairs"))
+def k5_k6_top_species(fx):
+    """A top-3 report."""
+    return K.top_n(fx.pairs().groupBy("species").agg(F.count("*").alias("n")), ["n", "species"], 3)
+
+
+@query(sql("SELECT species, sample_1, sample_2, core_diff, core_len, clonal_n, clonal_m, clonal_nn, recomb_n, recomb_m, recomb_nn FROM summary", "summary"))
+def s14_s16_written_tables(fx):
+    """Pair counts and opportunities as two CSV tables, read back and joined."""
+    s = fx.block_summary()
+    write = lambda w, p: w.option("header", True).csv(p)
+    counts, opps = s.select(*_IDS, "core_diff", "core_len"), s.select(*_IDS, "clonal_n", "clonal_m", "clonal_nn", "recomb_n", "recomb_m", "recomb_nn")
+    a, b = (fx.spark.read.schema(d.schema).option("header", True).csv(_written(fx, d, write)) for d in (counts, opps))
+    return a.join(b, _IDS)
