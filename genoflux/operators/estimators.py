@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import col, finite_positive, ratio, thinned, thinned_half
+from ..functions.expressions import col, finite_positive, ratio, thinned, thinned_half, word32
 
 EPS = 1e-12
 
@@ -126,16 +126,12 @@ def binned_rates(df: DataFrame, x, counts: dict[str, tuple], edges: tuple[float,
 
 def numbered(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     """Adds a dense row id within each group, and the group's size."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(group)
     return df.withColumn("row_id", (F.row_number().over(w.orderBy(*order)) - 1).cast("long")).withColumn("n_rows", F.count("*").over(w))
 
 
 def resampled(df: DataFrame, group: str, order: list[str], replicates: int, seed: int) -> DataFrame:
     """n-of-n draws with replacement of each group: rep, draw, and the drawn rows. The draw is floor(u n) with a hashed u."""
-    from ..functions.expressions import word32
-
     n = numbered(df, group, order)
     sizes = n.groupBy(group).agg(F.max("n_rows").alias("size"))
     draws = sizes.select(group, "size", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
@@ -146,8 +142,6 @@ def resampled(df: DataFrame, group: str, order: list[str], replicates: int, seed
 
 def poisson_weights(df: DataFrame, key: list[str], replicates: int, seed: int) -> DataFrame:
     """The scale option: each row has a Poisson(1) weight in each replicate, with no draw table and no join."""
-    from ..functions.expressions import word32
-
     u = word32(F.lit(seed), "rep", *key) / float(1 << 32)
     cdf, p, total = [], math.exp(-1), 0.0
     for k in range(12):

@@ -72,7 +72,7 @@ def site_blocks(sites: DataFrame, types: DataFrame) -> DataFrame:
     nn; types: species, core_pos, mut_type."""
     s = sites.withColumn("block", F.expr("core_pos div 64"))
     planes = [_mask(F.col(t).bitwiseAND(F.lit(1 << p)) > 0).alias(f"{t}{p}") for t in TYPES for p in (0, 1)]
-    fixed = s.groupBy("block").agg(_mask(F.col("site_type") == "1D").alias("m1"), _mask(F.col("site_type") == "4D").alias("m4"), *planes)
+    fixed = s.groupBy("block").agg(_mask(F.col("site_type") == "1D").alias("is_1d"), _mask(F.col("site_type") == "4D").alias("is_4d"), *planes)
     seen = types.withColumn("block", F.expr("core_pos div 64")).groupBy("species", "block").agg(*(_mask(F.col("mut_type") == t).alias(f"t_{t}") for t in TYPES))
     return fixed, seen
 
@@ -96,11 +96,11 @@ def block_summary(pairs: DataFrame, blocks: DataFrame, fixed: DataFrame, seen: D
     bits = lambda e: F.coalesce(F.sum(F.expr(f"bit_count({e})")), F.lit(0)).cast("long")
     out = [bits("both").alias("core_len"), bits("diff").alias("core_diff")]
     for part, mask in (("core", "-1L"), ("recomb", "seg"), ("clonal", "~seg")):
-        for name, kind in (("4d", "m4"), ("1d", "m1")):
+        for name, kind in (("4d", "is_4d"), ("1d", "is_1d")):
             out += [bits(f"both & {mask} & {kind}").alias(f"{part}_len_{name}"), bits(f"diff & {mask} & {kind}").alias(f"{part}_diff_{name}")]
         for t in TYPES:
-            out.append(bits(f"diff & {mask} & m1 & coalesce(t_{t}, 0L)").alias(f"{part}_mut_{t}"))
-            out.append(F.coalesce(F.sum(F.expr(f"bit_count(both & {mask} & m1 & {t}0) + 2 * bit_count(both & {mask} & m1 & {t}1)")), F.lit(0)).cast("long").alias(f"{part}_{t}"))
+            out.append(bits(f"diff & {mask} & is_1d & coalesce(t_{t}, 0L)").alias(f"{part}_mut_{t}"))
+            out.append(F.coalesce(F.sum(F.expr(f"bit_count(both & {mask} & is_1d & {t}0) + 2 * bit_count(both & {mask} & is_1d & {t}1)")), F.lit(0)).cast("long").alias(f"{part}_{t}"))
     return x.groupBy(*PAIR).agg(*out).where("core_len > 0")
 
 

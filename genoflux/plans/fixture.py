@@ -15,15 +15,27 @@ def base_no(c) -> Column:
     return F.lit("ACGT").substr((c % 4 + 1).cast("int"), F.lit(1))
 
 
+def _once(view):
+    """Builds a view's plan once for each Fixture, so that a query that uses it twice can reuse its exchanges."""
+
+    def run(self):
+        if view.__name__ not in self.made:
+            self.made[view.__name__] = view(self)
+        return self.made[view.__name__]
+
+    return run
+
+
 class Fixture:
     """Lazily built views over one folder of tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self.made = spark, sf_dir, {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @_once
     def calls(self) -> DataFrame:
         li = self.table("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min("l_quantity").alias("q"))
         s = self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "r_name")
@@ -31,23 +43,28 @@ class Fixture:
         shift = F.when(F.col("q") >= 46, 1).when(F.col("q") <= 1, 2).otherwise(0)
         return x.select(F.col("r_name").alias("species"), F.col("l_suppkey").alias("sample_id"), F.col("p_brand").alias("contig"), F.col("l_partkey").alias("location"), base_no(F.col("l_partkey")).alias("ref_base"), base_no(F.col("l_partkey") + shift).alias("allele"))
 
+    @_once
     def sites(self) -> DataFrame:
         p = self.table("part").select(F.col("p_brand").alias("contig"), F.col("p_partkey").alias("location"))
         kind = F.when(F.col("location") % 3 == 0, "4D").when(F.col("location") % 3 == 1, "1D").otherwise("other")
         return S.core_positions(p).select("contig", "location", "core_pos", kind.alias("site_type"))
 
+    @_once
     def mutations(self) -> DataFrame:
         x = self.sites().select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("b")).where(F.col("b") != F.col("location") % 4)
         k = (F.col("location") + F.col("b")) % 7
         kind = F.when(F.col("site_type") == "4D", "s").when(F.col("site_type") == "1D", F.when(k == 0, "n").when(k == 1, "nn").otherwise("m"))
         return x.select("contig", "location", base_no(F.col("b")).alias("base"), kind.alias("mut_type")).where("mut_type is not null")
 
+    @_once
     def alleles(self) -> DataFrame:
         return S.site_alleles(self.calls())
 
+    @_once
     def genotypes(self) -> DataFrame:
         return S.genotypes(self.calls(), self.alleles()).select(*S.SITE, "sample_id", "genotype")
 
+    @_once
     def pairs(self) -> DataFrame:
         """Pairs of samples of one species that share a covered site: from 64-site masks, not from shared sites."""
         g = self.calls().join(self.sites(), ["contig", "location"]).select("species", "sample_id", "core_pos", F.lit(1).alias("genotype"))
@@ -55,23 +72,28 @@ class Fixture:
         x = b.select("species", "block", F.col("sample_id").alias("sample_1"), F.col("cov").alias("c1")).join(b.select("species", "block", F.col("sample_id").alias("sample_2"), F.col("cov").alias("c2")), ["species", "block"])
         return x.where("sample_1 < sample_2 and (c1 & c2) != 0").select(*P.PAIR).distinct()
 
+    @_once
     def transfers(self) -> DataFrame:
         n = self.table("part").count()
         a = (37 * F.col("sample_1") + 11 * F.col("sample_2")) % n
         p = self.pairs().where("(sample_1 + sample_2) % 3 != 0").withColumn("start_pos", F.explode(F.array(a, (a + n // 20) % n)))
         return p.withColumn("end_pos", F.least(F.col("start_pos") + n // 10, F.lit(n - 1)).cast("long"))
 
+    @_once
     def pair_sites(self) -> DataFrame:
         return P.pair_sites(self.pairs(), self.genotypes())
 
+    @_once
     def annotated(self) -> DataFrame:
         sites = self.sites().join(S.opportunities(self.mutations()), ["contig", "location"], "left")
         x = self.pair_sites().join(F.broadcast(sites), ["contig", "location"]).join(S.snv_types(self.alleles(), self.mutations()).select(*S.SITE, "mut_type"), S.SITE, "left")
         return P.in_segments(x, self.transfers())
 
+    @_once
     def summary(self) -> DataFrame:
         return P.summary(self.annotated())
 
+    @_once
     def block_summary(self) -> DataFrame:
         sites = self.sites().join(S.opportunities(self.mutations()), ["contig", "location"], "left").fillna(0, ["n", "m", "nn"])
         pos = sites.select("contig", "location", "core_pos")
@@ -80,6 +102,7 @@ class Fixture:
         fixed, seen = P.site_blocks(sites, types)
         return P.block_summary(self.pairs(), P.sample_blocks(g), fixed, seen, self.transfers())
 
+    @_once
     def similarity(self) -> DataFrame:
         """Per pair the share of contigs with shared coverage that show no difference in allele; symmetric, diagonal 1."""
         c = self.calls().select("species", "contig", "location", "sample_id", "allele")
@@ -90,8 +113,10 @@ class Fixture:
         own = self.calls().select("species", F.col("sample_id").alias("sample_a")).distinct().select("species", "sample_a", F.col("sample_a").alias("sample_b"), F.lit(1.0).alias("frac"))
         return s.unionByName(flip).unionByName(own)
 
+    @_once
     def samples(self) -> DataFrame:
         return self.calls().select("species", "sample_id").distinct()
 
+    @_once
     def clades(self) -> DataFrame:
         return self.samples().select("sample_id", F.when(F.col("sample_id") % 4 != 0, "major").otherwise("minor").alias("clade"))

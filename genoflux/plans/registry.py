@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -163,7 +163,7 @@ def s10_genes(fx):
 def s9_similarity_matrix(fx):
     """Headerless matrix of one species -> labelled pairs."""
     s = fx.similarity().where("species = 'ASIA'")
-    index = s.select(F.col("sample_a").alias("sample_id")).distinct().withColumn("position", (F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("sample_id")) - 1))
+    index = s.select(F.col("sample_a").alias("sample_id")).distinct().withColumn("position", (F.row_number().over(Window.orderBy("sample_id")) - 1))
     full = index.select(F.col("sample_id").alias("sample_a"), F.col("position").alias("i")).crossJoin(index.select(F.col("sample_id").alias("sample_b"), F.col("position").alias("j"))).join(s, ["sample_a", "sample_b"], "left")
     rows = full.groupBy("i").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("j", F.coalesce(F.col("frac").cast("string"), F.lit("")).alias("v")))), lambda x: x["v"]), ",").alias("value"))
     path = _written(fx, rows.orderBy("i").coalesce(1).select("value"), lambda w, p: w.text(p))
@@ -173,8 +173,6 @@ def s9_similarity_matrix(fx):
 @query(sql("SELECT species, sample_1, sample_2 FROM pairs", "pairs"))
 def s11_named_pairs(fx):
     """Sample positions -> sample ids."""
-    from pyspark.sql import Window
-
     index = fx.samples().withColumn("position", F.row_number().over(Window.partitionBy("species").orderBy("sample_id")) - 1)
     a, b = (index.select("species", F.col("sample_id").alias(s), F.col("position").alias(p)) for s, p in (("sample_1", "i"), ("sample_2", "j")))
     return T.named_pairs(fx.pairs().join(a, ["species", "sample_1"]).join(b, ["species", "sample_2"]).select("species", "i", "j"), index)
@@ -249,8 +247,6 @@ def a10_polarized_reference(fx):
 def a11_codon_annotation(fx):
     """Each contig read as one gene; bases from locations by rank. Tested by hand-made genes."""
     s = fx.sites()
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("contig").orderBy("location")).cast("long")
     bases = s.select("contig", rank.alias("location"), base_no(F.col("location") * 7 + 3).alias("base"))
     g = bases.groupBy("contig").agg(F.max("location").alias("end")).select(F.concat(F.lit("g"), "contig").alias("gene_id"), "contig", F.lit(1).cast("long").alias("start"), "end", F.when(F.col("contig") < "Brand#3", "+").otherwise("-").alias("strand"))
@@ -425,7 +421,7 @@ def e4_e5_e6_ratios_by_class(fx):
     return _thin(fx).select(*_IDS, "mut_class", "kn", r6(F.col("ln")).alias("ln"), "ks_a", r6(F.col("ds_a")).alias("ds_a"), r6(X.ratio(X.ratio("kn", "ln"), "ds_b")).alias("ratio"))
 
 
-@query(sql("SELECT list_transform(e, lambda v: round(v, 6)) AS e FROM edges", "edges").replace("SELECT list_transform(e, lambda v: round(v, 6)) AS e FROM edges", "SELECT i AS edge, round(e[i + 1], 6) AS value FROM edges, (SELECT unnest(range(0, 7)) AS i)"))
+@query(sql("SELECT i AS edge, round(e[i + 1], 6) AS value FROM edges, (SELECT unnest(range(0, 7)) AS i)", "edges"))
 def e7_log_edges(fx):
     e = _thin(fx).agg(E.log_edges("ds_a", 6).alias("e"))
     return e.select(F.posexplode("e").alias("edge", "value")).select(F.col("edge").cast("long").alias("edge"), r6(F.col("value")).alias("value"))
@@ -557,7 +553,7 @@ _DRAWS = """draws AS (SELECT species, rep, draw, (('0x' || substr(md5(concat_ws(
  num AS (SELECT *, row_number() OVER (PARTITION BY species ORDER BY sample_1, sample_2) - 1 AS row_id FROM summary)"""
 
 
-@query(sql("SELECT 1", "thin").replace("SELECT 1", "SELECT * FROM final") if False else sql("", "thin")[:-1] + f", {_DRAWS}, " + """b AS (SELECT d.rep, t.* FROM draws d JOIN num n ON n.species = d.species AND n.row_id = d.row_id JOIN thin t ON t.species = n.species AND t.sample_1 = n.sample_1 AND t.sample_2 = n.sample_2 WHERE ds_a > 0),
+@query(sql("", "thin")[:-1] + f", {_DRAWS}, " + """b AS (SELECT d.rep, t.* FROM draws d JOIN num n ON n.species = d.species AND n.row_id = d.row_id JOIN thin t ON t.species = n.species AND t.sample_1 = n.sample_1 AND t.sample_2 = n.sample_2 WHERE ds_a > 0),
  r AS (SELECT species, mut_class, rep, CASE WHEN sum(ln) > 0 AND sum(ks_b) > 0 THEN (sum(kn) / sum(ln)) / (sum(ks_b) / sum(ls_b)) END AS r_hat FROM b GROUP BY ALL)
  SELECT species, mut_class, round(quantile_cont(r_hat, 0.5), 6) AS r_med, round(quantile_cont(r_hat, 0.025), 6) AS r_lo, round(quantile_cont(r_hat, 0.975), 6) AS r_hi FROM r GROUP BY ALL""")
 def b2_b3_bootstrap_intervals(fx):
@@ -574,7 +570,7 @@ def b1_b4_j17_s15_rethinned_curves(fx):
     return m.join(q, ["species", "mut_class"], "left").select("species", "mut_class", "n_pairs", *(r6(F.col(c)).alias(c) for c in ("ds_x", "r_med", "r_lo", "r_hi")))
 
 
-@query(sql("SELECT species, sample_1, sample_2, rep, CAST(len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402, 0.9999998885745217, 0.9999999899522336, 0.9999999991683892], lambda c: c <= ('0x' || substr(md5(concat_ws('|', '5', rep, species, sample_1, sample_2)), 1, 8))::BIGINT / 4294967296)) AS BIGINT) AS weight FROM pairs, range(0, 5) r(rep) WHERE weight > 0", "pairs").replace("r(rep) WHERE weight > 0", "r(rep)").replace("WITH ", "WITH ", 1))
+@query(sql("SELECT species, sample_1, sample_2, rep, CAST(len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402, 0.9999998885745217, 0.9999999899522336, 0.9999999991683892], lambda c: c <= ('0x' || substr(md5(concat_ws('|', '5', rep, species, sample_1, sample_2)), 1, 8))::BIGINT / 4294967296)) AS BIGINT) AS weight FROM pairs, range(0, 5) r(rep)", "pairs"))
 def b1_poisson_weights(fx):
     """All (pair, replicate) weights, zeros included."""
     p = fx.pairs()
@@ -720,7 +716,7 @@ def _spectrum(fx):
  t AS (SELECT site_type, count(*) AS total FROM sites WHERE site_type <> 'other' GROUP BY site_type),
  d AS (SELECT DISTINCT species, set FROM b)
  SELECT d.species, d.set, t.site_type, x.label, t.total, count(b.species) AS n, round(count(b.species) / t.total, 6) AS proportion FROM d CROSS JOIN t CROSS JOIN (SELECT unnest(['singleton', '(0,10%]', '(10,50%]']) AS label) x
- LEFT JOIN b ON b.species = d.species AND b.set = d.set AND b.site_type = t.site_type AND b.label = x.label GROUP BY ALL""")
+ LEFT JOIN b ON b.species = d.species AND b.set = d.set AND b.site_type = t.site_type AND b.label = x.label GROUP BY d.species, d.set, t.site_type, x.label, t.total""")
 def v5_v7_v8_j9_spectrum(fx):
     return _spectrum(fx).select("species", "set", "site_type", "label", "total", "n", r6(F.col("proportion")).alias("proportion"))
 
@@ -745,8 +741,6 @@ def c1_to_c5_model_curves(fx):
 
 @query(sql("", "summary")[:-1] + f""" SELECT name, i AS step, round(1 - fd + fd * {_DECAY.format("s * ds / 2")}, 6) AS r FROM (SELECT species AS name, least(0.9, 1 - sum(core_diff_1d) / sum(core_len_1d)) AS fd, 100.0 AS s FROM summary GROUP BY species), (SELECT i, exp({math.log(1e-4)!r} + i * {(math.log(1e4) / 19)!r}) AS ds FROM range(0, 20) g(i))""")
 def c6_c7_curve_table(fx):
-    from pyspark.sql import Window
-
     specs = fx.block_summary().groupBy(F.col("species").alias("name")).agg(F.least(F.lit(0.9), 1 - F.sum("core_diff_1d") / F.sum("core_len_1d")).alias("fd")).withColumn("s", F.lit(100.0)).withColumn("s_lo", F.lit(50.0)).withColumn("s_hi", F.lit(200.0))
     c = M.curve_table(fx.spark, specs, 1e-4, 1.0, 20, lambda ds, fd, s: X.purifying_curve(ds, fd, s))
     return c.withColumn("step", (F.row_number().over(Window.partitionBy("name").orderBy("ds")) - 1).cast("long")).select("name", "step", r6(F.col("r")).alias("r"))
