@@ -4,7 +4,8 @@ Groups (equal texts) are indivisible. A partial partition is a vector of one loa
 spread are combined, the heaviest shard of one with the lightest of the other, until one is left. To do this for any number of
 groups, tasks first difference hashed chunks of groups into bundles, and bundles into fewer bundles, until at most `TOP` items
 are left; these are differenced into the shards in one task. Items that are large for a bundle skip the lower levels, so
-that they meet all others in the last one. At most SHARE * n_shards items can be large, whatever the input.
+that they meet all others in the last one; at most SHARE * n_shards items can be large, whatever the input. So does a hashed
+share of about FILL items, small ones that even out what whole bundles can't.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from .common import Scratch
 #: Items that one task differences, and bundles it makes of them.
 CHUNK = 8192
 BUNDLES = 96
-#: Items left for the last task, besides large ones.
-TOP = 6144
+#: Items left for the last task, besides large ones, and those among them that never were in a bundle.
+TOP, FILL = 8192, 2048
 #: An item is large when it holds more than 1 / (SHARE * n_shards) of all bytes.
 SHARE = 64
 #: Rows that one task numbers.
@@ -81,16 +82,17 @@ def assign(scratch: Scratch, groups: DataFrame, n_shards: int) -> DataFrame:
     """groups (item string, size long), one row an item -> (item, shard int)."""
     total, n = groups.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     least = total // (SHARE * n_shards)
-    items, levels = groups, []
+    fill = F.pmod(F.xxhash64("item", F.lit(-1)), F.lit(1 << 30)) < int(min(1.0, FILL / max(1, n)) * (1 << 30))
+    items, levels = groups.withColumn("alone", fill | (F.col("size") > least)), []
     while n > TOP + SHARE * n_shards:
-        small = items.where(F.col("size") <= least)
+        small = items.where(~F.col("alone"))
         n_chunks = max(1, math.ceil(n / CHUNK))
         level = len(levels)
         chunk = F.concat(F.lit(f"{level}-"), F.pmod(F.xxhash64("item", F.lit(level)), F.lit(n_chunks)).cast("string"))
-        done = scratch.write(small.withColumn("chunk", chunk).groupBy("chunk").applyInArrow(_differenced(BUNDLES, "bundle"), "item string, size long, bundle string"))
+        done = scratch.write(small.select("item", "size", chunk.alias("chunk")).groupBy("chunk").applyInArrow(_differenced(BUNDLES, "bundle"), "item string, size long, bundle string"))
         levels.append(done.select("item", "bundle"))
-        bundles = done.groupBy("bundle").agg(F.sum("size").alias("size")).select(F.col("bundle").alias("item"), "size")
-        items = scratch.write(items.where(F.col("size") > least).unionByName(bundles))
+        bundles = done.groupBy("bundle").agg(F.sum("size").alias("size")).select(F.col("bundle").alias("item"), "size", (F.col("size") > least).alias("alone"))
+        items = scratch.write(items.where("alone").unionByName(bundles))
         before, n = n, items.count()
         if n >= before:
             break
