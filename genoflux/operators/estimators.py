@@ -104,7 +104,7 @@ def poisson_rate(k, n) -> tuple[Column, Column]:
     """Aggregates: log rate and its standard error, ln(sum k / sum n) and 1 / sqrt(sum k); null if no event or an exposure of 0."""
     k, n = col(k), col(n)
     ok = (F.sum(k) > 0) & (F.min(n) > 0)
-    return F.when(ok, F.log(F.sum(k) / F.sum(n))), F.when(ok, 1 / F.sqrt(F.sum(k)))
+    return F.when(ok, F.log(F.try_divide(F.sum(k), F.sum(n)))), F.when(ok, F.try_divide(F.lit(1.0), F.sqrt(F.sum(k))))
 
 
 def binned_rates(df: DataFrame, x, counts: dict[str, tuple], edges: tuple[float, float, int], keys: list[str] | None = None) -> DataFrame:

@@ -67,13 +67,13 @@ def density(df: DataFrame, x: str, y: str, cells: int = 64) -> DataFrame:
     """
     df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     s = df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"), F.var_samp(x).alias("vx"), F.var_samp(y).alias("vy"), F.covar_samp(x, y).alias("vxy"), F.count("*").alias("total"))
-    cell = lambda c, a, b: F.least(F.floor((F.col(c) - F.col(a)) / (F.col(b) - F.col(a)) * cells), F.lit(cells - 1))
+    cell = lambda c, a, b: F.coalesce(F.least(F.floor(F.try_divide(F.col(c) - F.col(a), F.col(b) - F.col(a)) * cells), F.lit(cells - 1)), F.lit(0))
     g = df.crossJoin(F.broadcast(s)).groupBy(cell(x, "x0", "x1").alias("gx"), cell(y, "y0", "y1").alias("gy")).agg(F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"))
     a, b = g.alias("a"), F.broadcast(g.select(F.col("n").alias("n2"), F.col("mx").alias("mx2"), F.col("my").alias("my2")))
     h2 = F.pow(F.col("total"), F.lit(-1 / 3))
     det = F.col("vx") * F.col("vy") - F.col("vxy") * F.col("vxy")
     dx, dy = F.col("mx") - F.col("mx2"), F.col("my") - F.col("my2")
-    q = (F.col("vy") * dx * dx - 2 * F.col("vxy") * dx * dy + F.col("vx") * dy * dy) / det / h2
+    q = (F.col("vy") * dx * dx - 2 * F.col("vxy") * dx * dy + F.col("vx") * dy * dy) / F.when(det != 0, det) / h2
     pairs = a.crossJoin(b).crossJoin(F.broadcast(s))
     return pairs.groupBy("gx", "gy", "n").agg((F.sum(F.col("n2") * F.exp(-q / 2)) / F.first(F.col("total") * 2 * math.pi * h2 * F.sqrt(det))).alias("density"))
 

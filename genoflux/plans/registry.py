@@ -368,7 +368,7 @@ def x1_x2_block_summary(fx):
 
 @query(sql("SELECT species, count(*) AS n_pairs, count(DISTINCT sample_1) AS n_first, round(median(core_diff), 6) AS median_diff, round(sum(clonal_m) / sum(clonal_n), 6) AS m_by_n FROM summary GROUP BY species HAVING count(*) >= 2", "summary"))
 def g10_g11_g12_g14_species_counts(fx):
-    g = fx.block_summary().groupBy("species").agg(F.count("*").alias("n_pairs"), F.count_distinct("sample_1").alias("n_first"), r6(F.median("core_diff")).alias("median_diff"), r6(F.sum("clonal_m") / F.sum("clonal_n")).alias("m_by_n"))
+    g = fx.block_summary().groupBy("species").agg(F.count("*").alias("n_pairs"), F.count_distinct("sample_1").alias("n_first"), r6(F.median("core_diff")).alias("median_diff"), r6(F.try_divide(F.sum("clonal_m"), F.sum("clonal_n"))).alias("m_by_n"))
     return g.where("n_pairs >= 2")
 
 
@@ -484,7 +484,7 @@ def e15_e16_species_curves(fx):
 @query(sql("SELECT species, sample_1, sample_2, round(1 - (clonal_len_1d + clonal_len_4d) / (core_len_1d + core_len_4d), 6) AS fr FROM summary WHERE core_len_1d + core_len_4d > 0", "summary"))
 def e17_recombined_fraction(fx):
     s = fx.block_summary().where("core_len_1d + core_len_4d > 0")
-    return s.select(*_IDS, r6(1 - (F.col("clonal_len_1d") + F.col("clonal_len_4d")) / (F.col("core_len_1d") + F.col("core_len_4d"))).alias("fr"))
+    return s.select(*_IDS, r6(1 - X.ratio(F.col("clonal_len_1d") + F.col("clonal_len_4d"), F.col("core_len_1d") + F.col("core_len_4d"))).alias("fr"))
 
 
 # --- 2.7 rates, bootstrap, fits ---------------------------------------------------------------------------------------------
@@ -508,7 +508,7 @@ def _rates_sql(part: str) -> str:
 def _rates(fx, part):
     s = fx.block_summary().where(f"{part}_len_4d > 0")
     counts = {"syn": (f"{part}_diff_4d", f"{part}_len_4d"), "non": (f"{part}_mut_n", F.col(f"{part}_n") / 3), "mis": (f"{part}_mut_m", F.col(f"{part}_m") / 3)}
-    out = E.binned_rates(s, F.col(f"{part}_diff_4d") / F.col(f"{part}_len_4d"), counts, (1e-2, 1.0, 10))
+    out = E.binned_rates(s, X.ratio(f"{part}_diff_4d", f"{part}_len_4d"), counts, (1e-2, 1.0, 10))
     return out.select("bin", "n_pairs", *(r6(F.col(f"{n}_{t}")).alias(f"{n}_{t}") for n in counts for t in ("rate", "se")))
 
 
@@ -525,14 +525,14 @@ def r3_recombined_rates(fx):
 @query(sql("""SELECT round(avg(d), 6) AS mean_ratio, count(d) AS n FROM (SELECT ln((sum(core_mut_n) / sum(core_n / 3)) / (sum(core_mut_m) / sum(core_m / 3))) AS d FROM summary GROUP BY species HAVING sum(core_mut_n) > 0 AND sum(core_mut_m) > 0)""", "summary"))
 def r5_g13_nonsense_by_missense(fx):
     g = fx.block_summary().groupBy("species").agg(*(F.sum(c).alias(c) for c in ("core_mut_n", "core_n", "core_mut_m", "core_m"))).where("core_mut_n > 0 and core_mut_m > 0")
-    d = F.log((F.col("core_mut_n") / (F.col("core_n") / 3)) / (F.col("core_mut_m") / (F.col("core_m") / 3)))
+    d = F.log(F.try_divide(F.try_divide("core_mut_n", F.col("core_n") / 3), F.try_divide("core_mut_m", F.col("core_m") / 3)))
     return g.agg(r6(F.avg(d)).alias("mean_ratio"), F.count(d).alias("n"))
 
 
 @query(sql("SELECT species, round(pow(10, x), 6) AS value, round(pow(10, x) - pow(10, x - 2 * e), 6) AS below, round(pow(10, x + 2 * e) - pow(10, x), 6) AS above FROM (SELECT species, log10(sum(core_diff_4d) / sum(core_len_4d)) AS x, 0.4342944819032518 / sqrt(sum(core_diff_4d)) AS e FROM summary GROUP BY species HAVING sum(core_diff_4d) > 0)", "summary"))
 def r6_linear_errors(fx):
     g = fx.block_summary().groupBy("species").agg(F.sum("core_diff_4d").alias("k"), F.sum("core_len_4d").alias("n")).where("k > 0")
-    g = g.withColumn("e", X.linear_errors(F.log10(F.col("k") / F.col("n")), math.log10(math.e) / F.sqrt("k")))
+    g = g.withColumn("e", X.linear_errors(F.log10(F.try_divide("k", "n")), F.try_divide(F.lit(math.log10(math.e)), F.sqrt("k"))))
     return g.select("species", *(r6(F.col(f"e.{c}")).alias(c) for c in ("value", "below", "above")))
 
 
@@ -734,14 +734,14 @@ def v6_poisson_errors(fx):
     round(0.3 + 0.5 * {_DECAY.format("10 * ds / 2")} + 0.2 * {_DECAY.format("1000 * ds / 2")}, 6) AS three, round(0.4 + 0.4 * {_DECAY.format("10 * ds / 2")} + 0.2 * {_DECAY.format("1e6 * ds / 2")}, 6) AS two
     FROM (SELECT species, sample_1, sample_2, core_diff_4d / core_len_4d AS ds FROM summary WHERE core_diff_4d > 0 AND core_len_4d > 0)""", "summary"))
 def c1_to_c5_model_curves(fx):
-    s = fx.block_summary().where("core_diff_4d > 0 and core_len_4d > 0").withColumn("ds", F.col("core_diff_4d") / F.col("core_len_4d"))
+    s = fx.block_summary().where("core_diff_4d > 0 and core_len_4d > 0").withColumn("ds", X.ratio("core_diff_4d", "core_len_4d"))
     rec = X.recombination_model("ds", 0.3, 0.2, 0.5, 0.1)
     return s.select(*_IDS, r6(X.logistic_accumulation("ds", 0.1, 3.0)).alias("logistic"), r6(rec["ds"]).alias("rec_ds"), r6(rec["dnds"]).alias("rec_dnds"), r6(X.purifying_curve("ds", 0.6, 50.0)).alias("purify"), r6(X.three_class_curve("ds", 0.3, 0.5, 10.0, 1000.0)).alias("three"), r6(X.two_class_curve("ds", 0.6, 0.2, 10.0, 1e6)).alias("two"))
 
 
 @query(sql("", "summary")[:-1] + f""" SELECT name, i AS step, round(1 - fd + fd * {_DECAY.format("s * ds / 2")}, 6) AS r FROM (SELECT species AS name, least(0.9, 1 - sum(core_diff_1d) / sum(core_len_1d)) AS fd, 100.0 AS s FROM summary GROUP BY species), (SELECT i, exp({math.log(1e-4)!r} + i * {(math.log(1e4) / 19)!r}) AS ds FROM range(0, 20) g(i))""")
 def c6_c7_curve_table(fx):
-    specs = fx.block_summary().groupBy(F.col("species").alias("name")).agg(F.least(F.lit(0.9), 1 - F.sum("core_diff_1d") / F.sum("core_len_1d")).alias("fd")).withColumn("s", F.lit(100.0)).withColumn("s_lo", F.lit(50.0)).withColumn("s_hi", F.lit(200.0))
+    specs = fx.block_summary().groupBy(F.col("species").alias("name")).agg(F.least(F.lit(0.9), 1 - F.try_divide(F.sum("core_diff_1d"), F.sum("core_len_1d"))).alias("fd")).withColumn("s", F.lit(100.0)).withColumn("s_lo", F.lit(50.0)).withColumn("s_hi", F.lit(200.0))
     c = M.curve_table(fx.spark, specs, 1e-4, 1.0, 20, lambda ds, fd, s: X.purifying_curve(ds, fd, s))
     return c.withColumn("step", (F.row_number().over(Window.partitionBy("name").orderBy("ds")) - 1).cast("long")).select("name", "step", r6(F.col("r")).alias("r"))
 
@@ -766,7 +766,7 @@ def k2_spearman(fx):
 
 
 def _xy(fx, method):
-    s = fx.block_summary().where("core_len_4d > 0 and core_len_1d > 0").select("species", (F.col("core_diff_4d") / F.col("core_len_4d")).alias("x"), (F.col("core_diff_1d") / F.col("core_len_1d")).alias("y"))
+    s = fx.block_summary().where("core_len_4d > 0 and core_len_1d > 0").select("species", X.ratio("core_diff_4d", "core_len_4d").alias("x"), X.ratio("core_diff_1d", "core_len_1d").alias("y"))
     return K.grouped_corr(s, ["species"], "x", "y", method).where("n >= 3")
 
 
@@ -779,7 +779,7 @@ def k3_c9_p_values(fx):
 @query()
 def k4_density(fx):
     """Tested against a direct kernel sum."""
-    s = fx.block_summary().where("core_len_4d > 0 and core_len_1d > 0").select((F.col("core_diff_4d") / F.col("core_len_4d")).alias("x"), (F.col("core_diff_1d") / F.col("core_len_1d")).alias("y"))
+    s = fx.block_summary().where("core_len_4d > 0 and core_len_1d > 0").select(X.ratio("core_diff_4d", "core_len_4d").alias("x"), X.ratio("core_diff_1d", "core_len_1d").alias("y"))
     return K.density(s, "x", "y", 32)
 
 
