@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, Scratch, mix, word_chunks
+from .common import SPACE_WORDS, Scratch, lean_batches, mix, word_chunks
 from .components import components
 
 RARE = 8
@@ -43,7 +43,7 @@ RARE = 8
 SHARED_BITS = 1 << 28
 FREQUENT_BITS = 1 << 26
 #: Tokens that one task counts before it sends them on, and that one counting group gets.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 RANGE = 1 << 20
 _SET = np.uint64(0x94D049BB133111EB)
 _FILTER_BITS = 1 << 26
@@ -104,39 +104,87 @@ def _sizes(total: int, n_ranges: int) -> tuple[int, int]:
     return tuple(max(8, min(most, each * total) // (8 * n_ranges)) for most, each in ((SHARED_BITS, 16), (FREQUENT_BITS, 4)))
 
 
-def count_tables(docs: DataFrame, k: int, n_ranges: int, sizes: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The bit tables of shared and of frequent tokens. Each is made of one segment a counting group."""
+def _doc_bit():
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(_FILTER_BITS))
 
-    def send(batches):
+
+def _doc_table(ids: DataFrame) -> np.ndarray:
+    """A bit table of fixed size (8 MiB) over the doc_ids of `ids`. Other ids may share a bit."""
+    rows = ids.select(_doc_bit().alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    table = np.zeros(_FILTER_BITS // 64, np.int64)
+    for batch in rows.toArrow().to_batches():  # at most 2 ** 20 rows, whatever the input
+        table[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return table.view(np.uint64)
+
+
+def _marked(table: np.ndarray, bits) -> np.ndarray:
+    bit = bits.to_numpy()
+    return (table[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def _counted(sets, n_ranges: int):
+    """Token arrays -> record batches of counting groups: tokens seen once, tokens seen more often, and how often."""
+    import pyarrow as pa
+
+    held, size = [], 0
+
+    def flush():
+        h, count = np.unique(np.concatenate(held), return_counts=True)
+        group, key = _place(h, n_ranges)
+        order = np.argsort(group, kind="stable")
+        key, count = key[order], count[order].astype(np.uint32)
+        at = np.searchsorted(group[order], np.arange(n_ranges + 1))
+        out = []
+        for g in range(n_ranges):
+            x, c = key[at[g] : at[g + 1]], count[at[g] : at[g + 1]]
+            many = c > 1
+            out.append((x[~many].tobytes(), x[many].tobytes(), c[many].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(range(n_ranges), pa.int64()), *(pa.array(col, pa.binary()) for col in zip(*out))], ["part", "once", "more", "times"])
+
+    for tokens in sets:
+        held.append(tokens)
+        size += len(tokens)
+        if size >= FLUSH:
+            yield flush()
+            held, size = [], 0
+    if size:
+        yield flush()
+
+
+def count_tables(docs: DataFrame, copied: DataFrame, k: int, n_ranges: int, sizes: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The bit tables of shared and of frequent tokens. Each is made of one segment a counting group.
+
+    Every set counts once. copied: doc_id of documents whose set other documents have too; these (and the few that share a bit
+    with one) are made distinct by set before they are counted, the others are counted where they are read.
+    """
+    marks = docs.sparkSession.sparkContext.broadcast(_doc_table(copied))
+
+    def alone(batches):
         import pyarrow as pa
 
-        held, size, nodes = [], 0, set()
-
-        def flush():
-            h, count = np.unique(np.concatenate(held), return_counts=True)
-            group, key = _place(h, n_ranges)
-            order = np.argsort(group, kind="stable")
-            key, count = key[order], count[order].astype(np.uint32)
-            at = np.searchsorted(group[order], np.arange(n_ranges + 1))
-            out = []
-            for g in range(n_ranges):
-                x, c = key[at[g] : at[g + 1]], count[at[g] : at[g + 1]]
-                many = c > 1
-                out.append((x[~many].tobytes(), x[many].tobytes(), c[many].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(range(n_ranges), pa.int64()), *(pa.array(col, pa.binary()) for col in zip(*out))], ["part", "once", "more", "times"])
+        def sets():
+            for batch in batches:
+                batch = batch.filter(pa.array(~_marked(marks.value, batch.column(1))))
+                yield from (tokens for _, tokens in token_sets(batch.column(0), k) if len(tokens))
+
+        yield from _counted(sets(), n_ranges)
+
+    def copies(batches):
+        import pyarrow as pa
 
         for batch in batches:
+            batch = batch.filter(pa.array(_marked(marks.value, batch.column(1))))
+            seen: dict[int, bytes] = {}
             for _, tokens in token_sets(batch.column(0), k):
-                if not len(tokens) or (s := int(set_hash(tokens))) in nodes:
-                    continue  # a copy of a set in hand counts once
-                nodes.add(s)
-                held.append(tokens)
-                size += len(tokens)
-                if size >= FLUSH:
-                    yield flush()
-                    held, size, nodes = [], 0, set()
-        if size:
-            yield flush()
+                if len(tokens):
+                    seen.setdefault(int(set_hash(tokens).view(np.int64)), tokens.tobytes())
+            rows = list(seen.items())
+            for i in range(0, len(rows), 1000):
+                node, blob = zip(*rows[i : i + 1000])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(blob, pa.binary())], ["node", "tokens"])
+
+    def pack(batches):
+        yield from _counted((np.frombuffer(x.as_buffer(), np.uint64) for b in batches for x in b.column(0)), n_ranges)
 
     shared_size, frequent_size = sizes
 
@@ -164,7 +212,10 @@ def count_tables(docs: DataFrame, k: int, n_ranges: int, sizes: tuple[int, int])
             out.append(np.packbits(bits, bitorder="little").tobytes())
         return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), *(pa.array([x], pa.binary()) for x in out)], ["part", "shared", "frequent"])
 
-    sent = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(send, "part long, once binary, more binary, times binary")
+    counts = "part long, once binary, more binary, times binary"
+    read = docs.select(F.col("text").cast("string").alias("text"), _doc_bit().alias("bit"))
+    once = read.mapInArrow(copies, "node long, tokens binary").groupBy("node").agg(F.any_value("tokens").alias("tokens"))
+    sent = read.mapInArrow(alone, counts).unionByName(once.select("tokens").mapInArrow(pack, counts))
     shared, frequent = np.zeros(n_ranges * shared_size, np.uint8), np.zeros(n_ranges * frequent_size, np.uint8)
     for batch in sent.groupBy("part").applyInArrow(tables, "part long, shared binary, frequent binary").toArrow().to_batches():  # 40 MiB at most
         for part, x, y in zip(*(batch.column(i) for i in range(3))):
@@ -230,20 +281,14 @@ def _sets_of(docs: DataFrame, k: int, wanted: DataFrame, scratch: Scratch) -> Da
 
     A bit table of fixed size (8 MiB) over the wanted doc_ids spares the others the work; the semi join is exact.
     """
-    word = F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS))
-    rows = wanted.select(word.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    table = np.zeros(_FILTER_BITS // 64, np.int64)
-    for batch in rows.toArrow().to_batches():  # at most 2 ** 20 rows, whatever the input
-        table[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    held = scratch.spark.sparkContext.broadcast(table.view(np.uint64))
+    held = scratch.spark.sparkContext.broadcast(_doc_table(wanted))
 
     def run(batches):
         import pyarrow as pa
 
         table = held.value
         for batch in batches:
-            bit = batch.column(2).to_numpy()
-            keep = np.flatnonzero((table[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1))
+            keep = np.flatnonzero(_marked(table, batch.column(2)))
             if not len(keep):
                 continue
             batch = batch.take(pa.array(keep))
@@ -261,7 +306,7 @@ def _sets_of(docs: DataFrame, k: int, wanted: DataFrame, scratch: Scratch) -> Da
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_node, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "node", "tokens"])
 
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("bit", word).mapInArrow(run, "doc_id long, node long, tokens binary")
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _doc_bit().alias("bit")).mapInArrow(run, "doc_id long, node long, tokens binary")
     return scratch.write(made.join(wanted, ["doc_id", "node"], "left_semi").select("node", "tokens"))
 
 
@@ -305,13 +350,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: float | str = "0.
     """
     spark: SparkSession = docs.sparkSession
     t = Fraction(str(threshold))
+    lean_batches(spark)
     scratch = Scratch(spark)
     rows = scratch.write(node_rows(docs, k))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    several = rows.where("node is not null").groupBy("node").count().where(F.col("count") > 1).select("node")
+    copied = rows.join(several, "node", "left_semi").select("doc_id")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     n_ranges = max(1, math.ceil(total / RANGE))
     sizes = _sizes(total, n_ranges)
-    tables = spark.sparkContext.broadcast(count_tables(docs, k, n_ranges, sizes)) if total else None
+    tables = spark.sparkContext.broadcast(count_tables(docs, copied, k, n_ranges, sizes)) if total else None
     if tables is None:
         return rows.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
 
