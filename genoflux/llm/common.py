@@ -17,6 +17,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Rows and bytes of an Arrow batch of texts, so that a worker holds few texts at a time however long they are.
+BATCH_ROWS, BATCH_BYTES = 2000, "16m"
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches; a tighter bound on rows that is set already stays."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (local runs and tests), a
     temporary folder of this machine."""

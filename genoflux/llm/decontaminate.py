@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, Words, word_chunks
+from .common import ALNUM_WORDS, Words, lean_batches, word_chunks
 
 SHINGLE = 3
 #: Windows broadcast at a time; each holds some hundred bytes in a worker.
@@ -133,6 +133,7 @@ def contaminated_words(docs: DataFrame, items: DataFrame, width: int = 10, block
     items count once under their id; an empty item table hits nothing. Other columns are ignored.
     """
     sc = docs.sparkSession.sparkContext
+    lean_batches(docs.sparkSession)
     kept = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
     df = docs.select(*kept, F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<long>)").alias("runs"), F.expr("cast(array() as array<string>)").alias("item_ids"))
     schema = df.schema

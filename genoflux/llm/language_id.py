@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean_batches
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 #: Places of a window at which all filters are applied.
@@ -153,6 +155,7 @@ def predictions(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     named lang_pred or score are replaced.
     """
     docs = docs.drop("lang_pred", "score")
+    lean_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(net)
     at = docs.columns.index("text")
 

@@ -21,7 +21,8 @@ length bound) rules out are not made.
 
 Verification is exact on the hashed sets. Copies are not expanded to all pairs: under each signature every set is first
 compared with the most central one (fewest rare tokens); after components of these links are known, only pairs under one
-signature that are still in different components are compared. No candidate is dropped at any step.
+signature that are still in different components are compared, and of those only the ones whose parity sketches do not already
+prove more differing tokens than the threshold allows. No candidate that could be linked is dropped at any step.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ FLUSH = 1 << 20
 RANGE = 1 << 20
 _SET = np.uint64(0x94D049BB133111EB)
 _FILTER_BITS = 1 << 26
+#: Cells of a set's parity sketch: 64 bytes.
+SKETCH = 512
 
 
 def token_sets(column, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -277,7 +280,10 @@ def postings(docs: DataFrame, k: int, t: Fraction, n_ranges: int, sizes: tuple[i
 
 
 def _sets_of(docs: DataFrame, k: int, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, tokens (binary) of the nodes in `wanted` (doc_id, node: one document of each).
+    """node, tokens (binary), sketch of the nodes in `wanted` (doc_id, node: one document of each).
+
+    sketch: the parity of the number of tokens in each of SKETCH hashed cells. Two sets differ in at least as many tokens as
+    their sketches differ in bits.
 
     A bit table of fixed size (8 MiB) over the wanted doc_ids spares the others the work; the semi join is exact.
     """
@@ -286,6 +292,7 @@ def _sets_of(docs: DataFrame, k: int, wanted: DataFrame, scratch: Scratch) -> Da
     def run(batches):
         import pyarrow as pa
 
+        names, types = ["doc_id", "node", "tokens", "sketch"], [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
         table = held.value
         for batch in batches:
             keep = np.flatnonzero(_marked(table, batch.column(2)))
@@ -293,21 +300,20 @@ def _sets_of(docs: DataFrame, k: int, wanted: DataFrame, scratch: Scratch) -> Da
                 continue
             batch = batch.take(pa.array(keep))
             ids = batch.column(0).to_pylist()
-            out_id, out_node, out, size = [], [], [], 0
+            out, size = [], 0
             for row, tokens in token_sets(batch.column(1), k):
                 if len(tokens):
-                    out_id.append(ids[row])
-                    out_node.append(int(set_hash(tokens).view(np.int64)))
-                    out.append(tokens.tobytes())
+                    parity = np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+                    out.append((ids[row], int(set_hash(tokens).view(np.int64)), tokens.tobytes(), np.packbits(parity.astype(bool)).view(np.int64)))
                     size += tokens.nbytes
                     if size > 1 << 24:
-                        yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_node, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "node", "tokens"])
-                        out_id, out_node, out, size = [], [], [], 0
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                        out, size = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_node, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "node", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _doc_bit().alias("bit")).mapInArrow(run, "doc_id long, node long, tokens binary")
-    return scratch.write(made.join(wanted, ["doc_id", "node"], "left_semi").select("node", "tokens"))
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _doc_bit().alias("bit")).mapInArrow(run, "doc_id long, node long, tokens binary, sketch array<long>")
+    return scratch.write(made.join(wanted, ["doc_id", "node"], "left_semi").select("node", "tokens", "sketch").dropDuplicates(["node"]))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
@@ -384,9 +390,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: float | str = "0.
     # what stars have not settled: pairs under one signature that are still in different components
     left = rooted(shared.select("sig", "node", "n", "most"))
     mixed = left.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("sig")
-    left = scratch.write(left.join(mixed, "sig", "left_semi"))
-    other = left.select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("most").alias("most2"), F.col("root").alias("root2"))
-    cross = left.join(other, "sig").where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & _fits("n", "n2", "most", "most2", t))
+    left = scratch.write(left.join(mixed, "sig", "left_semi").join(sets.select("node", "sketch"), "node"))
+    other = left.select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("most").alias("most2"), F.col("root").alias("root2"), F.col("sketch").alias("sketch2"))
+    apart = F.expr(" + ".join(f"bit_count(sketch[{i}] ^ sketch2[{i}])" for i in range(SKETCH // 64)))
+    near_enough = apart * (t.denominator + t.numerator) <= (F.col("n") + F.col("n2")).cast("long") * (t.denominator - t.numerator)
+    cross = left.join(other, "sig").where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & _fits("n", "n2", "most", "most2", t) & near_enough)
     rest = scratch.write(as_pairs(cross, "node", "node2").join(pairs, ["u", "v"], "left_anti"))
     more = scratch.write(_linked(rest, sets, t))
     if not more.isEmpty():

@@ -16,6 +16,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean_batches
 from .prefix_bpe import sentence_piece
 
 MARK = "▁"
@@ -117,6 +118,7 @@ def _codec(model: bytes) -> Codec:
 def _mapped(docs: DataFrame, model_path: str, one, schema: str) -> DataFrame:
     """one(codec, text) -> the output columns after doc_id, over all rows."""
     model = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
+    lean_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
