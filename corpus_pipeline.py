@@ -31,11 +31,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one document of each group of linked ones, that of the least doc_id, and one row of it. Documents without an id
     or without words are linked with nothing and stay."""
     groups = jaccard_components(docs, 5, "0.8").where("doc_id != component_id and n_shingles > 0").select("doc_id").distinct()
-    kept = docs.join(groups, "doc_id", "left_anti")
-    # rows that repeat one doc_id: the one with the lowest text hash stays
-    with_id = kept.where("doc_id is not null")
-    again = with_id.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("text", "lang", "source", "n_chars")).alias("h")).where("n > 1").select("doc_id", "h")
-    repeated = with_id.join(again, "doc_id").where(F.xxhash64("text", "lang", "source", "n_chars") == F.col("h")).select(*COLUMNS).distinct()
+    kept = docs.join(groups, "doc_id", "left_anti").select(*COLUMNS)
+    # rows that repeat one doc_id: the one with the lowest hash stays; without such rows the texts are moved no further
+    row = F.xxhash64("text", "lang", "source", "n_chars")
+    again = Scratch(spark).write(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(row).alias("h")).where("n > 1").select("doc_id", "h"))
+    if again.isEmpty():
+        return kept
+    repeated = kept.join(again, "doc_id").where(row == F.col("h")).select(*COLUMNS).distinct()
     return kept.join(again.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS).unionByName(repeated)
 
 
