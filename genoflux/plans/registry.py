@@ -539,13 +539,9 @@ def r6_linear_errors(fx):
 REPS = 20
 
 
-def _bootstrap(fx, rethin: bool):
-    """R of each species and class over resampled pairs, re-thinned in each replicate or not."""
-    s = fx.block_summary()
-    draws = E.resampled(s, "species", ["sample_1", "sample_2"], REPS, 123)
-    c = E.by_class(draws.withColumn("sample_1", F.concat_ws("-", "sample_1", "sample_2")).withColumn("sample_2", F.col("draw").cast("string")) if rethin else draws)
-    key = (F.lit(SEED), "rep", "species", "sample_2") if rethin else (F.lit(SEED), "species", "sample_1", "sample_2")
-    t = E.thin_counts(c, 0.5, *key)
+def _bootstrap(fx):
+    """R of each species and class over resampled pairs, all in one bin, thinning kept."""
+    t = E.thin_counts(E.by_class(E.resampled(fx.block_summary(), "species", ["sample_1", "sample_2"], REPS, 123)), 0.5, F.lit(SEED), *_IDS)
     return E.pooled_bins(t.where("ds_a > 0").withColumn("bin", F.lit(0).cast("long")), ["species", "mut_class", "rep"])
 
 
@@ -557,17 +553,63 @@ _DRAWS = """draws AS (SELECT species, rep, draw, (('0x' || substr(md5(concat_ws(
  r AS (SELECT species, mut_class, rep, CASE WHEN sum(ln) > 0 AND sum(ks_b) > 0 THEN (sum(kn) / sum(ln)) / (sum(ks_b) / sum(ls_b)) END AS r_hat FROM b GROUP BY ALL)
  SELECT species, mut_class, round(quantile_cont(r_hat, 0.5), 6) AS r_med, round(quantile_cont(r_hat, 0.025), 6) AS r_lo, round(quantile_cont(r_hat, 0.975), 6) AS r_hi FROM r GROUP BY ALL""")
 def b2_b3_bootstrap_intervals(fx):
-    """Pairs drawn anew, thinning kept."""
-    q = E.intervals(_bootstrap(fx, False), ["species", "mut_class"], "r_hat", log_scale=False)
+    """Pairs drawn anew, thinning kept; all pairs of a species in one bin, REPS replicates."""
+    q = E.intervals(_bootstrap(fx), ["species", "mut_class"], "r_hat", log_scale=False)
     return q.select("species", "mut_class", *(r6(F.col(c)).alias(c) for c in ("r_med", "r_lo", "r_hi")))
 
 
+CURVE_REPS = 400
+
+
+def _binned_bootstrap(fx, rethin: bool):
+    """The curve of each species and class on edges fixed by the first thinning, and the same of each replicate by bin: pairs drawn
+    anew, and thinned anew by draw or not."""
+    s = _checkpointed(fx)(fx.block_summary())
+    first = E.thin_counts(E.by_class(s), 0.5, F.lit(SEED), *_IDS)
+    edges = _checkpointed(fx)(first.groupBy("species").agg(E.log_edges("ds_a", 6).alias("e")))
+    cut = lambda t: t.join(F.broadcast(edges), "species").withColumn("bin", E.bin_of("ds_a", "e"))
+    draws = E.resampled(s, "species", ["sample_1", "sample_2"], CURVE_REPS, 123)
+    if rethin:
+        drawn = E.by_class(draws.withColumn("sample_2", F.col("draw").cast("string")))
+        t = E.thin_counts(drawn, 0.5, F.lit(SEED), "rep", "species", "sample_2")
+    else:
+        t = E.thin_counts(E.by_class(draws), 0.5, F.lit(SEED), *_IDS)
+    curve = E.enough_bins(E.pooled_bins(cut(first), ["species", "mut_class"]))
+    return curve, E.pooled_bins(cut(t), ["species", "mut_class", "rep"])
+
+
+def _binned_intervals(fx, rethin: bool):
+    key = ["species", "mut_class", "bin"]
+    curve, reps = _binned_bootstrap(fx, rethin)
+    q = E.intervals(reps, key, "r_hat", log_scale=rethin)
+    return curve.join(q, key, "left").select(*key, "n_pairs", *(r6(F.col(c)).alias(c) for c in ("ds_x", "r_hat", "r_med", "r_lo", "r_hi")))
+
+
+_SPECIES_BINS = """edges_s AS (SELECT species, list_append(list_transform(range(0, 6), lambda i: lo * pow(hi / lo, i / 6)), hi) AS e FROM (SELECT species, min(ds_a) FILTER (ds_a > 0) AS lo, max(ds_a) FILTER (ds_a > 0) AS hi FROM thin GROUP BY species)),
+ bin_s AS (SELECT t.*, CASE WHEN ds_a >= e[1] AND ds_a <= e[-1] THEN CAST(greatest(len(list_filter(e, lambda v: v < ds_a)) - 1, 0) AS BIGINT) END AS bin FROM thin t JOIN edges_s USING (species))"""
+_R_HAT = "CASE WHEN sum(ln) > 0 AND sum(ks_b) > 0 THEN (sum(kn) / sum(ln)) / (sum(ks_b) / sum(ls_b)) END"
+
+
+@query(sql("", "thin")[:-1] + f""", {_SPECIES_BINS},
+ num AS (SELECT species, sample_1, sample_2, row_number() OVER (PARTITION BY species ORDER BY sample_1, sample_2) - 1 AS row_id FROM summary),
+ slots AS (SELECT species, n, rep, unnest(range(0, n)) AS draw FROM (SELECT species, count(*) AS n FROM summary GROUP BY species), range(0, {CURVE_REPS}) r(rep)),
+ draws AS (SELECT species, rep, draw, (('0x' || substr(md5(concat_ws('|', '123', species, rep, draw)), 1, 8))::BIGINT * n) >> 32 AS row_id FROM slots),
+ r AS (SELECT d.species, mut_class, rep, bin, {_R_HAT} AS r_hat FROM draws d JOIN num n ON n.species = d.species AND n.row_id = d.row_id JOIN bin_s t ON t.species = n.species AND t.sample_1 = n.sample_1 AND t.sample_2 = n.sample_2 WHERE bin IS NOT NULL GROUP BY d.species, mut_class, rep, bin),
+ q AS (SELECT species, mut_class, bin, quantile_cont(r_hat, 0.5) AS m, quantile_cont(r_hat, 0.025) AS lo, quantile_cont(r_hat, 0.975) AS hi FROM r GROUP BY ALL),
+ c AS (SELECT species, mut_class, bin, count(*) AS n_pairs, sum(ks_a) / sum(ls_a) AS ds_x, {_R_HAT} AS r_hat FROM bin_s WHERE bin IS NOT NULL GROUP BY ALL),
+ k AS (SELECT DISTINCT species FROM (SELECT species, mut_class FROM c GROUP BY ALL HAVING count(*) >= 3))
+ SELECT c.species, c.mut_class, c.bin, c.n_pairs, round(c.ds_x, 6) AS ds_x, round(c.r_hat, 6) AS r_hat, round(m, 6) AS r_med, round(lo, 6) AS r_lo, round(hi, 6) AS r_hi
+ FROM c JOIN k USING (species) LEFT JOIN q ON q.species = c.species AND q.mut_class = c.mut_class AND q.bin = c.bin""")
+def b2_b3_j17_binned_intervals(fx):
+    """Pairs drawn anew, thinning kept: linear intervals of each bin beside the point estimate. b2_b3_bootstrap_intervals is its
+    small form, one bin a species."""
+    return _binned_intervals(fx, False)
+
+
 @query()
 def b1_b4_j17_s15_rethinned_curves(fx):
-    """Pairs drawn and thinned anew; medians and intervals in log space beside the point estimate."""
-    q = E.intervals(_bootstrap(fx, True), ["species", "mut_class"], "r_hat", log_scale=True)
-    m = E.species_means(_thin(fx), ["species", "mut_class"]).select("species", "mut_class", "ds_x", "n_pairs")
-    return m.join(q, ["species", "mut_class"], "left").select("species", "mut_class", "n_pairs", *(r6(F.col(c)).alias(c) for c in ("ds_x", "r_med", "r_lo", "r_hi")))
+    """Pairs drawn and thinned anew; medians and intervals in log space of each bin beside the point estimate."""
+    return _binned_intervals(fx, True)
 
 
 @query(sql("SELECT species, sample_1, sample_2, rep, CAST(len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402, 0.9999998885745217, 0.9999999899522336, 0.9999999991683892], lambda c: c <= ('0x' || substr(md5(concat_ws('|', '5', rep, species, sample_1, sample_2)), 1, 8))::BIGINT / 4294967296)) AS BIGINT) AS weight FROM pairs, range(0, 5) r(rep)", "pairs"))
