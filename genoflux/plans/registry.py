@@ -649,30 +649,58 @@ def f1_purifying_fit(fx):
     return M.fit_one(_fit_curve(fx), ["mut_class"], lambda ds, p: X.purifying_curve(ds, FD, p), 1e-3, 1e7)
 
 
+FIT_REPS = 600
+
+
 @query()
 def f2_f11_bootstrap_fits(fx):
-    """Fits in each replicate, with their 95 % interval."""
-    t = _bootstrap_curve(fx)
-    fits = M.fit_one(t, ["mut_class", "rep"], lambda ds, p: X.purifying_curve(ds, FD, p), 1e-3, 1e7, n=31, zooms=1)
-    return E.intervals(fits, ["mut_class"], "param", log_scale=True)
+    """95 % intervals over replicates: s/mu of the purifying curve (F2), and alpha2 estimated anew in each replicate with the s1
+    fitted under it (F11)."""
+    key, t = ["mut_class", "rep"], _bootstrap_thinned(fx)
+    c = _checkpointed(fx)(_bootstrap_bins(fx, t))
+    fits = M.fit_one(c, key, lambda ds, p: X.purifying_curve(ds, FD, p), 1e-3, 1e7, n=31, zooms=1)
+    early = _checkpointed(fx)(M.early_share(t, key, 0.15).where("alpha2 is not null").select(*key, "alpha2"))
+    model = lambda ds, p: X.two_class_curve(ds, FD, F.least(F.col("alpha2"), F.lit(FD)), p, 1e7)
+    joint = _checkpointed(fx)(M.fit_one(c.join(early, key), key, model, 1e-2, 1e6, n=31, zooms=1).join(early, key))
+    named = [("s", fits, "param", True), ("alpha2", joint, "alpha2", False), ("s1", joint, "param", True)]
+    out = [E.intervals(d, ["mut_class"], x, log_scale=log).withColumn("name", F.lit(name)) for name, d, x, log in named]
+    return out[0].unionByName(out[1]).unionByName(out[2]).select("mut_class", "name", "r_med", "r_lo", "r_hi")
 
 
-def _bootstrap_curve(fx, reps: int = 10):
-    s = fx.block_summary()
-    draws = E.resampled(s.withColumn("all", F.lit("all")), "all", ["species", "sample_1", "sample_2"], reps, 123)
-    t = E.thin_counts(E.by_class(draws), 0.5, F.lit(SEED), "rep", "species", "sample_1", "sample_2")
+def _bootstrap_thinned(fx, reps: int = FIT_REPS):
+    """Pairs of all species drawn anew in each replicate; every draw of a pair is thinned on its own."""
+    s = _checkpointed(fx)(fx.block_summary()).withColumn("all", F.lit("all"))
+    draws = E.resampled(s, "all", ["species", "sample_1", "sample_2"], reps, 123)
+    return E.thin_counts(E.by_class(draws.withColumn("sample_2", F.col("draw").cast("string"))), 0.5, F.lit(SEED), "rep", "sample_2")
+
+
+def _bootstrap_bins(fx, t):
     e = _thin(fx).agg(E.log_edges("ds_a", 6).alias("e"))
     b = t.crossJoin(F.broadcast(e)).withColumn("bin", E.bin_of("ds_a", "e"))
     return E.usable(E.pooled_bins(b, ["mut_class", "rep"]).where("kn > 0 and ks_b > 0"))
 
 
+def _bootstrap_curve(fx, reps: int = FIT_REPS):
+    return _checkpointed(fx)(_bootstrap_bins(fx, _bootstrap_thinned(fx, reps)))
+
+
 @query()
 def f3_f4_three_class_fit(fx):
-    """alpha1 of the three-class model (fixed s1, s2), on all bins and in replicates."""
+    """alpha1 of the three-class model (fixed s1, s2) on all bins, with its 95 % interval over replicates."""
     model = lambda ds, a: X.three_class_curve(ds, 0.3, a, 10.0, 1e5)
-    whole = M.fit_one(_fit_curve(fx), ["mut_class"], model, 1e-3, 0.7).withColumn("rep", F.lit(-1))
+    whole = M.fit_one(_fit_curve(fx), ["mut_class"], model, 1e-3, 0.7)
     reps = M.fit_one(_bootstrap_curve(fx), ["mut_class", "rep"], model, 1e-3, 0.7, n=31, zooms=1)
-    return whole.unionByName(reps.select(*whole.columns))
+    return whole.join(E.intervals(reps, ["mut_class"], "param", log_scale=False), "mut_class", "left")
+
+
+@query()
+def f7_class_fits(fx):
+    """s/mu of the purifying curve for each class with the deleterious share of its own (F6), and its 95 % interval."""
+    fd = _checkpointed(fx)(M.deleterious_share(_thin(fx).where("ds_a > 0"), ["mut_class"]))
+    model = lambda ds, p: X.purifying_curve(ds, F.col("fd"), p)
+    whole = M.fit_one(_fit_curve(fx).join(F.broadcast(fd), "mut_class"), ["mut_class"], model, 1e-3, 1e7)
+    reps = M.fit_one(_bootstrap_curve(fx).join(F.broadcast(fd), "mut_class"), ["mut_class", "rep"], model, 1e-3, 1e7, n=31, zooms=1)
+    return fd.join(whole, "mut_class").join(E.intervals(reps, ["mut_class"], "param", log_scale=True), "mut_class", "left")
 
 
 _THREE = f"(0.3 + (0.7 - a) * {_DECAY.format('10.0 * ds_x / 2')} + a * {_DECAY.format('s * ds_x / 2')})"
@@ -681,13 +709,28 @@ _THREE = f"(0.3 + (0.7 - a) * {_DECAY.format('10.0 * ds_x / 2')} + a * {_DECAY.f
 @query(sql("", "curve")[:-1] + f""", {_GOOD}, l AS (SELECT s, a, sum(w * r * r) / sum(w) AS loss FROM (SELECT s, a, 1 / (1 / kn + 1 / ks_b) AS w, ln(r_hat) - ln({_THREE}) AS r FROM good, {_grid_sql(1e-2, 0.69, 20, "a")}, {_grid_sql(1e2, 1e6, 12, "s")} WHERE mut_class = 'all') GROUP BY ALL)
  SELECT round(s, 3) AS s2, round(min(loss), 6) AS best, round(max(loss), 6) AS worst FROM l GROUP BY s""")
 def f5_loss_surface(fx):
-    """Loss over alpha2 and s2 of the three-class model."""
+    """Loss over alpha2 and s2 of the three-class model; a small form of f5_full_loss_surface."""
     params = M.grid(fx.spark, 1e-2, 0.69, 20, "alpha2").crossJoin(M.grid(fx.spark, 1e2, 1e6, 12, "s2"))
     losses = M.loss_table(_fit_curve(fx).where("mut_class = 'all'"), params, [], ["alpha2", "s2"], lambda ds: X.three_class_curve(ds, F.lit(0.3), F.lit(0.7) - F.col("alpha2"), 10.0, F.col("s2")))
     out = M.surface(losses, ["s2"], "alpha2")
     return out.select(F.round("s2", 3).alias("s2"), r6(F.col("best")).alias("best"), r6(F.col("worst")).alias("worst"))
 
 
+_THREE_S1 = _THREE.replace("10.0 * ds_x", "s1 * ds_x")
+
+
+@query(sql("", "curve")[:-1] + f""", {_GOOD}, l AS (SELECT s1, s, a, round(sum(w * r * r) / sum(w), 12) AS loss FROM (SELECT s1, s, a, 1 / (1 / kn + 1 / ks_b) AS w, ln(r_hat) - ln({_THREE_S1}) AS r FROM good, {_grid_sql(1e-2, 0.7, 100, "a")}, {_grid_sql(1e3, 1e8, 100, "s")}, (SELECT unnest([1e3, 1e4, 1e5]) AS s1) WHERE mut_class = 'all') GROUP BY ALL)
+ SELECT s1, round(s, 3) AS s2, round(min(loss), 6) AS best, round(max(loss), 6) AS worst, round(arg_min(a, {{'loss': loss, 'a': a}}), 6) AS best_alpha2 FROM l GROUP BY s1, s""")
+def f5_full_loss_surface(fx):
+    """The surveyed surface: 100 alpha2 by 100 s2 by 3 s1, and the alpha2 of least loss for each s1 and s2. Losses are compared to
+    12 places, as alpha2 has no effect where s2 equals s1."""
+    s1 = F.explode(F.array(*map(F.lit, (1e3, 1e4, 1e5)))).alias("s1")
+    params = M.grid(fx.spark, 1e-2, 0.7, 100, "alpha2").crossJoin(M.grid(fx.spark, 1e3, 1e8, 100, "s2")).select("*", s1)
+    losses = M.loss_table(_fit_curve(fx).where("mut_class = 'all'"), params, [], ["alpha2", "s1", "s2"], lambda ds: X.three_class_curve(ds, F.lit(0.3), F.lit(0.7) - F.col("alpha2"), F.col("s1"), F.col("s2")))
+    out = M.surface(losses.withColumn("loss", F.round("loss", 12)), ["s1", "s2"], "alpha2")
+    return out.select("s1", F.round("s2", 3).alias("s2"), *(r6(F.col(c)).alias(c) for c in ("best", "worst", "best_alpha2")))
+
+
 @query(sql("SELECT mut_class, round(least(greatest(1 - (sum(kn) / sum(ln)) / (sum(ks_b) / sum(ls_b)), 0.0), 0.999999), 6) AS fd FROM thin WHERE ds_a > 0 GROUP BY mut_class", "thin"))
 def f6_deleterious_share(fx):
     return M.deleterious_share(_thin(fx).where("ds_a > 0"), ["mut_class"]).select("mut_class", r6(F.col("fd")).alias("fd"))
