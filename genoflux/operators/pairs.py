@@ -179,3 +179,16 @@ def unrelated_samples(samples: DataFrame, similarity: DataFrame, seed_set: DataF
     pool = samples.select(*key).join(seeded, "species", "left_semi").join(seed_set.select(*key), key, "left_anti").join(touched, key, "left_anti")
     c = near.where("sample_a < sample_b").select(F.struct("species", F.col("sample_a").alias("sample_id")).alias("earlier"), F.struct("species", F.col("sample_b").alias("sample_id")).alias("later"))
     return seed_set.select(*key).unionByName(independent(pool, checkpoint(c), key, checkpoint))
+
+
+def clonal_selection(clonal: DataFrame, similarity: DataFrame, samples: DataFrame, checkpoint, floor: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Clonal pairs and samples that prevalence is counted on: species of `floor` pairs or more (G11), one pair of each clonal
+    cluster (J14), the floor again, and the samples of those pairs grown by unrelated ones (J15)."""
+
+    def enough(pairs: DataFrame) -> DataFrame:
+        return pairs.join(pairs.groupBy("species").count().where(F.col("count") >= floor).select("species"), "species", "left_semi")
+
+    similarity = checkpoint(similarity)
+    kept = checkpoint(enough(checkpoint(deduplicated_pairs(checkpoint(enough(clonal)), similarity, 0.2, checkpoint))))
+    first = checkpoint(kept.select("species", F.explode(F.array("sample_1", "sample_2")).alias("sample_id")).distinct())
+    return kept, checkpoint(unrelated_samples(samples, similarity, first, 0.5, checkpoint))

@@ -806,10 +806,33 @@ def v5_v7_v8_j9_spectrum(fx):
     return _spectrum(fx).select("species", "set", "site_type", "label", "total", "n", r6(F.col("proportion")).alias("proportion"))
 
 
+def _selection(fx):
+    """Pairs and samples of V1, V7 and V8."""
+    return P.clonal_selection(P.clonal_pairs(fx.pairs(), fx.transfers()), fx.similarity(), fx.samples(), _checkpointed(fx))
+
+
+def _selected_spectrum(fx):
+    pairs, samples = _selection(fx)
+    return V.selected_spectrum(fx.genotypes(), fx.sites(), pairs, samples)
+
+
+@query()
+def v1_j14_deduplicated_clonal_snvs(fx):
+    """Clonal SNVs of the deduplicated clonal pairs; tested against a loop. v1_clonal_snvs takes all pairs."""
+    return V.clonal_snvs(P.pair_sites(_selection(fx)[0], fx.genotypes()))
+
+
+@query()
+def v7_v8_g11_selected_spectrum(fx):
+    """The spectrum over deduplicated clonal pairs and unrelated samples of species with enough pairs; tested against a loop.
+    v5_v7_v8_j9_spectrum takes all pairs and samples."""
+    return _selected_spectrum(fx).select("species", "set", "site_type", "label", "total", "n", r6(F.col("proportion")).alias("proportion"))
+
+
 @query()
 def v6_poisson_errors(fx):
-    """Tested against cumulated pmf values."""
-    return V.poisson_interval(_spectrum(fx)).select("species", "set", "site_type", "label", "n", "k_lo", "k_hi", r6(F.col("err_lo")).alias("err_lo"), r6(F.col("err_hi")).alias("err_hi"))
+    """Errors of the selected spectrum. Tested against cumulated pmf values."""
+    return V.poisson_interval(_selected_spectrum(fx)).select("species", "set", "site_type", "label", "n", "k_lo", "k_hi", r6(F.col("err_lo")).alias("err_lo"), r6(F.col("err_hi")).alias("err_hi"))
 
 
 # --- 2.9 functions, 2.10 statistics ----------------------------------------------------------------------------------------------
