@@ -84,10 +84,14 @@ class Fixture:
         return P.pair_sites(self.pairs(), self.genotypes())
 
     @_once
-    def annotated(self) -> DataFrame:
+    def site_table(self) -> DataFrame:
+        """Pair sites with site types, opportunities and SNV types."""
         sites = self.sites().join(S.opportunities(self.mutations()), ["contig", "location"], "left")
-        x = self.pair_sites().join(F.broadcast(sites), ["contig", "location"]).join(S.snv_types(self.alleles(), self.mutations()).select(*S.SITE, "mut_type"), S.SITE, "left")
-        return P.in_segments(x, self.transfers())
+        return self.pair_sites().join(F.broadcast(sites), ["contig", "location"]).join(S.snv_types(self.alleles(), self.mutations()).select(*S.SITE, "mut_type"), S.SITE, "left")
+
+    @_once
+    def annotated(self) -> DataFrame:
+        return P.in_segments(self.site_table(), self.transfers())
 
     @_once
     def summary(self) -> DataFrame:

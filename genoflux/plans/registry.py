@@ -16,7 +16,7 @@ from ..operators import sites as S
 from ..operators import stats as K
 from ..sources import tables as T
 from .fixture import SEED, Fixture, base_no
-from .sql import sql
+from .sql import _summary_columns, sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -277,13 +277,24 @@ def j3_core_segments(fx):
     return P.in_segments(x, fx.transfers()).where("inside").select(*_IDS, "core_pos")
 
 
+def _reference_segments(fx):
+    return fx.transfers().join(F.broadcast(fx.sites().select(F.col("core_pos").alias("start_pos"), "contig", F.col("location").alias("ref_start"))), "start_pos").withColumn("ref_end", F.col("ref_start") + 300)
+
+
 @query(sql("""SELECT DISTINCT p.species, p.sample_1, p.sample_2, p.contig, p.location FROM psites p JOIN sites USING (contig, location)
     JOIN (SELECT t.species, t.sample_1, t.sample_2, a.contig, a.location AS lo, a.location + 300 AS hi FROM transfers t JOIN sites a ON a.core_pos = t.start_pos) x
     ON x.species = p.species AND x.sample_1 = p.sample_1 AND x.sample_2 = p.sample_2 AND x.contig = p.contig AND p.location BETWEEN x.lo AND x.hi""", "psites", "sites", "transfers"))
 def j4_g9_reference_segments(fx):
     """Segments on (contig, location), closed on both sides."""
-    seg = fx.transfers().join(F.broadcast(fx.sites().select(F.col("core_pos").alias("start_pos"), "contig", F.col("location").alias("ref_start"))), "start_pos").withColumn("ref_end", F.col("ref_start") + 300)
-    return P.in_reference_segments(fx.pair_sites(), seg).where("inside").select(*_IDS, "contig", "location")
+    return P.in_reference_segments(fx.pair_sites(), _reference_segments(fx)).where("inside").select(*_IDS, "contig", "location")
+
+
+@query(sql("", "annotated")[:-1] + f""", segments AS (SELECT t.species, t.sample_1, t.sample_2, a.contig, a.location AS lo, a.location + 300 AS hi FROM transfers t JOIN sites a ON a.core_pos = t.start_pos),
+ legacy AS (SELECT a.* EXCLUDE (inside), EXISTS (SELECT 1 FROM segments x WHERE x.species = a.species AND x.sample_1 = a.sample_1 AND x.sample_2 = a.sample_2 AND x.contig = a.contig AND a.location BETWEEN x.lo AND x.hi) AS inside FROM annotated a)
+ SELECT species, sample_1, sample_2, {_summary_columns()} FROM legacy GROUP BY species, sample_1, sample_2""")
+def g9_reference_summary(fx):
+    """The pair summary with segments in reference coordinates; j4_g9_reference_segments has the sites inside."""
+    return P.summary(P.in_reference_segments(fx.site_table(), _reference_segments(fx)))
 
 
 @query(sql("SELECT species, sample_1, sample_2 FROM pairs EXCEPT SELECT species, sample_1, sample_2 FROM transfers", "pairs", "transfers"))
