@@ -159,15 +159,25 @@ def s10_genes(fx):
     return read.select("contig", F.col("end").alias("n"), "strand")
 
 
+def _matrices(fx, similarity):
+    index = similarity.select("species", F.col("sample_a").alias("sample_id")).distinct().withColumn("position", F.row_number().over(Window.partitionBy("species").orderBy("sample_id")) - 1)
+    # the positions are worked out once for writing and reading
+    index = _checkpointed(fx)(index)
+    path: list[str] = []
+    T.write_matrices(similarity, index, lambda rows: path.append(_written(fx, rows, lambda w, p: w.partitionBy("species").text(p))))
+    return T.read_matrices(fx.spark, path[0], index).where("frac is not null").withColumn("frac", r6(F.col("frac")))
+
+
+@query(sql("SELECT species, sample_a, sample_b, round(frac, 6) AS frac FROM similarity", "similarity"))
+def s9_similarity_matrices(fx):
+    """The matrices of all species -> labelled pairs."""
+    return _matrices(fx, fx.similarity())
+
+
 @query(sql("SELECT sample_a, sample_b, round(frac, 6) AS frac FROM similarity WHERE species = 'ASIA'", "similarity"))
 def s9_similarity_matrix(fx):
-    """Headerless matrix of one species -> labelled pairs."""
-    s = fx.similarity().where("species = 'ASIA'")
-    index = s.select(F.col("sample_a").alias("sample_id")).distinct().withColumn("position", (F.row_number().over(Window.orderBy("sample_id")) - 1))
-    full = index.select(F.col("sample_id").alias("sample_a"), F.col("position").alias("i")).crossJoin(index.select(F.col("sample_id").alias("sample_b"), F.col("position").alias("j"))).join(s, ["sample_a", "sample_b"], "left")
-    rows = full.groupBy("i").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("j", F.coalesce(F.col("frac").cast("string"), F.lit("")).alias("v")))), lambda x: x["v"]), ",").alias("value"))
-    path = _written(fx, rows.orderBy("i").coalesce(1).select("value"), lambda w, p: w.text(p))
-    return T.read_matrix(fx.spark, path, index).where("frac is not null").select("sample_a", "sample_b", r6(F.col("frac")).alias("frac"))
+    """The matrix of one species -> labelled pairs; s9_similarity_matrices has all."""
+    return _matrices(fx, fx.similarity().where("species = 'ASIA'")).drop("species")
 
 
 @query(sql("SELECT species, sample_1, sample_2 FROM pairs", "pairs"))

@@ -56,6 +56,25 @@ def read_matrix(spark: SparkSession, path: str, sample_index: DataFrame, sep: st
     return cells.join(a, "i").join(b, "j").select("sample_a", "sample_b", F.col("frac").cast("double").alias("frac"))
 
 
+def write_matrices(similarity: DataFrame, sample_index: DataFrame, writer) -> None:
+    """One folder a species, one line a row of its matrix: the row's position, a tab, and the cells. `writer` takes the lines.
+
+    similarity: species, sample_a, sample_b, frac; sample_index: species, position, sample_id."""
+    a, b = (sample_index.select("species", F.col("sample_id").alias(n), F.col("position").alias(p)) for n, p in (("sample_a", "i"), ("sample_b", "j")))
+    cells = a.join(b, "species").join(similarity, ["species", "sample_a", "sample_b"], "left")
+    cell = F.struct("j", F.coalesce(F.col("frac").cast("string"), F.lit("")).alias("v"))
+    rows = cells.groupBy("species", "i").agg(F.array_join(F.transform(F.sort_array(F.collect_list(cell)), lambda x: x["v"]), ",").alias("cells"))
+    writer(rows.select("species", F.concat_ws("\t", F.col("i").cast("string"), "cells").alias("value")))
+
+
+def read_matrices(spark: SparkSession, path: str, sample_index: DataFrame, sep: str = ",") -> DataFrame:
+    """What write_matrices wrote -> species, sample_a, sample_b, frac; a row at a time, empty cells as null."""
+    lines = spark.read.schema("value string, species string").text(path)
+    cells = lines.select("species", F.split("value", "\t")[0].cast("int").alias("i"), F.posexplode(F.split(F.split("value", "\t")[1], sep)).alias("j", "frac"))
+    a, b = (sample_index.select("species", F.col("position").alias(p), F.col("sample_id").alias(n)) for p, n in (("i", "sample_a"), ("j", "sample_b")))
+    return cells.join(a, ["species", "i"]).join(b, ["species", "j"]).select("species", "sample_a", "sample_b", F.when(F.col("frac") != "", F.col("frac")).cast("double").alias("frac"))
+
+
 def named_pairs(close_pairs: DataFrame, sample_index: DataFrame) -> DataFrame:
     """Pairs of sample positions (species, i, j) -> sample ids."""
     a, b = (sample_index.select("species", F.col("position").alias(p), F.col("sample_id").alias(n)) for p, n in (("i", "sample_1"), ("j", "sample_2")))
