@@ -18,7 +18,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 #: Rows and bytes of an Arrow batch of texts, so that a worker holds few texts at a time however long they are.
-BATCH_ROWS, BATCH_BYTES = 2000, "16m"
+BATCH_ROWS, BATCH_BYTES = 1000, "4m"
 
 
 def lean_batches(spark: SparkSession) -> None:
@@ -29,28 +29,55 @@ def lean_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+_held: dict = {}
+
+
+def held_by_worker(key, make):
+    """make()'s object, which a Python worker holds for its next tasks. It holds one such object at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    """Called where a task needs no such object: what earlier operators left in this worker is freed."""
+    _held.clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (local runs and tests), a
-    temporary folder of this machine."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, in local mode (tests), a
+    temporary folder of this machine. On a cluster an unset folder is an error, as executors don't see each other's disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='genoflux-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder. They cut lineage: a lost executor costs a reread, not a recomputation."""
+    """Tables written to the shared folder. They cut lineage: a lost executor costs a reread, not a recomputation. Those that
+    aren't dropped before are deleted when the driver ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/genoflux-{uuid.uuid4().hex}"
         self.n = 0
 
+    def _path(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
+        if self.n == 1:
+            top, files = self._path(self.root)
+            files.deleteOnExit(top)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
@@ -58,8 +85,8 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = self._path(t.scratch_path)
+            files.delete(path, True)
 
 
 # --- words and shingles -------------------------------------------------------------------------------------------
@@ -107,7 +134,7 @@ def powers(base: int, n: int) -> np.ndarray:
             out[done : 2 * done] = out[:done] * step
             done *= 2
         have = out
-        if size <= 1 << 22:  # larger ones, for very long texts, aren't kept
+        if size <= 1 << 20:  # larger ones, for very long texts, aren't kept
             _powers[base] = have
     return have[:n]
 

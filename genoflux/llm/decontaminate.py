@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, Words, lean_batches, word_chunks
+from .common import ALNUM_WORDS, Words, lean_batches, let_go, word_chunks
 
 SHINGLE = 3
 #: Windows broadcast at a time; each holds some hundred bytes in a worker.
@@ -105,21 +105,28 @@ def occurrences(docs: DataFrame, items: list[list[str]]) -> dict[int, int]:
             yield pa.RecordBatch.from_arrays([pa.array(x[found].view(np.int64)), pa.array(total[k][found])], ["token", "n"])
 
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return {t % (1 << 64): n for batch in counted.toArrow().to_batches() for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
+    found = {t % (1 << 64): n for batch in counted.toArrow().to_batches() for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
+    sorted_tokens.destroy()
+    return found
 
 
 def _blocks(items: DataFrame, width: int, most: int):
-    """Items in blocks of at most `most` windows, in order of id. The driver holds one block of item texts at a time."""
+    """Items in blocks of at most `most` windows, in order of id; a longer item goes into several. The driver holds one block of
+    item texts at a time."""
     held, size = [], 0
     rows = items.select(F.col("item_id").alias("item_id"), F.col("text").cast("string").alias("text")).orderBy(F.col("item_id").cast("string"))
     for row in rows.toLocalIterator():
         words = item_words(row.text)
-        if words and row.item_id is not None:
-            n = max(1, len(words) - width + 1)
+        if row.item_id is None:
+            continue
+        # a long item is split where windows begin, so that each part is within the bound and no window is lost
+        for at in range(0, max(1, len(words) - width + 1) if words else 0, most):
+            part = words[at : at + most + width - 1]
+            n = max(1, len(part) - width + 1)
             if held and size + n > most:
                 yield held
                 held, size = [], 0
-            held.append((row.item_id, words))
+            held.append((row.item_id, part))
             size += n
     if held:
         yield held
@@ -153,6 +160,7 @@ def _search(held):
         import pyarrow as pa
 
         block = held.value
+        let_go()
         for b in batches:
             *kept, text, _, runs, items = b.columns
             runs, items = runs.to_pylist(), items.to_pylist()

@@ -2,31 +2,31 @@
 
 Bytes (A-Z lower-cased) are embedded, convolved with filters of several widths, max-pooled over a window and put through a
 softmax. A text is cut into consecutive windows of fixed length, all of it; its probabilities are the windows' mean, weighted by
-their bytes. The network is trained on the driver from a sample of labelled rows: at most PER_LANGUAGE rows a language and
-WINDOWS windows a row, a bound that does not grow with the input. Everything else covers all rows.
+their bytes. The network is trained on the driver from a bounded sample of labelled rows: `per_language` rows of each of the
+`most_languages` most frequent languages and WINDOWS windows a row, parameters of `fit`. Everything else covers all rows.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean_batches
+from .common import lean_batches, let_go
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 #: Places of a window at which all filters are applied.
 PLACES = WINDOW - 3
 DIM, FILTERS = 8, 16
-#: Bounds of the training sample.
+#: Bounds of the training sample: rows a language, windows a row, languages.
 PER_LANGUAGE, WINDOWS, MOST_LANGUAGES = 400, 3, 200
 EPOCHS, BATCH, RATE, SEED = 6, 64, 2e-3, 7
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -124,13 +124,14 @@ def _padded(data: bytes) -> np.ndarray:
     return x
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> ByteNet | None:
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> ByteNet | None:
     """Trained from rows (doc_id, text, lang) with a lang and a letter in the text; None if there are none.
 
     Of each language the rows of lowest hash are taken, `per_language` at most, and WINDOWS windows at hashed places of each.
+    Both bounds are of the labelled sample alone: a language beyond the `most_languages` most frequent ones is not learned.
     """
     rows = labelled.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     if not counts:
         return None
     u = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30))
@@ -163,6 +164,7 @@ def predictions(docs: DataFrame, net: ByteNet | None) -> DataFrame:
         import pyarrow as pa
 
         net = held.value
+        let_go()
         for b in batches:
             texts = b.column(at).to_pylist()
             pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))

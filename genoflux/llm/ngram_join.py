@@ -9,11 +9,13 @@ floor(n * (2 - 2t)) on twice that plus the partner's own misses.
  - If the set has more than `miss` tokens of class 0 and 1, its prefix is the first miss + 1 of them, each a signature.
    Tokens of class 0 are in no other set, so they count but need not be sent.
  - Else all of its r such tokens are signatures, and the prefix is extended by wide - 2r + 2 frequent tokens; each
-   2-combination of neighbours among these is a signature. A token that only one side has breaks at most two of the
-   other's combinations, so a linked pair shares a single token or a combination.
+   2-combination of neighbours among these is a signature (k is 2 for all frequent tokens). A token that only one side has
+   breaks at most two of the other's combinations, so a linked pair shares a single token or a combination.
 Two linked sets always share a signature: take the one whose prefix ends first; what the other shares of it lies in the
 other's prefix too. The classes decide speed only, never results, so they may come from hashed counts: frequency counts
-cover all tokens of all documents, and are kept as two bit tables of fixed size which every task reads.
+cover all tokens of all documents, and are kept as two bit tables of bounded size which every task reads. Where more tokens are
+in over RARE sets than the frequent table can tell apart, the count from which a token is frequent doubles until they fit, so
+that table never fills up. The other table may: then tokens of class 0 read as rare, and a set sends up to miss + 1 signatures.
 
 Two sets that meet under a combination have no rare token in common, or they would meet under that one as well; so a posting
 carries `most`, the tokens its set can have in common with a partner under that signature, and pairs that this bound (and the
@@ -35,14 +37,17 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, Scratch, lean_batches, mix, word_chunks
+from .common import SPACE_WORDS, Scratch, lean_batches, let_go, mix, word_chunks
 from .components import components
 
+#: A token in more sets than that is frequent (or in twice, four times, ... as many, see above).
 RARE = 8
 #: Most bits of the table of tokens in two sets or more, and of that of frequent tokens: 32 and 8 MiB, whatever the input.
 #: Smaller inputs take 16 and 4 bits a token.
 SHARED_BITS = 1 << 28
 FREQUENT_BITS = 1 << 26
+#: Bits for each frequent token, at least.
+ROOM = 4
 #: Tokens that one task counts before it sends them on, and that one counting group gets.
 FLUSH = 1 << 20
 RANGE = 1 << 20
@@ -85,21 +90,23 @@ def _bit(key: np.ndarray, size: int) -> np.ndarray:
     return (mix(key.astype(np.uint64)) % np.uint64(8 * size)).astype(np.int64)
 
 
-def node_rows(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, node (null for an empty set), n_shingles, for every row."""
+def node_rows(docs: DataFrame, k: int, row=None) -> DataFrame:
+    """doc_id, row (a long column of the caller's; else null), node (null for an empty set), n_shingles, for every row."""
 
     def run(batches):
         import pyarrow as pa
 
+        let_go()
         for batch in batches:
             node, n = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             for row, tokens in token_sets(batch.column(1), k):
                 n[row] = len(tokens)
                 if len(tokens):
                     node[row] = set_hash(tokens).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, mask=n == 0), pa.array(n)], ["doc_id", "node", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node, mask=n == 0), pa.array(n)], ["doc_id", "row", "node", "n_shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, n_shingles long")
+    row = (F.lit(None) if row is None else row).cast("long").alias("row")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row).mapInArrow(run, "doc_id long, row long, node long, n_shingles long")
 
 
 def _sizes(total: int, n_ranges: int) -> tuple[int, int]:
@@ -126,7 +133,8 @@ def _marked(table: np.ndarray, bits) -> np.ndarray:
 
 
 def _counted(sets, n_ranges: int):
-    """Token arrays -> record batches of counting groups: tokens seen once, tokens seen more often, and how often."""
+    """Token arrays -> record batches of counting groups: tokens seen once, tokens seen more often, and how often. Groups without
+    a token here have no row, so there are never more rows than tokens."""
     import pyarrow as pa
 
     held, size = [], 0
@@ -134,15 +142,14 @@ def _counted(sets, n_ranges: int):
     def flush():
         h, count = np.unique(np.concatenate(held), return_counts=True)
         group, key = _place(h, n_ranges)
-        order = np.argsort(group, kind="stable")
-        key, count = key[order], count[order].astype(np.uint32)
-        at = np.searchsorted(group[order], np.arange(n_ranges + 1))
-        out = []
-        for g in range(n_ranges):
-            x, c = key[at[g] : at[g + 1]], count[at[g] : at[g + 1]]
-            many = c > 1
-            out.append((x[~many].tobytes(), x[many].tobytes(), c[many].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(range(n_ranges), pa.int64()), *(pa.array(col, pa.binary()) for col in zip(*out))], ["part", "once", "more", "times"])
+        many = count > 1
+        order = np.lexsort((many, group))
+        group, key, count, many = group[order], key[order], count[order].astype(np.uint32), many[order]
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        end = np.r_[first[1:], len(group)]
+        split = end - np.add.reduceat(many.astype(np.int64), first)
+        out = [(key[a:m].tobytes(), key[m:e].tobytes(), count[m:e].tobytes()) for a, m, e in zip(first.tolist(), split.tolist(), end.tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(group[first], pa.int64()), *(pa.array(col, pa.binary()) for col in zip(*out))], ["part", "once", "more", "times"])
 
     for tokens in sets:
         held.append(tokens)
@@ -154,7 +161,7 @@ def _counted(sets, n_ranges: int):
         yield flush()
 
 
-def count_tables(docs: DataFrame, copied: DataFrame, k: int, n_ranges: int, sizes: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+def count_tables(docs: DataFrame, copied: DataFrame, k: int, n_ranges: int, sizes: tuple[int, int], scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """The bit tables of shared and of frequent tokens. Each is made of one segment a counting group.
 
     Every set counts once. copied: doc_id of documents whose set other documents have too; these (and the few that share a bit
@@ -191,7 +198,7 @@ def count_tables(docs: DataFrame, copied: DataFrame, k: int, n_ranges: int, size
 
     shared_size, frequent_size = sizes
 
-    def tables(key, table):
+    def counts_of(key, table):
         import pyarrow as pa
 
         once, more, times = [], [], []
@@ -205,29 +212,66 @@ def count_tables(docs: DataFrame, copied: DataFrame, k: int, n_ranges: int, size
         c = np.concatenate([np.ones(len(ones), np.int64), *times])
         order = np.argsort(x, kind="stable")
         x, c = x[order], c[order]
-        at = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, np.int64)
-        total = np.add.reduceat(c, at) if len(x) else c
+        at = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+        total = np.add.reduceat(c, at)
         x = x[at]
-        out = []
-        for least, size in ((2, shared_size), (RARE + 1, frequent_size)):
-            bits = np.zeros(8 * size, bool)
-            bits[_bit(x[total >= least], size)] = True
-            out.append(np.packbits(bits, bitorder="little").tobytes())
-        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), *(pa.array([x], pa.binary()) for x in out)], ["part", "shared", "frequent"])
+        often = total > RARE
+        out = [_packed(x[total >= 2], shared_size), x[often].tobytes(), total[often].tobytes()]
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), *(pa.array([x], pa.binary()) for x in out)], ["part", "shared", "often", "times"])
 
     counts = "part long, once binary, more binary, times binary"
     read = docs.select(F.col("text").cast("string").alias("text"), _doc_bit().alias("bit"))
     once = read.mapInArrow(copies, "node long, tokens binary").groupBy("node").agg(F.any_value("tokens").alias("tokens"))
     sent = read.mapInArrow(alone, counts).unionByName(once.select("tokens").mapInArrow(pack, counts))
+    counted = scratch.write(sent.groupBy("part").applyInArrow(counts_of, "part long, shared binary, often binary, times binary"))
+    marks.destroy()
+    least = _least_frequent(counted)
+
+    def segments(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            bits = [_packed(np.frombuffer(x.as_buffer(), np.uint32)[np.frombuffer(c.as_buffer(), np.int64) > least], frequent_size) for x, c in zip(b.column(2), b.column(3))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.binary())], ["part", "shared", "frequent"])
+
     shared, frequent = np.zeros(n_ranges * shared_size, np.uint8), np.zeros(n_ranges * frequent_size, np.uint8)
-    for batch in sent.groupBy("part").applyInArrow(tables, "part long, shared binary, frequent binary").toArrow().to_batches():  # 40 MiB at most
+    for batch in counted.mapInArrow(segments, "part long, shared binary, frequent binary").toArrow().to_batches():  # 40 MiB at most
         for part, x, y in zip(*(batch.column(i) for i in range(3))):
             part = part.as_py()
             shared[part * shared_size : (part + 1) * shared_size] = np.frombuffer(x.as_buffer(), np.uint8)
             frequent[part * frequent_size : (part + 1) * frequent_size] = np.frombuffer(y.as_buffer(), np.uint8)
+    scratch.drop(counted)
     return shared, frequent
 
 
+def _packed(keys: np.ndarray, size: int) -> bytes:
+    bits = np.zeros(8 * size, bool)
+    bits[_bit(keys, size)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _least_frequent(counted: DataFrame) -> int:
+    """The count above which a token is frequent: RARE, doubled until such tokens have ROOM bits each in the largest table."""
+
+    def levels(batches):
+        import pyarrow as pa
+
+        n = np.zeros(64, np.int64)
+        for b in batches:
+            for c in b.column(0):
+                times = np.frombuffer(c.as_buffer(), np.int64)
+                # level i: more than RARE * 2 ** i, and no more than twice that
+                n += np.bincount(np.frexp((times - 1) // RARE)[1] - 1, minlength=64)[:64]
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["level", "n"])
+
+    n = {r.level: r.n for r in counted.select("times").mapInArrow(levels, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()}  # 64 rows at most
+    level = 0
+    while ROOM * sum(x for i, x in n.items() if i >= level) > FREQUENT_BITS:
+        level += 1
+    return RARE << level
+
+
 def _test(table: np.ndarray, group: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
     bit = _bit(key, size)
     return (table[group * size + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1 == 1
@@ -280,7 +324,7 @@ def postings(docs: DataFrame, k: int, t: Fraction, n_ranges: int, sizes: tuple[i
 
 
 def _sets_of(docs: DataFrame, k: int, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, tokens (binary), sketch of the nodes in `wanted` (doc_id, node: one document of each).
+    """node, tokens (binary), sketch of the nodes in `wanted` (doc_id, node: one document of each; its doc_id may be null).
 
     sketch: the parity of the number of tokens in each of SKETCH hashed cells. Two sets differ in at least as many tokens as
     their sketches differ in bits.
@@ -313,7 +357,10 @@ def _sets_of(docs: DataFrame, k: int, wanted: DataFrame, scratch: Scratch) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _doc_bit().alias("bit")).mapInArrow(run, "doc_id long, node long, tokens binary, sketch array<long>")
-    return scratch.write(made.join(wanted, ["doc_id", "node"], "left_semi").select("node", "tokens", "sketch").dropDuplicates(["node"]))
+    exact = made["doc_id"].eqNullSafe(wanted["doc_id"]) & (made["node"] == wanted["node"])
+    out = scratch.write(made.join(wanted, exact, "left_semi").select("node", "tokens", "sketch").dropDuplicates(["node"]))
+    held.destroy()
+    return out
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
@@ -347,40 +394,54 @@ def _fits(n: str, m: str, most_n: str, most_m: str, t: Fraction):
     return most * (t.numerator + t.denominator) >= (n + m) * t.numerator
 
 
+def _band(n: str, t: Fraction):
+    """Sets whose lengths can reach the threshold are in one band or in neighbouring ones (bands are a little wider than needed)."""
+    return F.floor(F.log(n) / (1.0001 * math.log(1 / t))).cast("int") if t < 1 else F.col(n)
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: float | str = "0.8") -> DataFrame:
     """One row for each row of `docs` (doc_id, text; others are ignored): doc_id, n_shingles, component_id.
 
     component_id is the least doc_id reachable over links, itself included. A null or empty text, or one of blanks alone,
     has n_shingles 0, links with nothing and is its own component. A null doc_id is ordered last: it never names a
-    component that has another id. Rows that repeat a doc_id are rows of their own. An empty table gives an empty table.
+    component that has another id, but its text links like any other. Rows that repeat a doc_id are rows of their own, each with
+    its text's component. Whole texts count, however long. An empty table gives an empty table.
     """
+    return linked_rows(docs, k, threshold).select("doc_id", "n_shingles", "component_id")
+
+
+def linked_rows(docs: DataFrame, k: int = 5, threshold: float | str = "0.8", row=None) -> DataFrame:
+    """`jaccard_components` with two more columns: row, a long column of the caller's over `docs` (else null), and root, one number
+    for each component (null for an empty set)."""
     spark: SparkSession = docs.sparkSession
     t = Fraction(str(threshold))
     lean_batches(spark)
     scratch = Scratch(spark)
-    rows = scratch.write(node_rows(docs, k))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    several = rows.where("node is not null").groupBy("node").count().where(F.col("count") > 1).select("node")
-    copied = rows.join(several, "node", "left_semi").select("doc_id")
+    rows = scratch.write(node_rows(docs, k, row))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.count("*").alias("rows"))
+    nodes = scratch.write(nodes)
+    copied = rows.join(nodes.where("rows > 1").select("node"), "node", "left_semi").select("doc_id")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     n_ranges = max(1, math.ceil(total / RANGE))
     sizes = _sizes(total, n_ranges)
-    tables = spark.sparkContext.broadcast(count_tables(docs, copied, k, n_ranges, sizes)) if total else None
-    if tables is None:
-        return rows.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    if not total:
+        return rows.select("doc_id", "row", "n_shingles", F.col("node").alias("root"), F.col("doc_id").alias("component_id"))
 
-    sent = postings(docs, k, t, n_ranges, sizes, tables)
+    tables = spark.sparkContext.broadcast(count_tables(docs, copied, k, n_ranges, sizes, scratch))
+    sent = scratch.write(postings(docs, k, t, n_ranges, sizes, tables))
+    tables.destroy()
     central = F.struct((F.col("n") - F.col("most")).alias("rare"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("most").alias("most"))
     lead = sent.groupBy("sig").agg(F.min(central).alias("lead"), F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("sig", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.most").alias("lead_most"))
     shared = scratch.write(sent.join(lead, "sig").select("sig", "node", "n", "most", "lead", "lead_n", "lead_most").distinct())
+    scratch.drop(sent)
 
     def as_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
         return df.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
 
     near = shared.where((F.col("node") != F.col("lead")) & _fits("n", "lead_n", "most", "lead_most", t))
     pairs = scratch.write(as_pairs(near, "node", "lead"))
-    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("doc_id", "node").where("doc_id is not null")
-    sets = _sets_of(docs, k, scratch.write(wanted), scratch)
+    wanted = scratch.write(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("doc_id", "node"))
+    sets = _sets_of(docs, k, wanted, scratch)
     links = scratch.write(_linked(pairs, sets, t))
     root = components(scratch, links)
 
@@ -390,16 +451,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: float | str = "0.
     # what stars have not settled: pairs under one signature that are still in different components
     left = rooted(shared.select("sig", "node", "n", "most"))
     mixed = left.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("sig")
-    left = scratch.write(left.join(mixed, "sig", "left_semi").join(sets.select("node", "sketch"), "node"))
-    other = left.select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("most").alias("most2"), F.col("root").alias("root2"), F.col("sketch").alias("sketch2"))
+    left = scratch.write(left.join(mixed, "sig", "left_semi").join(sets.select("node", "sketch"), "node").withColumn("band", _band("n", t)))
+    other = left.select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("most").alias("most2"), F.col("root").alias("root2"), F.col("sketch").alias("sketch2"), F.col("band").alias("band2"), F.explode(F.array("band", F.col("band") - 1)).alias("band"))
     apart = F.expr(" + ".join(f"bit_count(sketch[{i}] ^ sketch2[{i}])" for i in range(SKETCH // 64)))
     near_enough = apart * (t.denominator + t.numerator) <= (F.col("n") + F.col("n2")).cast("long") * (t.denominator - t.numerator)
-    cross = left.join(other, "sig").where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & _fits("n", "n2", "most", "most2", t) & near_enough)
+    once = (F.col("band") != F.col("band2")) | (F.col("node") < F.col("node2"))
+    cross = left.join(other, ["sig", "band"]).where(once & (F.col("root") != F.col("root2")) & _fits("n", "n2", "most", "most2", t) & near_enough)
     rest = scratch.write(as_pairs(cross, "node", "node2").join(pairs, ["u", "v"], "left_anti"))
     more = scratch.write(_linked(rest, sets, t))
     if not more.isEmpty():
         root = components(scratch, links.unionByName(more))
     named = rooted(nodes.select("node", "doc_id"))
     low = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    where = scratch.write(named.select("node", "root").join(low, "root").select("node", "component_id"))
-    return rows.join(where, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    where = scratch.write(named.select("node", "root").join(low, "root").select("node", "root", "component_id"))
+    scratch.drop(shared, pairs, wanted, sets, links, left, rest, more, nodes)
+    return rows.join(where, "node", "left").select("doc_id", "row", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -29,6 +29,9 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > word_chars
     OR (n_dup_lines >= 5 AND 2 * n_dup_lines > len(string_split(t, chr(10))))
     OR word_chars > 25 * n_words OR word_chars < 2 * n_words
-    OR 2 * length(regexp_replace(t, '[^\p{L}]', '', 'g')) < word_chars) AS kept
+    OR 2 * length(regexp_replace(t, '[^\p{L}]', '', 'g')) < word_chars
+    OR 50 * len(list_distinct(words)) < least(n_words, 2000)
+    OR 2 * (SELECT max(n) FROM (SELECT count(*) AS n FROM (SELECT unnest(words) AS x) GROUP BY x)) > n_words
+    OR (len(string_split(t, chr(10))) >= 10 AND 10 * len(list_filter(string_split(t, chr(10)), lambda x: ends_with(rtrim(x), '...') OR ends_with(rtrim(x), '…'))) > 9 * len(string_split(t, chr(10))))) AS kept
 FROM m
 """

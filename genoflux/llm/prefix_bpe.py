@@ -9,7 +9,6 @@ gives the count of every prefix, and the ids come from walking back along the la
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 
 import numpy as np
 
@@ -95,7 +94,6 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-@lru_cache(maxsize=2)
 def byte_level(model: bytes) -> tuple[PrefixEncoder, dict[str, int]]:
     """Encoder over bytes (each a latin-1 letter) of a byte-level .json vocabulary, and its special strings with their ids."""
     spec = json.loads(model)
@@ -112,7 +110,6 @@ def byte_level(model: bytes) -> tuple[PrefixEncoder, dict[str, int]]:
     return PrefixEncoder(pieces, lambda a, b: ranks.get((a, b))), special
 
 
-@lru_cache(maxsize=2)
 def sentence_piece(model: bytes) -> tuple[PrefixEncoder, list[int]]:
     """Encoder over characters of a sentencepiece BPE .model, and the ids of its 256 byte pieces."""
     import sentencepiece

@@ -9,14 +9,13 @@ pieces as UTF-8 and drops the blank put before the text.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from hashlib import sha256
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean_batches
+from .common import held_by_worker, lean_batches
 from .prefix_bpe import sentence_piece
 
 MARK = "▁"
@@ -110,9 +109,8 @@ class Codec:
         return [int(x) for x in self.both(text)[0].split(",")[1:]]
 
 
-@lru_cache(maxsize=2)
 def _codec(model: bytes) -> Codec:
-    return Codec(model)
+    return held_by_worker(("sentencepiece", hash(model)), lambda: Codec(model))
 
 
 def _mapped(docs: DataFrame, model_path: str, one, schema: str) -> DataFrame:

@@ -8,7 +8,6 @@ time the unit occurs. Texts with runs of blanks or unusual white space take the
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -16,6 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held_by_worker, lean_batches
 from .prefix_bpe import byte_level
 
 #: The pre-tokeniser's pattern (a fixed value of the vocabulary).
@@ -106,17 +106,18 @@ class Counter:
         return int(np.flatnonzero(self.prefix_counts(text) <= budget)[-1])
 
 
-@lru_cache(maxsize=2)
 def _counter(model: bytes) -> Counter:
-    return Counter(model)
+    return held_by_worker(("byte-level", hash(model)), lambda: Counter(model))
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int) -> DataFrame:
     """One row for each row of `docs` (doc_id, text): doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
-    A null text counts as empty: no bytes, no tokens. Rows that repeat are counted each; other columns are ignored. The
-    vocabulary file (about 2 MB) is read on the driver and broadcast.
+    A null text counts as empty: no bytes, no tokens. Whole texts are counted, however long. Rows that repeat are counted each;
+    other columns are ignored; an empty table gives an empty one. The vocabulary file (about 2 MB) is read on the driver and
+    broadcast.
     """
+    lean_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
 
     def run(batches):
@@ -134,6 +135,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int) -> DataFrame:
 
 def truncate_to_budget(docs: DataFrame, model_path: str, budget: int) -> DataFrame:
     """doc_id, kept_chars, kept_text: the longest prefix of each text within `budget` tokens, read off its prefix counts."""
+    lean_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
 
     def run(batches):

@@ -2,7 +2,8 @@
 
 A rule is a host, a path prefix and a verdict. The trie descends the host's labels from the last one (so a rule fits its host and
 all subdomains), and at each rule's host a second trie descends the path's segments; a rule's last segment need only
-begin the url's. The deepest host wins, then the longest path. The trie is broadcast; `MOST_RULES` bounds it.
+begin the url's. The deepest host wins, then the longest path. The trie is broadcast in blocks of at most `BLOCK` rules; more
+rules take more blocks, one after the other over the same rows, with no shuffle.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules broadcast at most; a larger list is matched by joins on (host suffix, path prefix length) instead.
-MOST_RULES = 100_000
+#: Rules broadcast at a time.
+BLOCK = 100_000
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,11 @@ class UrlRule:
     def path(self) -> str:
         return "/" + self.rule.partition("/")[2]
 
+    @property
+    def rank(self) -> tuple[int, int]:
+        """Of rules that fit one url, the one of highest rank decides."""
+        return self.host.count("."), len(self.path)
+
 
 class _Node:
     __slots__ = ("next", "ends")
@@ -91,38 +97,32 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def url_verdicts(pages: DataFrame, rules: list[UrlRule], otherwise: str = "allow") -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: list[UrlRule], otherwise: str = "allow", block: int = BLOCK) -> DataFrame:
     """One row for each row of `pages` (page_id, url): page_id, host, path, rule, verdict.
 
-    A null url, or one without ://, has an empty host and path, fits no rule and gets `otherwise`. Repeated rules count once;
-    of equal rules with two verdicts, block stands. Repeated rows are judged each; other columns are ignored.
+    A null or empty url, or one without ://, has an empty host and path, fits no rule and gets `otherwise`. Whole urls are read,
+    however long. Repeated rules count once; of equal rules with two verdicts, block stands. Repeated rows are judged each; other
+    columns are ignored; an empty table gives an empty table.
     """
-    rules = sorted({(r.rule, r.verdict) for r in rules}, key=lambda x: (x[0], x[1] != "allow"))
-    kept = {rule: UrlRule(rule, verdict) for rule, verdict in rules}
-    df = pages.select("page_id", host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"))
-    if len(kept) > MOST_RULES:
-        return _by_joins(df, list(kept.values()), otherwise)
-    trie = pages.sparkSession.sparkContext.broadcast(UrlTrie(list(kept.values())))
+    ordered = sorted({(r.rule, r.verdict) for r in rules}, key=lambda x: (x[0], x[1] != "allow"))
+    kept = [UrlRule(rule, verdict) for rule, verdict in dict(ordered).items()]
+    df = pages.select("page_id", host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
+    schema = df.schema
+    for i in range(0, len(kept), block):
+        df = df.mapInArrow(_judged(pages.sparkSession.sparkContext.broadcast(UrlTrie(kept[i : i + block]))), schema)
+    return df
+
 
+def _judged(trie):
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            found = [trie.value.match(h, p) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x and x.rule for x in found], pa.string()), pa.array([x.verdict if x else otherwise for x in found], pa.string())], ["page_id", "host", "path", "rule", "verdict"])
-
-    kind = dict(df.dtypes)["page_id"]
-    return df.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string")
-
-
-def _by_joins(df: DataFrame, rules: list[UrlRule], otherwise: str) -> DataFrame:
-    """The same for any number of rules: a url's host suffixes and the rules' path lengths make the join keys."""
-    spark = df.sparkSession
-    table = spark.createDataFrame([(r.host, r.path, len(r.host.split(".")), len(r.path), r.rule, r.verdict) for r in rules], "r_host string, r_path string, depth int, n int, r_rule string, r_verdict string")
-    lengths = [x.n for x in table.select("n").distinct().orderBy("n").collect()]  # as many as there are lengths of paths
-    keyed = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("labels", F.split("host", "[.]"))
-    keyed = keyed.select("*", F.explode(F.expr("transform(sequence(1, size(labels)), d -> array_join(slice(labels, -d, d), '.'))")).alias("r_host"))
-    keyed = keyed.select("*", F.explode(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths])).alias("r_path")).where("r_path is not null")
-    best = keyed.join(table, ["r_host", "r_path"]).groupBy("_row").agg(F.max(F.struct("depth", "n", "r_rule", "r_verdict")).alias("m"))
-    out = df.withColumn("_row", F.monotonically_increasing_id()).join(best, "_row", "left")
-    return out.select("page_id", "host", "path", F.col("m.r_rule").alias("rule"), F.coalesce("m.r_verdict", F.lit(otherwise)).alias("verdict"))
+            rule, verdict = b.column(3).to_pylist(), b.column(4).to_pylist()
+            for i, (host, path) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                found = trie.value.match(host, path)
+                if found and (rule[i] is None or found.rank > UrlRule(rule[i], "").rank):
+                    rule[i], verdict[i] = found.rule, found.verdict
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(rule, pa.string()), pa.array(verdict, pa.string())], b.schema.names)
+
+    return run

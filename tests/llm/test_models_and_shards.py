@@ -46,16 +46,15 @@ def test_shards(spark, monkeypatch, small):
     assert kk_shards.sharded(spark.createDataFrame([], "doc_id long, text string"), 6).count() == 0
 
 
-def test_url_rules(spark, monkeypatch):
+def test_url_rules(spark):
     from genoflux.llm import url_filter
     from genoflux.llm.op04 import RULES
 
     urls = ["https://www.example.com/en/773?x=/en/", "http://EXAMPLE.com/en/8", "https://a.net/de/1", "https://b.example.net/de/8", "https://notexample.net/de/8", "https://x.org/es/", "https://x.org/es", "no scheme", None, "http://", "https://example.comm/en/7", "ftp://a.b.example.com/en/7#q"]
     want = ["example.com/en/7", "com/en/", "net/de/", "example.net/de/8", "net/de/", "org/es/", None, None, None, None, None, "example.com/en/7"]
     df = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
-    for most in (100, 0):  # the trie, then the joins for long lists
-        monkeypatch.setattr(url_filter, "MOST_RULES", most)
-        got = {r.page_id: r for r in url_filter.url_verdicts(df, RULES).collect()}
+    for block in (100, 2, 1):  # one trie, then tries one after the other
+        got = {r.page_id: r for r in url_filter.url_verdicts(df, RULES, block=block).collect()}
         assert [got[i].rule for i in range(len(urls))] == want
         assert got[1].host == "example.com" and got[0].path == "/en/773" and got[8].host == "" and got[8].verdict == "allow"
     assert url_filter.url_verdicts(df.limit(0), RULES).count() == 0
