@@ -10,7 +10,7 @@ from genoflux.llm.common import Scratch, read
 from genoflux.llm.decontaminate import contaminated_words
 from genoflux.llm.language_id import fit as fit_languages
 from genoflux.llm.language_id import predictions, remainder
-from genoflux.llm.ngram_join import jaccard_components
+from genoflux.llm.ngram_join import linked_rows
 from genoflux.llm.secret_scan import masked
 from genoflux.llm.sentencepiece_codec import encode
 
@@ -28,17 +28,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of linked ones, that of the least doc_id, and one row of it. Documents without an id
-    or without words are linked with nothing and stay."""
-    groups = jaccard_components(docs, 5, "0.8").where("doc_id != component_id and n_shingles > 0").select("doc_id").distinct()
-    kept = docs.join(groups, "doc_id", "left_anti").select(*COLUMNS)
-    # rows that repeat one doc_id: the one with the lowest hash stays; without such rows the texts are moved no further
+    """Keeps one row of each group of linked texts: that of the least doc_id (a null one comes last), of these the one whose
+    columns hash lowest. Rows without words are linked with nothing and all stay. Rows are told apart by doc_id and their
+    columns' hash, so texts that share a doc_id stand or fall each on its own."""
+    docs, scratch = docs.select(*COLUMNS), Scratch(spark)
     row = F.xxhash64("text", "lang", "source", "n_chars")
-    again = Scratch(spark).write(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(row).alias("h")).where("n > 1").select("doc_id", "h"))
-    if again.isEmpty():
+    linked = scratch.write(linked_rows(docs, 5, "0.8", row).where("root is not null").select("doc_id", "row", "root"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "row")
+    best = linked.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1").select("root", "best")
+    first = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("row") == F.col("best.row"))
+    grouped = scratch.write(linked.join(best, "root").select(F.col("doc_id").alias("id"), "row", first.alias("first")))
+    same = lambda keys: F.col("doc_id").cast("long").eqNullSafe(keys["id"]) & (row == keys["row"])
+    dropped = grouped.where("not first").select("id", "row").distinct()
+    kept = docs.join(dropped, same(dropped), "left_anti")
+    again = scratch.write(grouped.where("first").groupBy("id", "row").count().where("count > 1").select("id", "row"))
+    if again.isEmpty():  # then the texts are moved no further
         return kept
-    repeated = kept.join(again, "doc_id").where(row == F.col("h")).select(*COLUMNS).distinct()
-    return kept.join(again.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS).unionByName(repeated)
+    once = kept.join(again, same(again), "left_semi").dropDuplicates()
+    return kept.join(again, same(again), "left_anti").unionByName(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +73,7 @@ STAGES = [
     ("sentencepiece", sentencepiece),
 ]
 
-#: The network, the forest and the encoder have no SQL form; the tests hold each stage against brute force.
+#: The network, the forest and the encoder have no SQL form; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
