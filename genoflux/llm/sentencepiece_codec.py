@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding by a merge-type prefix table (prefix_bpe.py).
 
 No piece of the vocabulary has a word's start mark after another character, so a text's words are encoded on their own: the
-table stores each prefix's unique last token, and ids are recovered backwards. A word's ids are kept for its next occurrence.
-Characters without a piece become their bytes' pieces. Decoding joins the pieces, turns marks into blanks, reads byte
-pieces as UTF-8 and drops the blank put before the text.
+table stores each prefix's unique last token, and ids are recovered backwards. A word's ids are kept for its next occurrence, as is
+whether they decode to the word itself; a text of such words decodes to itself. Characters without a piece become their bytes'
+pieces. Decoding joins the pieces, turns marks into blanks, reads byte pieces as UTF-8 and drops the blank put before the text.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from .prefix_bpe import sentence_piece
 
 MARK = "▁"
 #: Words a worker keeps, of either kind.
-KEPT = 250_000
+KEPT = 200_000
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -32,8 +32,10 @@ class Codec:
             raise ValueError("this vocabulary has pieces across words or lines; its words can't be encoded on their own")
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
         self.end = f",{self.byte_ids[10]}"
-        self.marked: dict[str, tuple[str, str]] = {}
-        self.bare: dict[str, tuple[str, str]] = {}
+        self.marked: dict[str, str] = {}
+        self.bare: dict[str, str] = {}
+        #: words whose ids decode to something else
+        self.odd: set[str] = set()
 
     def unit_ids(self, unit: str) -> list[int]:
         letters = self.encoder.letters
@@ -68,20 +70,25 @@ class Codec:
         text = self.decoded(ids)
         return text[1:] if text[:1] == " " else text
 
-    def _unit(self, kept: dict, key: str, unit: str) -> tuple[str, str]:
+    def _unit(self, kept: dict[str, str], key: str, unit: str) -> str:
+        """The ids of a unit that `kept` lacks, each after a comma."""
         ids = self.unit_ids(unit)
         if len(kept) >= KEPT:
             kept.clear()
-        got = kept[key] = ("".join([f",{i}" for i in ids]), self.decoded(ids))
+            if len(self.odd) >= KEPT:  # together, so that no kept word's oddness is forgotten
+                self.marked.clear(), self.bare.clear(), self.odd.clear()
+        if self.decoded(ids) != unit.replace(MARK, " "):
+            self.odd.add(key)
+        got = kept[key] = "".join([f",{i}" for i in ids])
         return got
 
     def both(self, text: str) -> tuple[str, str]:
         """The ids, each after a comma, and the text decoded from them."""
         if not text:
             return "", ""
-        parts: list[tuple[str, str]] = []
+        parts: list[str] = []
         if MARK not in text and text[0] != " ":
-            marked, bare, end = self.marked, self.bare, (self.end, "\n")
+            marked, bare, end = self.marked, self.bare, self.end
             for k, line in enumerate(text.split("\n")):
                 words = line.split(" ")
                 if k:
@@ -91,22 +98,26 @@ class Codec:
                         parts.append(bare.get(first) or self._unit(bare, first, first))
                     del words[0]
                 elif not words[0]:  # the text begins with a line end: its mark stands alone
-                    parts.append(self._unit(bare, MARK, MARK))
+                    parts.append("".join([f",{i}" for i in self.unit_ids(MARK)]))
                     del words[0]
                 if "" in words:
                     parts = []
                     break
                 parts += [marked.get(w) or self._unit(marked, w, MARK + w) for w in words]
-        if not parts:
-            for unit in _UNITS.findall(MARK + text.replace(" ", MARK)):
-                ids = self.unit_ids(unit)
-                parts.append(("".join([f",{i}" for i in ids]), self.decoded(ids)))
-        ids, out = zip(*parts)
-        shown = "".join(out)
-        return "".join(ids), shown[1:] if shown[:1] == " " else shown
+            if parts and (not self.odd or self.odd.isdisjoint(text.replace("\n", " ").split(" "))):
+                return "".join(parts), text
+        ids: list[int] = []
+        for unit in _UNITS.findall(MARK + text.replace(" ", MARK)):
+            ids += self.unit_ids(unit)
+        return "".join([f",{i}" for i in ids]), self.decode(ids)
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for x in self.both(text)[0].split(",")[1:]]
+        return self.encoded(text)[0]
+
+    def encoded(self, text: str) -> tuple[list[int], str]:
+        """The ids and the text decoded from them."""
+        ids, shown = self.both(text)
+        return [int(x) for x in ids.split(",")[1:]], shown
 
 
 def _codec(model: bytes) -> Codec:
@@ -149,4 +160,4 @@ def round_trip_digests(docs: DataFrame, model_path: str) -> DataFrame:
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids, decoded for each row of `docs` (doc_id, text); a null text is encoded as the empty one."""
-    return _mapped(docs, model_path, lambda codec, text: (codec.encode(text), codec.both(text)[1]), "ids array<int>, decoded string")
+    return _mapped(docs, model_path, Codec.encoded, "ids array<int>, decoded string")
