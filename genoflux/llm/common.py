@@ -35,14 +35,26 @@ _held: dict = {}
 def held_by_worker(key, make):
     """make()'s object, which a Python worker holds for its next tasks. It holds one such object at a time."""
     if key not in _held:
-        _held.clear()
+        let_go()
         _held[key] = make()
     return _held[key]
 
 
 def let_go() -> None:
-    """Called where a task needs no such object: what earlier operators left in this worker is freed."""
+    """Called where a task needs no such object: what earlier operators left in this worker is freed, and handed back to the system."""
+    if not _held:
+        return
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
     _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -12,15 +12,16 @@ import re
 from hashlib import sha256
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_by_worker, lean_batches
+from .common import chunks, held_by_worker, lean_batches, string_buffers
 from .prefix_bpe import sentence_piece
 
 MARK = "▁"
 #: Words a worker keeps, of either kind.
-KEPT = 200_000
+KEPT = 150_000
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -112,38 +113,48 @@ class Codec:
         return "".join([f",{i}" for i in ids]), self.decode(ids)
 
     def encode(self, text: str) -> list[int]:
-        return self.encoded(text)[0]
+        return self.encoded(text)[0].tolist()
 
-    def encoded(self, text: str) -> tuple[list[int], str]:
+    def encoded(self, text: str) -> tuple[np.ndarray, str]:
         """The ids and the text decoded from them."""
         ids, shown = self.both(text)
-        return [int(x) for x in ids.split(",")[1:]], shown
+        return np.fromstring(ids[1:], np.int32, sep=",") if ids else np.empty(0, np.int32), shown
 
 
 def _codec(model: bytes) -> Codec:
     return held_by_worker(("sentencepiece", hash(model)), lambda: Codec(model))
 
 
+#: Bytes of text whose results a worker holds at a time, one row at least.
+SLICE = 1 << 18
+
+
 def _mapped(docs: DataFrame, model_path: str, one, schema: str) -> DataFrame:
     """one(codec, text) -> the output columns after doc_id, over all rows."""
     model = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
     lean_batches(docs.sparkSession)
 
+    def column(values, kind):
+        import pyarrow as pa
+
+        if kind == "array<int>":
+            ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))
+        return pa.array(values, {"long": pa.int64(), "string": pa.string()}[kind])
+
     def run(batches):
         import pyarrow as pa
 
         codec = _codec(model.value)
         for b in batches:
-            for i in range(0, len(b), 1000):
-                part = b.slice(i, 1000)
+            _, off, _ = string_buffers(b.column(1))
+            for i, j in chunks(off, SLICE):
+                part = b.slice(i, j - i)
                 rows = [one(codec, x or "") for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names)
-
-    import pyarrow as pa
+                yield pa.RecordBatch.from_arrays([part.column(0), *(column(c, kind) for c, kind in zip(zip(*rows), kinds))], names)
 
-    kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     fields = [x.strip().split(" ") for x in schema.split(", ")]
-    names, types = ["doc_id", *(n for n, _ in fields)], [kinds[t] for _, t in fields]
+    names, kinds = ["doc_id", *(n for n, _ in fields)], [k for _, k in fields]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {schema}")
 
 
