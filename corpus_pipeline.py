@@ -39,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("row") == F.col("best.row"))
     grouped = scratch.write(linked.join(best, "root").select(F.col("doc_id").alias("id"), "row", first.alias("first")))
     same = lambda keys: F.col("doc_id").cast("long").eqNullSafe(keys["id"]) & (row == keys["row"])
-    dropped = grouped.where("not first").select("id", "row").distinct()
+    dropped = grouped.where("not first").select("id", "row").distinct().hint("merge")  # grows with the input: never broadcast
     kept = docs.join(dropped, same(dropped), "left_anti")
     again = scratch.write(grouped.where("first").groupBy("id", "row").count().where("count > 1").select("id", "row"))
     if again.isEmpty():  # then the texts are moved no further
