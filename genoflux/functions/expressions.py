@@ -54,7 +54,7 @@ def thinned(k, p: float, *key) -> Column:
     return F.size(F.filter(trials, lambda i: F.conv(F.substring(F.md5(text(i)), 1, 8), 16, 10).cast("long") < cut)).cast("long")
 
 
-def logistic_accumulation(ds, mid, k) -> Column:
+def log_logistic(ds, mid, k) -> Column:
     return 1 / (1 + F.exp(-col(k) * (F.log10(col(ds)) - F.log10(col(mid)))))
 
 
@@ -101,11 +101,14 @@ def linear_errors(x, err, base: float = 10.0, num_se: float = 2.0) -> Column:
 
 
 def pretty_species(name, keep_number: bool = False, suffixes: dict[str, str] | None = None) -> Column:
-    """Species name in words: the trailing number is dropped (or kept), given names are replaced."""
+    """The first two parts of a species name, with the third in parentheses where asked for and there is one. Of given names, a blank
+    and the suffix follow. A name of one part stays."""
     parts = F.split(col(name), "_")
-    out = F.array_join(parts if keep_number else F.when(F.element_at(parts, -1).rlike("^[0-9]+$"), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts), " ")
+    out = F.array_join(F.slice(parts, 1, 2), " ")
+    if keep_number:
+        out = F.when(F.size(parts) >= 3, F.concat(out, F.lit(" ("), F.get(parts, 2), F.lit(")"))).otherwise(out)
     for k, v in (suffixes or {}).items():
-        out = F.when(col(name) == k, F.concat(out, F.lit(v))).otherwise(out)
+        out = F.when(col(name) == k, F.concat(out, F.lit(f" {v}"))).otherwise(out)
     return out
 
 

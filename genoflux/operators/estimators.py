@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.expressions import col, finite_positive, ratio, thinned, thinned_half, word32
 
 EPS = 1e-12
+#: Draws that one row of the draw table stands for before it is unfolded.
+BLOCK = 10_000
 
 
 def naive(df: DataFrame) -> DataFrame:
@@ -27,7 +29,7 @@ def halves(diffs, opps, *key) -> tuple[Column, Column]:
     return ratio(a, col(opps) / 2), ratio(col(diffs) - a, col(opps) / 2)
 
 
-def thin_counts(df: DataFrame, p: float, *key) -> DataFrame:
+def split_by_thinning(df: DataFrame, p: float, *key) -> DataFrame:
     """ks_a ~ Bin(ks, p), ks_b the rest, lengths split alike, ds_a and ds_b with lengths of EPS at least. df: kn, ln, ks, ls."""
     a = thinned_half("ks", *key) if p == 0.5 else thinned("ks", p, *key)
     out = df.withColumn("ks_a", a).withColumn("ks_b", F.col("ks") - F.col("ks_a")).withColumn("ls_a", F.col("ls") * p).withColumn("ls_b", F.col("ls") * (1 - p))
@@ -124,18 +126,28 @@ def binned_rates(df: DataFrame, x, counts: dict[str, tuple], edges: tuple[float,
 # --- bootstrap -----------------------------------------------------------------------------------------------------
 
 
-def numbered(df: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """Adds a dense row id within each group, and the group's size."""
+def numbered(df: DataFrame, group: str, order: list[str], write) -> DataFrame:
+    """Adds a dense row id within each group in order, and the group's size, without a window over a whole group: rows are dealt by
+    range and numbered within a part, and a small table of counts (a row for each group and part) gives each part's first number.
+    `write` keeps the dealt rows, so that both readings of them agree."""
+    dealt = write(df.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy(group, "_part").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(group)
-    return df.withColumn("row_id", (F.row_number().over(w.orderBy(*order)) - 1).cast("long")).withColumn("n_rows", F.count("*").over(w))
+    before = F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    first = counts.select(group, "_part", F.coalesce(before, F.lit(0)).alias("_first"), F.sum("_n").over(w).alias("n_rows"))
+    at = F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order)) - 1
+    return dealt.withColumn("_at", at).join(first, [group, "_part"]).withColumn("row_id", (F.col("_first") + F.col("_at")).cast("long")).drop("_part", "_at", "_first")
 
 
-def resampled(df: DataFrame, group: str, order: list[str], replicates: int, seed: int) -> DataFrame:
-    """n-of-n draws with replacement of each group: rep, draw, and the drawn rows. The draw is floor(u n) with a hashed u."""
-    n = numbered(df, group, order)
+def resampled(df: DataFrame, group: str, order: list[str], replicates: int, seed: int, write) -> DataFrame:
+    """n-of-n draws with replacement of each group: rep, draw, and the drawn rows. The draw is floor(u n) with a hashed u. write: see
+    `numbered`; draws are made in blocks of BLOCK, so that no task makes those of a whole group."""
+    n = numbered(df, group, order, write)
     sizes = n.groupBy(group).agg(F.max("n_rows").alias("size"))
     draws = sizes.select(group, "size", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    draws = draws.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("draw"))
+    blocks = F.explode(F.expr(f"sequence(0L, (size - 1) div {BLOCK}L)"))
+    draws = draws.select("*", blocks.alias("_block")).repartition(group, "rep", "_block")
+    draws = draws.select(group, "size", "rep", F.explode(F.expr(f"sequence(_block * {BLOCK}L, least(size, (_block + 1) * {BLOCK}L) - 1)")).alias("draw"))
     draws = draws.withColumn("row_id", F.shiftright(word32(F.lit(seed), group, "rep", "draw") * F.col("size"), 32))
     return draws.drop("size").join(n.drop("n_rows"), [group, "row_id"]).drop("row_id")
 

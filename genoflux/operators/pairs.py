@@ -104,6 +104,21 @@ def block_summary(pairs: DataFrame, blocks: DataFrame, fixed: DataFrame, seen: D
     return x.groupBy(*PAIR).agg(*out).where("core_len > 0")
 
 
+def contig_differences(calls: DataFrame) -> DataFrame:
+    """species, sample_a, sample_b (the lesser first), contig, d: whether their alleles differ anywhere on it, for contigs with a site
+    that both cover. calls: species, contig, core_pos, sample_id, allele.
+
+    A sample's 64 sites of a block are three masks, coverage and two bits of the base, so a pair costs one row a block and contig.
+    """
+    base = F.expr("instr('ACGT', allele)") - 1
+    m = calls.select("species", "contig", "sample_id", "core_pos", F.expr("core_pos div 64").alias("block"), base.alias("b"))
+    m = m.groupBy("species", "contig", "block", "sample_id").agg(_mask(F.lit(True)).alias("cov"), _mask(F.col("b").bitwiseAND(F.lit(1)) > 0).alias("b0"), _mask(F.col("b").bitwiseAND(F.lit(2)) > 0).alias("b1"))
+    a, b = (m.select("species", "contig", "block", F.col("sample_id").alias(f"sample_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("cov", "b0", "b1"))) for s in "ab")
+    x = a.join(b, ["species", "contig", "block"]).where("sample_a < sample_b and (cov_a & cov_b) != 0")
+    differ = F.expr("((b0_a ^ b0_b) | (b1_a ^ b1_b)) & cov_a & cov_b") != 0
+    return x.groupBy("species", "sample_a", "sample_b", "contig").agg(F.bool_or(differ).alias("d"))
+
+
 # --- choosing pairs ------------------------------------------------------------------------------------------------
 
 

@@ -60,22 +60,45 @@ def corr_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(r, n)], dtype="float64")
 
 
-def density(df: DataFrame, x: str, y: str, cells: int = 64) -> DataFrame:
-    """Gaussian kernel density (Scott's bandwidth) at each occupied cell of a cells-by-cells grid: gx, gy, n, density.
+def _moments(df: DataFrame, x: str, y: str) -> DataFrame:
+    return df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"), F.var_samp(x).alias("vx"), F.var_samp(y).alias("vy"), F.covar_samp(x, y).alias("vxy"), F.count("*").alias("total"))
 
-    Points are summed in cells first, so the kernel sum is over at most cells ** 4 pairs of cells whatever the input.
-    """
-    df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    s = df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"), F.var_samp(x).alias("vx"), F.var_samp(y).alias("vy"), F.covar_samp(x, y).alias("vxy"), F.count("*").alias("total"))
+
+def _cells(df: DataFrame, moments: DataFrame, x: str, y: str, cells: int) -> DataFrame:
+    """gx, gy, n, mx, my: occupied cells with the number and mean of their points."""
     cell = lambda c, a, b: F.coalesce(F.least(F.floor(F.try_divide(F.col(c) - F.col(a), F.col(b) - F.col(a)) * cells), F.lit(cells - 1)), F.lit(0))
-    g = df.crossJoin(F.broadcast(s)).groupBy(cell(x, "x0", "x1").alias("gx"), cell(y, "y0", "y1").alias("gy")).agg(F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"))
-    a, b = g.alias("a"), F.broadcast(g.select(F.col("n").alias("n2"), F.col("mx").alias("mx2"), F.col("my").alias("my2")))
+    return df.crossJoin(F.broadcast(moments)).groupBy(cell(x, "x0", "x1").alias("gx"), cell(y, "y0", "y1").alias("gy")).agg(F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"))
+
+
+def _kernel_sum():
+    """Aggregate over sources (n2, mx2, my2) of their kernels at (mx, my), by the moments' bandwidth."""
     h2 = F.pow(F.col("total"), F.lit(-1 / 3))
     det = F.col("vx") * F.col("vy") - F.col("vxy") * F.col("vxy")
     dx, dy = F.col("mx") - F.col("mx2"), F.col("my") - F.col("my2")
     q = (F.col("vy") * dx * dx - 2 * F.col("vxy") * dx * dy + F.col("vx") * dy * dy) / F.when(det != 0, det) / h2
-    pairs = a.crossJoin(b).crossJoin(F.broadcast(s))
-    return pairs.groupBy("gx", "gy", "n").agg((F.sum(F.col("n2") * F.exp(-q / 2)) / F.first(F.col("total") * 2 * math.pi * h2 * F.sqrt(det))).alias("density"))
+    return F.sum(F.col("n2") * F.exp(-q / 2)) / F.first(F.col("total") * 2 * math.pi * h2 * F.sqrt(F.when(det > 0, det)))
+
+
+def density(df: DataFrame, x: str, y: str, cells: int = 64) -> DataFrame:
+    """Gaussian kernel density (Scott's bandwidth) at each occupied cell of a cells-by-cells grid: gx, gy, n, density.
+
+    Points are summed in cells first, so the kernel sum is over at most cells ** 4 pairs of cells whatever the input.
+    """
+    df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    s = _moments(df, x, y)
+    g = _cells(df, s, x, y, cells)
+    pairs = g.crossJoin(F.broadcast(g.select(F.col("n").alias("n2"), F.col("mx").alias("mx2"), F.col("my").alias("my2")))).crossJoin(F.broadcast(s))
+    return pairs.groupBy("gx", "gy", "n").agg(_kernel_sum().alias("density"))
+
+
+def point_density(df: DataFrame, keys: list[str], x: str, y: str, cells: int = 64) -> DataFrame:
+    """keys and the kernel density at each point: the sum over the occupied cells of the grid of `density`, at most cells ** 2 of them, each
+    standing for its points at their mean. The error falls with the cell's size against the bandwidth."""
+    df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    s = _moments(df, x, y)
+    g = _cells(df, s, x, y, cells).select(F.col("n").alias("n2"), F.col("mx").alias("mx2"), F.col("my").alias("my2"))
+    pairs = df.select(*keys, F.col(x).alias("mx"), F.col(y).alias("my")).crossJoin(F.broadcast(g)).crossJoin(F.broadcast(s))
+    return pairs.groupBy(*keys).agg(_kernel_sum().alias("density"))
 
 
 def top_n(df: DataFrame, by: list[str], n: int | None = None, desc: bool = True) -> DataFrame:

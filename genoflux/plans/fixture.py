@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pairs as P
 from ..operators import sites as S
+from ..sources.scratch import kept
 
 SEED = 42
 
@@ -87,7 +88,7 @@ class Fixture:
     def site_table(self) -> DataFrame:
         """Pair sites with site types, opportunities and SNV types."""
         sites = self.sites().join(S.opportunities(self.mutations()), ["contig", "location"], "left")
-        return self.pair_sites().join(F.broadcast(sites), ["contig", "location"]).join(S.snv_types(self.alleles(), self.mutations()).select(*S.SITE, "mut_type"), S.SITE, "left")
+        return self.pair_sites().join(sites, ["contig", "location"]).join(S.snv_types(self.alleles(), self.mutations()).select(*S.SITE, "mut_type"), S.SITE, "left")
 
     @_once
     def annotated(self) -> DataFrame:
@@ -101,17 +102,20 @@ class Fixture:
     def block_summary(self) -> DataFrame:
         sites = self.sites().join(S.opportunities(self.mutations()), ["contig", "location"], "left").fillna(0, ["n", "m", "nn"])
         pos = sites.select("contig", "location", "core_pos")
-        g = self.genotypes().join(F.broadcast(pos), ["contig", "location"])
-        types = S.snv_types(self.alleles(), self.mutations()).join(F.broadcast(pos), ["contig", "location"]).where("mut_type is not null")
+        g = self.genotypes().join(pos, ["contig", "location"])
+        types = S.snv_types(self.alleles(), self.mutations()).join(pos, ["contig", "location"]).where("mut_type is not null")
         fixed, seen = P.site_blocks(sites, types)
         return P.block_summary(self.pairs(), P.sample_blocks(g), fixed, seen, self.transfers())
 
+    @_once
+    def pair_table(self) -> DataFrame:
+        """block_summary, written once: what pools, bins, resamples or fits pairs reads this table."""
+        return kept(self.block_summary())
+
     @_once
     def similarity(self) -> DataFrame:
         """Per pair the share of contigs with shared coverage that show no difference in allele; symmetric, diagonal 1."""
-        c = self.calls().select("species", "contig", "location", "sample_id", "allele")
-        a, b = c.select("species", "contig", "location", F.col("sample_id").alias("sample_a"), F.col("allele").alias("x")), c.select("species", "contig", "location", F.col("sample_id").alias("sample_b"), F.col("allele").alias("y"))
-        g = a.join(b, ["species", "contig", "location"]).where("sample_a < sample_b").groupBy("species", "sample_a", "sample_b", "contig").agg(F.bool_or(F.col("x") != F.col("y")).alias("d"))
+        g = P.contig_differences(self.calls().join(self.sites().select("contig", "location", "core_pos"), ["contig", "location"]))
         s = g.groupBy("species", "sample_a", "sample_b").agg((F.count_if(~F.col("d")) / F.count("*")).alias("frac"))
         flip = s.select("species", F.col("sample_b").alias("sample_a"), F.col("sample_a").alias("sample_b"), "frac")
         own = self.calls().select("species", F.col("sample_id").alias("sample_a")).distinct().select("species", "sample_a", F.col("sample_a").alias("sample_b"), F.lit(1.0).alias("frac"))

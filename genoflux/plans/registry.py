@@ -15,6 +15,7 @@ from ..operators import prevalence as V
 from ..operators import sites as S
 from ..operators import stats as K
 from ..sources import tables as T
+from ..sources.scratch import kept, new_path, shared_dir
 from .fixture import SEED, Fixture, base_no
 from .sql import _summary_columns, sql
 
@@ -51,22 +52,16 @@ _IDS = ["species", "sample_1", "sample_2"]
 
 
 def _checkpointed(fx: Fixture):
-    """df.checkpoint() in the shared folder; sets one of this machine where the session has none."""
-    import tempfile
-
+    """df.checkpoint() in the shared folder."""
     sc = fx.spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(fx.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="genoflux-"))
+        sc.setCheckpointDir(shared_dir(fx.spark))
     return lambda df: df.checkpoint()
 
 
 def _written(fx: Fixture, df: DataFrame, write) -> str:
     """Writes into a new folder of the shared place; returns its path."""
-    import tempfile
-    import uuid
-
-    base = fx.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='genoflux-')}"
-    path = f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    path = new_path(fx.spark)
     write(df.write, path)
     return path
 
@@ -86,10 +81,11 @@ def s1_s2_unpivot_and_decode(fx):
 def s3_s12_biallelic_cache(fx):
     """Biallelic sites written by species, read back; species that are done are not made again."""
     a = fx.alleles().where("site_class != 'multi'").select(*S.SITE, "ref_base", "major", "alt")
-    path = _written(fx, a.where("species < 'B'"), lambda w, p: w.partitionBy("species").parquet(p))
+    path = new_path(fx.spark)
+    T.write_by_species(a.where("species < 'B'"), path)  # a run that ended early
     done = fx.spark.read.schema(a.schema).parquet(path)
-    rest = T.unfinished(a, done)
-    return done.select(*a.columns).unionByName(rest)
+    T.write_by_species(T.unfinished(a, done), path)
+    return T.cached_table(fx.spark, path, lambda: a).select(*a.columns)
 
 
 _CORE = "core_diff, core_len, core_len_4d, core_len_1d, core_diff_4d, core_diff_1d"
@@ -97,7 +93,7 @@ _CORE = "core_diff, core_len, core_len_4d, core_len_1d, core_diff_4d, core_diff_
 
 def _csv_pairs(fx):
     """Close and clonal pair files of the fixture: pairs with and without a recombined site."""
-    s = fx.summary().withColumnsRenamed({"species": "species_name"}).withColumns({c: F.col(c).cast("string") for c in ("sample_1", "sample_2")})
+    s = kept(fx.summary()).withColumnsRenamed({"species": "species_name"}).withColumns({c: F.col(c).cast("string") for c in ("sample_1", "sample_2")})
     from ..sources import schemas
 
     names = lambda schema: [x.strip().split(" ")[0] for x in schema.split(",")]
@@ -188,11 +184,15 @@ def s11_named_pairs(fx):
     return T.named_pairs(fx.pairs().join(a, ["species", "sample_1"]).join(b, ["species", "sample_2"]).select("species", "i", "j"), index)
 
 
-@query("SELECT DISTINCT r_name AS species FROM region")
+@query("SELECT r_name AS species, count(DISTINCT n_nationkey) AS n_rows FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
 def s13_species(fx):
-    """Species from the names of their files."""
-    path = _written(fx, fx.table("region").select("r_name", F.col("r_name").alias("species")), lambda w, p: w.partitionBy("species").csv(p))
-    return fx.spark.read.option("header", False).csv(path).select("species").distinct()
+    """Species and rows of each from the names of their files, dot files left out."""
+    t = fx.table("region").join(fx.table("nation"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name")
+    path = _written(fx, t, lambda w, p: w.partitionBy("r_name").csv(p))
+    named = fx.spark.read.schema("n_name string").option("recursiveFileLookup", True).csv(path).select(F.input_file_name().alias("file"))
+    # a partition's folder stands for the reference's file of a species
+    stem = T.species_of_file(F.concat(F.regexp_extract("file", "r_name=([^/]+)/[^/]+$", 1), F.lit(".csv")))
+    return named.where(~F.col("file").rlike(r"/[.][^/]*$")).groupBy(F.url_decode(stem).alias("species")).agg(F.count("*").alias("n_rows"))
 
 
 # --- 2.2 filters -----------------------------------------------------------------------------------------------------
@@ -253,9 +253,19 @@ def a10_polarized_reference(fx):
     return S.polarized(bases, fx.alleles())
 
 
-@query()
+_FLIP = "translate({}, 'ACGT', 'TGCA')"
+_AMINO = f"substr('{S.AMINO_ACIDS}', 16 * (instr('TCAG', substr({{0}}, 1, 1)) - 1) + 4 * (instr('TCAG', substr({{0}}, 2, 1)) - 1) + instr('TCAG', substr({{0}}, 3, 1)), 1)"
+
+
+@query(f"""WITH s AS (SELECT p_brand AS contig, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS BIGINT) AS location, substr('ACGT', CAST((p_partkey * 7 + 3) % 4 + 1 AS INT), 1) AS base, p_brand < 'Brand#3' AS plus, count(*) OVER (PARTITION BY p_brand) AS stop FROM part),
+ c AS (SELECT contig, location, plus, CASE WHEN plus THEN location - 1 ELSE stop - location END AS step, CASE WHEN plus THEN base ELSE {_FLIP.format("base")} END AS base FROM s),
+ k AS (SELECT contig, step // 3 AS codon_no, string_agg(base, '' ORDER BY step) AS codon FROM c GROUP BY ALL HAVING count(*) = 3),
+ t AS (SELECT c.contig, location, codon, CASE WHEN b = base THEN NULL ELSE concat(substr(codon, 1, CAST(step % 3 AS INT)), b, substr(codon, CAST(step % 3 AS INT) + 2, 3)) END AS codon2 FROM c JOIN k ON k.contig = c.contig AND k.codon_no = c.step // 3, (SELECT unnest(['A', 'C', 'G', 'T']) AS b)),
+ a AS (SELECT contig, location, {_AMINO.format("codon")} AS aa, {_AMINO.format("codon2")} AS aa2 FROM t WHERE codon2 IS NOT NULL),
+ n AS (SELECT contig, location, count(*) FILTER (aa = aa2) AS s, count(*) FILTER (aa <> aa2 AND aa2 = '*') AS n, count(*) FILTER (aa <> aa2 AND aa <> '*' AND aa2 <> '*') AS m, count(*) FILTER (aa <> aa2 AND aa = '*') AS nn FROM a GROUP BY ALL)
+ SELECT contig, location, CASE s WHEN 3 THEN '4D' WHEN 2 THEN '3D' WHEN 1 THEN '2D' ELSE '1D' END AS site_type, s, n, m, nn FROM n""")
 def a11_codon_annotation(fx):
-    """Each contig read as one gene; bases from locations by rank. Tested by hand-made genes."""
+    """Each contig read as one gene; bases from locations by rank. Tested by hand-made genes too."""
     s = fx.sites()
     rank = F.row_number().over(Window.partitionBy("contig").orderBy("location")).cast("long")
     bases = s.select("contig", rank.alias("location"), base_no(F.col("location") * 7 + 3).alias("base"))
@@ -283,12 +293,12 @@ def j1_j2_pair_differences(fx):
 
 @query(sql("SELECT species, sample_1, sample_2, core_pos FROM annotated WHERE inside", "annotated"))
 def j3_core_segments(fx):
-    x = fx.pair_sites().join(F.broadcast(fx.sites()), ["contig", "location"])
+    x = fx.pair_sites().join(fx.sites(), ["contig", "location"])
     return P.in_segments(x, fx.transfers()).where("inside").select(*_IDS, "core_pos")
 
 
 def _reference_segments(fx):
-    return fx.transfers().join(F.broadcast(fx.sites().select(F.col("core_pos").alias("start_pos"), "contig", F.col("location").alias("ref_start"))), "start_pos").withColumn("ref_end", F.col("ref_start") + 300)
+    return fx.transfers().join(fx.sites().select(F.col("core_pos").alias("start_pos"), "contig", F.col("location").alias("ref_start")), "start_pos").withColumn("ref_end", F.col("ref_start") + 300)
 
 
 @query(sql("""SELECT DISTINCT p.species, p.sample_1, p.sample_2, p.contig, p.location FROM psites p JOIN sites USING (contig, location)
@@ -348,9 +358,30 @@ def j13_recombined_pairs(fx):
     return P.sampled_pairs(fx.similarity(), 20, SEED, 0.2)
 
 
-@query()
+def _greedy_pairs_sql(name: str, pairs: str, threshold: float) -> str:
+    """View `name`: J14 on a view of pairs, walked in order."""
+    return f"""{name}_o AS MATERIALIZED (SELECT p.species, sample_1, sample_2, row_number() OVER (PARTITION BY p.species ORDER BY sample_1, sample_2) AS i, near FROM {pairs} p JOIN (SELECT species, sample_a, list(sample_b) FILTER (frac > {threshold}) AS near FROM similarity GROUP BY ALL) x ON x.species = p.species AND x.sample_a = sample_1),
+ {name}_w AS (SELECT DISTINCT species, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept, CAST(NULL AS BIGINT) AS sample_1, CAST(NULL AS BIGINT) AS sample_2, false AS stays FROM {name}_o
+   UNION ALL SELECT o.species, o.i, CASE WHEN list_has_any(kept, near) THEN kept ELSE list_append(kept, o.sample_1) END, o.sample_1, o.sample_2, NOT list_has_any(kept, near) FROM {name}_w w JOIN {name}_o o ON o.species = w.species AND o.i = w.i + 1),
+ {name} AS MATERIALIZED (SELECT species, sample_1, sample_2 FROM {name}_w WHERE stays)"""
+
+
+def _greedy_samples_sql(name: str, seed: str, threshold: float) -> str:
+    """View `name`: J15 from a view of seed samples, walked in order of id."""
+    return f"""{name}_o AS MATERIALIZED (SELECT s.species, s.sample_id, row_number() OVER (PARTITION BY s.species ORDER BY s.sample_id) AS i, near FROM samples s JOIN (SELECT species, sample_a, list(sample_b) FILTER (frac >= {threshold} AND sample_a <> sample_b) AS near FROM similarity GROUP BY ALL) x ON x.species = s.species AND x.sample_a = s.sample_id
+   ANTI JOIN {seed} z ON z.species = s.species AND z.sample_id = s.sample_id SEMI JOIN {seed} y ON y.species = s.species),
+ {name}_w AS (SELECT species, CAST(0 AS BIGINT) AS i, list(sample_id) AS kept FROM {seed} GROUP BY species
+   UNION ALL SELECT o.species, o.i, CASE WHEN list_has_any(kept, coalesce(near, [])) THEN kept ELSE list_append(kept, o.sample_id) END FROM {name}_w w JOIN {name}_o o ON o.species = w.species AND o.i = w.i + 1),
+ {name} AS MATERIALIZED (SELECT species, unnest(kept) AS sample_id FROM {name}_w QUALIFY i = max(i) OVER (PARTITION BY species))"""
+
+
+def _recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_recursive(sql("", "pairs", "similarity")[:-1] + f", {_greedy_pairs_sql('j14', 'pairs', 0.2)} SELECT * FROM j14"))
 def j14_deduplicated_pairs(fx):
-    """Greedy; tested against a loop."""
+    """Greedy; tested against a loop too."""
     return P.deduplicated_pairs(fx.pairs(), fx.similarity(), 0.2, _checkpointed(fx))
 
 
@@ -359,9 +390,9 @@ def _grown(fx):
     return P.unrelated_samples(fx.samples(), fx.similarity(), first, 0.5, _checkpointed(fx))
 
 
-@query()
+@query(_recursive(sql("", "pairs", "similarity", "samples")[:-1] + f", seeds AS (SELECT species, min(sample_1) AS sample_id FROM pairs GROUP BY species), {_greedy_samples_sql('j15', 'seeds', 0.5)} SELECT * FROM j15"))
 def j15_unrelated_samples(fx):
-    """Greedy; tested against a loop."""
+    """Greedy; tested against a loop too."""
     return _grown(fx)
 
 
@@ -395,8 +426,17 @@ def g10_g11_g12_g14_species_counts(fx):
 
 @query(sql("SELECT DISTINCT species, sample_1, sample_2 FROM transfers", "transfers"))
 def g15_u1_u3_transfer_pairs(fx):
-    t = fx.transfers().select(*_IDS)
-    return t.unionByName(t).dropDuplicates()
+    """Pairs of the first and of the second half of the segments, each once."""
+    t = fx.transfers().select(*_IDS, "start_pos")
+    n = fx.table("part").count()
+    return t.where(F.col("start_pos") * 2 < n).select(*_IDS).unionByName(t.where(F.col("start_pos") * 2 >= n).select(*_IDS)).dropDuplicates()
+
+
+@query(sql("SELECT DISTINCT species, unnest([sample_1, sample_2]) AS sample_id FROM transfers", "transfers"))
+def u3_transfer_samples(fx):
+    """Samples on either side of a recombining pair, each once."""
+    t = fx.transfers()
+    return t.select("species", F.col("sample_1").alias("sample_id")).union(t.select("species", "sample_2")).distinct()
 
 
 # --- 2.6 estimators ------------------------------------------------------------------------------------------------------
@@ -424,11 +464,11 @@ _THIRD = "CAST(len(list_filter(range(1, clonal_diff_4d + 1), lambda i: ('0x' ||
 @query(sql(f"SELECT species, sample_1, sample_2, {_THIRD} AS ks_a, clonal_diff_4d - {_THIRD} AS ks_b FROM summary", "summary"))
 def e3_general_thinning(fx):
     s = fx.block_summary().select(*_IDS, F.col("clonal_diff_4d").alias("ks"), F.col("clonal_len_4d").cast("double").alias("ls"))
-    return E.thin_counts(s, 0.3, F.lit(7), "species", "sample_1", "sample_2").select(*_IDS, "ks_a", "ks_b")
+    return E.split_by_thinning(s, 0.3, F.lit(7), "species", "sample_1", "sample_2").select(*_IDS, "ks_a", "ks_b")
 
 
 def _thin(fx):
-    return E.thin_counts(E.by_class(fx.block_summary()), 0.5, F.lit(SEED), "species", "sample_1", "sample_2")
+    return E.split_by_thinning(E.by_class(fx.pair_table()), 0.5, F.lit(SEED), "species", "sample_1", "sample_2")
 
 
 def _binned(fx):
@@ -562,7 +602,7 @@ REPS = 20
 
 def _bootstrap(fx):
     """R of each species and class over resampled pairs, all in one bin, thinning kept."""
-    t = E.thin_counts(E.by_class(E.resampled(fx.block_summary(), "species", ["sample_1", "sample_2"], REPS, 123)), 0.5, F.lit(SEED), *_IDS)
+    t = E.split_by_thinning(E.by_class(E.resampled(fx.pair_table(), "species", ["sample_1", "sample_2"], REPS, 123, kept)), 0.5, F.lit(SEED), *_IDS)
     return E.pooled_bins(t.where("ds_a > 0").withColumn("bin", F.lit(0).cast("long")), ["species", "mut_class", "rep"])
 
 
@@ -585,16 +625,16 @@ CURVE_REPS = 400
 def _binned_bootstrap(fx, rethin: bool):
     """The curve of each species and class on edges fixed by the first thinning, and the same of each replicate by bin: pairs drawn
     anew, and thinned anew by draw or not."""
-    s = _checkpointed(fx)(fx.block_summary())
-    first = E.thin_counts(E.by_class(s), 0.5, F.lit(SEED), *_IDS)
-    edges = _checkpointed(fx)(first.groupBy("species").agg(E.log_edges("ds_a", 6).alias("e")))
+    s = fx.pair_table()
+    first = E.split_by_thinning(E.by_class(s), 0.5, F.lit(SEED), *_IDS)
+    edges = kept(first.groupBy("species").agg(E.log_edges("ds_a", 6).alias("e")))
     cut = lambda t: t.join(F.broadcast(edges), "species").withColumn("bin", E.bin_of("ds_a", "e"))
-    draws = E.resampled(s, "species", ["sample_1", "sample_2"], CURVE_REPS, 123)
+    draws = E.resampled(s, "species", ["sample_1", "sample_2"], CURVE_REPS, 123, kept)
     if rethin:
         drawn = E.by_class(draws.withColumn("sample_2", F.col("draw").cast("string")))
-        t = E.thin_counts(drawn, 0.5, F.lit(SEED), "rep", "species", "sample_2")
+        t = E.split_by_thinning(drawn, 0.5, F.lit(SEED), "rep", "species", "sample_2")
     else:
-        t = E.thin_counts(E.by_class(draws), 0.5, F.lit(SEED), *_IDS)
+        t = E.split_by_thinning(E.by_class(draws), 0.5, F.lit(SEED), *_IDS)
     curve = E.enough_bins(E.pooled_bins(cut(first), ["species", "mut_class"]))
     return curve, E.pooled_bins(cut(t), ["species", "mut_class", "rep"])
 
@@ -627,7 +667,29 @@ def b2_b3_j17_binned_intervals(fx):
     return _binned_intervals(fx, False)
 
 
-@query()
+def _redrawn_sql(group: str, reps: int, key: str) -> str:
+    """Views `draws` and `rethin`: pairs of each group drawn anew, each draw thinned by `key`, by class. group: species, or 'all'."""
+    by = "species" if group == "species" else "'all'"
+    order = "sample_1, sample_2" if group == "species" else "species, sample_1, sample_2"
+    return f"""num AS (SELECT *, {by} AS grp, row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1 AS row_id FROM summary),
+ slots AS (SELECT grp, n, rep, unnest(range(0, n)) AS draw FROM (SELECT grp, count(*) AS n FROM num GROUP BY grp), range(0, {reps}) r(rep)),
+ draws AS (SELECT grp, rep, draw, (('0x' || substr(md5(concat_ws('|', '123', grp, rep, draw)), 1, 8))::BIGINT * n) >> 32 AS row_id FROM slots),
+ halved AS (SELECT d.grp, d.rep, d.draw, n.*, CAST(coalesce(list_sum(list_transform(range(0, (clonal_diff_4d + 31) // 32), lambda i: bit_count(('0x' || substr(md5(concat_ws('|', '42', {key}, i)), 1, 8))::BIGINT & ((1::BIGINT << CAST(least(32, clonal_diff_4d - 32 * i) AS INT)) - 1)))), 0) AS BIGINT) AS ks_a
+   FROM draws d JOIN num n ON n.grp = d.grp AND n.row_id = d.row_id),
+ rethin AS MATERIALIZED (SELECT *, ks - ks_a AS ks_b, ls * 0.5 AS ls_a, ls * 0.5 AS ls_b, ks_a / greatest(ls * 0.5, 1e-12) AS ds_a FROM (
+   SELECT species, rep, draw, ks_a, clonal_diff_4d AS ks, CAST(clonal_len_4d AS DOUBLE) AS ls, unnest([{{'mut_class': 'all', 'kn': clonal_diff_1d, 'ln': CAST(clonal_len_1d AS DOUBLE)}}, {{'mut_class': 'missense', 'kn': clonal_mut_m, 'ln': clonal_m / 3}}, {{'mut_class': 'nonsense', 'kn': clonal_mut_n, 'ln': clonal_n / 3}}], recursive := true) FROM halved))"""
+
+
+_IN_BIN = "CASE WHEN ds_a >= e[1] AND ds_a <= e[-1] THEN CAST(greatest(len(list_filter(e, lambda v: v < ds_a)) - 1, 0) AS BIGINT) END AS bin"
+
+
+@query(sql("", "thin")[:-1] + f""", {_SPECIES_BINS}, {_redrawn_sql("species", CURVE_REPS, "d.rep, d.grp, d.draw")},
+ r AS (SELECT species, mut_class, rep, bin, {_R_HAT} AS r_hat FROM (SELECT t.*, {_IN_BIN} FROM rethin t JOIN edges_s USING (species)) WHERE bin IS NOT NULL GROUP BY species, mut_class, rep, bin),
+ q AS (SELECT species, mut_class, bin, exp(quantile_cont(ln(r_hat), 0.5)) AS m, exp(quantile_cont(ln(r_hat), 0.025)) AS lo, exp(quantile_cont(ln(r_hat), 0.975)) AS hi FROM r WHERE r_hat > 0 GROUP BY ALL),
+ c AS (SELECT species, mut_class, bin, count(*) AS n_pairs, sum(ks_a) / sum(ls_a) AS ds_x, {_R_HAT} AS r_hat FROM bin_s WHERE bin IS NOT NULL GROUP BY ALL),
+ k AS (SELECT DISTINCT species FROM (SELECT species, mut_class FROM c GROUP BY ALL HAVING count(*) >= 3))
+ SELECT c.species, c.mut_class, c.bin, c.n_pairs, round(c.ds_x, 6) AS ds_x, round(c.r_hat, 6) AS r_hat, round(m, 6) AS r_med, round(lo, 6) AS r_lo, round(hi, 6) AS r_hi
+ FROM c JOIN k USING (species) LEFT JOIN q ON q.species = c.species AND q.mut_class = c.mut_class AND q.bin = c.bin""")
 def b1_b4_j17_s15_rethinned_curves(fx):
     """Pairs drawn and thinned anew; medians and intervals in log space of each bin beside the point estimate."""
     return _binned_intervals(fx, True)
@@ -642,19 +704,50 @@ def b1_poisson_weights(fx):
     return full.join(w.select(*_IDS, "rep", "weight"), [*_IDS, "rep"], "left").withColumn("rep", F.col("rep").cast("long")).withColumn("weight", F.coalesce("weight", F.lit(0)).cast("long"))
 
 
+def _good(c):
+    """P13 on pooled bins."""
+    return c.where(X.good_bin(1))
+
+
 def _fit_curve(fx):
-    return E.usable(E.pooled_bins(_binned(fx), ["mut_class"]).where("kn > 0 and ks_b > 0"))
+    """The pooled curve, a row a class and bin, written once: every grid of a fit reads it."""
+    if "fit_curve" not in fx.made:
+        fx.made["fit_curve"] = kept(_good(E.pooled_bins(_binned(fx), ["mut_class"])))
+    return fx.made["fit_curve"]
 
 
 _GOOD = "good AS (SELECT * FROM curve WHERE kn > 0 AND ks_b > 0 AND ds_x > 0 AND r_hat > 0)"
-_DECAY = "(CASE WHEN abs({0}) < 1e-12 THEN 1 - ({0}) / 2 ELSE (1 - exp(-({0}))) / ({0}) END)"
+_DECAY = "(CASE WHEN abs({0}) < 1e-2 THEN 1 - ({0}) / 2 + ({0}) * ({0}) / 6 - pow({0}, 3) / 24 + pow({0}, 4) / 120 - pow({0}, 5) / 720 + pow({0}, 6) / 5040 ELSE (1 - exp(-({0}))) / ({0}) END)"
 FD = 0.6
+_PURIFY = f"(1 - {{fd}} + {{fd}} * {_DECAY.format('param * ds_x / 2')})"
+_TWO = f"(1 - {FD} + greatest({FD} - least(alpha2, {FD}), 0.0) * {_DECAY.format('param * ds_x / 2')} + least(alpha2, {FD}) * {_DECAY.format('1e7 * ds_x / 2')})"
+EARLY = 0.15
 
 
 def _grid_sql(lo: float, hi: float, n: int, name: str) -> str:
     return f"(SELECT exp({math.log(lo)!r} + i * {((math.log(hi) - math.log(lo)) / (n - 1))!r}) AS {name} FROM range(0, {n}) g(i))"
 
 
+def _fit_sql(name: str, curve: str, keys: str, pred: str, lo: float, hi: float, n: int = 61, zooms: int = 2) -> str:
+    """View `name` (keys, param, loss): M.fit_one on the view `curve`. pred: the model over ds_x and param."""
+    on = " AND ".join(f"c.{k.strip()} = p.{k.strip()}" for k in keys.split(","))
+    pkeys = ", ".join(f"p.{k.strip()}" for k in keys.split(","))
+    out = [f"{name}_c AS MATERIALIZED (SELECT * FROM {curve} QUALIFY count(*) OVER (PARTITION BY {keys}) >= 3)"]
+    loss = f"SELECT {keys}, param, round(sum(w * r * r) / sum(w), {M.PLACES}) AS loss FROM (SELECT *, CASE WHEN pred > 0 THEN ln(r_hat) - ln(pred) END AS r FROM (SELECT *, 1 / (1 / kn + 1 / ks_b) AS w, {pred} AS pred FROM ({{rows}}))) GROUP BY ALL"
+    best = lambda losses: f"(SELECT {keys}, arg_min(param, {{'loss': loss, 'p': param}}) AS param, min(loss) AS loss FROM ({losses}) GROUP BY {keys})"
+    first = f"SELECT * FROM {name}_c, {_grid_sql(lo, hi, n, 'param')}"
+    out.append(f"{name}_0 AS MATERIALIZED {best(loss.format(rows=first))}")
+    width = (hi / lo) ** (1 / (n - 1))
+    for z in range(1, zooms + 1):
+        step = width ** (2 / (n - 1))
+        near = f"SELECT DISTINCT {keys}, least(greatest(param * unnest({[step**i / width for i in range(n)]!r}), {lo!r}), {hi!r}) AS param FROM {name}_{z - 1}"
+        zoomed = f"SELECT c.*, p.param FROM {name}_c c JOIN ({near}) p ON {on}"
+        out.append(f"{name}_{z} AS MATERIALIZED {best(loss.format(rows=zoomed))}")
+        width = step
+    out.append(f"{name} AS MATERIALIZED (SELECT {pkeys}, param, loss FROM {name}_{zooms} p)")
+    return ", ".join(out)
+
+
 @query(sql("", "curve")[:-1] + f""", {_GOOD}, l AS (SELECT mut_class, p, sum(w * r * r) / sum(w) AS loss FROM (SELECT mut_class, p, 1 / (1 / kn + 1 / ks_b) AS w, ln(r_hat) - ln(0.4 + 0.6 * {_DECAY.format("p * ds_x / 2")}) AS r FROM good, {_grid_sql(1e-1, 1e4, 41, "p")}) GROUP BY ALL)
  SELECT mut_class, round(min(loss), 6) AS best, round(max(loss), 6) AS worst, count(*) AS n_grid FROM l GROUP BY mut_class""")
 def f1_f7_j18_purifying_loss(fx):
@@ -664,64 +757,107 @@ def f1_f7_j18_purifying_loss(fx):
     return losses.groupBy("mut_class").agg(r6(F.min("loss")).alias("best"), r6(F.max("loss")).alias("worst"), F.count("*").alias("n_grid"))
 
 
-@query()
-def f1_purifying_fit(fx):
-    """Fitted s/mu by class. Tested on planted curves."""
-    return M.fit_one(_fit_curve(fx), ["mut_class"], lambda ds, p: X.purifying_curve(ds, FD, p), 1e-3, 1e7)
+def _fitted(fit: DataFrame, keys=("mut_class",)):
+    return fit.select(*keys, r6(F.col("param")).alias("param"), r6(F.col("loss")).alias("loss"))
 
 
-FIT_REPS = 600
+def _one_class(ds, p):
+    return X.purifying_curve(ds, FD, p)
 
 
-@query()
-def f2_f11_bootstrap_fits(fx):
-    """95 % intervals over replicates: s/mu of the purifying curve (F2), and alpha2 estimated anew in each replicate with the s1
-    fitted under it (F11)."""
-    key, t = ["mut_class", "rep"], _bootstrap_thinned(fx)
-    c = _checkpointed(fx)(_bootstrap_bins(fx, t))
-    fits = M.fit_one(c, key, lambda ds, p: X.purifying_curve(ds, FD, p), 1e-3, 1e7, n=31, zooms=1)
-    early = _checkpointed(fx)(M.early_share(t, key, 0.15).where("alpha2 is not null").select(*key, "alpha2"))
-    model = lambda ds, p: X.two_class_curve(ds, FD, F.least(F.col("alpha2"), F.lit(FD)), p, 1e7)
-    joint = _checkpointed(fx)(M.fit_one(c.join(early, key), key, model, 1e-2, 1e6, n=31, zooms=1).join(early, key))
-    named = [("s", fits, "param", True), ("alpha2", joint, "alpha2", False), ("s1", joint, "param", True)]
-    out = [E.intervals(d, ["mut_class"], x, log_scale=log).withColumn("name", F.lit(name)) for name, d, x, log in named]
-    return out[0].unionByName(out[1]).unionByName(out[2]).select("mut_class", "name", "r_med", "r_lo", "r_hi")
+def _two_class(ds, p):
+    return X.two_class_curve(ds, FD, F.least(F.col("alpha2"), F.lit(FD)), p, 1e7)
+
+
+@query(sql("", "curve")[:-1] + f""", {_GOOD}, {_fit_sql("f", "good", "mut_class", _PURIFY.format(fd=FD), 1e-3, 1e7)} SELECT mut_class, round(param, 6) AS param, round(loss, 6) AS loss FROM f""")
+def f1_purifying_fit(fx):
+    """Fitted s/mu by class. Tested on planted curves too."""
+    return _fitted(M.fit_one(_fit_curve(fx), ["mut_class"], _one_class, 1e-3, 1e7))
+
+
+FIT_REPS = 600
 
 
 def _bootstrap_thinned(fx, reps: int = FIT_REPS):
     """Pairs of all species drawn anew in each replicate; every draw of a pair is thinned on its own."""
-    s = _checkpointed(fx)(fx.block_summary()).withColumn("all", F.lit("all"))
-    draws = E.resampled(s, "all", ["species", "sample_1", "sample_2"], reps, 123)
-    return E.thin_counts(E.by_class(draws.withColumn("sample_2", F.col("draw").cast("string"))), 0.5, F.lit(SEED), "rep", "sample_2")
+    s = fx.pair_table().withColumn("all", F.lit("all"))
+    draws = E.resampled(s, "all", ["species", "sample_1", "sample_2"], reps, 123, kept)
+    return E.split_by_thinning(E.by_class(draws.withColumn("sample_2", F.col("draw").cast("string"))), 0.5, F.lit(SEED), "rep", "sample_2")
 
 
 def _bootstrap_bins(fx, t):
-    e = _thin(fx).agg(E.log_edges("ds_a", 6).alias("e"))
-    b = t.crossJoin(F.broadcast(e)).withColumn("bin", E.bin_of("ds_a", "e"))
-    return E.usable(E.pooled_bins(b, ["mut_class", "rep"]).where("kn > 0 and ks_b > 0"))
+    e = kept(_thin(fx).agg(E.log_edges("ds_a", 6).alias("e")))
+    b = t.crossJoin(F.broadcast(e)).withColumn("bin", E.bin_of("ds_a", "e"))  # one row
+    return _good(E.pooled_bins(b, ["mut_class", "rep"]))
 
 
 def _bootstrap_curve(fx, reps: int = FIT_REPS):
-    return _checkpointed(fx)(_bootstrap_bins(fx, _bootstrap_thinned(fx, reps)))
+    return kept(_bootstrap_bins(fx, _bootstrap_thinned(fx, reps)))
+
+
+def _bootstrap_early(t, key):
+    return M.early_share(t, key, EARLY).where("alpha2 is not null").select(*key, "alpha2")
+
+
+_REP_CURVE = f"""{_redrawn_sql("all", FIT_REPS, "d.rep, d.draw")},
+ rc AS MATERIALIZED (SELECT mut_class, rep, bin, sum(kn) AS kn, sum(ks_b) AS ks_b, sum(ks_a) / sum(ls_a) AS ds_x, {_R_HAT} AS r_hat FROM (SELECT t.*, {_IN_BIN} FROM rethin t, edges) WHERE bin IS NOT NULL GROUP BY mut_class, rep, bin),
+ rgood AS (SELECT * FROM rc WHERE kn > 0 AND ks_b > 0 AND ds_x > 0 AND r_hat > 0)"""
+_EARLY_SHARE = "count(*) AS n_pairs, avg(ds_a) AS mean_ds, least(greatest(1 - (sum(kn) / sum(ln)) / (sum(ks_b) / sum(ls_b)), 0.0), 1.0) AS alpha2"
+_IS_EARLY = f"ds_a > 0 AND ds_a < {EARLY} AND ks_b > 0 AND ls_b > 0 AND ln > 0"
+_REP_EARLY = f"early_r AS (SELECT mut_class, rep, {_EARLY_SHARE} FROM rethin WHERE {_IS_EARLY} GROUP BY mut_class, rep), joint_c AS (SELECT g.*, e.alpha2 FROM rgood g JOIN early_r e ON e.mut_class = g.mut_class AND e.rep = g.rep)"
+_REP_FITS = f"{_fit_sql('one', 'rgood', 'mut_class, rep', _PURIFY.format(fd=FD), 1e-3, 1e7, 31, 1)}, {_REP_EARLY}, {_fit_sql('two', 'joint_c', 'mut_class, rep', _TWO, 1e-2, 1e6, 31, 1)}"
+
+
+def _interval_sql(x: str, log: bool) -> str:
+    q = lambda at: f"exp(quantile_cont(ln({x}), {at}))" if log else f"quantile_cont({x}, {at})"
+    return f"round({q(0.5)}, 6) AS r_med, round({q(0.025)}, 6) AS r_lo, round({q(0.975)}, 6) AS r_hi"
+
+
+@query(sql("", "edges")[:-1] + f""", {_REP_CURVE}, {_REP_FITS}, joint AS (SELECT t.*, alpha2 FROM two t JOIN early_r e ON e.mut_class = t.mut_class AND e.rep = t.rep)
+ SELECT mut_class, 's' AS name, {_interval_sql("param", True)} FROM one GROUP BY mut_class
+ UNION ALL SELECT mut_class, 'alpha2' AS name, {_interval_sql("alpha2", False)} FROM joint GROUP BY mut_class
+ UNION ALL SELECT mut_class, 's1' AS name, {_interval_sql("param", True)} FROM joint GROUP BY mut_class""")
+def f2_f11_bootstrap_fits(fx):
+    """95 % intervals over replicates: s/mu of the purifying curve (F2), and alpha2 estimated anew in each replicate with the s1
+    fitted under it (F11)."""
+    key, t = ["mut_class", "rep"], _bootstrap_thinned(fx)
+    c = kept(_bootstrap_bins(fx, t))
+    fits = kept(M.fit_one(c, key, _one_class, 1e-3, 1e7, n=31, zooms=1))
+    early = kept(_bootstrap_early(t, key))
+    joint = kept(M.fit_one(c.join(early, key), key, _two_class, 1e-2, 1e6, n=31, zooms=1, write=kept).join(early, key))
+    named = [("s", fits, "param", True), ("alpha2", joint, "alpha2", False), ("s1", joint, "param", True)]
+    out = [E.intervals(d, ["mut_class"], x, log_scale=log).withColumn("name", F.lit(name)) for name, d, x, log in named]
+    return out[0].unionByName(out[1]).unionByName(out[2]).select("mut_class", "name", *(r6(F.col(x)).alias(x) for x in ("r_med", "r_lo", "r_hi")))
+
 
+_ALPHA1 = f"(CASE WHEN 0.7 - param >= 0 THEN 0.3 + param * {_DECAY.format('10.0 * ds_x / 2')} + (1 - 0.3 - param) * {_DECAY.format('1e5 * ds_x / 2')} END)"
 
-@query()
+
+@query(sql("", "curve")[:-1] + f""", {_GOOD}, {_REP_CURVE}, {_fit_sql("f", "good", "mut_class", _ALPHA1, 1e-3, 0.69)}, {_fit_sql("b", "rgood", "mut_class, rep", _ALPHA1, 1e-3, 0.69, 31, 1)},
+ i AS (SELECT mut_class, {_interval_sql("param", False)} FROM b GROUP BY mut_class)
+ SELECT f.mut_class, round(param, 6) AS param, round(loss, 6) AS loss, r_med, r_lo, r_hi FROM f LEFT JOIN i USING (mut_class)""")
 def f3_f4_three_class_fit(fx):
     """alpha1 of the three-class model (fixed s1, s2) on all bins, with its 95 % interval over replicates."""
     model = lambda ds, a: X.three_class_curve(ds, 0.3, a, 10.0, 1e5)
-    whole = M.fit_one(_fit_curve(fx), ["mut_class"], model, 1e-3, 0.7)
-    reps = M.fit_one(_bootstrap_curve(fx), ["mut_class", "rep"], model, 1e-3, 0.7, n=31, zooms=1)
-    return whole.join(E.intervals(reps, ["mut_class"], "param", log_scale=False), "mut_class", "left")
+    whole = _fitted(M.fit_one(_fit_curve(fx), ["mut_class"], model, 1e-3, 0.69))
+    reps = kept(M.fit_one(_bootstrap_curve(fx), ["mut_class", "rep"], model, 1e-3, 0.69, n=31, zooms=1))
+    i = E.intervals(reps, ["mut_class"], "param", log_scale=False)
+    return whole.join(i.select("mut_class", *(r6(F.col(x)).alias(x) for x in ("r_med", "r_lo", "r_hi"))), "mut_class", "left")
 
 
-@query()
+@query(sql("", "curve")[:-1] + f""", {_GOOD}, {_REP_CURVE}, share AS (SELECT mut_class, least(greatest(1 - (sum(kn) / sum(ln)) / (sum(ks_b) / sum(ls_b)), 0.0), 0.999999) AS fd FROM thin WHERE ds_a > 0 GROUP BY mut_class),
+ goodf AS (SELECT * FROM good JOIN share USING (mut_class)), rgoodf AS (SELECT * FROM rgood JOIN share USING (mut_class)),
+ {_fit_sql("f", "goodf", "mut_class", _PURIFY.format(fd="fd"), 1e-3, 1e7)}, {_fit_sql("b", "rgoodf", "mut_class, rep", _PURIFY.format(fd="fd"), 1e-3, 1e7, 31, 1)},
+ i AS (SELECT mut_class, {_interval_sql("param", True)} FROM b GROUP BY mut_class)
+ SELECT mut_class, round(fd, 6) AS fd, round(param, 6) AS param, round(loss, 6) AS loss, r_med, r_lo, r_hi FROM share JOIN f USING (mut_class) LEFT JOIN i USING (mut_class)""")
 def f7_class_fits(fx):
     """s/mu of the purifying curve for each class with the deleterious share of its own (F6), and its 95 % interval."""
-    fd = _checkpointed(fx)(M.deleterious_share(_thin(fx).where("ds_a > 0"), ["mut_class"]))
+    fd = kept(M.deleterious_share(_thin(fx).where("ds_a > 0"), ["mut_class"]))
     model = lambda ds, p: X.purifying_curve(ds, F.col("fd"), p)
-    whole = M.fit_one(_fit_curve(fx).join(F.broadcast(fd), "mut_class"), ["mut_class"], model, 1e-3, 1e7)
-    reps = M.fit_one(_bootstrap_curve(fx).join(F.broadcast(fd), "mut_class"), ["mut_class", "rep"], model, 1e-3, 1e7, n=31, zooms=1)
-    return fd.join(whole, "mut_class").join(E.intervals(reps, ["mut_class"], "param", log_scale=True), "mut_class", "left")
+    whole = _fitted(M.fit_one(_fit_curve(fx).join(F.broadcast(fd), "mut_class"), ["mut_class"], model, 1e-3, 1e7, write=kept))
+    reps = kept(M.fit_one(_bootstrap_curve(fx).join(F.broadcast(fd), "mut_class"), ["mut_class", "rep"], model, 1e-3, 1e7, n=31, zooms=1, write=kept))
+    i = E.intervals(reps, ["mut_class"], "param", log_scale=True)
+    return fd.select("mut_class", r6(F.col("fd")).alias("fd")).join(whole, "mut_class").join(i.select("mut_class", *(r6(F.col(x)).alias(x) for x in ("r_med", "r_lo", "r_hi"))), "mut_class", "left")
 
 
 _THREE = f"(0.3 + (0.7 - a) * {_DECAY.format('10.0 * ds_x / 2')} + a * {_DECAY.format('s * ds_x / 2')})"
@@ -757,22 +893,30 @@ def f6_deleterious_share(fx):
     return M.deleterious_share(_thin(fx).where("ds_a > 0"), ["mut_class"]).select("mut_class", r6(F.col("fd")).alias("fd"))
 
 
-@query(sql("SELECT mut_class, count(*) AS n_pairs, round(avg(ds_a), 6) AS mean_ds, round(CASE WHEN sum(ks_b) > 0 THEN least(greatest(1 - (sum(kn) / sum(ln)) / (sum(ks_b) / sum(ls_b)), 0.0), 0.999999) END, 6) AS alpha2 FROM thin WHERE ds_a > 0 AND ds_a < 0.15 GROUP BY mut_class", "thin"))
+@query(sql(f"SELECT mut_class, n_pairs, round(mean_ds, 6) AS mean_ds, round(alpha2, 6) AS alpha2 FROM (SELECT mut_class, {_EARLY_SHARE} FROM thin WHERE {_IS_EARLY} GROUP BY mut_class)", "thin"))
 def f8_early_share(fx):
-    return M.early_share(_thin(fx), ["mut_class"], 0.15).select("mut_class", "n_pairs", r6(F.col("mean_ds")).alias("mean_ds"), r6(F.col("alpha2")).alias("alpha2"))
+    return M.early_share(_thin(fx), ["mut_class"], EARLY).select("mut_class", "n_pairs", r6(F.col("mean_ds")).alias("mean_ds"), r6(F.col("alpha2")).alias("alpha2"))
+
+
+def _corrected_fit(fx):
+    """s1 given the early share; the share corrected once; s1 fitted again. mut_class, s1_first, alpha2, param, loss."""
+    early = kept(M.early_share(_thin(fx), ["mut_class"], EARLY).select("mut_class", "alpha2", "mean_ds"))
+    c = _fit_curve(fx).join(F.broadcast(early), "mut_class")  # a row a class
+    first = kept(M.fit_one(c, ["mut_class"], _two_class, 1e-2, 1e6, write=kept).select("mut_class", F.col("param").alias("s1_first")))
+    again = c.join(F.broadcast(first), "mut_class").withColumn("alpha2", M.corrected_alpha2("alpha2", "s1_first", "mean_ds", FD))
+    share = kept(again.select("mut_class", "s1_first", "alpha2").distinct())
+    return share.join(M.fit_one(again, ["mut_class"], _two_class, 1e-2, 1e6, write=kept), "mut_class")
+
+
+_CORRECTED = f"""early_w AS (SELECT mut_class, {_EARLY_SHARE} FROM thin WHERE {_IS_EARLY} GROUP BY mut_class), wc AS (SELECT g.*, e.alpha2, e.mean_ds FROM good g JOIN early_w e USING (mut_class)), {_fit_sql("f1st", "wc", "mut_class", _TWO, 1e-2, 1e6)},
+ wagain AS (SELECT w.* EXCLUDE (alpha2), f.param AS s1_first, least(greatest((w.alpha2 - {FD} * greatest(f.param * mean_ds / 4, 0.0)) / greatest(1 - greatest(f.param * mean_ds / 4, 0.0), 1e-9), 0.0), {FD}) AS alpha2 FROM wc w JOIN f1st f USING (mut_class)),
+ {_fit_sql("f2nd", "wagain", "mut_class", _TWO, 1e-2, 1e6)}, corrected AS (SELECT DISTINCT s1_first, alpha2, f.* FROM f2nd f JOIN wagain w ON w.mut_class = f.mut_class)"""
 
 
-@query()
+@query(sql("", "curve")[:-1] + f""", {_GOOD}, {_CORRECTED} SELECT mut_class, round(s1_first, 6) AS s1_first, round(alpha2, 6) AS alpha2, round(param, 6) AS s1, round(loss, 6) AS loss FROM corrected""")
 def f9_f10_two_class_fit(fx):
-    """s1 given the early share; the share corrected once; s1 fitted again."""
-    t = _thin(fx).where("mut_class = 'all'")
-    early = M.early_share(t, ["mut_class"], 0.15)
-    c = _fit_curve(fx).join(early.select("mut_class", "alpha2", "mean_ds"), "mut_class")
-    model = lambda ds, p: X.two_class_curve(ds, FD, F.least(F.col("alpha2"), F.lit(FD)), p, 1e7)
-    first = M.fit_one(c, ["mut_class"], model, 1e-2, 1e6)
-    again = c.join(first.select("mut_class", F.col("param").alias("s1")), "mut_class").withColumn("alpha2", M.corrected_alpha2("alpha2", "s1", "mean_ds", FD))
-    second = M.fit_one(again, ["mut_class"], model, 1e-2, 1e6)
-    return first.select("mut_class", F.col("param").alias("s1_first")).join(second.select("mut_class", F.col("param").alias("s1"), "loss"), "mut_class")
+    """s1 given the early share; the share corrected once; s1 fitted again, for each class."""
+    return _corrected_fit(fx).select("mut_class", r6(F.col("s1_first")).alias("s1_first"), r6(F.col("alpha2")).alias("alpha2"), r6(F.col("param")).alias("s1"), r6(F.col("loss")).alias("loss"))
 
 
 @query(sql("", "curve")[:-1] + f""", {_GOOD}, q AS (SELECT mut_class, 1 / (1 / kn + 1 / ks_b) AS w, ln(r_hat) - ln(0.4 + 0.6 * {_DECAY.format("10.0 * ds_x / 2")}) AS r FROM good)
@@ -782,13 +926,21 @@ def f12_fit_quality(fx):
     return q.select("mut_class", "n", r6(F.col("wmse")).alias("wmse"), r6(F.col("rmse_log")).alias("rmse_log"), F.round("aic", 4).alias("aic"), F.round("bic", 4).alias("bic"))
 
 
-@query()
+@query(sql("", "curve")[:-1] + f""", {_GOOD}, {_REP_CURVE}, {_REP_FITS}, {_CORRECTED}, {_fit_sql("whole", "good", "mut_class", _PURIFY.format(fd=FD), 1e-3, 1e7)},
+ delta AS (SELECT o.mut_class, o.loss - t.loss AS d FROM one o JOIN two t ON t.mut_class = o.mut_class AND t.rep = o.rep),
+ g AS (SELECT mut_class, round(quantile_cont(d, 0.5), 6) AS delta_med, round(quantile_cont(d, 0.025), 6) AS delta_lo, round(quantile_cont(d, 0.975), 6) AS delta_hi, round(avg(CAST(d > 0 AS INT)), 6) AS improved, count(*) AS n_reps FROM delta GROUP BY mut_class)
+ SELECT w.mut_class, round(w.loss, 6) AS wmse_one, round(c.loss, 6) AS wmse_two, round(w.loss - c.loss, 6) AS delta_point, delta_med, delta_lo, delta_hi, improved, n_reps FROM whole w JOIN corrected c USING (mut_class) LEFT JOIN g USING (mut_class)""")
 def f13_model_comparison(fx):
-    """One against two classes over replicates."""
-    c = _bootstrap_curve(fx)
-    one = M.fit_one(c, ["mut_class", "rep"], lambda ds, p: X.purifying_curve(ds, FD, p), 1e-2, 1e6, n=31, zooms=1)
-    two = M.fit_one(c, ["mut_class", "rep"], lambda ds, p: X.two_class_curve(ds, FD, F.lit(0.2), p, 1e7), 1e-2, 1e6, n=31, zooms=1)
-    return M.compared(one, two, ["mut_class"])
+    """One class against two, alpha2 from the early pairs: weighted losses on the whole curve (alpha2 corrected once), and their
+    difference over replicates (alpha2 of each replicate) with the share that improve."""
+    key, t = ["mut_class", "rep"], _bootstrap_thinned(fx)
+    c, early = kept(_bootstrap_bins(fx, t)), kept(_bootstrap_early(t, key))
+    one = kept(M.fit_one(c, key, _one_class, 1e-3, 1e7, n=31, zooms=1))
+    two = kept(M.fit_one(c.join(early, key), key, _two_class, 1e-2, 1e6, n=31, zooms=1, write=kept))
+    whole = M.fit_one(_fit_curve(fx), ["mut_class"], _one_class, 1e-3, 1e7).select("mut_class", F.col("loss").alias("a")).join(_corrected_fit(fx).select("mut_class", F.col("loss").alias("b")), "mut_class")
+    point = whole.select("mut_class", r6(F.col("a")).alias("wmse_one"), r6(F.col("b")).alias("wmse_two"), r6(F.col("a") - F.col("b")).alias("delta_point"))
+    d = M.compared(one, two, ["mut_class"])
+    return point.join(d.select("mut_class", *(r6(F.col(x)).alias(x) for x in ("delta_med", "delta_lo", "delta_hi", "improved")), "n_reps"), "mut_class", "left")
 
 
 # --- 2.8 prevalence ------------------------------------------------------------------------------------------------------------
@@ -812,7 +964,7 @@ def _spectrum(fx):
     counts = V.folded(V.site_counts(fx.genotypes(), fx.samples())).withColumn("label", V.label())
     sites = fx.sites().where("site_type in ('1D', '4D')")
     both = counts.withColumn("set", F.lit("all")).unionByName(counts.join(V.clonal_snvs(fx.pair_sites()), V.SITE, "left_semi").withColumn("set", F.lit("clonal")))
-    x = both.join(F.broadcast(sites.select("contig", "location", "site_type")), ["contig", "location"])
+    x = both.join(sites.select("contig", "location", "site_type"), ["contig", "location"])
     totals = sites.groupBy("site_type").agg(F.count("*").alias("total")).crossJoin(x.select("species", "set").distinct())
     return V.spectrum(x, totals, ["species", "set", "site_type"])
 
@@ -827,9 +979,15 @@ def v5_v7_v8_j9_spectrum(fx):
     return _spectrum(fx).select("species", "set", "site_type", "label", "total", "n", r6(F.col("proportion")).alias("proportion"))
 
 
+#: Least pairs of a species (G11). The reference's floor is 5; in the fixture no species keeps so many unrelated clonal pairs.
+FLOOR = 2
+
+
 def _selection(fx):
     """Pairs and samples of V1, V7 and V8."""
-    return P.clonal_selection(P.clonal_pairs(fx.pairs(), fx.transfers()), fx.similarity(), fx.samples(), _checkpointed(fx))
+    if "selection" not in fx.made:
+        fx.made["selection"] = P.clonal_selection(P.clonal_pairs(fx.pairs(), fx.transfers()), fx.similarity(), fx.samples(), _checkpointed(fx), FLOOR)
+    return fx.made["selection"]
 
 
 def _selected_spectrum(fx):
@@ -837,22 +995,37 @@ def _selected_spectrum(fx):
     return V.selected_spectrum(fx.genotypes(), fx.sites(), pairs, samples)
 
 
-@query()
+_SELECTED = f"""clonal0 AS (SELECT species, sample_1, sample_2 FROM pairs EXCEPT SELECT species, sample_1, sample_2 FROM transfers),
+ clonal1 AS (SELECT * FROM clonal0 QUALIFY count(*) OVER (PARTITION BY species) >= {FLOOR}), {_greedy_pairs_sql("dedup", "clonal1", 0.2)},
+ sel AS MATERIALIZED (SELECT * FROM dedup QUALIFY count(*) OVER (PARTITION BY species) >= {FLOOR}), seeds AS MATERIALIZED (SELECT DISTINCT species, unnest([sample_1, sample_2]) AS sample_id FROM sel), {_greedy_samples_sql("grown", "seeds", 0.5)},
+ z AS MATERIALIZED (SELECT DISTINCT a.species, a.contig, a.location FROM psites a SEMI JOIN sel s ON s.species = a.species AND s.sample_1 = a.sample_1 AND s.sample_2 = a.sample_2 WHERE differ)"""
+_SELECTED_SPECTRUM = f"""{_SELECTED}, c AS (SELECT g.species, contig, location, count(*) FILTER (genotype = 1) AS alt, count(*) AS covered FROM genotypes g SEMI JOIN grown s ON s.species = g.species AND s.sample_id = g.sample_id GROUP BY ALL HAVING alt > 0 AND alt < covered),
+ f AS (SELECT species, contig, location, CASE WHEN 2 * alt > covered THEN covered - alt ELSE alt END AS alt_count, covered FROM c), l AS (SELECT f.*, {_LABEL} AS label, site_type FROM f JOIN sites USING (contig, location) WHERE site_type <> 'other'),
+ b AS (SELECT *, 'all' AS set FROM l UNION ALL SELECT l.*, 'clonal' AS set FROM l SEMI JOIN z ON l.species = z.species AND l.contig = z.contig AND l.location = z.location),
+ spectrum AS (SELECT d.species, s.set, t.site_type, x.label, t.total, count(b.species) AS n FROM (SELECT DISTINCT species FROM sel) d CROSS JOIN (SELECT unnest(['all', 'clonal']) AS set) s CROSS JOIN (SELECT site_type, count(*) AS total FROM sites WHERE site_type <> 'other' GROUP BY site_type) t CROSS JOIN (SELECT unnest(['singleton', '(0,10%]', '(10,50%]']) AS label) x
+   LEFT JOIN b ON b.species = d.species AND b.set = s.set AND b.site_type = t.site_type AND b.label = x.label GROUP BY ALL)"""
+_SELECTED_VIEWS = ("pairs", "transfers", "similarity", "samples", "genotypes", "psites", "sites")
+
+
+@query(_recursive(sql("", *_SELECTED_VIEWS)[:-1] + f", {_SELECTED} SELECT * FROM z"))
 def v1_j14_deduplicated_clonal_snvs(fx):
-    """Clonal SNVs of the deduplicated clonal pairs; tested against a loop. v1_clonal_snvs takes all pairs."""
+    """Clonal SNVs of the deduplicated clonal pairs. v1_clonal_snvs takes all pairs."""
     return V.clonal_snvs(P.pair_sites(_selection(fx)[0], fx.genotypes()))
 
 
-@query()
+@query(_recursive(sql("", *_SELECTED_VIEWS)[:-1] + f", {_SELECTED_SPECTRUM} SELECT *, round(n / total, 6) AS proportion FROM spectrum"))
 def v7_v8_g11_selected_spectrum(fx):
-    """The spectrum over deduplicated clonal pairs and unrelated samples of species with enough pairs; tested against a loop.
-    v5_v7_v8_j9_spectrum takes all pairs and samples."""
+    """The spectrum over deduplicated clonal pairs and unrelated samples of species with enough pairs. v5_v7_v8_j9_spectrum takes all
+    pairs and samples."""
     return _selected_spectrum(fx).select("species", "set", "site_type", "label", "total", "n", r6(F.col("proportion")).alias("proportion"))
 
 
-@query()
+@query(_recursive(sql("", *_SELECTED_VIEWS)[:-1] + f""", {_SELECTED_SPECTRUM}, mu AS (SELECT DISTINCT n AS mu FROM spectrum),
+ pk AS (SELECT mu, k, sum(CASE WHEN mu = 0 THEN CAST(k = 0 AS DOUBLE) ELSE exp(-mu + k * ln(mu) - lgamma(k + 1)) END) OVER (PARTITION BY mu ORDER BY k) AS c FROM (SELECT mu, unnest(range(0, CAST(ceil(mu + 12 * sqrt(mu + 1) + 12) AS BIGINT) + 1)) AS k FROM mu)),
+ q AS (SELECT mu, min(k) FILTER (c >= 0.025) AS k_lo, min(k) FILTER (c >= 0.975) AS k_hi FROM pk GROUP BY mu)
+ SELECT species, set, site_type, label, n, k_lo, k_hi, round((n - k_lo) / total, 6) AS err_lo, round((k_hi - n) / total, 6) AS err_hi FROM spectrum JOIN q ON mu = n"""))
 def v6_poisson_errors(fx):
-    """Errors of the selected spectrum. Tested against cumulated pmf values."""
+    """Errors of the selected spectrum. Tested against cumulated pmf values too."""
     return V.poisson_interval(_selected_spectrum(fx)).select("species", "set", "site_type", "label", "n", "k_lo", "k_hi", r6(F.col("err_lo")).alias("err_lo"), r6(F.col("err_hi")).alias("err_hi"))
 
 
@@ -865,7 +1038,7 @@ def v6_poisson_errors(fx):
 def c1_to_c5_model_curves(fx):
     s = fx.block_summary().where("core_diff_4d > 0 and core_len_4d > 0").withColumn("ds", X.ratio("core_diff_4d", "core_len_4d"))
     rec = X.recombination_model("ds", 0.3, 0.2, 0.5, 0.1)
-    return s.select(*_IDS, r6(X.logistic_accumulation("ds", 0.1, 3.0)).alias("logistic"), r6(rec["ds"]).alias("rec_ds"), r6(rec["dnds"]).alias("rec_dnds"), r6(X.purifying_curve("ds", 0.6, 50.0)).alias("purify"), r6(X.three_class_curve("ds", 0.3, 0.5, 10.0, 1000.0)).alias("three"), r6(X.two_class_curve("ds", 0.6, 0.2, 10.0, 1e6)).alias("two"))
+    return s.select(*_IDS, r6(X.log_logistic("ds", 0.1, 3.0)).alias("logistic"), r6(rec["ds"]).alias("rec_ds"), r6(rec["dnds"]).alias("rec_dnds"), r6(X.purifying_curve("ds", 0.6, 50.0)).alias("purify"), r6(X.three_class_curve("ds", 0.3, 0.5, 10.0, 1000.0)).alias("three"), r6(X.two_class_curve("ds", 0.6, 0.2, 10.0, 1e6)).alias("two"))
 
 
 @query(sql("", "summary")[:-1] + f""" SELECT name, i AS step, round(1 - fd + fd * {_DECAY.format("s * ds / 2")}, 6) AS r FROM (SELECT species AS name, least(0.9, 1 - sum(core_diff_1d) / sum(core_len_1d)) AS fd, 100.0 AS s FROM summary GROUP BY species), (SELECT i, exp({math.log(1e-4)!r} + i * {(math.log(1e4) / 19)!r}) AS ds FROM range(0, 20) g(i))""")
@@ -875,10 +1048,12 @@ def c6_c7_curve_table(fx):
     return c.withColumn("step", (F.row_number().over(Window.partitionBy("name").orderBy("ds")) - 1).cast("long")).select("name", "step", r6(F.col("r")).alias("r"))
 
 
-@query("SELECT DISTINCT p_type, p_brand, concat(replace(concat(p_type, '_', replace(p_brand, '#', '_')), '_', ' ')) AS kept, regexp_replace(replace(concat(p_type, '_', replace(p_brand, '#', '_')), '_', ' '), ' [0-9]+$', '') AS pretty FROM part")
+@query("SELECT DISTINCT s_name, concat(p[1], ' ', p[2]) || CASE WHEN s_suppkey = 3 THEN ' 3' WHEN s_suppkey = 7 THEN ' 2' ELSE '' END AS pretty, concat(p[1], ' ', p[2], ' (', p[3], ')') AS numbered FROM (SELECT s_suppkey, s_name, string_split(concat(replace(s_name, '#', '_'), '_', s_suppkey), '_') AS p FROM supplier)")
 def c8_pretty_names(fx):
-    name = F.concat_ws("_", "p_type", F.regexp_replace("p_brand", "#", "_"))
-    return fx.table("part").select("p_type", "p_brand", X.pretty_species(name, True).alias("kept"), X.pretty_species(name).alias("pretty")).distinct()
+    """Names of three parts; two of them carry a suffix."""
+    t = fx.table("supplier").select("s_name", F.concat_ws("_", F.translate("s_name", "#", "_"), F.col("s_suppkey").cast("string")).alias("name"), "s_suppkey")
+    manual = {r["name"]: x for r in t.where("s_suppkey in (3, 7)").collect() for x in [{3: "3", 7: "2"}[r["s_suppkey"]]]}
+    return t.select("s_name", X.pretty_species("name", suffixes=manual).alias("pretty"), X.pretty_species("name", True).alias("numbered")).distinct()
 
 
 _RHO = "x AS (SELECT species, core_diff_4d / core_len_4d AS x, core_diff_1d / core_len_1d AS y FROM summary WHERE core_len_4d > 0 AND core_len_1d > 0)"
@@ -899,17 +1074,38 @@ def _xy(fx, method):
     return K.grouped_corr(s, ["species"], "x", "y", method).where("n >= 3")
 
 
-@query()
+#: The t distribution's central share A of nu = n - 2 degrees of freedom, by its finite sum; cos^2 is 1 - r^2.
+_T_SHARE = """CASE WHEN nu % 2 = 0 THEN abs(r) * list_sum(list_transform(range(0, nu // 2), lambda j: exp(lgamma(2 * j + 1) - j * ln(4) - 2 * lgamma(j + 1)) * pow(1 - r * r, j)))
+   ELSE 2 / pi() * (asin(abs(r)) + CASE WHEN nu > 1 THEN abs(r) * sqrt(1 - r * r) * list_sum(list_transform(range(0, (nu - 1) // 2), lambda j: exp(j * ln(4) + 2 * lgamma(j + 1) - lgamma(2 * j + 2)) * pow(1 - r * r, j))) ELSE 0 END) END"""
+
+
+@query(sql("", "summary")[:-1] + f", {_RHO}, c AS (SELECT species, count(*) AS n, count(*) - 2 AS nu, corr(x, y) AS r FROM x GROUP BY species HAVING count(*) >= 3) SELECT species, n, round(1 - ({_T_SHARE}), 6) AS p, 1 - ({_T_SHARE}) < 0.001 AS significant FROM c")
 def k3_c9_p_values(fx):
-    """Tested against known values of the t distribution."""
-    return _xy(fx, "pearson").select("species", "n", "p", X.significant("p").alias("significant"))
+    """Tested against known values of the t distribution too."""
+    return _xy(fx, "pearson").select("species", "n", r6(F.col("p")).alias("p"), X.significant("p").alias("significant"))
+
+
+def _points(fx):
+    return fx.pair_table().where("core_len_4d > 0 and core_len_1d > 0").select(*_IDS, X.ratio("core_diff_4d", "core_len_4d").alias("x"), X.ratio("core_diff_1d", "core_len_1d").alias("y"))
 
 
-@query()
+_CELL = "CAST(coalesce(least(floor(CASE WHEN {0}1 > {0}0 THEN ({0} - {0}0) / ({0}1 - {0}0) END * 32), 31), 0) AS BIGINT)"
+_KDE = f"""p AS MATERIALIZED (SELECT species, sample_1, sample_2, core_diff_4d / core_len_4d AS x, core_diff_1d / core_len_1d AS y FROM summary WHERE core_len_4d > 0 AND core_len_1d > 0),
+ m AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS vxy, count(*) AS total, pow(count(*), -1 / 3) AS h2 FROM p),
+ g AS MATERIALIZED (SELECT {_CELL.format("x")} AS gx, {_CELL.format("y")} AS gy, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM p, m GROUP BY ALL)"""
+_KERNEL = "sum(b.n * exp(-(vy * ({0} - b.mx) ** 2 - 2 * vxy * ({0} - b.mx) * ({1} - b.my) + vx * ({1} - b.my) ** 2) / (vx * vy - vxy * vxy) / h2 / 2)) / any_value(total * 2 * pi() * h2 * sqrt(vx * vy - vxy * vxy))"
+
+
+@query(sql("", "summary")[:-1] + f", {_KDE} SELECT a.gx, a.gy, a.n, round({_KERNEL.format('a.mx', 'a.my')}, 4) AS density FROM g a, g b, m GROUP BY a.gx, a.gy, a.n")
 def k4_density(fx):
-    """Tested against a direct kernel sum."""
-    s = fx.block_summary().where("core_len_4d > 0 and core_len_1d > 0").select(X.ratio("core_diff_4d", "core_len_4d").alias("x"), X.ratio("core_diff_1d", "core_len_1d").alias("y"))
-    return K.density(s, "x", "y", 32)
+    """Density of each occupied cell; tested against a direct kernel sum too."""
+    return K.density(_points(fx), "x", "y", 32).withColumn("density", F.round("density", 4))
+
+
+@query(sql("", "summary")[:-1] + f", {_KDE} SELECT species, sample_1, sample_2, round({_KERNEL.format('p.x', 'p.y')}, 4) AS density FROM p, g b, m GROUP BY species, sample_1, sample_2")
+def k4_point_density(fx):
+    """Density of each pair's point."""
+    return K.point_density(_points(fx), _IDS, "x", "y", 32).withColumn("density", F.round("density", 4))
 
 
 @query(sql("SELECT species, count(*) AS n FROM pairs GROUP BY species ORDER BY n DESC, species LIMIT 3", "pairs"))
@@ -921,7 +1117,7 @@ def k5_k6_top_species(fx):
 @query(sql("SELECT species, sample_1, sample_2, core_diff, core_len, clonal_n, clonal_m, clonal_nn, recomb_n, recomb_m, recomb_nn FROM summary", "summary"))
 def s14_s16_written_tables(fx):
     """Pair counts and opportunities as two CSV tables, read back and joined."""
-    s = fx.block_summary()
+    s = fx.pair_table()
     write = lambda w, p: w.option("header", True).csv(p)
     counts, opps = s.select(*_IDS, "core_diff", "core_len"), s.select(*_IDS, "clonal_n", "clonal_m", "clonal_nn", "recomb_n", "recomb_m", "recomb_nn")
     a, b = (fx.spark.read.schema(d.schema).option("header", True).csv(_written(fx, d, write)) for d in (counts, opps))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from genoflux.functions import expressions as X
+from genoflux.sources.scratch import kept
 from genoflux.operators import estimators as E
 from genoflux.operators import models as M
 from genoflux.operators import pairs as P
@@ -170,7 +171,7 @@ def test_matrix_and_cache(spark, tmp_path):
 
 def test_bootstrap_draws(spark):
     df = spark.createDataFrame([("a", i) for i in range(7)] + [("b", i) for i in range(3)], "g string, i long")
-    d = E.resampled(df, "g", ["i"], 4, 1)
+    d = E.resampled(df, "g", ["i"], 4, 1, kept)
     assert {(r.g, r["count"]) for r in d.groupBy("g", "rep").count().collect()} == {("a", 7), ("b", 3)}
     w = E.poisson_weights(spark.range(3000).withColumnRenamed("id", "i"), ["i"], 1, 1).agg(F.sum("weight")).first()[0]
     assert abs(w - 3000) < 200
