@@ -222,9 +222,10 @@ def features(page: list[Block]) -> list[list[int]]:
     out, n = [], len(page)
     for i, b in enumerate(page):
         size = len(b.text)
-        names = {f"t:{t}" for t in b.tags if t not in _INLINE}
+        shown = [t for t in b.tags if t not in _INLINE or t in _CONTROLS]
+        names = {f"t:{t}" for t in shown}
         names |= {f"w:{w}" for w in b.words}
-        leaf = [t for t in b.tags if t not in _INLINE][-2:]
+        leaf = shown[-2:]
         names |= {f"leaf:{'/'.join(leaf)}", f"size:{min(10, size.bit_length())}", f"link:{min(4, 4 * b.linked // max(1, size))}"}
         names |= {f"end:{b.text[-1] if not b.text[-1].isalnum() else 'a'}", f"stops:{min(4, sum(b.text.count(c) for c in '.!?'))}", f"copy:{'©' in b.text}", f"first:{i == 0}", f"last:{i == n - 1}"}
         out.append([_id("bias"), *map(_id, sorted(names))])
@@ -326,13 +327,15 @@ def relaid(page: list[Block], truth: list[int], rng: random.Random) -> tuple[lis
         words = rng.choice(main).split()
         items = [" ".join(words[j : j + rng.randint(1, 6)]) for j in rng.sample(range(len(words)), min(len(words), rng.randint(2, 6)))]
         k = rng.randint(1, len(inner))
-        inner[k:k] = [("<li>", x, "", 1) for x in items]
+        kind = rng.choice(["ul", "ul", "ol"])
+        inner[k:k] = [(f"<{kind}><li>", x, f"</li></{kind}>", 1) for x in items]
     if rng.random() < 0.4 and len(inner) > 1:
         k = rng.randint(1, len(inner) - 1)
         inner[k:k] = plain(rng.choice(["div class='ad'", "aside", "div class='advert'", "form"]), some(2))
     if rng.random() < 0.4 and len(inner) > 1:
         k = rng.randint(1, len(inner) - 1)
-        inner[k:k] = [("<div><button>", rng.choice(["Subscribe now", "Share", *rest]), "</button></div>", 0)]
+        a, b = rng.choice([("<div><button>", "</button></div>"), ("<button>", "</button>"), ("<select><option>", "</option></select>")])
+        inner[k:k] = [(a, rng.choice(["Subscribe now", "Share", *rest]), b, 0)]
     if rng.random() < 0.4:
         where, inside = rng.choice([talk(), ("footer", "p")])
         inner += plain(where, said(3), inside)
