@@ -89,11 +89,6 @@ def two_class_curve(ds, fd, alpha2, s1, s2) -> Column:
     return 1 - col(fd) + weak * decay(col(s1) * col(ds) / 2) + col(alpha2) * decay(col(s2) * col(ds) / 2)
 
 
-def log_grid(low: float, high: float, n: int, i) -> Column:
-    """The i-th of n log-spaced values."""
-    return F.lit(low) * F.pow(F.lit(high / low), col(i) / (n - 1)) if n > 1 else F.lit(low)
-
-
 def linear_errors(x, err, base: float = 10.0, num_se: float = 2.0) -> Column:
     """struct(value, below, above) on the linear scale of a log-scale value and its standard error."""
     v = F.pow(F.lit(base), col(x))

@@ -86,11 +86,15 @@ def segment_blocks(segments: DataFrame) -> DataFrame:
     return s.withColumn("mask", mask).groupBy(*PAIR, "block").agg(F.bit_or("mask").alias("seg"))
 
 
-def block_summary(pairs: DataFrame, blocks: DataFrame, fixed: DataFrame, seen: DataFrame, segments: DataFrame) -> DataFrame:
-    """`summary` from masks: 64 sites a row, all in bit_count and AND."""
+def block_summary(pairs: DataFrame | None, blocks: DataFrame, fixed: DataFrame, seen: DataFrame, segments: DataFrame) -> DataFrame:
+    """`summary` from masks: 64 sites a row, all in bit_count and AND. pairs: those wanted, or None for all pairs of samples of one
+    species that share a covered site, which takes one join less."""
     a = blocks.select("species", "block", F.col("sample_id").alias("sample_1"), F.col("cov").alias("c1"), F.col("alt").alias("a1"))
     b = blocks.select("species", "block", F.col("sample_id").alias("sample_2"), F.col("cov").alias("c2"), F.col("alt").alias("a2"))
-    x = pairs.join(a, ["species", "sample_1"]).join(b, ["species", "block", "sample_2"])
+    if pairs is None:
+        x = a.join(b, ["species", "block"]).where("sample_1 < sample_2 and (c1 & c2) != 0")
+    else:
+        x = pairs.join(a, ["species", "sample_1"]).join(b, ["species", "block", "sample_2"])
     x = x.join(fixed, "block").join(seen, ["species", "block"], "left").join(segment_blocks(segments), [*PAIR, "block"], "left")
     x = x.withColumn("both", F.expr("c1 & c2")).withColumn("diff", F.expr("(a1 ^ a2) & c1 & c2")).withColumn("seg", F.coalesce("seg", F.lit(0).cast("long")))
     bits = lambda e: F.coalesce(F.sum(F.expr(f"bit_count({e})")), F.lit(0)).cast("long")

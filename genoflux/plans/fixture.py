@@ -100,12 +100,17 @@ class Fixture:
 
     @_once
     def block_summary(self) -> DataFrame:
+        """The summary of all pairs. What it reads more than once, calls and pairs, is written first."""
+        for name in ("calls", "pairs"):
+            if not getattr(self.made.get(name), "is_kept", False):
+                self.made[name] = kept(getattr(self, name)())
+                self.made[name].is_kept = True
         sites = self.sites().join(S.opportunities(self.mutations()), ["contig", "location"], "left").fillna(0, ["n", "m", "nn"])
         pos = sites.select("contig", "location", "core_pos")
         g = self.genotypes().join(pos, ["contig", "location"])
         types = S.snv_types(self.alleles(), self.mutations()).join(pos, ["contig", "location"]).where("mut_type is not null")
         fixed, seen = P.site_blocks(sites, types)
-        return P.block_summary(self.pairs(), P.sample_blocks(g), fixed, seen, self.transfers())
+        return P.block_summary(None, P.sample_blocks(g), fixed, seen, self.transfers())
 
     @_once
     def pair_table(self) -> DataFrame:
