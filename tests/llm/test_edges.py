@@ -97,12 +97,13 @@ def test_kinds_that_were_not_learned():
     """Precision and recall on kinds of secrets and look-alikes that the forest has not seen."""
     from genoflux.llm import secret_scan as S
 
-    for secrets, others in (((1, 3, 7, 8), (2, 7, 14)), ((0, 4, 6, 9, 10), (0, 5, 13, 16))):
+    # hex values are secrets or not by their context alone, so some of both stay among the learned kinds
+    for secrets, others in (((3, 4, 8, 11), (7, 12, 14)), ((2, 5, 6), (0, 5, 13, 16))):
         scanner, words = _scanner([k for k in S.SECRET_KINDS if k not in secrets], [k for k in S.OTHER_KINDS if k not in others])
         test = S.labelled_findings(words, 800, secrets, others, seed=9)
         score = scanner.forest.scores(np.array([S.features(v, n, b, a, scanner.words) for v, n, b, a, _ in test]))
         y = np.array([r[-1] for r in test]) > 0
-        assert (score[y] >= S.THRESHOLD).mean() > 0.75 and (score[~y] >= S.THRESHOLD).mean() < 0.1
+        assert (score[y] >= S.THRESHOLD).mean() > 0.85 and (score[~y] >= S.THRESHOLD).mean() < 0.05
 
 
 def test_look_alikes_in_documents_are_rejected(spark):
@@ -204,7 +205,7 @@ def test_frequent_tokens_never_fill_their_table(spark, monkeypatch):
     for bits in (1 << 26, 20, 16, 12, 4, 0):
         monkeypatch.setattr(J, "FREQUENT_BITS", bits)
         seen.append(J._least_frequent(counted))
-    assert seen == [8, 16, 16, 32, 512, 1024]
+    assert seen == [8, 16, 16, 32, 64, 1024]
     rng = random.Random(2)
     tokens = [np.unique(np.array([rng.getrandbits(64) for _ in range(300)], np.uint64)) for _ in range(3)]
     batches = list(J._counted(iter(tokens), 1000))
