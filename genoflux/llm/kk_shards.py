@@ -110,7 +110,9 @@ def sharded(docs: DataFrame, n_shards: int) -> DataFrame:
 
     Equal texts are one group and stay in one shard; a null text counts as the empty one (size 8) and is of its group. Shards'
     byte sizes are near equal, as far as the largest group lets them be. Slots are gapless from 0 in each shard, in order of
-    a hash of doc_id; rows that repeat each get a slot. Other columns are ignored; an empty table gives an empty table.
+    a hash of doc_id and text_crc32, then of the two; rows that repeat both each get a slot, which one is left open. Groups of one
+    size go by the md5 of their text. Whole texts count, however long. Other columns are ignored; an empty table gives an empty
+    table.
     """
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -120,7 +122,7 @@ def sharded(docs: DataFrame, n_shards: int) -> DataFrame:
     shard = assign(scratch, groups, n_shards)
     placed = rows.join(shard, "item").select("doc_id", "size", "text_crc32", "shard")
     n_parts = max(1, math.ceil(rows.count() / (n_shards * SLOTS)) * 8)
-    placed = scratch.write(placed.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)).cast("int")))
+    placed = scratch.write(placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_parts)).cast("int")))
     counts = placed.groupBy("shard", "part").count()  # n_shards * n_parts rows
     before = counts.withColumn("first", F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("shard", "part", "first")
     at = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32"))
