@@ -35,7 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     row = F.xxhash64("text", "lang", "source", "n_chars")
     linked = scratch.write(linked_rows(docs, 5, "0.8", row).where("root is not null").select("doc_id", "row", "root"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "row")
-    best = linked.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1").select("root", "best")
+    # written, so that the join below reads two plain shuffles and a large group's rows can be split
+    best = scratch.write(linked.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1").select("root", "best"))
     first = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("row") == F.col("best.row"))
     grouped = scratch.write(linked.join(best, "root").select(F.col("doc_id").alias("id"), "row", first.alias("first")))
     same = lambda keys: F.col("doc_id").cast("long").eqNullSafe(keys["id"]) & (row == keys["row"])
