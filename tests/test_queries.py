@@ -11,7 +11,7 @@ from genoflux.plans import registry
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: One query of each family; the rest are compared by the driver.
-CHECKED = ["s1_s2_unpivot_and_decode", "s8_clades", "a2_a3_a4_a5_site_alleles", "a6_genotypes", "a9_a13_core_positions", "j1_j2_pair_differences", "j3_core_segments", "j5_u4_clonal_pairs", "j13_recombined_pairs", "g1_to_g8_pair_summary", "x1_x2_block_summary", "e3_general_thinning", "e11_binned_curve", "r1_r4_species_rates", "f1_f7_j18_purifying_loss", "v2_v3_v4_p14_labelled_sites", "k2_spearman"]
+CHECKED = ["s1_s2_unpivot_and_decode", "s8_clades", "a2_a3_a4_a5_site_alleles", "a6_genotypes", "a9_a13_core_positions", "j1_j2_pair_differences", "j3_core_segments", "j5_u4_clonal_pairs", "j13_recombined_pairs", "g1_to_g8_pair_summary", "x1_x2_block_summary", "e3_general_thinning", "e11_binned_curve", "r1_r4_species_rates", "f1_f7_j18_purifying_loss", "v2_v3_v4_p14_labelled_sites", "k2_spearman", "f9_f10_two_class_fit", "j14_deduplicated_pairs", "a11_codon_annotation", "k3_c9_p_values", "j10_pair_similarity", "s13_species"]
 
 
 def same(a, b):
