@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 #: Words are runs of characters other than blank and the controls 9 to 13.
 GAP = r"[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: Rows that costs and selectivities are measured on, at most (in expectation), and passes over them for each rule.
-SAMPLE, PASSES = 4000, 3
+#: Rows that costs and selectivities are measured on, at most (in expectation), parts they lie in, and passes over them for each rule.
+SAMPLE, PARTS, PASSES = 4000, 4, 2
 
 
 @dataclass(frozen=True)
@@ -49,9 +49,9 @@ def base_columns(docs: DataFrame) -> DataFrame:
     df = df.withColumn("_lines", F.expr(rf"filter(split({text}, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')"))
     df = df.withColumn("n_dup_lines", F.expr("cast(size(_lines) - size(array_distinct(_lines)) as long)"))
     df = df.withColumn("_grams", F.expr("case when n_words >= 3 then zip_with(zip_with(slice(words, 1, size(words) - 2), slice(words, 2, size(words) - 2), (a, b) -> xxhash64(a, b)), slice(words, 3, size(words) - 2), (h, c) -> xxhash64(h, c)) else cast(array() as array<long>) end"))
-    places = "array_sort(transform(_grams, (h, i) -> struct(h, i)))"
+    places = "sort_array(transform(_grams, (h, i) -> struct(h, i)))"
     same = "filter(transform(s, (x, i) -> if((i > 0 and s[i - 1].h = x.h) or (i < size(s) - 1 and s[i + 1].h = x.h), x.i, -1)), i -> i >= 0)"
-    covered = "aggregate(array_sort(p), struct(cast(0 as long) as n, -3 as last), (acc, i) -> struct(acc.n + least(3, i - acc.last) as n, i as last), acc -> acc.n)"
+    covered = "aggregate(sort_array(p), struct(cast(0 as long) as n, -3 as last), (acc, i) -> struct(acc.n + least(3, i - acc.last) as n, i as last), acc -> acc.n)"
     repeat = f"element_at(transform(array({places}), s -> element_at(transform(array({same}), p -> {covered}), 1)), 1)"
     df = df.withColumn("n_repeat_words", F.expr(f"case when size(array_distinct(_grams)) = size(_grams) then cast(0 as long) else {repeat} end"))
     return df.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")).drop("_lines", "_grams")
@@ -66,7 +66,7 @@ RULES = (
     Rule("word_length", "word_chars > 25 * n_words or word_chars < 2 * n_words"),
     Rule("letters", rf"2 * length(regexp_replace({_TEXT}, '[^\\p{{L}}]+', '')) < word_chars"),
     Rule("few_words", "50 * size(array_distinct(words)) < least(n_words, 2000)"),
-    Rule("one_word", "2 * aggregate(array_sort(words), struct(cast(0 as long) as best, cast(0 as long) as run, '' as last), (a, w) -> struct(greatest(a.best, if(w = a.last, a.run + 1, 1L)) as best, if(w = a.last, a.run + 1, 1L) as run, w as last), a -> a.best) > n_words"),
+    Rule("one_word", "2 * aggregate(sort_array(words), struct(cast(0 as long) as best, cast(0 as long) as run, '' as last), (a, w) -> struct(greatest(a.best, if(w = a.last, a.run + 1, 1L)) as best, if(w = a.last, a.run + 1, 1L) as run, w as last), a -> a.best) > n_words"),
     Rule("cut_lines", f"size(split({_TEXT}, '\\n')) >= 10 and 10 * size(filter(split({_TEXT}, '\\n'), x -> endswith(rtrim(x), '...') or endswith(rtrim(x), '\u2026'))) > 9 * size(split({_TEXT}, '\\n'))"),
 )
 
@@ -120,6 +120,6 @@ def quality_verdicts(docs: DataFrame, rules=RULES, sample: int = SAMPLE) -> Data
     fails or a rule rejects; rules of equal rejections per cost go by name.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = [r for r, _, _ in measured_order(base_columns(hashed_sample(rows, sample)).where("not base_failed"), rules)]
+    order = [r for r, _, _ in measured_order(base_columns(hashed_sample(rows, sample).repartition(PARTS)).where("not base_failed"), rules)]
     df = base_columns(rows).withColumn("kept", F.when(F.col("base_failed"), False).otherwise(cascade(order).isNull()))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
