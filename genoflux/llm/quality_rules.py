@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 GAP = r"[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Rows that costs and selectivities are measured on, at most (in expectation), parts they lie in, and passes over them for each rule.
-SAMPLE, PARTS, PASSES = 4000, 4, 2
+SAMPLE, PARTS, PASSES = 2000, 4, 2
 
 
 @dataclass(frozen=True)
