@@ -23,10 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession) -> str:
     """A new path in the shared folder, which is deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
-    top = spark._jvm.org.apache.hadoop.fs.Path(path)
-    top.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(top)
-    return path
+    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(top)  # only what exists can be marked
+    files.deleteOnExit(top)
+    return f"{folder}/table"
 
 
 def kept(df: DataFrame) -> DataFrame:
