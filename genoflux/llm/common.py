@@ -83,13 +83,18 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def new_path(self) -> str:
+        """A path of this object that isn't written yet."""
         self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
         if self.n == 1:
             top, files = self._path(self.root)
+            files.mkdirs(top)  # only what exists can be marked
             files.deleteOnExit(top)
+        return f"{self.root}/{self.n}"
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = self.new_path()
+        df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
+_MODULES = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
