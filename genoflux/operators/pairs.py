@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .estimators import numbered
+
 PAIR = ["species", "sample_1", "sample_2"]
 TYPES = ("n", "m", "nn")
 
@@ -86,11 +88,57 @@ def segment_blocks(segments: DataFrame) -> DataFrame:
     return s.withColumn("mask", mask).groupBy(*PAIR, "block").agg(F.bit_or("mask").alias("seg"))
 
 
+def core_segments(segments: DataFrame, sites: DataFrame, width: int = 256) -> DataFrame:
+    """Segments in reference coordinates (pair, contig, ref_start, ref_end, closed) as closed segments of core positions, start_pos and
+    end_pos; those without a core site are left out. sites: contig, location, core_pos, which ascends by location within a contig.
+
+    The core positions of a contig's window of `width` locations are one range, so a segment's are found by one row a window: whole
+    windows by their first and last, those at its ends by the locations in them.
+    """
+    window = lambda c: F.floor(F.col(c) / width)
+    index = sites.groupBy("contig", window("location").alias("window")).agg(F.min("core_pos").alias("first"), F.max("core_pos").alias("last"), F.sort_array(F.collect_list("location")).alias("at"))
+    s = segments.select(*PAIR, "contig", "ref_start", "ref_end").distinct().withColumn("window", F.explode(F.sequence(window("ref_start"), window("ref_end"))))
+    x = s.join(index, ["contig", "window"])
+    low = F.when(F.col("ref_start") <= F.col("window") * width, F.col("first")).otherwise(F.col("first") + F.expr("size(filter(at, l -> l < ref_start))"))
+    high = F.when(F.col("ref_end") >= (F.col("window") + 1) * width - 1, F.col("last")).otherwise(F.col("first") + F.expr("size(filter(at, l -> l <= ref_end))") - 1)
+    x = x.select(*PAIR, "contig", "ref_start", "ref_end", low.alias("low"), high.alias("high")).where("low <= high")
+    return x.groupBy(*PAIR, "contig", "ref_start", "ref_end").agg(F.min("low").alias("start_pos"), F.max("high").alias("end_pos"))
+
+
+def unfolded(masks: DataFrame, mask: str = "mask") -> DataFrame:
+    """core_pos of each set bit of `mask` in place of block and mask."""
+    bits = F.explode(F.expr(f"filter(sequence(0, 63), i -> (shiftrightunsigned({mask}, i) & 1) = 1)"))
+    return masks.where(F.col(mask) != 0).withColumn("_bit", bits).withColumn("core_pos", F.col("block") * 64 + F.col("_bit")).drop("block", "_bit", mask)
+
+
+def _sides(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The masks of either sample of a pair: c1 and a1, c2 and a2."""
+    return tuple(blocks.select("species", "block", F.col("sample_id").alias(f"sample_{i}"), F.col("cov").alias(f"c{i}"), F.col("alt").alias(f"a{i}")) for i in (1, 2))
+
+
+def segment_sites(blocks: DataFrame, segments: DataFrame) -> DataFrame:
+    """pair, core_pos: the positions that both samples of a pair cover inside its segments (pair, start_pos, end_pos). blocks: of
+    `sample_blocks`. A row a pair and block of its segments is joined, and only what is inside is unfolded."""
+    a, b = _sides(blocks)
+    x = segment_blocks(segments).join(a, ["species", "sample_1", "block"]).join(b, ["species", "sample_2", "block"])
+    return unfolded(x.select(*PAIR, "block", F.expr("c1 & c2 & seg").alias("mask")))
+
+
+def difference_masks(blocks: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """species, block, mask: the positions at which some pair of `pairs` differs; None: any two samples of the species, which is
+    where both alleles are seen, so that no pair is formed at all."""
+    if pairs is None:
+        seen = blocks.groupBy("species", "block").agg(F.bit_or("alt").alias("alt"), F.bit_or(F.expr("cov & ~alt")).alias("other"))
+        return seen.select("species", "block", F.expr("alt & other").alias("mask")).where("mask != 0")
+    a, b = _sides(blocks)
+    x = pairs.select(*PAIR).join(a, ["species", "sample_1"]).join(b, ["species", "block", "sample_2"])
+    return x.groupBy("species", "block").agg(F.bit_or(F.expr("(a1 ^ a2) & c1 & c2")).alias("mask")).where("mask != 0")
+
+
 def block_summary(pairs: DataFrame | None, blocks: DataFrame, fixed: DataFrame, seen: DataFrame, segments: DataFrame) -> DataFrame:
     """`summary` from masks: 64 sites a row, all in bit_count and AND. pairs: those wanted, or None for all pairs of samples of one
     species that share a covered site, which takes one join less."""
-    a = blocks.select("species", "block", F.col("sample_id").alias("sample_1"), F.col("cov").alias("c1"), F.col("alt").alias("a1"))
-    b = blocks.select("species", "block", F.col("sample_id").alias("sample_2"), F.col("cov").alias("c2"), F.col("alt").alias("a2"))
+    a, b = _sides(blocks)
     if pairs is None:
         x = a.join(b, ["species", "block"]).where("sample_1 < sample_2 and (c1 & c2) != 0")
     else:
@@ -158,37 +206,78 @@ def sampled_pairs(similarity: DataFrame, n: int, seed: int, threshold: float | N
     return p.withColumn("rank", rank).where(F.col("rank") <= n).select(*PAIR, F.col("rank").cast("long").alias("rank"))
 
 
-def independent(items: DataFrame, conflicts: DataFrame, key: list[str], checkpoint) -> DataFrame:
-    """The lexicographically first independent set: an item stays when no earlier kept item conflicts with it.
+#: Items of one group that a task settles on its own.
+RANGE = 1024
+
+
+def _settled(rows):
+    """One range of items in order: stays (true), goes (false), or waits for an earlier range (null). rows: row_id, earlier (null in an
+    item's own row), waits."""
+    import pandas as pd
+
+    own = rows[rows["earlier"].isna()].sort_values("row_id")
+    before: dict = {}
+    for later, earlier in rows.loc[rows["earlier"].notna(), ["row_id", "earlier"]].itertuples(index=False):
+        before.setdefault(later, []).append(int(earlier))
+    stays: dict = {}
+    for item, waits in zip(own["row_id"], own["waits"]):
+        found = {stays[e] for e in before.get(item, ())}
+        stays[item] = False if True in found else None if waits or None in found else True
+    return pd.DataFrame({"species": own["species"], "row_id": own["row_id"], "stays": pd.array([stays[i] for i in own["row_id"]], "boolean")})
 
-    items: key columns; conflicts: earlier, later (structs of the key). Each round keeps items without an undecided earlier conflict
-    and drops what conflicts with kept ones; `checkpoint` cuts the lineage of a round.
+
+def independent(items: DataFrame, conflicts: DataFrame, write, width: int = RANGE) -> DataFrame:
+    """The lexicographically first independent set of each species: an item stays when no earlier kept item conflicts with it.
+
+    items: species, id; conflicts: species, earlier, later (ids). Items are numbered in order of id and dealt to ranges of `width`. In a
+    round each range is settled in one task, as far as it doesn't wait for items of earlier ranges, and what conflicts with kept items
+    is dropped from later ranges. The first range that is open is settled whole, so there are no more rounds than a species has
+    ranges, however long its chains of conflicts. `write` keeps a round's tables.
     """
-    item = F.struct(*key)
-    left, kept = checkpoint(items.select(item.alias("item"))), None
+    ids = write(numbered(items.select("species", "id").distinct(), "species", ["id"], write).select("species", "id", "row_id"))
+    named = lambda c: ids.select("species", F.col("id").alias(c), F.col("row_id").alias(f"{c}_row"))
+    edges = conflicts.join(named("earlier"), ["species", "earlier"]).join(named("later"), ["species", "later"])
+    edges = write(edges.select("species", F.col("earlier_row").alias("earlier"), F.col("later_row").alias("later")).where("earlier < later"))
+    range_of = lambda c: F.expr(f"{c} div {width}")
+    left, kept = ids.select("species", "row_id"), None
     while not left.isEmpty():
-        open_ = conflicts.join(left.select(F.col("item").alias("later")), "later", "left_semi").join(left.select(F.col("item").alias("earlier")), "earlier", "left_semi")
-        free = checkpoint(left.join(open_.select(F.col("later").alias("item")).distinct(), "item", "left_anti"))
-        kept = free if kept is None else kept.unionByName(free)
-        out = conflicts.join(free.select(F.col("item").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("item")).distinct()
-        left = checkpoint(left.join(free, "item", "left_anti").join(out, "item", "left_anti"))
-    return (kept if kept is not None else left).select("item.*")
-
-
-def deduplicated_pairs(pairs: DataFrame, similarity: DataFrame, threshold: float, checkpoint) -> DataFrame:
-    """Greedy in order of (sample_1, sample_2): a pair stays if its first sample has similarity of at most `threshold` to the
-    first sample of every pair kept before. A sample's similarity to itself is 1."""
-    key = PAIR
-    p = pairs.select(*key)
-    close = similarity.where(F.col("frac") > threshold).select("species", F.col("sample_a").alias("e1"), F.col("sample_b").alias("l1"))
-    e = p.select("species", F.col("sample_1").alias("e1"), F.col("sample_2").alias("e2"))
-    later = p.select("species", F.col("sample_1").alias("l1"), F.col("sample_2").alias("l2"))
-    c = e.join(close, ["species", "e1"]).join(later, ["species", "l1"]).where("e1 < l1 or (e1 = l1 and e2 < l2)")
-    c = c.select(F.struct("species", F.col("e1").alias("sample_1"), F.col("e2").alias("sample_2")).alias("earlier"), F.struct("species", F.col("l1").alias("sample_1"), F.col("l2").alias("sample_2")).alias("later"))
-    return independent(p, checkpoint(c), key, checkpoint)
-
-
-def unrelated_samples(samples: DataFrame, similarity: DataFrame, seed_set: DataFrame, threshold: float, checkpoint) -> DataFrame:
+        near = range_of("earlier") == range_of("later")
+        far = edges.where(~near).select("species", F.col("later").alias("row_id")).distinct().withColumn("waits", F.lit(True))
+        own = left.join(far, ["species", "row_id"], "left").select("species", "row_id", F.lit(None).cast("long").alias("earlier"), F.coalesce("waits", F.lit(False)).alias("waits"))
+        rows = own.unionByName(edges.where(near).select("species", F.col("later").alias("row_id"), "earlier", F.lit(False).alias("waits")))
+        schema = f"species {dict(items.dtypes)['species']}, row_id long, stays boolean"
+        done = write(rows.groupBy("species", range_of("row_id")).applyInPandas(_settled, schema))
+        stays = done.where("stays").select("species", "row_id")
+        kept = stays if kept is None else kept.unionByName(stays)
+        out = edges.join(stays.withColumnRenamed("row_id", "earlier"), ["species", "earlier"], "left_semi").select("species", F.col("later").alias("row_id")).distinct()
+        left = write(done.where("stays is null").select("species", "row_id").join(out, ["species", "row_id"], "left_anti"))
+        if not left.isEmpty():
+            edges = write(edges.join(left.withColumnRenamed("row_id", "earlier"), ["species", "earlier"], "left_semi").join(left.withColumnRenamed("row_id", "later"), ["species", "later"], "left_semi"))
+    return ids.join(kept if kept is not None else left, ["species", "row_id"], "left_semi").select("species", "id")
+
+
+def sample_conflicts(samples: DataFrame, similarity: DataFrame, too_close: Column) -> DataFrame:
+    """species, earlier, later: pairs of `samples` (species, id) that are too close, each once."""
+    c = similarity.where(too_close & (F.col("sample_a") < F.col("sample_b"))).select("species", F.col("sample_a").alias("earlier"), F.col("sample_b").alias("later"))
+    for end in ("earlier", "later"):
+        c = c.join(samples.select("species", F.col("id").alias(end)), ["species", end], "left_semi")
+    return c
+
+
+def deduplicated_pairs(pairs: DataFrame, similarity: DataFrame, threshold: float, write) -> DataFrame:
+    """Greedy in order of (sample_1, sample_2): a pair stays if its first sample has similarity of at most `threshold` (below 1) to the
+    first sample of every pair kept before.
+
+    A sample's similarity to itself is 1, so of the pairs of one first sample only the least can stay, and whether it does depends on
+    first samples alone. So conflicts are between first samples: no more rows than `similarity` has, however many pairs there are.
+    """
+    first = write(pairs.groupBy("species", "sample_1").agg(F.min("sample_2").alias("sample_2")))
+    ids = first.select("species", F.col("sample_1").alias("id"))
+    stays = independent(ids, sample_conflicts(ids, similarity, F.col("frac") > threshold), write)
+    return first.join(stays.withColumnRenamed("id", "sample_1"), ["species", "sample_1"], "left_semi").select(*PAIR)
+
+
+def unrelated_samples(samples: DataFrame, similarity: DataFrame, seed_set: DataFrame, threshold: float, write) -> DataFrame:
     """Grow a sample set: in order of id, a sample joins if its similarity to all included is below `threshold`. A species whose
     seed set is empty admits nobody."""
     key = ["species", "sample_id"]
@@ -196,18 +285,19 @@ def unrelated_samples(samples: DataFrame, similarity: DataFrame, seed_set: DataF
     seeded = seed_set.select("species").distinct()
     touched = near.join(seed_set.select("species", F.col("sample_id").alias("sample_a")), ["species", "sample_a"], "left_semi").select("species", F.col("sample_b").alias("sample_id")).distinct()
     pool = samples.select(*key).join(seeded, "species", "left_semi").join(seed_set.select(*key), key, "left_anti").join(touched, key, "left_anti")
-    c = near.where("sample_a < sample_b").select(F.struct("species", F.col("sample_a").alias("sample_id")).alias("earlier"), F.struct("species", F.col("sample_b").alias("sample_id")).alias("later"))
-    return seed_set.select(*key).unionByName(independent(pool, checkpoint(c), key, checkpoint))
+    pool = write(pool.withColumnRenamed("sample_id", "id"))
+    grown = independent(pool, sample_conflicts(pool, similarity, F.col("frac") >= threshold), write)
+    return seed_set.select(*key).unionByName(grown.withColumnRenamed("id", "sample_id"))
 
 
-def clonal_selection(clonal: DataFrame, similarity: DataFrame, samples: DataFrame, checkpoint, floor: int = 5) -> tuple[DataFrame, DataFrame]:
+def clonal_selection(clonal: DataFrame, similarity: DataFrame, samples: DataFrame, write, floor: int = 5) -> tuple[DataFrame, DataFrame]:
     """Clonal pairs and samples that prevalence is counted on: species of `floor` pairs or more (G11), one pair of each clonal
     cluster (J14), the floor again, and the samples of those pairs grown by unrelated ones (J15)."""
 
     def enough(pairs: DataFrame) -> DataFrame:
         return pairs.join(pairs.groupBy("species").count().where(F.col("count") >= floor).select("species"), "species", "left_semi")
 
-    similarity = checkpoint(similarity)
-    kept = checkpoint(enough(checkpoint(deduplicated_pairs(checkpoint(enough(clonal)), similarity, 0.2, checkpoint))))
-    first = checkpoint(kept.select("species", F.explode(F.array("sample_1", "sample_2")).alias("sample_id")).distinct())
-    return kept, checkpoint(unrelated_samples(samples, similarity, first, 0.5, checkpoint))
+    similarity = write(similarity)
+    kept = write(enough(write(deduplicated_pairs(write(enough(clonal)), similarity, 0.2, write))))
+    first = write(kept.select("species", F.explode(F.array("sample_1", "sample_2")).alias("sample_id")).distinct())
+    return kept, write(unrelated_samples(samples, similarity, first, 0.5, write))

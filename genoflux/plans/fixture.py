@@ -98,19 +98,32 @@ class Fixture:
     def summary(self) -> DataFrame:
         return P.summary(self.annotated())
 
-    @_once
-    def block_summary(self) -> DataFrame:
-        """The summary of all pairs. What it reads more than once, calls and pairs, is written first."""
-        for name in ("calls", "pairs"):
+    def written(self, *names: str) -> None:
+        """Writes views that a query reads more than once."""
+        for name in names:
             if not getattr(self.made.get(name), "is_kept", False):
                 self.made[name] = kept(getattr(self, name)())
                 self.made[name].is_kept = True
+
+    @_once
+    def sample_blocks(self) -> DataFrame:
+        """Each sample's masks of 64 core positions, from written calls."""
+        self.written("calls")
+        return P.sample_blocks(self.genotypes().join(self.sites().select("contig", "location", "core_pos"), ["contig", "location"]))
+
+    def summary_of(self, segments: DataFrame) -> DataFrame:
+        """The summary of all pairs, split by segments of core positions. What it reads more than once, calls and pairs, is written first."""
+        self.written("calls", "pairs")
         sites = self.sites().join(S.opportunities(self.mutations()), ["contig", "location"], "left").fillna(0, ["n", "m", "nn"])
         pos = sites.select("contig", "location", "core_pos")
-        g = self.genotypes().join(pos, ["contig", "location"])
         types = S.snv_types(self.alleles(), self.mutations()).join(pos, ["contig", "location"]).where("mut_type is not null")
         fixed, seen = P.site_blocks(sites, types)
-        return P.block_summary(None, P.sample_blocks(g), fixed, seen, self.transfers())
+        return P.block_summary(None, self.sample_blocks(), fixed, seen, segments)
+
+    @_once
+    def block_summary(self) -> DataFrame:
+        self.written("calls", "pairs")
+        return self.summary_of(self.transfers())
 
     @_once
     def pair_table(self) -> DataFrame:

@@ -293,8 +293,9 @@ def j1_j2_pair_differences(fx):
 
 @query(sql("SELECT species, sample_1, sample_2, core_pos FROM annotated WHERE inside", "annotated"))
 def j3_core_segments(fx):
-    x = fx.pair_sites().join(fx.sites(), ["contig", "location"])
-    return P.in_segments(x, fx.transfers()).where("inside").select(*_IDS, "core_pos")
+    """Segments of core positions as masks; tested against the plain join too."""
+    fx.written("calls", "pairs")
+    return P.segment_sites(fx.sample_blocks(), fx.transfers())
 
 
 def _reference_segments(fx):
@@ -305,8 +306,10 @@ def _reference_segments(fx):
     JOIN (SELECT t.species, t.sample_1, t.sample_2, a.contig, a.location AS lo, a.location + 300 AS hi FROM transfers t JOIN sites a ON a.core_pos = t.start_pos) x
     ON x.species = p.species AND x.sample_1 = p.sample_1 AND x.sample_2 = p.sample_2 AND x.contig = p.contig AND p.location BETWEEN x.lo AND x.hi""", "psites", "sites", "transfers"))
 def j4_g9_reference_segments(fx):
-    """Segments on (contig, location), closed on both sides."""
-    return P.in_reference_segments(fx.pair_sites(), _reference_segments(fx)).where("inside").select(*_IDS, "contig", "location")
+    """Segments on (contig, location), closed on both sides, as masks of core positions; tested against the plain join too."""
+    fx.written("calls", "pairs")
+    inside = P.segment_sites(fx.sample_blocks(), P.core_segments(_reference_segments(fx), fx.sites()))
+    return inside.join(fx.sites().select("contig", "location", "core_pos"), "core_pos").select(*_IDS, "contig", "location")
 
 
 @query(sql("", "annotated")[:-1] + f""", segments AS (SELECT t.species, t.sample_1, t.sample_2, a.contig, a.location AS lo, a.location + 300 AS hi FROM transfers t JOIN sites a ON a.core_pos = t.start_pos),
@@ -314,7 +317,8 @@ def j4_g9_reference_segments(fx):
  SELECT species, sample_1, sample_2, {_summary_columns()} FROM legacy GROUP BY species, sample_1, sample_2""")
 def g9_reference_summary(fx):
     """The pair summary with segments in reference coordinates; j4_g9_reference_segments has the sites inside."""
-    return P.summary(P.in_reference_segments(fx.site_table(), _reference_segments(fx)))
+    fx.written("calls", "pairs")
+    return fx.summary_of(P.core_segments(_reference_segments(fx), fx.sites()))
 
 
 @query(sql("SELECT species, sample_1, sample_2 FROM pairs EXCEPT SELECT species, sample_1, sample_2 FROM transfers", "pairs", "transfers"))
@@ -382,12 +386,14 @@ def _recursive(text: str) -> str:
 @query(_recursive(sql("", "pairs", "similarity")[:-1] + f", {_greedy_pairs_sql('j14', 'pairs', 0.2)} SELECT * FROM j14"))
 def j14_deduplicated_pairs(fx):
     """Greedy; tested against a loop too."""
-    return P.deduplicated_pairs(fx.pairs(), fx.similarity(), 0.2, _checkpointed(fx))
+    fx.written("calls", "similarity")
+    return P.deduplicated_pairs(fx.pairs(), fx.similarity(), 0.2, kept)
 
 
 def _grown(fx):
+    fx.written("calls", "similarity")
     first = fx.pairs().groupBy("species").agg(F.min("sample_1").alias("sample_id"))
-    return P.unrelated_samples(fx.samples(), fx.similarity(), first, 0.5, _checkpointed(fx))
+    return P.unrelated_samples(fx.samples(), fx.similarity(), kept(first), 0.5, kept)
 
 
 @query(_recursive(sql("", "pairs", "similarity", "samples")[:-1] + f", seeds AS (SELECT species, min(sample_1) AS sample_id FROM pairs GROUP BY species), {_greedy_samples_sql('j15', 'seeds', 0.5)} SELECT * FROM j15"))
@@ -948,7 +954,12 @@ def f13_model_comparison(fx):
 
 @query(sql("SELECT DISTINCT species, contig, location FROM psites WHERE differ", "psites"))
 def v1_clonal_snvs(fx):
-    return V.clonal_snvs(fx.pair_sites())
+    """All pairs, from masks; v1_j14_deduplicated_clonal_snvs takes selected ones."""
+    return _at_sites(fx, V.clonal_positions(fx.sample_blocks()))
+
+
+def _at_sites(fx, positions):
+    return positions.join(fx.sites().select("contig", "location", "core_pos"), "core_pos").select(*V.SITE)
 
 
 _COUNTS = "c AS (SELECT species, contig, location, count(*) FILTER (genotype = 1) AS alt, count(*) AS covered FROM genotypes GROUP BY ALL HAVING alt > 0 AND alt < covered), f AS (SELECT species, contig, location, CASE WHEN 2 * alt > covered THEN covered - alt ELSE alt END AS alt_count, covered FROM c)"
@@ -960,15 +971,6 @@ def v2_v3_v4_p14_labelled_sites(fx):
     return V.folded(V.site_counts(fx.genotypes(), fx.samples())).withColumn("label", V.label())
 
 
-def _spectrum(fx):
-    counts = V.folded(V.site_counts(fx.genotypes(), fx.samples())).withColumn("label", V.label())
-    sites = fx.sites().where("site_type in ('1D', '4D')")
-    both = counts.withColumn("set", F.lit("all")).unionByName(counts.join(V.clonal_snvs(fx.pair_sites()), V.SITE, "left_semi").withColumn("set", F.lit("clonal")))
-    x = both.join(sites.select("contig", "location", "site_type"), ["contig", "location"])
-    totals = sites.groupBy("site_type").agg(F.count("*").alias("total")).crossJoin(x.select("species", "set").distinct())
-    return V.spectrum(x, totals, ["species", "set", "site_type"])
-
-
 @query(sql("", "genotypes", "sites", "psites")[:-1] + f""", {_COUNTS}, l AS (SELECT f.*, {_LABEL} AS label, site_type FROM f JOIN sites USING (contig, location) WHERE site_type <> 'other'),
  z AS (SELECT DISTINCT species, contig, location FROM psites WHERE differ), b AS (SELECT *, 'all' AS set FROM l UNION ALL SELECT l.*, 'clonal' AS set FROM l SEMI JOIN z ON l.species = z.species AND l.contig = z.contig AND l.location = z.location),
  t AS (SELECT site_type, count(*) AS total FROM sites WHERE site_type <> 'other' GROUP BY site_type),
@@ -976,7 +978,8 @@ def _spectrum(fx):
  SELECT d.species, d.set, t.site_type, x.label, t.total, count(b.species) AS n, round(count(b.species) / t.total, 6) AS proportion FROM d CROSS JOIN t CROSS JOIN (SELECT unnest(['singleton', '(0,10%]', '(10,50%]']) AS label) x
  LEFT JOIN b ON b.species = d.species AND b.set = d.set AND b.site_type = t.site_type AND b.label = x.label GROUP BY d.species, d.set, t.site_type, x.label, t.total""")
 def v5_v7_v8_j9_spectrum(fx):
-    return _spectrum(fx).select("species", "set", "site_type", "label", "total", "n", r6(F.col("proportion")).alias("proportion"))
+    """All pairs and samples, from masks."""
+    return V.block_spectrum(fx.sample_blocks(), fx.sites(), fx.samples()).select("species", "set", "site_type", "label", "total", "n", r6(F.col("proportion")).alias("proportion"))
 
 
 #: Least pairs of a species (G11). The reference's floor is 5; in the fixture no species keeps so many unrelated clonal pairs.
@@ -986,13 +989,14 @@ FLOOR = 2
 def _selection(fx):
     """Pairs and samples of V1, V7 and V8."""
     if "selection" not in fx.made:
-        fx.made["selection"] = P.clonal_selection(P.clonal_pairs(fx.pairs(), fx.transfers()), fx.similarity(), fx.samples(), _checkpointed(fx), FLOOR)
+        fx.written("calls", "pairs")
+        fx.made["selection"] = P.clonal_selection(P.clonal_pairs(fx.pairs(), fx.transfers()), fx.similarity(), fx.samples(), kept, FLOOR)
     return fx.made["selection"]
 
 
 def _selected_spectrum(fx):
     pairs, samples = _selection(fx)
-    return V.selected_spectrum(fx.genotypes(), fx.sites(), pairs, samples)
+    return V.block_spectrum(fx.sample_blocks(), fx.sites(), samples, pairs)
 
 
 _SELECTED = f"""clonal0 AS (SELECT species, sample_1, sample_2 FROM pairs EXCEPT SELECT species, sample_1, sample_2 FROM transfers),
@@ -1010,7 +1014,7 @@ _SELECTED_VIEWS = ("pairs", "transfers", "similarity", "samples", "genotypes", "
 @query(_recursive(sql("", *_SELECTED_VIEWS)[:-1] + f", {_SELECTED} SELECT * FROM z"))
 def v1_j14_deduplicated_clonal_snvs(fx):
     """Clonal SNVs of the deduplicated clonal pairs. v1_clonal_snvs takes all pairs."""
-    return V.clonal_snvs(P.pair_sites(_selection(fx)[0], fx.genotypes()))
+    return _at_sites(fx, V.clonal_positions(fx.sample_blocks(), _selection(fx)[0]))
 
 
 @query(_recursive(sql("", *_SELECTED_VIEWS)[:-1] + f", {_SELECTED_SPECTRUM} SELECT *, round(n / total, 6) AS proportion FROM spectrum"))
