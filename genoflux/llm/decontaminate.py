@@ -6,21 +6,21 @@ prefix token is enough: the window's rarest shingle, by occurrences counted over
 windows on prefix tokens alone; a candidate then has its place fixed by the token's offset in the window, must fit before the
 text's end (length) and start at or after its first word (position), and is verified word by word.
 
-The item side is sent to every task in blocks of at most `BLOCK` windows, a proven bound; more items take more blocks, one
-after the other over the same rows, with no shuffle. Documents are never moved.
+The item side is sent to every task in blocks of at most `BLOCK` windows, a proven bound. More items take more blocks: the rows are
+written between two of them and the block's index is destroyed, so that an executor holds one block at a time. Documents are never
+shuffled.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, Words, lean_batches, let_go, word_chunks
+from .common import ALNUM_WORDS, Scratch, Words, lean_batches, let_go, word_chunks
 
 SHINGLE = 3
 #: Windows broadcast at a time; each holds some hundred bytes in a worker.
@@ -56,7 +56,7 @@ class Block:
             at = min(range(len(tokens)), key=lambda i: (seen.get(tokens[i], 0), tokens[i]))
             by[k][tokens[at]].append(len(self.text))
             self.text.append(" ".join(words).encode("utf-8", "surrogatepass"))
-            self.items.append(sorted(who, key=str))
+            self.items.append([None if x is None else str(x) for x in sorted(who, key=str)])
             self.n_words.append(len(words))
             self.offset.append(at)
         self.tokens = {k: np.array(sorted(x), np.uint64) for k, x in by.items()}
@@ -117,8 +117,6 @@ def _blocks(items: DataFrame, width: int, most: int):
     rows = items.select(F.col("item_id").alias("item_id"), F.col("text").cast("string").alias("text")).orderBy(F.col("item_id").cast("string"))
     for row in rows.toLocalIterator():
         words = item_words(row.text)
-        if row.item_id is None:
-            continue
         # a long item is split where windows begin, so that each part is within the bound and no window is lost
         for at in range(0, max(1, len(words) - width + 1) if words else 0, most):
             part = words[at : at + most + width - 1]
@@ -134,25 +132,35 @@ def _blocks(items: DataFrame, width: int, most: int):
 
 def contaminated_words(docs: DataFrame, items: DataFrame, width: int = 10, block: int = BLOCK, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row for each row of `docs` (text and the columns to carry): those, text, n_words, hits (array of [first word, end word) runs of hit words),
-    item_ids (array of string, sorted), n_hit.
+    item_ids (array of string, sorted), n_items, n_hit.
 
-    items: item_id, text. A null or empty text on either side has no words; items without words or id fit nothing; repeated
-    items count once under their id; an empty item table hits nothing. Other columns are ignored.
+    n_items is the number of items with occurring windows. items: item_id, text. A null or empty text on either side has no words; items
+    without words fit nothing; repeated items count once under their id; those without an id hit words like any other, count as one item
+    together, and are not in item_ids. An empty item table hits nothing. Texts are searched whole, however long; rows that repeat are
+    searched each; an empty table gives an empty one. Other columns are ignored.
     """
-    sc = docs.sparkSession.sparkContext
-    lean_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    lean_batches(spark)
     kept = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
     df = docs.select(*kept, F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<long>)").alias("runs"), F.expr("cast(array() as array<string>)").alias("item_ids"))
     schema = df.schema
-    n_blocks = 0
-    for held in chain(_blocks(items, width, block), [[]]):
-        if held or not n_blocks:  # without items the one empty block still counts words
-            index = sc.broadcast(Block(held, width, occurrences(docs, [w for _, w in held]) if held else {}))
-            df = df.mapInArrow(_search(index), schema)
-            n_blocks += 1
+    blocks = _blocks(items, width, block)
+    held, scratch, written = next(blocks, []), Scratch(spark), None  # without items one empty block still counts words
+    while True:
+        index = spark.sparkContext.broadcast(Block(held, width, occurrences(docs, [w for _, w in held]) if held else {}))
+        df = df.mapInArrow(_search(index), schema)
+        held = next(blocks, None)
+        if held is None:
+            break
+        df = scratch.write(df)
+        index.destroy()
+        if written is not None:
+            scratch.drop(written)
+        written = df
     pairs = F.expr("transform(sequence(1, cast(size(runs) / 2 as int), 1), i -> struct(runs[2 * i - 2] as first, runs[2 * i - 1] as end))")
     hits = F.when(F.size("runs") > 0, pairs).otherwise(F.expr("cast(array() as array<struct<first: long, end: long>>)"))
-    return df.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(carry)), "text", "n_words", hits.alias("hits"), F.array_sort("item_ids").alias("item_ids")).withColumn("n_hit", F.expr("aggregate(hits, cast(0 as long), (n, x) -> n + x.end - x.first)"))
+    df = df.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(carry)), "text", "n_words", hits.alias("hits"), F.array_sort(F.array_compact("item_ids")).alias("item_ids"), F.size("item_ids").cast("long").alias("n_items"))
+    return df.withColumn("n_hit", F.expr("aggregate(hits, cast(0 as long), (n, x) -> n + x.end - x.first)"))
 
 
 def _search(held):
@@ -170,7 +178,7 @@ def _search(held):
                 found = defaultdict(list)
                 for doc, a, e, x in block.find(w):
                     found[i + doc].append((a, e))
-                    items[i + doc] = items[i + doc] + [s for s in map(str, block.items[x]) if s not in items[i + doc]]
+                    items[i + doc] = items[i + doc] + [s for s in block.items[x] if s not in items[i + doc]]
                 for row, spans in found.items():
                     old = runs[row]
                     out: list[int] = []
@@ -190,4 +198,4 @@ def contamination_digest(docs: DataFrame, items: DataFrame, width: int = 10) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     df = contaminated_words(rows, items, width)
     digest = F.sha2(F.concat_ws(",", "item_ids"), 256)
-    return df.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return df.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -156,10 +156,64 @@ def test_items_longer_than_a_block(spark):
     items = spark.createDataFrame([(1, " ".join(words)), (2, "w1 w2 w3"), (3, None), (None, "w1 w2"), (4, " ".join(words[:30]))], "item_id long, text string")
     docs = spark.createDataFrame([(i, " ".join(words[i * 7 : i * 7 + 9 + i % 5])) for i in range(50)] + [(99, "x w1 w2 w3 y"), (98, None)], "doc_id long, text string")
     assert max(sum(max(1, len(w) - 9) for _, w in b) for b in _blocks(items, 10, 25)) <= 25
-    whole, split = (sorted((r.doc_id, r.n_hit, tuple(r.item_ids), tuple(map(tuple, r.hits))) for r in contaminated_words(docs, items, 10, block).collect()) for block in (10**6, 25))
+    whole, split = (sorted((r.doc_id, r.n_hit, r.n_items, tuple(r.item_ids), tuple(map(tuple, r.hits))) for r in contaminated_words(docs, items, 10, block).collect()) for block in (10**6, 25))
     assert whole == split and sum(x[1] > 0 for x in whole) > 5
 
 
+def test_items_without_an_id_hit(spark, tmp_path):
+    import duckdb
+
+    from genoflux.llm import op03
+
+    items = [(None, "alpha beta gamma"), (None, "delta"), (7, "alpha beta gamma"), (8, "delta epsilon"), (None, None)]
+    docs = [(1, "x Alpha beta gamma y"), (2, "delta zeta"), (3, "delta epsilon"), (4, None), (None, "gamma"), (5, "alpha beta")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = con.execute(op03.SQL)
+    names = [d[0] for d in want.description]
+    got = op03.op3_decontamination(spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in got} == {1: (3, 2), 2: (1, 1), 3: (2, 2), 4: (0, 0), None: (0, 0), 5: (0, 0)}
+
+
+def test_one_block_in_memory_at_a_time(spark):
+    """However many blocks of windows or rules there are, the plan that is left searches for one."""
+    from genoflux.llm.decontaminate import contaminated_words
+    from genoflux.llm.url_filter import UrlRule, url_verdicts
+
+    items = spark.createDataFrame([(i, f"w{i} w{i + 1} w{i + 2}") for i in range(12)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "w3 w4 w5 w6")], "doc_id long, text string")
+    pages = spark.createDataFrame([(1, "http://h3.org/a")], "page_id long, url string")
+    found = contaminated_words(docs, items, 10, 3)
+    judged = url_verdicts(pages, [UrlRule(f"h{i}.org/", "block") for i in range(12)], block=3)
+    for df in (found, judged):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert found.first().n_hit == 4 and judged.first().verdict == "block"
+
+
+def test_sample_of_rows_without_ids_is_bounded(spark):
+    from pyspark.sql import functions as F
+
+    from genoflux.llm.quality_rules import hashed_sample
+
+    for ids in (F.lit(None).cast("long"), F.lit(7).cast("long"), F.col("id")):
+        n = hashed_sample(spark.range(20_000, numPartitions=5).select(ids.alias("doc_id"), F.lit("x").alias("text")), 500).count()
+        assert 350 < n <= 1000
+    assert hashed_sample(spark.createDataFrame([], "doc_id long, text string"), 500).count() == 0
+
+
+def test_names_that_only_look_like_credentials():
+    from genoflux.llm.secret_scan import candidates
+
+    for line in ("author: JohnSmithsonAbc", "token_count = abcdefghij", "max_tokens_limit: abcdefghi", "tokenizer=abcdefghij"):
+        assert not [c for c in candidates(line) if c.kind == "assigned"], line
+    for line in ("auth: abcdefghij", "oauth=abcdefghij", "authorization: abcdefghij", "token=abcdefghij", "access_token: abcdefghij"):
+        assert [c for c in candidates(line) if c.kind == "assigned"], line
+
+
 def test_rule_order_saves_time(spark):
     """A rule that is dear and rejects nothing goes behind a cheap one that rejects most, and the cascade is faster that way."""
     from pyspark.sql import functions as F
