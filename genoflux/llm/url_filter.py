@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Rules broadcast at a time.
 BLOCK = 100_000
 
@@ -107,9 +109,17 @@ def url_verdicts(pages: DataFrame, rules: list[UrlRule], otherwise: str = "allow
     ordered = sorted({(r.rule, r.verdict) for r in rules}, key=lambda x: (x[0], x[1] != "allow"))
     kept = [UrlRule(rule, verdict) for rule, verdict in dict(ordered).items()]
     df = pages.select("page_id", host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
-    schema = df.schema
+    schema, spark, scratch, written = df.schema, pages.sparkSession, None, None
     for i in range(0, len(kept), block):
-        df = df.mapInArrow(_judged(pages.sparkSession.sparkContext.broadcast(UrlTrie(kept[i : i + block]))), schema)
+        trie = spark.sparkContext.broadcast(UrlTrie(kept[i : i + block]))
+        df = df.mapInArrow(_judged(trie), schema)
+        if i + block < len(kept):  # written, so that an executor holds one trie at a time
+            scratch = scratch or Scratch(spark)
+            df = scratch.write(df)
+            trie.destroy()
+            if written is not None:
+                scratch.drop(written)
+            written = df
     return df
 
 
