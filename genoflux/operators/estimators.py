@@ -12,6 +12,8 @@ from ..functions.expressions import col, finite_positive, ratio, thinned, thinne
 EPS = 1e-12
 #: Draws that one row of the draw table stands for before it is unfolded.
 BLOCK = 10_000
+#: Rows of a group that are drawn from where they lie.
+PART = 256
 
 
 def naive(df: DataFrame) -> DataFrame:
@@ -139,17 +141,40 @@ def numbered(df: DataFrame, group: str, order: list[str], write) -> DataFrame:
     return dealt.withColumn("_at", at).join(first, [group, "_part"]).withColumn("row_id", (F.col("_first") + F.col("_at")).cast("long")).drop("_part", "_at", "_first")
 
 
+def _part_draws(sizes: DataFrame, group: str, replicates: int, seed: int) -> DataFrame:
+    """group, part, draws (array of rep, m): how many of a replicate's n draws fall on each part of a group, counted map-side. A group
+    of one part has all n there."""
+    reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
+    each = sizes.select(group, "size", reps.alias("rep"))
+    blocks = F.explode(F.expr(f"sequence(0L, (size - 1) div {BLOCK}L)"))
+    many = each.where(F.col("size") > PART).select("*", blocks.alias("_block")).repartition(group, "rep", "_block")
+    many = many.select(group, "size", "rep", F.explode(F.expr(f"sequence(_block * {BLOCK}L, least(size, (_block + 1) * {BLOCK}L) - 1)")).alias("draw"))
+    row = F.shiftright(word32(F.lit(seed), F.lit("part"), group, "rep", "draw") * F.col("size"), 32)
+    many = many.groupBy(group, "rep", F.floor(row / PART).alias("part")).agg(F.count("*").alias("m"))
+    one = each.where(F.col("size") <= PART).select(group, "rep", F.lit(0).cast("long").alias("part"), F.col("size").alias("m"))
+    return many.unionByName(one).groupBy(group, "part").agg(F.collect_list(F.struct("rep", "m")).alias("draws"))
+
+
 def resampled(df: DataFrame, group: str, order: list[str], replicates: int, seed: int, write) -> DataFrame:
-    """n-of-n draws with replacement of each group: rep, draw, and the drawn rows. The draw is floor(u n) with a hashed u. write: see
-    `numbered`; draws are made in blocks of BLOCK, so that no task makes those of a whole group."""
+    """n-of-n draws with replacement of each group: rep, draw, and the drawn rows. write: see `numbered`.
+
+    A group's rows lie in parts of PART. First only the number of a replicate's draws that fall on each part is drawn, then each part
+    draws that many of its own rows, where they lie. So rows are shuffled once, whatever the number of replicates, and what is
+    shuffled for a replicate is a count a part. draw is the part times 2^32 and the draw's number in it.
+    """
     n = numbered(df, group, order, write)
-    sizes = n.groupBy(group).agg(F.max("n_rows").alias("size"))
-    draws = sizes.select(group, "size", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    blocks = F.explode(F.expr(f"sequence(0L, (size - 1) div {BLOCK}L)"))
-    draws = draws.select("*", blocks.alias("_block")).repartition(group, "rep", "_block")
-    draws = draws.select(group, "size", "rep", F.explode(F.expr(f"sequence(_block * {BLOCK}L, least(size, (_block + 1) * {BLOCK}L) - 1)")).alias("draw"))
-    draws = draws.withColumn("row_id", F.shiftright(word32(F.lit(seed), group, "rep", "draw") * F.col("size"), 32))
-    return draws.drop("size").join(n.drop("n_rows"), [group, "row_id"]).drop("row_id")
+    rows = F.sort_array(F.collect_list(F.struct("row_id", *(c for c in df.columns if c != group)))).alias("rows")
+    parts = write(n.groupBy(group, F.expr(f"row_id div {PART}L").alias("part")).agg(rows, F.max("n_rows").alias("size")))
+    sizes = parts.groupBy(group).agg(F.max("size").alias("size"))
+    x = parts.drop("size").join(_part_draws(sizes, group, replicates, seed), [group, "part"])
+    # few rows, each of which becomes many: spread by number, which adaptive execution doesn't merge
+    x = x.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), group, "part")
+    x = x.select(group, "part", "rows", F.explode("draws").alias("d")).select(group, "part", "rows", "d.rep", "d.m")
+    number = lambda j: F.col("part") * (1 << 32) + j
+    at = lambda j: F.shiftright(word32(F.lit(seed), group, "rep", number(j)) * F.size("rows"), 32).cast("int") + 1
+    drawn = F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda j: F.struct(number(j).alias("draw"), F.element_at("rows", at(j)).alias("row")))
+    x = x.select(group, "rep", F.explode(drawn).alias("x")).select(group, "rep", "x.draw", "x.row.*")
+    return x.drop("row_id")
 
 
 def poisson_weights(df: DataFrame, key: list[str], replicates: int, seed: int) -> DataFrame:

@@ -612,11 +612,17 @@ def _bootstrap(fx):
     return E.pooled_bins(t.where("ds_a > 0").withColumn("bin", F.lit(0).cast("long")), ["species", "mut_class", "rep"])
 
 
-_DRAWS = """draws AS (SELECT species, rep, draw, (('0x' || substr(md5(concat_ws('|', '123', species, rep, draw)), 1, 8))::BIGINT * n) >> 32 AS row_id FROM (SELECT species, count(*) AS n FROM summary GROUP BY species), range(0, 20) r(rep), range(0, 2000) d(draw) WHERE draw < n),
- num AS (SELECT *, row_number() OVER (PARTITION BY species ORDER BY sample_1, sample_2) - 1 AS row_id FROM summary)"""
+def _draws_sql(group: str, order: str, reps: int) -> str:
+    """Views `num` (the summary's rows by grp and row_id) and `draws` (grp, rep, draw, row_id), as E.resampled draws them."""
+    word = lambda *k: f"('0x' || substr(md5(concat_ws('|', '123', {', '.join(k)})), 1, 8))::BIGINT"
+    return f"""num AS (SELECT *, {group} AS grp, row_number() OVER (PARTITION BY {group} ORDER BY {order}) - 1 AS row_id FROM summary),
+ slots AS (SELECT grp, n, rep FROM (SELECT grp, count(*) AS n FROM num GROUP BY grp), range(0, {reps}) r(rep)),
+ shares AS (SELECT grp, n, rep, 0 AS part, n AS m FROM slots WHERE n <= {E.PART}
+   UNION ALL SELECT grp, n, rep, (({word("'part'", "grp", "rep", "draw")} * n) >> 32) // {E.PART} AS part, count(*) AS m FROM (SELECT *, unnest(range(0, n)) AS draw FROM slots WHERE n > {E.PART}) GROUP BY ALL),
+ draws AS (SELECT grp, rep, draw, part * {E.PART} + (({word("grp", "rep", "draw")} * least({E.PART}, n - part * {E.PART})) >> 32) AS row_id FROM (SELECT grp, n, rep, part, CAST(part AS BIGINT) * 4294967296 + unnest(range(0, m)) AS draw FROM shares))"""
 
 
-@query(sql("", "thin")[:-1] + f", {_DRAWS}, " + """b AS (SELECT d.rep, t.* FROM draws d JOIN num n ON n.species = d.species AND n.row_id = d.row_id JOIN thin t ON t.species = n.species AND t.sample_1 = n.sample_1 AND t.sample_2 = n.sample_2 WHERE ds_a > 0),
+@query(sql("", "thin")[:-1] + f", {_draws_sql('species', 'sample_1, sample_2', REPS)}, " + """b AS (SELECT d.rep, t.* FROM draws d JOIN num n ON n.species = d.grp AND n.row_id = d.row_id JOIN thin t ON t.species = n.species AND t.sample_1 = n.sample_1 AND t.sample_2 = n.sample_2 WHERE ds_a > 0),
  r AS (SELECT species, mut_class, rep, CASE WHEN sum(ln) > 0 AND sum(ks_b) > 0 THEN (sum(kn) / sum(ln)) / (sum(ks_b) / sum(ls_b)) END AS r_hat FROM b GROUP BY ALL)
  SELECT species, mut_class, round(quantile_cont(r_hat, 0.5), 6) AS r_med, round(quantile_cont(r_hat, 0.025), 6) AS r_lo, round(quantile_cont(r_hat, 0.975), 6) AS r_hi FROM r GROUP BY ALL""")
 def b2_b3_bootstrap_intervals(fx):
@@ -658,10 +664,8 @@ _R_HAT = "CASE WHEN sum(ln) > 0 AND sum(ks_b) > 0 THEN (sum(kn) / sum(ln)) / (su
 
 
 @query(sql("", "thin")[:-1] + f""", {_SPECIES_BINS},
- num AS (SELECT species, sample_1, sample_2, row_number() OVER (PARTITION BY species ORDER BY sample_1, sample_2) - 1 AS row_id FROM summary),
- slots AS (SELECT species, n, rep, unnest(range(0, n)) AS draw FROM (SELECT species, count(*) AS n FROM summary GROUP BY species), range(0, {CURVE_REPS}) r(rep)),
- draws AS (SELECT species, rep, draw, (('0x' || substr(md5(concat_ws('|', '123', species, rep, draw)), 1, 8))::BIGINT * n) >> 32 AS row_id FROM slots),
- r AS (SELECT d.species, mut_class, rep, bin, {_R_HAT} AS r_hat FROM draws d JOIN num n ON n.species = d.species AND n.row_id = d.row_id JOIN bin_s t ON t.species = n.species AND t.sample_1 = n.sample_1 AND t.sample_2 = n.sample_2 WHERE bin IS NOT NULL GROUP BY d.species, mut_class, rep, bin),
+ {_draws_sql("species", "sample_1, sample_2", CURVE_REPS)},
+ r AS (SELECT t.species, mut_class, rep, bin, {_R_HAT} AS r_hat FROM draws d JOIN num n ON n.grp = d.grp AND n.row_id = d.row_id JOIN bin_s t ON t.species = n.species AND t.sample_1 = n.sample_1 AND t.sample_2 = n.sample_2 WHERE bin IS NOT NULL GROUP BY t.species, mut_class, rep, bin),
  q AS (SELECT species, mut_class, bin, quantile_cont(r_hat, 0.5) AS m, quantile_cont(r_hat, 0.025) AS lo, quantile_cont(r_hat, 0.975) AS hi FROM r GROUP BY ALL),
  c AS (SELECT species, mut_class, bin, count(*) AS n_pairs, sum(ks_a) / sum(ls_a) AS ds_x, {_R_HAT} AS r_hat FROM bin_s WHERE bin IS NOT NULL GROUP BY ALL),
  k AS (SELECT DISTINCT species FROM (SELECT species, mut_class FROM c GROUP BY ALL HAVING count(*) >= 3))
@@ -677,9 +681,7 @@ def _redrawn_sql(group: str, reps: int, key: str) -> str:
     """Views `draws` and `rethin`: pairs of each group drawn anew, each draw thinned by `key`, by class. group: species, or 'all'."""
     by = "species" if group == "species" else "'all'"
     order = "sample_1, sample_2" if group == "species" else "species, sample_1, sample_2"
-    return f"""num AS (SELECT *, {by} AS grp, row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1 AS row_id FROM summary),
- slots AS (SELECT grp, n, rep, unnest(range(0, n)) AS draw FROM (SELECT grp, count(*) AS n FROM num GROUP BY grp), range(0, {reps}) r(rep)),
- draws AS (SELECT grp, rep, draw, (('0x' || substr(md5(concat_ws('|', '123', grp, rep, draw)), 1, 8))::BIGINT * n) >> 32 AS row_id FROM slots),
+    return f"""{_draws_sql(by, order, reps)},
  halved AS (SELECT d.grp, d.rep, d.draw, n.*, CAST(coalesce(list_sum(list_transform(range(0, (clonal_diff_4d + 31) // 32), lambda i: bit_count(('0x' || substr(md5(concat_ws('|', '42', {key}, i)), 1, 8))::BIGINT & ((1::BIGINT << CAST(least(32, clonal_diff_4d - 32 * i) AS INT)) - 1)))), 0) AS BIGINT) AS ks_a
    FROM draws d JOIN num n ON n.grp = d.grp AND n.row_id = d.row_id),
  rethin AS MATERIALIZED (SELECT *, ks - ks_a AS ks_b, ls * 0.5 AS ls_a, ls * 0.5 AS ls_b, ks_a / greatest(ls * 0.5, 1e-12) AS ds_a FROM (

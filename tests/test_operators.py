@@ -5,6 +5,7 @@ import itertools
 import math
 import os
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,5 +176,17 @@ def test_bootstrap_draws(spark):
     df = spark.createDataFrame([("a", i) for i in range(7)] + [("b", i) for i in range(3)], "g string, i long")
     d = E.resampled(df, "g", ["i"], 4, 1, kept)
     assert {(r.g, r["count"]) for r in d.groupBy("g", "rep").count().collect()} == {("a", 7), ("b", 3)}
+    # more rows than a part: each replicate draws as many as there are, all rows alike, and each draw has its own number
+    n, reps = 3 * E.PART + 17, 60
+    big = E.resampled(spark.range(n).selectExpr("'g' as g", "id as i", "id * 2 as v"), "g", ["i"], reps, 1, kept)
+    rows = big.collect()
+    assert len(rows) == n * reps == len({(r.rep, r.draw) for r in rows}) and all(r.v == 2 * r.i for r in rows)
+    assert all(c == n for c in Counter(r.rep for r in rows).values())
+    times = Counter(r.i for r in rows)
+    mean = sum(times.values()) / n
+    spread = sum((times[i] - mean) ** 2 for i in range(n)) / n
+    assert mean == reps and 0.8 * reps < spread < 1.2 * reps  # Poisson-like: variance near the mean
+    parts = Counter((r.rep, r.i // E.PART) for r in rows)
+    assert {len([1 for p in range(4) if parts[k, p]]) for k in range(reps)} == {4} and len({parts[k, 0] for k in range(reps)}) > 10
     w = E.poisson_weights(spark.range(3000).withColumnRenamed("id", "i"), ["i"], 1, 1).agg(F.sum("weight")).first()[0]
     assert abs(w - 3000) < 200
