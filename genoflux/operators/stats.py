@@ -9,18 +9,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..sources.scratch import kept
+
 
 def grouped_corr(df: DataFrame, keys: list[str], x: str, y: str, method: str = "pearson") -> DataFrame:
     """n, r and two-sided p for each key (all rows if there is none). Spearman ranks ties by their mean."""
-    df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
     if method == "spearman":
+        df = kept(df)
         for c in (x, y):
-            w = Window.partitionBy(*keys, c)
-            df = df.withColumn(c, F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(w) - 1) / 2)
+            df = df.join(mean_ranks(df, keys, c), [*keys, c]).drop(c).withColumnRenamed("rank", c)
     g = df.groupBy(*keys).agg(F.count("*").alias("n"), F.corr(x, y).alias("r"))
     return g.withColumn("p", corr_p("r", "n"))
 
 
+def mean_ranks(df: DataFrame, keys: list[str], c: str) -> DataFrame:
+    """keys, c, rank: the mean rank of each value of `c` within its key, from 1.
+
+    Equal values are counted first, map-side, so ties never meet as rows. The values are then dealt by range, so that no window holds a
+    whole key: a value's rank is the rows of its key in earlier parts, those before it in its part, and half of its own.
+    """
+    values = df.groupBy(*keys, c).agg(F.count("*").alias("_n"))
+    dealt = kept(values.repartitionByRange(*keys, c).withColumn("_part", F.spark_partition_id()))
+    w = Window.partitionBy(*keys, "_part").orderBy(c)
+    earlier = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    parts = dealt.groupBy(*keys, "_part").agg(F.sum("_n").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row a part
+    parts = parts.select(*keys, "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    ranked = dealt.withColumn("_earlier", F.coalesce(earlier, F.lit(0))).join(parts, [*keys, "_part"])
+    return ranked.select(*keys, c, (F.col("_before") + F.col("_earlier") + (F.col("_n") + 1) / 2).alias("rank"))
+
+
 def _beta_cf(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (modified Lentz)."""
     tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)

@@ -86,16 +86,33 @@ def unfinished(work: DataFrame, done: DataFrame, key: str = "species") -> DataFr
     return work.join(done.select(key).distinct(), key, "left_anti")
 
 
+MANIFEST = "_finished"  # readers of the table pass over names that begin with an underscore
+
+
 def write_by_species(df: DataFrame, path: str, key: str = "species") -> None:
-    """One folder a species; only the species in `df` are replaced."""
+    """One folder a species; only the species in `df` are replaced. When all are in place, their names are added to the manifest, so a
+    run that ends early leaves none of them finished."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    df.select(key).distinct().write.mode("append").parquet(f"{path}/{MANIFEST}")
 
 
-def cached_table(spark: SparkSession, path: str, make) -> DataFrame:
-    """The table at `path`, written by make() where it does not exist yet."""
+def finished(spark: SparkSession, path: str, key: str = "species", kind: str = "string") -> DataFrame:
+    """The species of the table at `path` that were written to their end; none where there is no table yet."""
+    if not _exists(spark, f"{path}/{MANIFEST}/_SUCCESS"):
+        return spark.createDataFrame([], f"{key} {kind}")
+    return spark.read.schema(f"{key} {kind}").parquet(f"{path}/{MANIFEST}").distinct()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        make().write.parquet(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def cached_table(spark: SparkSession, path: str, make) -> DataFrame:
+    """The table at `path`, written by make() where no write of it has come to its end (Spark's _SUCCESS file tells); what a write that
+    failed left there is replaced."""
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
