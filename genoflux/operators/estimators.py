@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import col, finite_positive, ratio, thinned, thinned_half, word32
+from .stats import exact_quantiles
 
 EPS = 1e-12
 #: Draws that one row of the draw table stands for before it is unfolded.
@@ -54,10 +55,10 @@ def log_edges(x, n_bins: int) -> Column:
     return F.when(low.isNotNull(), F.concat(inner, F.array(high)))
 
 
-def quantile_edges(x, n_bins: int) -> Column:
-    """Aggregate: equal-count edges without repeats; null if fewer than three are left."""
-    e = F.array_distinct(F.percentile(F.when(col(x) > 0, col(x)), F.array(*(F.lit(i / n_bins) for i in range(n_bins + 1)))))
-    return F.when(F.size(e) >= 3, e)
+def quantile_edges(df: DataFrame, keys: list[str], x: str, n_bins: int) -> DataFrame:
+    """keys, e: equal-count edges of the positive values without repeats; keys with fewer than three are left out."""
+    q = exact_quantiles(df.where(F.col(x) > 0), keys, x, [i / n_bins for i in range(n_bins + 1)])
+    return q.select(*keys, F.array_distinct("quantiles").alias("e")).where(F.size("e") >= 3)
 
 
 def auto_bin_count(n, target: int, low: int, high: int, per_bin: int) -> Column:

@@ -23,21 +23,42 @@ def grouped_corr(df: DataFrame, keys: list[str], x: str, y: str, method: str = "
     return g.withColumn("p", corr_p("r", "n"))
 
 
-def mean_ranks(df: DataFrame, keys: list[str], c: str) -> DataFrame:
-    """keys, c, rank: the mean rank of each value of `c` within its key, from 1.
+def counted_values(df: DataFrame, keys: list[str], c: str) -> DataFrame:
+    """keys, c, times, before: each value of `c`, how many rows of its key have it, and how many have a lesser one.
 
-    Equal values are counted first, map-side, so ties never meet as rows. The values are then dealt by range, so that no window holds a
-    whole key: a value's rank is the rows of its key in earlier parts, those before it in its part, and half of its own.
+    Equal values are counted first, map-side, so ties never meet as rows. The values are then dealt by range, so that no window and no
+    buffer holds a whole key: before are the rows of the key in earlier parts and those of lesser values in the same part.
     """
-    values = df.groupBy(*keys, c).agg(F.count("*").alias("_n"))
+    values = df.groupBy(*keys, c).agg(F.count("*").alias("times"))
     dealt = kept(values.repartitionByRange(*keys, c).withColumn("_part", F.spark_partition_id()))
     w = Window.partitionBy(*keys, "_part").orderBy(c)
-    earlier = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    parts = dealt.groupBy(*keys, "_part").agg(F.sum("_n").alias("_rows"))
-    before = F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row a part
-    parts = parts.select(*keys, "_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    ranked = dealt.withColumn("_earlier", F.coalesce(earlier, F.lit(0))).join(parts, [*keys, "_part"])
-    return ranked.select(*keys, c, (F.col("_before") + F.col("_earlier") + (F.col("_n") + 1) / 2).alias("rank"))
+    earlier = F.coalesce(F.sum("times").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = dealt.groupBy(*keys, "_part").agg(F.sum("times").alias("_rows"))
+    rows = F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row a part
+    parts = parts.select(*keys, "_part", F.coalesce(rows, F.lit(0)).alias("_before"))
+    ranked = dealt.withColumn("_earlier", earlier).join(parts, [*keys, "_part"])
+    return ranked.select(*keys, c, "times", (F.col("_before") + F.col("_earlier")).alias("before"))
+
+
+def mean_ranks(df: DataFrame, keys: list[str], c: str) -> DataFrame:
+    """keys, c, rank: the mean rank of each value of `c` within its key, from 1."""
+    return counted_values(df, keys, c).select(*keys, c, (F.col("before") + (F.col("times") + 1) / 2).alias("rank"))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], c: str, shares: list[float]) -> DataFrame:
+    """keys, quantiles: those of `c` at each of `shares`, between two neighbours by their distance; nulls are left out.
+
+    The rank sought of each share lies on one value, or between two: these are found by the counts of lesser values, so a key's
+    buffer holds two values a share, however many rows there are.
+    """
+    v = kept(counted_values(df.where(F.col(c).isNotNull()), keys, c))
+    sizes = v.groupBy(*keys).agg((F.max(F.col("before") + F.col("times")) - 1).alias("_last"))
+    sought = [F.col("_last") * F.lit(float(p)) for p in shares]
+    at = lambda rank: F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("times")), F.col(c).cast("double")))
+    both = [F.struct(at(F.floor(p)).alias("low"), at(F.ceil(p)).alias("high")) for p in sought]
+    g = v.join(sizes, keys) if keys else v.crossJoin(sizes)  # one row
+    g = g.groupBy(*keys, "_last").agg(*(b.alias(f"_{i}") for i, b in enumerate(both)))
+    return g.select(*keys, F.array(*(F.col(f"_{i}.low") + (F.col(f"_{i}.high") - F.col(f"_{i}.low")) * (p - F.floor(p)) for i, p in enumerate(sought))).alias("quantiles"))
 
 
 def _beta_cf(a: float, b: float, x: float) -> float:

@@ -425,8 +425,9 @@ def x1_x2_block_summary(fx):
 
 @query(sql("SELECT species, count(*) AS n_pairs, count(DISTINCT sample_1) AS n_first, round(median(core_diff), 6) AS median_diff, round(sum(clonal_m) / sum(clonal_n), 6) AS m_by_n FROM summary GROUP BY species HAVING count(*) >= 2", "summary"))
 def g10_g11_g12_g14_species_counts(fx):
-    g = fx.block_summary().groupBy("species").agg(F.count("*").alias("n_pairs"), F.count_distinct("sample_1").alias("n_first"), r6(F.median("core_diff")).alias("median_diff"), r6(F.try_divide(F.sum("clonal_m"), F.sum("clonal_n"))).alias("m_by_n"))
-    return g.where("n_pairs >= 2")
+    median = K.exact_quantiles(fx.pair_table(), ["species"], "core_diff", [0.5]).select("species", r6(F.col("quantiles")[0]).alias("median_diff"))
+    g = fx.pair_table().groupBy("species").agg(F.count("*").alias("n_pairs"), F.count_distinct("sample_1").alias("n_first"), r6(F.try_divide(F.sum("clonal_m"), F.sum("clonal_n"))).alias("m_by_n"))
+    return g.where("n_pairs >= 2").join(median, "species")
 
 
 @query(sql("SELECT DISTINCT species, sample_1, sample_2 FROM transfers", "transfers"))
@@ -495,7 +496,7 @@ def e7_log_edges(fx):
 
 @query(sql("SELECT edge, round(value, 6) AS value FROM (SELECT unnest(range(0, 5)) AS edge, unnest(quantile_cont(ds_a, [0.0, 0.25, 0.5, 0.75, 1.0]) FILTER (ds_a > 0)) AS value FROM thin WHERE mut_class = 'all')", "thin"))
 def e8_quantile_edges(fx):
-    e = _thin(fx).where("mut_class = 'all'").agg(E.quantile_edges("ds_a", 4).alias("e"))
+    e = E.quantile_edges(_thin(fx).where("mut_class = 'all'"), [], "ds_a", 4)
     return e.select(F.posexplode("e").alias("edge", "value")).select(F.col("edge").cast("long").alias("edge"), r6(F.col("value")).alias("value"))
 
 

@@ -39,6 +39,22 @@ def test_spearman_of_ties(spark):
     assert got["c"].n == 1
 
 
+def test_exact_quantiles(spark):
+    """One hot group, values that repeat, single rows and nulls, against numpy."""
+    import numpy as np
+
+    rng = random.Random(6)
+    rows = [("hot", rng.choice([0.0, rng.random(), float(rng.randint(1, 9))])) for _ in range(2501)] + [("one", 4.0), ("two", 1.0), ("two", 2.0), ("two", None), ("none", None)]
+    df, shares = spark.createDataFrame(rows, "k string, v double"), [0.0, 0.025, 0.25, 0.5, 0.975, 1.0]
+    got = {r.k: r.quantiles for r in K.exact_quantiles(df, ["k"], "v", shares).collect()}
+    assert set(got) == {"hot", "one", "two"}
+    for k, q in got.items():
+        assert np.allclose(q, np.quantile([v for g, v in rows if g == k and v is not None], shares))
+    (whole,) = K.exact_quantiles(df, [], "v", shares).collect()
+    assert np.allclose(whole.quantiles, np.quantile([v for _, v in rows if v is not None], shares))
+    assert K.exact_quantiles(df.limit(0), ["k"], "v", shares).collect() == []
+
+
 def test_no_window_over_a_whole_group(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 1.0)], "k string, x double, y double")
     plan = K.grouped_corr(df, ["k"], "x", "y", "spearman")._jdf.queryExecution().optimizedPlan().toString()
