@@ -832,7 +832,7 @@ def f2_f11_bootstrap_fits(fx):
     c = kept(_bootstrap_bins(fx, t))
     fits = kept(M.fit_one(c, key, _one_class, 1e-3, 1e7, n=31, zooms=1))
     early = kept(_bootstrap_early(t, key))
-    joint = kept(M.fit_one(c.join(early, key), key, _two_class, 1e-2, 1e6, n=31, zooms=1, write=kept).join(early, key))
+    joint = kept(M.fit_one(c.join(early, key), key, _two_class, 1e-2, 1e6, n=31, zooms=1).join(early, key))
     named = [("s", fits, "param", True), ("alpha2", joint, "alpha2", False), ("s1", joint, "param", True)]
     out = [E.intervals(d, ["mut_class"], x, log_scale=log).withColumn("name", F.lit(name)) for name, d, x, log in named]
     return out[0].unionByName(out[1]).unionByName(out[2]).select("mut_class", "name", *(r6(F.col(x)).alias(x) for x in ("r_med", "r_lo", "r_hi")))
@@ -862,8 +862,8 @@ def f7_class_fits(fx):
     """s/mu of the purifying curve for each class with the deleterious share of its own (F6), and its 95 % interval."""
     fd = kept(M.deleterious_share(_thin(fx).where("ds_a > 0"), ["mut_class"]))
     model = lambda ds, p: X.purifying_curve(ds, F.col("fd"), p)
-    whole = _fitted(M.fit_one(_fit_curve(fx).join(F.broadcast(fd), "mut_class"), ["mut_class"], model, 1e-3, 1e7, write=kept))
-    reps = kept(M.fit_one(_bootstrap_curve(fx).join(F.broadcast(fd), "mut_class"), ["mut_class", "rep"], model, 1e-3, 1e7, n=31, zooms=1, write=kept))
+    whole = _fitted(M.fit_one(_fit_curve(fx).join(F.broadcast(fd), "mut_class"), ["mut_class"], model, 1e-3, 1e7))
+    reps = kept(M.fit_one(_bootstrap_curve(fx).join(F.broadcast(fd), "mut_class"), ["mut_class", "rep"], model, 1e-3, 1e7, n=31, zooms=1))
     i = E.intervals(reps, ["mut_class"], "param", log_scale=True)
     return fd.select("mut_class", r6(F.col("fd")).alias("fd")).join(whole, "mut_class").join(i.select("mut_class", *(r6(F.col(x)).alias(x) for x in ("r_med", "r_lo", "r_hi"))), "mut_class", "left")
 
@@ -910,10 +910,10 @@ def _corrected_fit(fx):
     """s1 given the early share; the share corrected once; s1 fitted again. mut_class, s1_first, alpha2, param, loss."""
     early = kept(M.early_share(_thin(fx), ["mut_class"], EARLY).select("mut_class", "alpha2", "mean_ds"))
     c = _fit_curve(fx).join(F.broadcast(early), "mut_class")  # a row a class
-    first = kept(M.fit_one(c, ["mut_class"], _two_class, 1e-2, 1e6, write=kept).select("mut_class", F.col("param").alias("s1_first")))
+    first = kept(M.fit_one(c, ["mut_class"], _two_class, 1e-2, 1e6).select("mut_class", F.col("param").alias("s1_first")))
     again = c.join(F.broadcast(first), "mut_class").withColumn("alpha2", M.corrected_alpha2("alpha2", "s1_first", "mean_ds", FD))
     share = kept(again.select("mut_class", "s1_first", "alpha2").distinct())
-    return share.join(M.fit_one(again, ["mut_class"], _two_class, 1e-2, 1e6, write=kept), "mut_class")
+    return share.join(M.fit_one(again, ["mut_class"], _two_class, 1e-2, 1e6), "mut_class")
 
 
 _CORRECTED = f"""early_w AS (SELECT mut_class, {_EARLY_SHARE} FROM thin WHERE {_IS_EARLY} GROUP BY mut_class), wc AS (SELECT g.*, e.alpha2, e.mean_ds FROM good g JOIN early_w e USING (mut_class)), {_fit_sql("f1st", "wc", "mut_class", _TWO, 1e-2, 1e6)},
@@ -944,7 +944,7 @@ def f13_model_comparison(fx):
     key, t = ["mut_class", "rep"], _bootstrap_thinned(fx)
     c, early = kept(_bootstrap_bins(fx, t)), kept(_bootstrap_early(t, key))
     one = kept(M.fit_one(c, key, _one_class, 1e-3, 1e7, n=31, zooms=1))
-    two = kept(M.fit_one(c.join(early, key), key, _two_class, 1e-2, 1e6, n=31, zooms=1, write=kept))
+    two = kept(M.fit_one(c.join(early, key), key, _two_class, 1e-2, 1e6, n=31, zooms=1))
     whole = M.fit_one(_fit_curve(fx), ["mut_class"], _one_class, 1e-3, 1e7).select("mut_class", F.col("loss").alias("a")).join(_corrected_fit(fx).select("mut_class", F.col("loss").alias("b")), "mut_class")
     point = whole.select("mut_class", r6(F.col("a")).alias("wmse_one"), r6(F.col("b")).alias("wmse_two"), r6(F.col("a") - F.col("b")).alias("delta_point"))
     d = M.compared(one, two, ["mut_class"])
@@ -1108,10 +1108,25 @@ def k4_density(fx):
     return K.density(_points(fx), "x", "y", 32).withColumn("density", F.round("density", 4))
 
 
-@query(sql("", "summary")[:-1] + f", {_KDE} SELECT species, sample_1, sample_2, round({_KERNEL.format('p.x', 'p.y')}, 4) AS density FROM p, g b, m GROUP BY species, sample_1, sample_2")
+def _point_density_sql() -> str:
+    """The expansions of K.point_density, summed for each point over the cells in reach."""
+    powers = range(K.ORDER + 1)
+    at = lambda g, z, a: "(" + " + ".join(f"{g}.g{a + b} * pow({z}, {b}) * {(-1) ** a / math.factorial(a) / math.factorial(b)!r}" for b in powers) + ")"
+    axes = lambda g, z: ", ".join(f"{at(g, z, a)} AS {g}{a}" for a in powers)
+    values = ", ".join(f"({', '.join(map(repr, row))})" for row in K.stencil())
+    names = ", ".join(f"g{k}" for k in range(2 * K.ORDER + 1))
+    return f"""{_KDE}, s AS (SELECT * FROM (VALUES {values}) t(d, {names})),
+ z AS (SELECT *, (x - x0) / sqrt(vx * h2) AS zu, (y - y0 - (x - x0) * vxy / vx) / sqrt((vy - vxy * vxy / vx) * h2) AS zv FROM p, m),
+ q AS MATERIALIZED (SELECT *, zu - (i + 0.5) * {K.SIDE} AS u, zv - (j + 0.5) * {K.SIDE} AS v FROM (SELECT *, CAST(floor(zu / {K.SIDE}) AS BIGINT) AS i, CAST(floor(zv / {K.SIDE}) AS BIGINT) AS j FROM z)),
+ c AS MATERIALIZED (SELECT i, j, {", ".join(f"sum(pow(u, {a}) * pow(v, {b})) AS m{a}_{b}" for a in powers for b in powers)} FROM q GROUP BY i, j),
+ e AS (SELECT q.*, {", ".join(f"m{a}_{b}" for a in powers for b in powers)}, {axes("su", "q.u")}, {axes("sv", "q.v")} FROM q, c, s su, s sv WHERE su.d = q.i - c.i AND sv.d = q.j - c.j)
+ SELECT species, sample_1, sample_2, round(sum({" + ".join(f"m{a}_{b} * su{a} * sv{b}" for a in powers for b in powers)}) / any_value(total * 2 * pi() * h2 * sqrt(vx * vy - vxy * vxy)), 4) AS density FROM e GROUP BY species, sample_1, sample_2"""
+
+
+@query(sql("", "summary")[:-1] + f", {_point_density_sql()}")
 def k4_point_density(fx):
-    """Density of each pair's point."""
-    return K.point_density(_points(fx), _IDS, "x", "y", 32).withColumn("density", F.round("density", 4))
+    """Density of each pair's point; tested against a direct kernel sum too."""
+    return K.point_density(_points(fx), _IDS, "x", "y").withColumn("density", F.round("density", 4))
 
 
 @query(sql("SELECT species, count(*) AS n FROM pairs GROUP BY species ORDER BY n DESC, species LIMIT 3", "pairs"))

@@ -151,6 +151,48 @@ def test_density_matches_direct_sum(spark):
     assert abs(max(r.density for r in got) - max(dens(*p) for p in pts)) < 2e-3
 
 
+def direct_density(pts, at):
+    """The kernel sum of all points, and the kernel's peak."""
+    n = len(pts)
+    mx, my = sum(p[0] for p in pts) / n, sum(p[1] for p in pts) / n
+    vx, vy = sum((p[0] - mx) ** 2 for p in pts) / (n - 1), sum((p[1] - my) ** 2 for p in pts) / (n - 1)
+    vxy = sum((p[0] - mx) * (p[1] - my) for p in pts) / (n - 1)
+    h2, det = n ** (-1 / 3), vx * vy - vxy * vxy
+    peak = 1 / (2 * math.pi * h2 * math.sqrt(det))
+    return [peak / n * sum(math.exp(-(vy * (a - x) ** 2 - 2 * vxy * (a - x) * (b - y) + vx * (b - y) ** 2) / det / h2 / 2) for x, y in pts) for a, b in at], peak
+
+
+@pytest.mark.parametrize("kind", ["round", "slanted", "far apart"])
+def test_point_density_is_within_its_bound(spark, kind):
+    rng = random.Random(kind)
+    pts = [(rng.gauss(0, 1), rng.gauss(0, 2)) for _ in range(300)]
+    if kind == "slanted":
+        pts = [(x, 0.9 * x + 0.1 * y) for x, y in pts]
+    if kind == "far apart":
+        pts = [(x + 40 * (k % 3), y) for k, (x, y) in enumerate(pts)] + [pts[0]] * 40
+    rows = [(k, *p) for k, p in enumerate(pts)] + [(-1, None, 1.0), (-2, 1.0, None)]
+    got = {r.k: r.density for r in K.point_density(spark.createDataFrame(rows, "k long, x double, y double"), ["k"], "x", "y").collect()}
+    want, peak = direct_density(pts, pts)
+    assert sorted(got) == list(range(len(pts)))
+    assert max(abs(got[k] - w) for k, w in enumerate(want)) < 2e-4 * peak
+
+
+def test_point_density_edges(spark):
+    at = lambda rows: [r.density for r in K.point_density(spark.createDataFrame(rows, "k long, x double, y double"), ["k"], "x", "y").collect()]
+    assert at([]) == [] and at([(1, 0.0, 0.0)]) == [None]
+    assert at([(k, float(k), 1.0) for k in range(5)]) == [None] * 5 and at([(k, 1.0, float(k)) for k in range(5)]) == [None] * 5
+
+
+def test_fit_reads_columns_of_the_key_and_leaves_out_undefined_bins(spark):
+    rows = [("a", 0.8, 10.0 ** (i / 2 - 6), 1000, 1000, 3e4) for i in range(1, 12)] + [("b", 0.5, 10.0 ** (i / 2 - 6), 1000, 1000, 2e3) for i in range(1, 12)]
+    curve = spark.createDataFrame(rows, "k string, fd double, ds_x double, kn long, ks_b long, s double").withColumn("r_hat", X.purifying_curve("ds_x", F.col("fd"), F.col("s")))
+    odd = curve.where("k = 'b'").limit(1).withColumn("kn", F.lit(0).cast("long"))  # no weight
+    fits = {r.k: r for r in M.fit_one(curve.unionByName(odd), ["k"], lambda ds, p: X.purifying_curve(ds, F.col("fd"), p), 1e-3, 1e7).collect()}
+    assert abs(math.log(fits["a"].param / 3e4)) < 0.05 and abs(math.log(fits["b"].param / 2e3)) < 0.05
+    none = M.fit_one(curve, ["k"], lambda ds, p: F.when(p < 0, ds), 1e-3, 1e7)  # a model without a value
+    assert none.count() == 0
+
+
 @pytest.mark.skipif(not (GOLDEN and glob.glob(GOLDEN.format("close"))), reason="shipped tables are not there")
 def test_golden_tables(spark):
     close, clonal, typical = (T.read_pairs(spark, GOLDEN.format(k), s) for k, s in (("close", schemas.CLOSE), ("clonal", schemas.CLONAL), ("typical", schemas.TYPICAL)))
