@@ -101,9 +101,49 @@ class Counter:
             out[m.start() + 1 : m.end() + 1] = out[m.start()] + counts[np.cumsum(data)]
         return out
 
-    def truncated(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix of at most `budget` tokens."""
-        return int(np.flatnonzero(self.prefix_counts(text) <= budget)[-1])
+    def fitting(self, text: str, budget: int) -> int:
+        """Characters of the longest prefix of at most `budget` tokens; a special string is kept whole or not at all.
+
+        Whole units are passed by their counts; where the budget ends, the unit's stored prefix counts tell the place.
+        """
+        at = 0
+        for part in self.split.split(text) if self.split and any(x in text for x in self.special) else [text]:
+            if part in self.special:
+                n, fits = 1, len(part) if budget >= 1 else 0
+            else:
+                n, fits = self._fitting(part, budget)
+            at, budget = at + fits, budget - n
+            if fits < len(part):
+                break
+        return at
+
+    def _fitting(self, text: str, budget: int) -> tuple[int, int]:
+        """Tokens and characters of the longest prefix of a plain text; no more of it is read than that needs."""
+        at, left, bare = 0, budget, True
+        # each unit but an empty text has a token, so no more than budget + 1 are of interest
+        for w in text.replace("\n", "\n ").split(" ", budget + 1) if text else []:
+            end = w[-1:] == "\n"
+            unit = w[:-1] if end else w
+            if not unit or " " in unit or "\n" in unit:
+                break
+            unit = unit if bare else " " + unit
+            n = self.kept.get(unit, -1)
+            n = self._unit(unit) if n == -1 else n
+            if n is None or n + end > left:
+                break
+            at, left, bare = at + len(unit) + end, left - n - end, end
+        if bare and at:  # a line end may belong to a run of white space
+            at, left = at - 1, left + 1
+        # the rest begins where no piece is cut: its pieces up to the one after the budget hold the place
+        n, stop = 0, len(text)
+        for m in PIECE.finditer(text, at):
+            if n > left:
+                stop = m.end()
+                break
+            n += self._piece(m[0])
+        counts = self.prefix_counts(text[at:stop])
+        j = int(np.flatnonzero(counts <= left)[-1])
+        return budget - left + int(counts[j]), at + j
 
 
 def _counter(model: bytes) -> Counter:
@@ -111,7 +151,8 @@ def _counter(model: bytes) -> Counter:
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int) -> DataFrame:
-    """One row for each row of `docs` (doc_id, text): doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
+    """One row for each row of `docs` (doc_id, text): doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit), kept_chars: the
+    characters of the longest prefix within the limit, read off the stored prefix counts (all of them where the text is within it).
 
     A null text counts as empty: no bytes, no tokens. Whole texts are counted, however long. Rows that repeat are counted each;
     other columns are ignored; an empty table gives an empty one. The vocabulary file (about 2 MB) is read on the driver and
@@ -125,12 +166,15 @@ def token_counts(docs: DataFrame, model_path: str, limit: int) -> DataFrame:
 
         counter = _counter(model.value)
         for b in batches:
-            n = [counter.count(x) if x else 0 for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            texts = b.column(1).to_pylist()
+            n = [counter.count(x) if x else 0 for x in texts]
+            fits = [len(x or "") if k <= limit else counter.fitting(x, limit) for x, k in zip(texts, n)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(fits, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "kept_chars"])
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    out = rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, kept_chars long")
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "kept_chars")
 
 
 def truncate_to_budget(docs: DataFrame, model_path: str, budget: int) -> DataFrame:
@@ -143,7 +187,7 @@ def truncate_to_budget(docs: DataFrame, model_path: str, budget: int) -> DataFra
 
         counter = _counter(model.value)
         for b in batches:
-            n = [counter.truncated(x, budget) if x else 0 for x in b.column(1).to_pylist()]
+            n = [counter.fitting(x, budget) if x else 0 for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), b.column(1)], ["doc_id", "kept_chars", "text"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

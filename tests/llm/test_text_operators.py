@@ -158,6 +158,14 @@ def test_token_counts(docs, rows, none):
         assert c.count(s) == size(s)
         assert c.prefix_counts(s).tolist() == [size(s[:i]) for i in range(len(s) + 1)]
     assert c.count("<|endoftext|>a <|endoftext|>") == size("<|endoftext|>a <|endoftext|>")
+    words = ["hello", "world", "it's", "we'll", "  ", "\n", "\n\n", " ", "1234", "日本語", "...", "\t", "<|endoftext|>", "'"]
+    for k in range(200):
+        s = (" " if k % 2 else "").join(rng.choice(words) for _ in range(rng.randrange(14)))
+        inside = {i for m in re.finditer(r"<\|endoftext\|>", s) for i in range(m.start() + 1, m.end())}
+        for budget in (0, 1, 3, 7, 100):
+            assert c.fitting(s, budget) == max(i for i in range(len(s) + 1) if i not in inside and size(s[:i]) <= budget)
+    for r in token_counts(docs, path, 20).where("doc_id is not null").select("n_tokens", "over_limit", "kept_chars", "n_bytes").collect():
+        assert r.over_limit == (r.n_tokens > 20) and (r.kept_chars < r.n_bytes if r.over_limit else r.kept_chars <= r.n_bytes)
     for r in truncate_to_budget(docs.where("doc_id < 20"), path, 20).collect():
         text = dict((x[0], x[1]) for x in rows)[r.doc_id] or ""
         assert text.startswith(r.kept_text) and size(r.kept_text) <= 20
