@@ -38,6 +38,17 @@ class Counter:
             n += 1
         return n
 
+    def _known(self, piece: str) -> int:
+        """Tokens of a piece; those of letters or digits are kept as units (other pieces may hold white space of their own)."""
+        n = self.kept.get(piece)
+        if n is None:
+            n = self._piece(piece)
+            if piece[-1].isalnum():
+                if len(self.kept) >= KEPT:
+                    self.kept.clear()
+                self.kept[piece] = n
+        return n
+
     def _unit(self, unit: str) -> int | None:
         """Tokens of a unit; None where it has white space of its own, so that it may not stand alone."""
         body = unit[1:] if unit[:1] == " " else unit
@@ -65,13 +76,13 @@ class Counter:
             else:
                 end = False
             if not w:
-                return sum(map(self._piece, PIECE.findall(text)))
+                return sum(map(self._known, PIECE.findall(text)))
             unit = w if bare else " " + w
             n = kept.get(unit, -1)
             if n == -1:
                 n = self._unit(unit)
             if n is None:
-                return sum(map(self._piece, PIECE.findall(text)))
+                return sum(map(self._known, PIECE.findall(text)))
             total += n + end
             bare = end
         return total
@@ -134,13 +145,16 @@ class Counter:
             at, left, bare = at + len(unit) + end, left - n - end, end
         if bare and at:  # a line end may belong to a run of white space
             at, left = at - 1, left + 1
-        # the rest begins where no piece is cut: its pieces up to the one after the budget hold the place
-        n, stop = 0, len(text)
+        # the rest begins where no piece is cut: its pieces are passed up to the one after the budget
+        n, stop, before = 0, len(text), 0
         for m in PIECE.finditer(text, at):
             if n > left:
                 stop = m.end()
                 break
-            n += self._piece(m[0])
+            if not text[m.start() - 1 : m.start()].isspace():  # no run of white space is cut here
+                at, before = m.start(), n
+            n += self._known(m[0])
+        left -= before
         counts = self.prefix_counts(text[at:stop])
         j = int(np.flatnonzero(counts <= left)[-1])
         return budget - left + int(counts[j]), at + j
@@ -167,8 +181,10 @@ def token_counts(docs: DataFrame, model_path: str, limit: int) -> DataFrame:
         counter = _counter(model.value)
         for b in batches:
             texts = b.column(1).to_pylist()
-            n = [counter.count(x) if x else 0 for x in texts]
-            fits = [len(x or "") if k <= limit else counter.fitting(x, limit) for x, k in zip(texts, n)]
+            n, fits = [], []
+            for x in texts:  # one after the other, while the text's units are kept
+                n.append(counter.count(x) if x else 0)
+                fits.append(len(x or "") if n[-1] <= limit else counter.fitting(x, limit))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(fits, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "kept_chars"])
 
     text = F.col("text").cast("string")
