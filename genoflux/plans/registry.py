@@ -219,6 +219,19 @@ def a1_masked_alleles(fx):
     return c.select(*S.SITE, "sample_id", S.masked_allele(F.col("ref_base"), F.col("allele"), F.col("allele") != F.col("ref_base"), F.lit(True)).alias("allele"))
 
 
+#: Least depth of a covered site; the lines of an order item stand for reads.
+DEPTH = 20
+
+
+@query(sql(f"""SELECT c.species, c.contig, c.location, c.sample_id, CASE WHEN d.depth < {DEPTH} THEN NULL WHEN allele <> ref_base THEN allele ELSE ref_base END AS allele
+    FROM calls c JOIN (SELECT l_suppkey, l_partkey, sum(l_quantity) AS depth FROM lineitem GROUP BY ALL) d ON c.sample_id = d.l_suppkey AND c.location = d.l_partkey""", "calls"))
+def a1_masked_by_depth(fx):
+    """Alleles of sites below DEPTH are null, the reference's too."""
+    depth = fx.table("lineitem").groupBy(F.col("l_suppkey").alias("sample_id"), F.col("l_partkey").alias("location")).agg(F.sum("l_quantity").alias("depth"))
+    c = fx.calls().join(depth, ["sample_id", "location"])
+    return c.select(*S.SITE, "sample_id", S.masked_allele(F.col("ref_base"), F.col("allele"), F.col("allele") != F.col("ref_base"), F.col("depth") >= DEPTH).alias("allele"))
+
+
 @query(sql("SELECT species, contig, location, ref_base, n_alleles, site_class, major, alt FROM alleles", "alleles"))
 def a2_a3_a4_a5_site_alleles(fx):
     return fx.alleles()
@@ -563,19 +576,20 @@ def r1_r4_species_rates(fx):
     return fx.block_summary().groupBy("species").agg(r6(rate).alias("rate"), r6(se).alias("se"))
 
 
-def _rates_sql(part: str) -> str:
-    lo, step = 1e-2, math.log(100) / 9
-    edges = "[" + ", ".join(repr(lo * math.exp(i * step)) for i in range(10)) + "]"
+def _rates_sql(part: str, lo: float = 1e-2, hi: float = 1.0, n: int = 10, divisor: int = 1) -> str:
+    step = math.log(hi / lo) / (n - 1)
+    x = f"{part}_diff_4d / {part}_len_4d / {divisor}"
+    edges = "[" + ", ".join(repr(lo * math.exp(i * step)) for i in range(n)) + "]"
     rate = lambda k, n: f"round(CASE WHEN sum({k}) > 0 AND min({n}) > 0 THEN ln(sum({k}) / sum({n})) * 0.4342944819032518 END, 6)"
     se = lambda k, n: f"round(CASE WHEN sum({k}) > 0 AND min({n}) > 0 THEN 1 / sqrt(sum({k})) * 0.4342944819032518 END, 6)"
     cols = ", ".join(f"{f(k, n)} AS {name}_{tail}" for name, k, n in (("syn", f"{part}_diff_4d", f"{part}_len_4d"), ("non", f"{part}_mut_n", f"({part}_n / 3)"), ("mis", f"{part}_mut_m", f"({part}_m / 3)")) for f, tail in ((rate, "rate"), (se, "se")))
-    return f"SELECT bin, count(*) AS n_pairs, {cols} FROM (SELECT *, {part}_diff_4d / {part}_len_4d AS x, {edges} AS e, CAST(len(list_filter({edges}, lambda v: v < {part}_diff_4d / {part}_len_4d)) - 1 AS BIGINT) AS bin FROM summary WHERE {part}_len_4d > 0) WHERE bin >= 0 AND bin < 9 AND x < e[bin + 2] GROUP BY bin HAVING count(*) >= 2"
+    return f"SELECT bin, count(*) AS n_pairs, {cols} FROM (SELECT *, {x} AS x, {edges} AS e, CAST(len(list_filter({edges}, lambda v: v < {x})) - 1 AS BIGINT) AS bin FROM summary WHERE {part}_len_4d > 0) WHERE bin >= 0 AND bin < {n - 1} AND x < e[bin + 2] GROUP BY bin HAVING count(*) >= 2"
 
 
-def _rates(fx, part):
+def _rates(fx, part, edges=(1e-2, 1.0, 10), divisor: int = 1):
     s = fx.block_summary().where(f"{part}_len_4d > 0")
     counts = {"syn": (f"{part}_diff_4d", f"{part}_len_4d"), "non": (f"{part}_mut_n", F.col(f"{part}_n") / 3), "mis": (f"{part}_mut_m", F.col(f"{part}_m") / 3)}
-    out = E.binned_rates(s, X.ratio(f"{part}_diff_4d", f"{part}_len_4d"), counts, (1e-2, 1.0, 10))
+    out = E.binned_rates(s, X.ratio(f"{part}_diff_4d", f"{part}_len_4d") / divisor, counts, edges)
     return out.select("bin", "n_pairs", *(r6(F.col(f"{n}_{t}")).alias(f"{n}_{t}") for n in counts for t in ("rate", "se")))
 
 
@@ -589,6 +603,17 @@ def r3_recombined_rates(fx):
     return _rates(fx, "recomb")
 
 
+@query(sql(_rates_sql("clonal", 1e-3, 1.0, 40, 3), "summary"))
+def r2_fine_clonal_rates(fx):
+    """40 edges on a third of dS, as the published tables are binned, from the fixture's own least divergence up."""
+    return _rates(fx, "clonal", (1e-3, 1.0, 40), 3)
+
+
+@query(sql(_rates_sql("recomb", 1e-3, 1.0, 40, 3), "summary"))
+def r3_fine_recombined_rates(fx):
+    return _rates(fx, "recomb", (1e-3, 1.0, 40), 3)
+
+
 @query(sql("""SELECT round(avg(d), 6) AS mean_ratio, count(d) AS n FROM (SELECT ln((sum(core_mut_n) / sum(core_n / 3)) / (sum(core_mut_m) / sum(core_m / 3))) AS d FROM summary GROUP BY species HAVING sum(core_mut_n) > 0 AND sum(core_mut_m) > 0)""", "summary"))
 def r5_g13_nonsense_by_missense(fx):
     g = fx.block_summary().groupBy("species").agg(*(F.sum(c).alias(c) for c in ("core_mut_n", "core_n", "core_mut_m", "core_m"))).where("core_mut_n > 0 and core_mut_m > 0")
@@ -783,6 +808,16 @@ def f1_purifying_fit(fx):
     return _fitted(M.fit_one(_fit_curve(fx), ["mut_class"], _one_class, 1e-3, 1e7))
 
 
+#: Pairs that a bin of a fit needs in the published analysis.
+BIN_PAIRS = 10
+
+
+@query(sql("", "curve")[:-1] + f""", {_GOOD[:-1]} AND n_pairs >= {BIN_PAIRS}), {_fit_sql("f", "good", "mut_class", _PURIFY.format(fd=FD), 1e-3, 1e7)} SELECT mut_class, round(param, 6) AS param, round(loss, 6) AS loss FROM f""")
+def f1_p13_bins_of_ten(fx):
+    """The fit over bins of BIN_PAIRS pairs or more."""
+    return _fitted(M.fit_one(kept(_fit_curve(fx).where(X.good_bin(BIN_PAIRS))), ["mut_class"], _one_class, 1e-3, 1e7))
+
+
 FIT_REPS = 600
 
 
@@ -1047,11 +1082,22 @@ def c1_to_c5_model_curves(fx):
     return s.select(*_IDS, r6(X.log_logistic("ds", 0.1, 3.0)).alias("logistic"), r6(rec["ds"]).alias("rec_ds"), r6(rec["dnds"]).alias("rec_dnds"), r6(X.purifying_curve("ds", 0.6, 50.0)).alias("purify"), r6(X.three_class_curve("ds", 0.3, 0.5, 10.0, 1000.0)).alias("three"), r6(X.two_class_curve("ds", 0.6, 0.2, 10.0, 1e6)).alias("two"))
 
 
-@query(sql("", "summary")[:-1] + f""" SELECT name, i AS step, round(1 - fd + fd * {_DECAY.format("s * ds / 2")}, 6) AS r FROM (SELECT species AS name, least(0.9, 1 - sum(core_diff_1d) / sum(core_len_1d)) AS fd, 100.0 AS s FROM summary GROUP BY species), (SELECT i, exp({math.log(1e-4)!r} + i * {(math.log(1e4) / 19)!r}) AS ds FROM range(0, 20) g(i))""")
-def c6_c7_curve_table(fx):
+def _curves(fx):
     specs = fx.block_summary().groupBy(F.col("species").alias("name")).agg(F.least(F.lit(0.9), 1 - F.try_divide(F.sum("core_diff_1d"), F.sum("core_len_1d"))).alias("fd")).withColumn("s", F.lit(100.0)).withColumn("s_lo", F.lit(50.0)).withColumn("s_hi", F.lit(200.0))
     c = M.curve_table(fx.spark, specs, 1e-4, 1.0, 20, lambda ds, fd, s: X.purifying_curve(ds, fd, s))
-    return c.withColumn("step", (F.row_number().over(Window.partitionBy("name").orderBy("ds")) - 1).cast("long")).select("name", "step", r6(F.col("r")).alias("r"))
+    return c.withColumn("step", (F.row_number().over(Window.partitionBy("name").orderBy("ds")) - 1).cast("long"))
+
+
+@query(sql("", "summary")[:-1] + f""" SELECT name, i AS step, round(1 - fd + fd * {_DECAY.format("s * ds / 2")}, 6) AS r FROM (SELECT species AS name, least(0.9, 1 - sum(core_diff_1d) / sum(core_len_1d)) AS fd, 100.0 AS s FROM summary GROUP BY species), (SELECT i, exp({math.log(1e-4)!r} + i * {(math.log(1e4) / 19)!r}) AS ds FROM range(0, 20) g(i))""")
+def c6_c7_curve_table(fx):
+    return _curves(fx).select("name", "step", r6(F.col("r")).alias("r"))
+
+
+@query(sql("", "summary")[:-1] + " SELECT name, i AS step, " + ", ".join(f"round(1 - fd + fd * {_DECAY.format(f'{x} * ds / 2')}, 6) AS {o}" for x, o in ((100.0, "r"), (50.0, "r_lo"), (200.0, "r_hi"))) + f""" FROM (SELECT species AS name, least(0.9, 1 - sum(core_diff_1d) / sum(core_len_1d)) AS fd FROM summary GROUP BY species), (SELECT i, exp({math.log(1e-4)!r} + i * {(math.log(1e4) / 19)!r}) AS ds FROM range(0, 20) g(i))""")
+def c7_curve_bands(fx):
+    """The curve of each species with those of its lower and upper parameter."""
+    c = _curves(fx)
+    return c.select("name", "step", *(r6(F.col(r)).alias(r) for r in ("r", "r_lo", "r_hi")))
 
 
 @query("SELECT DISTINCT s_name, concat(p[1], ' ', p[2]) || CASE WHEN s_suppkey = 3 THEN ' 3' WHEN s_suppkey = 7 THEN ' 2' ELSE '' END AS pretty, concat(p[1], ' ', p[2], ' (', p[3], ')') AS numbered FROM (SELECT s_suppkey, s_name, string_split(concat(replace(s_name, '#', '_'), '_', s_suppkey), '_') AS p FROM supplier)")
@@ -1070,14 +1116,20 @@ def k1_pearson(fx):
     return _xy(fx, "pearson").select("species", "n", r6(F.col("r")).alias("r"))
 
 
+@query(sql("", "summary")[:-1] + f", {_RHO} SELECT count(*) AS n, round(corr(x, y), 6) AS r FROM x")
+def k1_pooled_pearson(fx):
+    """Over the pairs of all species."""
+    return _xy(fx, "pearson", []).select("n", r6(F.col("r")).alias("r"))
+
+
 @query(sql("", "summary")[:-1] + f", {_RHO}, k AS (SELECT species, rank() OVER (PARTITION BY species ORDER BY x) + (count(*) OVER (PARTITION BY species, x) - 1) / 2 AS a, rank() OVER (PARTITION BY species ORDER BY y) + (count(*) OVER (PARTITION BY species, y) - 1) / 2 AS b FROM x) SELECT species, count(*) AS n, round(corr(a, b), 6) AS r FROM k GROUP BY species HAVING count(*) >= 3")
 def k2_spearman(fx):
     return _xy(fx, "spearman").select("species", "n", r6(F.col("r")).alias("r"))
 
 
-def _xy(fx, method):
+def _xy(fx, method, keys=("species",)):
     s = fx.block_summary().where("core_len_4d > 0 and core_len_1d > 0").select("species", X.ratio("core_diff_4d", "core_len_4d").alias("x"), X.ratio("core_diff_1d", "core_len_1d").alias("y"))
-    return K.grouped_corr(s, ["species"], "x", "y", method).where("n >= 3")
+    return K.grouped_corr(s, [*keys], "x", "y", method).where("n >= 3")
 
 
 #: The t distribution's central share A of nu = n - 2 degrees of freedom, by its finite sum; cos^2 is 1 - r^2.

@@ -200,6 +200,39 @@ def test_golden_tables(spark):
     both = close.unionByName(T.as_clonal(clonal), allowMissingColumns=True)
     r = close.agg(F.bool_and(F.expr("recomb_len_4d + clonal_len_4d = core_len_4d")), F.bool_and(F.expr("clonal_n + clonal_m + clonal_nn = 3 * clonal_len_1d"))).first()
     assert all(r) and both.where("recomb_len_4d is null").count() == 802
+    # one of the clonal tables' species is left out
+    listed = T.all_pairs(close, clonal, os.environ.get("GOLDEN_BLACKLIST", "").split(","))
+    assert listed.count() == 2232 and listed.where("recomb_len_4d is null").count() == 703
+    pooled = listed.agg(F.sum("clonal_diff_4d") / F.sum("clonal_len_4d"), F.sum("clonal_diff_1d") / F.sum("clonal_len_1d"), F.count_if(F.col("clonal_diff_4d") == 0)).first()
+    assert math.isclose(pooled[0], 9.41174e-05, rel_tol=1e-5) and math.isclose(pooled[1], 6.99247e-05, rel_tol=1e-5) and pooled[2] == 2
+    counts = {"syn": ("clonal_diff_4d", "clonal_len_4d"), "mis": ("clonal_mut_m", F.col("clonal_m") / 3)}
+    bins = {r.bin: r for r in E.binned_rates(listed, X.ratio("clonal_diff_4d", "clonal_len_4d") / 3, counts, (1e-6, 1e-2, 40)).collect()}
+    assert sorted(bins) == list(range(2, 22))
+    assert (bins[2].n_pairs, bins[12].n_pairs, bins[21].n_pairs) == (6, 201, 9)
+    for bin_, column, want in ((2, "syn_rate", -5.288591), (2, "syn_se", 0.153546), (12, "syn_rate", -4.243358), (12, "syn_se", 0.007446), (12, "mis_rate", -4.331630), (21, "syn_rate", -3.336479)):
+        assert abs(bins[bin_][column] - want) < 1e-6
+
+
+def test_rates_of_the_published_sums(spark):
+    """Bins 2 and 12 of the published tables from pairs with the same sums, on 40 edges over a third of dS."""
+    rows = []
+    for n, k, sites in ((6, 8, 1554823), (201, 3402, 59578862)):
+        cuts = [i * k // n for i in range(n + 1)]  # each pair has its share of the sites for its share of the differences
+        rows += [(b - a, b * sites // k - a * sites // k) for a, b in zip(cuts, cuts[1:])]
+    rows += [(0, 10**6), (1, 1), (7, 0)]  # below, above, and without a site
+    pairs = spark.createDataFrame(rows, "k long, sites long")
+    got = {r.bin: r for r in E.binned_rates(pairs, X.ratio("k", "sites") / 3, {"syn": ("k", "sites")}, (1e-6, 1e-2, 40)).collect()}
+    assert sorted(got) == [2, 12] and (got[2].n_pairs, got[12].n_pairs) == (6, 201)
+    for bin_, rate, se in ((2, -5.288591, 0.153546), (12, -4.243358, 0.007446)):
+        assert abs(got[bin_].syn_rate - rate) < 1e-6 and abs(got[bin_].syn_se - se) < 1e-6
+
+
+def test_early_share_at_the_published_threshold(spark):
+    """Pairs at 3e-5 or above and those without divergence count for nothing."""
+    rows = [("a", 10, 1e6, 20, 1e6, 2e-5), ("a", 10, 1e6, 20, 1e6, 1e-5), ("a", 900, 1e3, 1, 1e6, 3e-5), ("a", 900, 1e3, 1, 1e6, 0.0)]
+    t = spark.createDataFrame(rows, "mut_class string, kn long, ln double, ks_b long, ls_b double, ds_a double")
+    r = M.early_share(t, ["mut_class"], 3e-5).first()
+    assert r.n_pairs == 2 and abs(r.mean_ds - 1.5e-5) < 1e-12 and abs(r.alpha2 - 0.5) < 1e-12
 
 
 def test_matrix_and_cache(spark, tmp_path):
