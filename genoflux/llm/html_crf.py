@@ -38,8 +38,8 @@ _OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
 _MARK = re.compile(r"""[>"']""")
 #: Elements whose text is never shown as text; they end at their end tag alone.
 _RAW = frozenset("script style noscript template textarea iframe svg title".split())
-#: Form controls: their text stands apart from the block around them.
-_CONTROLS = frozenset("button select option optgroup datalist output progress meter".split())
+#: Form controls and their captions: their text stands apart from the block around them.
+_CONTROLS = frozenset("button select option optgroup datalist output progress meter label legend".split())
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())

@@ -26,6 +26,8 @@ def test_blocks_of_controls_and_malformed_tags():
 
     got = blocks("<article><p>foo <button>Save</button> bar<p>a <a title='x > y'>link</a> 1 < 2<select><option>one<option>two</select></article><p>tail <b")
     assert [(b.text, "button" in b.tags) for b in got] == [("foo bar", False), ("Save", True), ("a link 1 < 2", False), ("one two", True), ("tail <b", False)]
+    got = blocks("<article><p>one <label>Your name <input></label> two</p><fieldset><legend>Sign up</legend>three</fieldset></article>")
+    assert [(b.text, "button" in b.tags) for b in got] == [("one two", False), ("Your name", True), ("Sign up", True), ("three", False)]
     deep = blocks("<div>" * 500 + "<article>" + "<div>" * 10 + "x")
     assert deep[0].text == "x" and "article" in deep[0].tags
 
@@ -35,6 +37,7 @@ LAYOUTS = {
     "list": ("<div id='wrap'><div class='topbar'><a href='/'>Home</a></div><div class='post-body'><h1>{0}</h1><p>{1}</p><ul><li>{2}</li><li>{3}</li></ul><p>{4}</p></div><div class='footer-links'><a href='/t'>Terms</a></div></div>", [0, 1, 2, 3, 4]),
     "talk": ("<body><header>Menu</header><article><h1>{0}</h1><p>{1}</p><p>{4}</p></article><ol class='discussion'><li>{2}</li><li>{3}</li></ol></body>", [0, 1, 4]),
     "button": ("<body><main><h1>{0}</h1><p>{1}</p><button>Subscribe now</button><p>{4}</p></main><footer>{2}</footer></body>", [0, 1, 4]),
+    "label": ("<body><header>Menu</header><article><h1>{0}</h1><p>{1}</p><label for='q'>Your name</label><p>{4}</p></article><footer>{2}</footer></body>", [0, 1, 4]),
 }
 
 
