@@ -38,3 +38,9 @@ def test_short_and_long_counts_are_thinned_alike(spark):
     word = lambda i: int(hashlib.md5(f"42|k|{i}".encode()).hexdigest()[:8], 16)
     want = lambda k: sum(bin(word(i) & ((1 << min(32, k - 32 * i)) - 1)).count("1") for i in range((k + 31) // 32))
     assert all(r.a == want(r.id) for r in got)
+
+
+def test_equal_count_edges_keep_repeats_where_asked(spark):
+    df = spark.createDataFrame([(1.0,)] * 3 + [(2.0,)] * 8 + [(5.0,)], "x double")
+    assert E.quantile_edges(df, [], "x", 4, repeats=True).first().e == [1.0, 1.75, 2.0, 2.0, 5.0]
+    assert E.quantile_edges(df, [], "x", 4).first().e == [1.0, 1.75, 2.0, 5.0]
