@@ -72,3 +72,19 @@ def test_core_counts_of_pairs_are_not_shuffled(spark):
 def test_segments_of_a_table_are_all_that_is_shuffled(made):
     rows, seg = made[3], made[4]
     assert "Exchange" not in _above(P.partnered_summary(rows, seg), "Generate inline(concat(transform(alike")
+
+
+def test_fine_rates_shuffle_no_row_a_pair(spark):
+    from genoflux.plans.registry import QUERIES
+
+    plan = QUERIES["r3_fine_recombined_rates"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "sample_2" in line]
+
+
+def test_sites_of_calls_are_listed_without_lambdas_over_calls(spark):
+    """Alleles are counted as calls are listed; a count within each call of a site was worked out again in every later filter."""
+    calls = spark.createDataFrame([("s", "c", 1, i, "A", a) for i, a in enumerate("CCG")] + [("s", "c", 2, i, "A", a) for i, a in enumerate("ACG")], _CALL)
+    got = {r.location: r for r in S.called_sites(calls).collect()}
+    assert (got[1].site_class, got[1].major, got[1].alt, [c.is_ref for c in got[1].calls]) == ("bi", "C", "G", [False] * 3)
+    assert (got[2].site_class, got[2].n_alleles, [c.sample_id for c in got[2].calls]) == ("multi", 3, [0, 1, 2])
+    assert "lambda c" not in S.called_sites(calls).where("size(calls) > 1")._jdf.queryExecution().optimizedPlan().toString()
