@@ -88,3 +88,13 @@ def test_sites_of_calls_are_listed_without_lambdas_over_calls(spark):
     assert (got[1].site_class, got[1].major, got[1].alt, [c.is_ref for c in got[1].calls]) == ("bi", "C", "G", [False] * 3)
     assert (got[2].site_class, got[2].n_alleles, [c.sample_id for c in got[2].calls]) == ("multi", 3, [0, 1, 2])
     assert "lambda c" not in S.called_sites(calls).where("size(calls) > 1")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_similarity_agrees_with_masks_and_shuffles_no_pair(spark, made):
+    calls, sites = made[0].withColumn("contig", F.concat("contig", F.col("location") % 3)), made[1]
+    x = P.agreement(P.dealt(P.contig_partners(S.called_sites(calls))))
+    at = calls.join(sites.select("location", "core_pos"), "location")
+    d = P.contig_differences(at).groupBy("species", "sample_a", "sample_b").agg((F.count_if(~F.col("d")) / F.count("*")).alias("frac"))
+    assert _sorted(x) == _sorted(d)
+    plan = Fixture(spark, SMALL).similarity()._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange" in line and ("sample_b" in line or "sample_2" in line)]
