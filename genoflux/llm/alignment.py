@@ -5,6 +5,9 @@ ends is taken: a group of tokens ends where the next start reaches that maximum,
 other. Links are all pairs of an A and a B token of a group. How many documents hold a pair of ids linked is counted over all
 documents, and each document then reads its own pairs' counts.
 
+Both encodings have a cut before a blank or line end that follows a word, so groups don't cross it: a unit, that is a word and what it
+begins with, is aligned once, and a text's groups are those of its units in a row. Texts with other white space are aligned whole.
+
 A is a byte-level .json vocabulary, which encodes a blank and the text; B a sentencepiece .model, which puts the blank itself.
 """
 
@@ -27,8 +30,12 @@ from .prefix_bpe import _byte_letters
 #: No pre-tokeniser piece goes on from such a character to a blank or line end, so a text's units are encoded on their own. Characters
 #: that some definition calls white space are never cut after.
 CUT = re.compile("(?<=[^\\s\x1c-\x1f\x85᠎​⁠﻿])(?=[ \n])")
-#: Units, and characters of them, whose ids a worker keeps.
+#: A unit that is aligned on its own, without the blank that it begins with if not with a line end.
+ALONE = re.compile("\n?[^\\s\x1c-\x1f\x85\u180e\u200b\u2060\ufeff\u2581]+")
+#: Units, and characters of them, whose ids or alignments a worker keeps.
 KEPT, KEPT_CHARS = 300_000, 8_000_000
+#: Units that A encodes in one run.
+RUN = 24
 #: A group of more pairs is counted by its distinct ids before they are paired.
 PLAIN_GROUP = 1024
 #: Pairs that are paired, and keys that are counted, at a time.
@@ -96,6 +103,18 @@ class ByteLevel:
         total = np.concatenate([[0], np.cumsum(length)])[last]
         return self.ids[spans(self.ends[at], length)], np.diff(total, prepend=0)
 
+    def alone(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of units (see ALONE). Runs of them are encoded, which is quicker, and cut where the bytes of a unit end."""
+        shown = [u if u[0] == "\n" else " " + u for u in units]
+        encode = lambda x: [e.ids for e in self.tokenizer.encode_batch_fast(x, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(encode(["".join(shown[i : i + RUN]) for i in range(0, len(shown), RUN)])), np.int32)
+        last, ends = np.cumsum([len(u.encode()) for u in shown]), np.cumsum(self.entries.length[ids])
+        at = np.searchsorted(ends, last)
+        if len(ends) and np.array_equal(ends[np.minimum(at, len(ends) - 1)], last):
+            return ids, np.diff(at + 1, prepend=0)
+        got = encode(shown)
+        return np.fromiter(chain.from_iterable(got), np.int32), np.fromiter(map(len, got), np.int64, len(got))
+
 
 class Pieces:
     """Ids of texts by a sentencepiece model, which puts the blank before a text itself."""
@@ -106,11 +125,19 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         piece = self.model.id_to_piece
         self.entries = Entries([bytes([int(piece(i)[3:5], 16)]) if self.model.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.model.get_piece_size())])
+        plain = [piece(i) for i in range(self.model.get_piece_size()) if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i))]
+        #: whether no piece goes on to a blank or has a line end
+        self.apart = not any("▁" in p.lstrip("▁") or "\n" in p for p in plain)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = self.model.encode(texts, num_threads=1)
         return np.fromiter(chain.from_iterable(got), np.int32), np.fromiter(map(len, got), np.int64, len(got))
 
+    def alone(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = self.model.encode(units, num_threads=1)
+        got = [ids[1:] if u[0] == "\n" else ids for u, ids in zip(units, got)]  # the blank put before a line end is none of the unit's
+        return np.fromiter(chain.from_iterable(got), np.int32), np.fromiter(map(len, got), np.int64, len(got))
+
 
 def coalesced(start_a: np.ndarray, end_a: np.ndarray, start_b: np.ndarray, end_b: np.ndarray) -> np.ndarray:
     """The group of each token, those of A first. Groups are numbered by where they begin."""
@@ -125,18 +152,18 @@ def coalesced(start_a: np.ndarray, end_a: np.ndarray, start_b: np.ndarray, end_b
 
 
 class Aligned:
-    """The tokens of some texts, in groups. Texts that a side can't give back byte by byte have no tokens."""
+    """The tokens of some texts, or of units that stand alone, in groups. Texts that a side can't give back byte by byte have no tokens."""
 
-    def __init__(self, a: ByteLevel, b: Pieces, texts: list[str | None]):
+    def __init__(self, a: ByteLevel, b: Pieces, texts: list[str | None], alone: bool = False):
         n = len(texts)
         at = np.array([i for i, t in enumerate(texts) if t], np.int64)
         some = [texts[i] for i in at]
-        raw = [b" " + t.encode() for t in some]
+        raw = [t.encode() if alone and t[0] == "\n" else b" " + t.encode() for t in some]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         sides = []
         exact = np.ones(len(some), bool)
         for side in (a, b):
-            ids, count = side.encode(some) if some else (np.empty(0, np.int32), np.empty(0, np.int64))
+            ids, count = (side.alone if alone else side.encode)(some) if some else (np.empty(0, np.int32), np.empty(0, np.int64))
             text = np.repeat(np.arange(len(some)), count)
             size = np.bincount(text, side.entries.length[ids], len(some)).astype(np.int64)
             same = size == sizes
@@ -175,7 +202,7 @@ class Aligned:
             nth = spans(np.zeros(len(g), np.int64), size[g])
             of = np.repeat(g, size[g])
             x, y = self.a[self.first_a[of] + nth // self.in_b[of]], self.b[self.first_b[of] + nth % self.in_b[of]]
-            out.append(self._counted(self.row[of], x.astype(np.int64) * self.width + y, None))
+            out.append(_counted(self.row[of], x.astype(np.int64) * self.width + y, None, self.n))
         for g in np.flatnonzero(size > PLAIN_GROUP):
             x, nx = np.unique(self.a[self.first_a[g] : self.first_a[g] + self.in_a[g]], return_counts=True)
             y, ny = np.unique(self.b[self.first_b[g] : self.first_b[g] + self.in_b[g]], return_counts=True)
@@ -186,17 +213,14 @@ class Aligned:
             return none, none, none
         if len(out) == 1:
             return out[0]
-        return self._counted(*(np.concatenate(c) for c in zip(*out)))
-
-    def _counted(self, row, key, times):
-        order = np.lexsort((key, row)) if self.n >= 1 << 22 else np.argsort(row << 41 | key, kind="stable")
-        row, key = row[order], key[order]
-        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])])) if len(row) else np.empty(0, np.int64)
-        total = np.diff(np.append(first, len(row))) if times is None else np.add.reduceat(times[order], first) if len(first) else times
-        return row[first], key[first], total
+        return _counted(*(np.concatenate(c) for c in zip(*out)), self.n)
 
     def digests(self) -> list[str]:
-        """Of each row, the sha256 of its groups as text, `a1,a2|b1;a3|b2`; empty without tokens."""
+        """Of each row, the sha256 of its groups as text; empty without tokens."""
+        return [sha256(x).hexdigest() if x else "" for x in self.shown()]
+
+    def shown(self) -> list[bytes]:
+        """Of each row, its groups as text, `a1,a2|b1;a3|b2`."""
         side = np.repeat(np.array([0, 1], np.int8), [len(self.a), len(self.b)])
         group = np.concatenate([self.group_a, self.group_b])
         order = np.lexsort((side, group))  # stable: within a side, tokens stay in their order
@@ -216,11 +240,102 @@ class Aligned:
         last = np.concatenate([[0], ends])[np.cumsum(self.n_a + self.n_b)]
         shown, begin = [], 0
         for end in last.tolist():
-            shown.append(sha256(out[begin : end - 1].tobytes()).hexdigest() if end > begin else "")
+            shown.append(out[begin : end - 1].tobytes() if end > begin else b"")
             begin = end
         return shown
 
 
+def _counted(row, key, times, n):
+    """Rows (below n) and keys in order, once each, and their sums of times (None: how often each is)."""
+    order = np.lexsort((key, row)) if n >= 1 << 22 else np.argsort(row << 41 | key, kind="stable")
+    row, key = row[order], key[order]
+    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])])) if len(row) else np.empty(0, np.int64)
+    total = np.diff(np.append(first, len(row))) if times is None else np.add.reduceat(times[order], first) if len(first) else times
+    return row[first], key[first], total
+
+
+def _appended(held: np.ndarray, n: int, new: np.ndarray) -> np.ndarray:
+    """`held` with `new` from place n on, and with twice the room when that runs out."""
+    end = n + len(new)
+    if end > len(held):
+        room = np.empty((2 * end, *held.shape[1:]), held.dtype)
+        room[:n] = held[:n]
+        held = room
+    held[n:end] = new
+    return held
+
+
+COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+
+
+class Units:
+    """Alignments of units, which a worker keeps, and of texts by them."""
+
+    def __init__(self, a: ByteLevel, b: Pieces):
+        self.a, self.b = a, b
+        self._clear()
+
+    def _clear(self) -> None:
+        self.kept: dict[str, int] = {}
+        self.chars = self.n_pairs = 0
+        #: of each unit its groups as text, its counts, and where its pairs begin and how many it has; a text with unit 0 is aligned whole
+        self.shown = [b""]
+        self.counts, self.spans = np.zeros((1, len(COUNTS)), np.int64), np.zeros((1, 2), np.int64)
+        self.key, self.times = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _learn(self, units: set[str]) -> None:
+        new = list(units.difference(self.kept))
+        if self.kept and (len(self.kept) + len(new) > KEPT or self.chars > KEPT_CHARS):
+            self._clear()
+            new = list(units)
+        self.kept.update(dict.fromkeys(new, 0))
+        self.chars += sum(map(len, new))
+        some = [u for u in new if ALONE.fullmatch(u)] if self.b.apart else []
+        for i, j in chunks(np.cumsum([0, *map(len, some)])):
+            got = Aligned(self.a, self.b, some[i:j], alone=True)
+            row, key, times = got.pairs()
+            n, size = len(self.shown), np.bincount(row, minlength=got.n)
+            self.kept.update((u, n + k) for k, (u, tokens) in enumerate(zip(some[i:j], got.n_a.tolist())) if tokens)
+            self.counts = _appended(self.counts, n, np.stack([getattr(got, c) for c in COUNTS], 1))
+            self.spans = _appended(self.spans, n, np.stack([self.n_pairs + np.cumsum(size) - size, size], 1))
+            self.key, self.times = _appended(self.key, self.n_pairs, key), _appended(self.times, self.n_pairs, times)
+            self.n_pairs += len(key)
+            self.shown += got.shown()
+
+    def aligned(self, texts: list[str | None]):
+        """Of each text its counts and digest; and row, key and times of all as `Aligned.pairs` gives them."""
+        n = len(texts)
+        units = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
+        self._learn(set(chain.from_iterable(units)))
+        length = np.fromiter(map(len, units), np.int64, n)
+        at = np.fromiter(map(self.kept.__getitem__, chain.from_iterable(units)), np.int64, length.sum())
+        ends, row = np.cumsum(length), np.repeat(np.arange(n), length)
+        whole = np.bincount(row[at == 0], minlength=n) > 0
+        total = np.zeros((len(at) + 1, len(COUNTS)), np.int64)
+        np.cumsum(self.counts[at], axis=0, out=total[1:])
+        counts = total[ends] - total[ends - length]
+        digests, places, shown = [], at.tolist(), self.shown.__getitem__
+        for i, j, w in zip((ends - length).tolist(), ends.tolist(), whole.tolist()):
+            digests.append("" if w or i == j else sha256(b";".join(map(shown, places[i:j]))).hexdigest())
+        by_unit = ~whole[row]
+        held, often = np.unique(row[by_unit] * len(self.shown) + at[by_unit], return_counts=True)
+        row, at = np.divmod(held, len(self.shown))
+        first, size = self.spans[at].T
+        where = spans(first, size)
+        pairs = _counted(np.repeat(row, size), self.key[where], np.repeat(often, size) * self.times[where], n)
+        if whole.any():
+            rows = np.flatnonzero(whole)
+            got = Aligned(self.a, self.b, [texts[i] for i in rows])
+            counts[rows] = np.stack([getattr(got, c) for c in COUNTS], 1)
+            for i, digest in zip(rows.tolist(), got.digests()):
+                digests[i] = digest
+            row, key, times = got.pairs()
+            pairs = tuple(map(np.concatenate, zip(pairs, (rows[row], key, times))))
+            order = np.argsort(pairs[0], kind="stable")
+            pairs = tuple(c[order] for c in pairs)
+        return counts, digests, pairs
+
+
 @cache
 def _decimals(bits: int) -> Entries:
     return Entries([str(i).encode() for i in range(1 << bits)])
@@ -234,9 +349,6 @@ def _binary(values: np.ndarray, rows: np.ndarray, n: int):
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
 
 
-COUNTS = ("n_a", "n_b", "n_groups", "n_links")
-
-
 def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """One row for each row of `docs` (doc_id, text): doc_id, n_a, n_b, n_groups, n_links, groups_sha256, keys (int64, ascending)
     and times (int64) as binary: the distinct linked pairs of ids and how many links each has.
@@ -252,15 +364,14 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        a, b = held_by_worker(("alignment", *map(hash, models.value)), lambda: (ByteLevel(models.value[0]), Pieces(models.value[1])))
+        units = held_by_worker(("alignment", *map(hash, models.value)), lambda: Units(ByteLevel(models.value[0]), Pieces(models.value[1])))
         for batch in batches:
             _, off, _ = string_buffers(batch.column(1))
             for i, j in chunks(off):
                 part = batch.slice(i, j - i)
-                got = Aligned(a, b, part.column(1).to_pylist())
-                row, key, times = got.pairs()
-                counts = [pa.array(getattr(got, c), pa.int64()) for c in COUNTS]
-                yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array(got.digests(), pa.string()), _binary(key, row, got.n), _binary(times, row, got.n)], names)
+                counts, digests, (row, key, times) = units.aligned(part.column(1).to_pylist())
+                counts = [pa.array(c, pa.int64()) for c in counts.T]
+                yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array(digests, pa.string()), _binary(key, row, j - i), _binary(times, row, j - i)], names)
 
     names = ["doc_id", *COUNTS, "groups_sha256", "keys", "times"]
     schema = ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS), "groups_sha256 string, keys binary, times binary"])

@@ -125,3 +125,31 @@ def test_units_that_a_worker_lets_go(monkeypatch):
         ids, n = a.encode(some[i : i + 7])
         assert np.array_equal(n, whole[1][i : i + 7]) and np.array_equal(ids, whole[0][whole[1][:i].sum() : whole[1][: i + 7].sum()])
     assert len(a.kept) < 300
+
+
+def test_units_are_aligned_once(monkeypatch):
+    """Texts put together from kept units are as texts aligned whole, and no library sees a kept unit again."""
+    from genoflux.llm import alignment as M
+
+    a, b = M.ByteLevel(open(A_PATH, "rb").read()), M.Pieces(open(B_PATH, "rb").read())
+    rng = random.Random(5)
+    words = ["the", "Straße", "日本語", "don't", "x" * 40, "<|endoftext|>", "</s>", "<0x41>", "😀", "12,345", "#$%", "ab" * 900, "\x00", "é", "'s"]
+    plain = ["".join(rng.choice(words) + rng.choice("  \n") for _ in range(rng.randrange(30))) + rng.choice(words) for _ in range(60)]
+    some = texts(80) + plain
+    for kept in (M.KEPT, 20):
+        monkeypatch.setattr(M, "KEPT", kept)
+        units = M.Units(a, b)
+        for i in range(0, len(some), 9):
+            part = some[i : i + 9]
+            whole = M.Aligned(a, b, part)
+            counts, digests, pairs = units.aligned(part)
+            assert counts.tolist() == [list(r) for r in zip(*(getattr(whole, c).tolist() for c in M.COUNTS))]
+            assert digests == whole.digests() and all(np.array_equal(x, y) for x, y in zip(pairs, whole.pairs()))
+    monkeypatch.setattr(M, "KEPT", 1000)
+    units = M.Units(a, b)
+    first = units.aligned(plain)
+    for side in ("encode", "alone"):
+        for x in (a, b):
+            monkeypatch.setattr(x, side, lambda *_: pytest.fail("a kept unit was encoded again"))
+    again = units.aligned(plain[::-1])
+    assert again[1] == first[1][::-1]
