@@ -2,7 +2,7 @@
 
 A text is cut into units at each blank or line end that stands between two other characters: no piece of the vocabulary's
 pre-tokeniser crosses such a place, so counts add up. A unit's count is that of its last prefix, and is kept for the next
-time the unit occurs. Texts with runs of blanks or unusual white space take the same encoder piece by piece.
+time the unit occurs; the new units of a slice of texts are counted together. Texts with runs of blanks or unusual white space take the same encoder piece by piece.
 """
 
 from __future__ import annotations
@@ -15,18 +15,22 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_by_worker, lean_batches
+from .common import chunks, held_by_worker, lean_batches, string_buffers
 from .prefix_bpe import byte_level
 
 #: The pre-tokeniser's pattern (a fixed value of the vocabulary).
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: White space that a unit may not have besides the blank that it begins with.
+INNER = re.compile(r"[\s\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
 #: Units a worker keeps.
 KEPT = 300_000
+#: Bytes of texts whose units are learned at a time, one text at least; bytes of pieces that are counted together, and of those at most.
+SLICE, SHORT, AT_ONCE = 1 << 20, 32, 1 << 15
 
 
 class Counter:
     def __init__(self, model: bytes):
-        self.encoder, self.special = byte_level(model)
+        self.encoder, self.table, self.special = byte_level(model)
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.kept: dict[str, int | None] = {}
 
@@ -38,6 +42,47 @@ class Counter:
             n += 1
         return n
 
+    def learn(self, texts: list[str | None]) -> None:
+        """Counts what units of the texts aren't kept yet, together; `count` and `fitting` find them."""
+        bare, after = set(), set()
+        for text in texts:
+            for line in (text or "").split("\n"):
+                words = line.split(" ")
+                bare.add(words[0])
+                after.update(words[1:])
+        units = bare | {" " + w for w in after}
+        units -= {"", " "}
+        new = list(units.difference(self.kept))
+        if self.kept and len(self.kept) + len(new) > KEPT:
+            self.kept.clear()
+            new = list(units)
+        plain, other = [], []
+        for u in new:
+            (plain if u.isascii() and u[u[0] == " " :].isalpha() else other).append(u)
+        self.kept.update(zip(plain, self._counts(plain)))
+        odd = {u for u in other if INNER.search(u, 1 if u[0] == " " else 0)}
+        self.kept.update(dict.fromkeys(odd))
+        other = [u for u in other if u not in odd]
+        # a line end is a piece of its own between units without one
+        pieces = PIECE.findall("\n".join(other))
+        some = list(set(pieces))
+        known = dict(zip(some, self._counts(some)))
+        known["\n"] = 0
+        total = np.cumsum([0, *map(known.__getitem__, pieces)])
+        ends = np.flatnonzero(np.fromiter(map("\n".__eq__, pieces), bool, len(pieces)))
+        self.kept.update(zip(other, np.diff(total[[0, *ends, len(pieces)]]).tolist()))
+
+    def _counts(self, pieces: list[str]) -> list[int]:
+        data = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        out = np.zeros(len(data), np.int64)
+        short = [i for i, d in enumerate(data) if len(d) <= SHORT] if self.table.ordered else []
+        for i in range(0, len(short), AT_ONCE):
+            part = short[i : i + AT_ONCE]
+            out[part] = self.table.counts([data[k] for k in part])
+        for i in set(range(len(data))).difference(short):
+            out[i] = self._piece(pieces[i])
+        return out.tolist()
+
     def _known(self, piece: str) -> int:
         """Tokens of a piece; those of letters or digits are kept as units (other pieces may hold white space of their own)."""
         n = self.kept.get(piece)
@@ -52,7 +97,7 @@ class Counter:
     def _unit(self, unit: str) -> int | None:
         """Tokens of a unit; None where it has white space of its own, so that it may not stand alone."""
         body = unit[1:] if unit[:1] == " " else unit
-        n = None if re.search(r"[\s\x1c-\x1f\x85᠎​⁠﻿]", body) else sum(map(self._piece, PIECE.findall(unit)))
+        n = None if INNER.search(body) else sum(map(self._piece, PIECE.findall(unit)))
         if len(self.kept) >= KEPT:
             self.kept.clear()
         self.kept[unit] = n
@@ -180,11 +225,14 @@ def token_counts(docs: DataFrame, model_path: str, limit: int) -> DataFrame:
 
         counter = _counter(model.value)
         for b in batches:
-            texts = b.column(1).to_pylist()
+            _, off, _ = string_buffers(b.column(1))
             n, fits = [], []
-            for x in texts:  # one after the other, while the text's units are kept
-                n.append(counter.count(x) if x else 0)
-                fits.append(len(x or "") if n[-1] <= limit else counter.fitting(x, limit))
+            for i, j in chunks(off, SLICE):
+                texts = b.column(1).slice(i, j - i).to_pylist()
+                counter.learn(texts)
+                for x in texts:  # one after the other, while the text's units are kept
+                    n.append(counter.count(x) if x else 0)
+                    fits.append(len(x or "") if n[-1] <= limit else counter.fitting(x, limit))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(fits, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "kept_chars"])
 
     text = F.col("text").cast("string")

@@ -7,6 +7,7 @@ import re
 from collections import Counter as Tally
 
 import duckdb
+import numpy as np
 import pytest
 
 from genoflux.llm import op03, op04, op08, op09
@@ -172,6 +173,42 @@ def test_token_counts(docs, rows, none):
         assert r.kept_chars == len(text) or size(text[: r.kept_chars + 1]) > 20
 
 
+def test_units_counted_together(monkeypatch):
+    """The new units of some texts are counted by the table, as the library counts them; no short one is counted alone."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from genoflux.llm import token_counts as M
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, rng = Tokenizer.from_file(path), random.Random(6)
+    size = lambda s: len(t.encode(s, add_special_tokens=False).ids)
+    bits = ["the", "Straße", "日本語", "don't", "'s", "x" * 40, "ing", "12,345", "#$%", "\x00", "é", "😀", "aaaa", "tion", "ab", "=-", "<|endoftext|>", "\x1c", "\u2060", "\t"]
+    some = ["".join(rng.choice(bits[: 16 if k % 3 else 20]) + rng.choice(["", "", " ", "\n", " "]) for _ in range(rng.randrange(40))) for k in range(300)] + [None, "", " ", "\n"]
+    for kept, at_once in ((M.KEPT, M.AT_ONCE), (50, 7)):
+        monkeypatch.setattr(M, "KEPT", kept)
+        monkeypatch.setattr(M, "AT_ONCE", at_once)
+        c = M.Counter(open(path, "rb").read())
+        assert c.table.ordered
+        for i in range(0, len(some), 40):
+            c.learn(some[i : i + 40])
+            assert [c.count(s or "") for s in some[i : i + 40]] == [size(s or "") for s in some[i : i + 40]]
+    c = M.Counter(open(path, "rb").read())
+    monkeypatch.setattr(c, "_piece", lambda p: pytest.fail(f"{p!r} was counted alone"))
+    new = "unheard words, inventionists\nthere don't recur"
+    c.learn([new, None])
+    assert c.count(new) == size(new)
+    e, ids = c.encoder, list(c.encoder.halves)
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(3000)]
+    for piece in list(c.kept) + [e.pieces[i] for i in rng.sample(ids, 2000)]:  # pairs that are met when pieces are built
+        s = piece.encode().decode("latin-1") if piece in c.kept else piece
+        parts = e.merged(s[: rng.randint(1, len(s))]) + e.merged(s[-2:])
+        pairs += [(e.pieces.index(x), e.pieces.index(y)) for x, y in list(zip(parts, parts[1:]))[-1:]]
+    ok = c.table.compatible(np.array([a << 20 | b for a, b in pairs]))
+    assert ok.tolist() == [e.merged(e.pieces[a] + e.pieces[b]) == [e.pieces[a], e.pieces[b]] for a, b in pairs]
+    assert 0 < ok.sum() < len(pairs)
+
+
 def test_sentencepiece(docs, rows, none):
     import public_tokenizers
     import sentencepiece
