@@ -59,18 +59,26 @@ def read_matrix(spark: SparkSession, path: str, sample_index: DataFrame, sep: st
 def write_matrices(similarity: DataFrame, sample_index: DataFrame, writer) -> None:
     """One folder a species, one line a row of its matrix: the row's position, a tab, and the cells. `writer` takes the lines.
 
-    similarity: species, sample_a, sample_b, frac; sample_index: species, position, sample_id."""
+    similarity: species, sample_a, sample_b, frac, a row a pair at most; sample_index: species, position, sample_id. Lines are as long as a
+    species has samples, but rows made are those of `similarity`."""
     a, b = (sample_index.select("species", F.col("sample_id").alias(n), F.col("position").alias(p)) for n, p in (("sample_a", "i"), ("sample_b", "j")))
-    cells = a.join(b, "species").join(similarity, ["species", "sample_a", "sample_b"], "left")
-    cell = F.struct("j", F.coalesce(F.col("frac").cast("string"), F.lit("")).alias("v"))
-    rows = cells.groupBy("species", "i").agg(F.array_join(F.transform(F.sort_array(F.collect_list(cell)), lambda x: x["v"]), ",").alias("cells"))
-    writer(rows.select("species", F.concat_ws("\t", F.col("i").cast("string"), "cells").alias("value")))
-
-
-def read_matrices(spark: SparkSession, path: str, sample_index: DataFrame, sep: str = ",") -> DataFrame:
-    """What write_matrices wrote -> species, sample_a, sample_b, frac; a row at a time, empty cells as null."""
+    cells = similarity.where("frac is not null").join(a, ["species", "sample_a"]).join(b, ["species", "sample_b"])
+    cell = F.struct("j", F.col("frac").cast("string").alias("v"))
+    cells = cells.groupBy("species", "i").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    n = sample_index.groupBy("species").agg(F.count("*").cast("int").alias("n"))  # a row a species
+    rows = a.select("species", "i").join(F.broadcast(n), "species").join(cells, ["species", "i"], "left")
+    # commas up to a cell and its value; no row is made for an empty cell
+    steps = F.expr("transform(cells, (x, k) -> concat(repeat(',', cast(x.j - coalesce(get(cells, k - 1).j, 0) as int)), x.v))")
+    line = F.concat(F.array_join(F.coalesce(steps, F.expr("cast(array() as array<string>)")), ""), F.expr("repeat(',', cast(n - 1 - coalesce(get(cells, size(cells) - 1).j, 0) as int))"))
+    writer(rows.select("species", F.concat_ws("\t", F.col("i").cast("string"), line).alias("value")))
+
+
+def read_matrices(spark: SparkSession, path: str, sample_index: DataFrame, sep: str = ",", empty: bool = True) -> DataFrame:
+    """What write_matrices wrote -> species, sample_a, sample_b, frac; a row at a time, empty cells as null, or left out before they meet their
+    samples."""
     lines = spark.read.schema("value string, species string").text(path)
     cells = lines.select("species", F.split("value", "\t")[0].cast("int").alias("i"), F.posexplode(F.split(F.split("value", "\t")[1], sep)).alias("j", "frac"))
+    cells = cells if empty else cells.where("frac != ''")
     a, b = (sample_index.select("species", F.col("position").alias(p), F.col("sample_id").alias(n)) for p, n in (("i", "sample_a"), ("j", "sample_b")))
     return cells.join(a, ["species", "i"]).join(b, ["species", "j"]).select("species", "sample_a", "sample_b", F.when(F.col("frac") != "", F.col("frac")).cast("double").alias("frac"))
 
